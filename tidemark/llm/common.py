@@ -69,3 +69,14 @@ def batches_of(columns: list[str], batches) -> Iterator[list[list]]:
     """Arrow batches as lists of Python values, one list per column."""
     for batch in batches:
         yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
+def bounded_sample(df: DataFrame, id_col: str, rows: int, seed: int, most_chars: int, text_col: str = "text") -> DataFrame:
+    """At most ``rows`` rows of ``df``, those whose ids hash lowest, with texts of at most ``most_chars``.
+
+    The ids are chosen first, from their column alone, so no text passes through the sort; the
+    chosen ids, at most ``rows`` longs, are then broadcast.
+    """
+    key = "__sample_id"
+    ids = df.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct().orderBy(seeded(F.col(key), seed), key).limit(rows)
+    return df.where(F.length(text_col) <= most_chars).join(F.broadcast(ids), F.col(id_col) == F.col(key), "left_semi")

@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
-from tidemark.llm.common import table
+from tidemark.llm import bpe, language, quality, secrets
+from tidemark.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+QUALITY_THRESHOLD = 0.3
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; the fold with remainder 0 of 5 is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), lambda i: ~held_out(i, 5, 0))
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +27,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the fold with remainder 1 of 3 is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, lambda i: ~held_out(i, 3, 1))
+    return language.identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op3_bpe,)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe, op7_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
