@@ -34,6 +34,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CHUNK = 1 << 16
 WORDS = 400_000
 LONG = 512
+SHORT = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,6 +80,7 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         merges = [(as_bytes(a), as_bytes(b)) for a, b in pairs]
         self.ids = {as_bytes(w): i for w, i in model["vocab"].items()}
+        self.id_bytes = {w: i.to_bytes(4, "little") for w, i in self.ids.items()}
         self.rank = {pair: r for r, pair in enumerate(merges)}
         self.lookahead = sufficient_lookahead(merges)
         self.added = {t["content"]: t["id"] for t in raw.get("added_tokens", [])}
@@ -87,19 +89,34 @@ class Vocabulary:
         self.words = BoundedCache(self._word, WORDS)
 
     def merged(self, data: bytes) -> list[bytes]:
-        """The tokens of a short byte string: the lowest-ranked pair first, leftmost on ties."""
+        """The tokens of a byte string: the lowest-ranked pair first, leftmost on ties."""
         parts = [data[i : i + 1] for i in range(len(data))]
+        return self._merged_short(parts) if len(parts) <= SHORT else self._merged_long(parts)
+
+    def _merged_short(self, parts: list[bytes]) -> list[bytes]:
+        """One merge at a time; only the ranks beside it are looked up again."""
+        never = len(self.rank)
+        rank = self.rank.get
+        ranks = [rank(pair, never) for pair in pairwise(parts)]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
+        return parts
+
+    def _merged_long(self, parts: list[bytes]) -> list[bytes]:
+        """All occurrences of the best pair in one pass, for windows of long pretokens."""
         rank = self.rank
         while len(parts) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(pairwise(parts)):
-                r = rank.get(pair)
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+            best = min(pairwise(parts), key=lambda pair: rank.get(pair, len(rank)))
+            if best not in rank:
                 break
-            a, b = parts[at], parts[at + 1]
-            out, i, n = parts[:at], at, len(parts)
+            a, b = best
+            out, i, n = [], 0, len(parts)
             while i < n:
                 if i + 1 < n and parts[i] == a and parts[i + 1] == b:
                     out.append(a + b)
@@ -112,8 +129,7 @@ class Vocabulary:
 
     def packed(self, tokens: Iterable[bytes]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        ids = self.ids
-        return b"".join(ids[t].to_bytes(4, "little") for t in tokens)
+        return b"".join(map(self.id_bytes.__getitem__, tokens))
 
     def _word(self, word: str) -> bytes:
         return self.packed(self.merged(word.encode("utf-8", "surrogatepass")))
@@ -226,7 +242,7 @@ def _plain(vocabulary: Vocabulary, text: str) -> Iterator[bytes]:
         words = _pattern().findall(text)
         look = vocabulary.words
         if len(text) <= LONG or max(map(len, words), default=0) <= LONG:
-            yield b"".join([look[w] for w in words])
+            yield b"".join(map(look.__getitem__, words))
             return
     encoder = Encoder(vocabulary)
     for i in range(0, len(text), CHUNK):
@@ -239,7 +255,7 @@ def decode(vocabulary: Vocabulary, pieces: Iterable[bytes]) -> Iterator[str]:
     machine = codecs.getincrementaldecoder("utf-8")("replace")
     text_of = vocabulary.text_of
     for piece in pieces:
-        yield machine.decode(b"".join([text_of[i] for i in memoryview(piece).cast("I")]))
+        yield machine.decode(b"".join(map(text_of.__getitem__, memoryview(piece).cast("I"))))
     yield machine.decode(b"", final=True)
 
 
