@@ -8,11 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, quality, secrets
+from tidemark.llm import bpe, html, jaccard, language, media, mixing, quality, secrets
 from tidemark.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 QUALITY_THRESHOLD = 0.3
+MIX_WEIGHTS = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+
+
+def mix_domain(source: str = "source"):
+    """The domain of a source: its number's remainder by 4 names one of four; other names have none."""
+    number = F.regexp_extract(F.col(source), "([0-9]+)$", 1)
+    return F.when(number != "", F.concat(F.lit("domain"), (F.substring(number, -9, 9).cast("long") % 4).cast("string")))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +34,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html.main_text(pages, html.learn(pages))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken when 60 % of the tokens are shared out by language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, mix_domain(), MIX_WEIGHTS, share=0.6, max_epochs=4, seed=17)
+    return mixed.select("doc_id", mixing.token_count(F.col("text")).alias("n_tokens"), F.col("__epochs").alias("epochs"), (F.col("__epochs") * mixing.token_count(F.col("text"))).alias("tokens_taken"))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at Jaccard 0.8 on five-word shingles."""
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the fold with remainder 1 of 3 is never learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -34,6 +59,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored image, resolved through the figure of a page that refers to it by digest."""
+    stored = media.store(table(spark, sf_dir, "documents"))
+    figure = F.concat(F.lit("<p>Document</p><figure><img src='" + media.SCHEME), "digest", F.lit("'><figcaption>Bytes of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
+    refs = media.references(media.interleave(stored.select("doc_id", "n_bytes", figure.alias("html"))))
+    return media.resolve(refs, media.describe(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text."""
     docs = table(spark, sf_dir, "documents")
@@ -42,7 +75,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op2_quality, op3_bpe, op7_language, op10_secrets)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe, op4_html, op5_mixing, op6_jaccard, op7_language, op8_media, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
