@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html, jaccard, language, media, mixing, quality, secrets
+from tidemark.llm import ann, bpe, html, jaccard, language, media, mixing, quality, secrets
 from tidemark.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,12 @@ def mix_domain(source: str = "source"):
     return F.when(number != "", F.concat(F.lit("domain"), (F.substring(number, -9, 9).cast("long") % 4).cast("string")))
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; the fold with remainder 0 of 5 is never learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -75,7 +81,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op2_quality, op3_bpe, op4_html, op5_mixing, op6_jaccard, op7_language, op8_media, op10_secrets)}
+    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_bpe, op4_html, op5_mixing, op6_jaccard, op7_language, op8_media, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
