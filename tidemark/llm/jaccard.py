@@ -11,9 +11,9 @@ sets share one. These are the join keys. p grows with the size band (powers of t
 upper end of its band has keys in the next band too, so every similar pair meets in one. The common
 order puts parts that a sample shows to be frequent last, so shared passages make few large buckets.
 
-A second sketch of 1024 bits, in which each token flips one bit, bounds the symmetric difference
-from below by its Hamming distance and drops candidates before texts are compared. Those left are
-verified on their whole shingle sets.
+A second sketch of four to eight bits a token, in which each token flips one bit, bounds the
+symmetric difference from below by its Hamming distance and drops candidates before texts are
+compared. Those left are verified on their whole shingle sets.
 
 Copies with equal sets are one class from the start. Each class is first compared with one earlier
 class only, the one it shares most keys with; linked ones become one component. Then pairs that
@@ -38,7 +38,7 @@ WORDS = 5
 SLICE = 1 << 20
 #: Below this many tokens each is a part of its own.
 SMALL = 64
-SKETCH_LONGS = 16
+LEAST_BITS = 1024
 # The white space that divides words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -136,8 +136,13 @@ def join_keys(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
-    """1024 bits as signed 64-bit words; each token flips one."""
-    bits = np.bincount((mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    """The bit sketch as signed 64-bit words: four to eight bits a token, 1024 at least; each token flips one.
+
+    Its length is a power of two and a token's bit is its hash modulo the length, so the XOR of both
+    halves is the sketch of half the length.
+    """
+    size = max(LEAST_BITS, 4 << (len(tokens).bit_length() - 1) if len(tokens) else 0)
+    bits = np.bincount((mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -224,8 +229,12 @@ def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame
     """The pairs (a, b) that link: first by sizes and parity bits, then by their whole shingle sets."""
     one = prints.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"))
     two = prints.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
-    distance = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    able = pairs.join(one, "a").join(two, "b").where((9 * distance <= F.col("na") + F.col("nb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), xor)
+    # Sets that can be similar differ in size by a quarter, so one sketch is at most twice as long as the other.
+    fitted = lambda c, other: F.when(F.size(c) > F.size(other), half(F.col(c))).otherwise(F.col(c))
+    distance = F.aggregate(F.transform(F.zip_with(fitted("ba", "bb"), fitted("bb", "ba"), xor), F.bit_count), F.lit(0), lambda s, x: s + x)
+    able = pairs.join(one, "a").where("na IS NOT NULL").join(two, "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).where(9 * distance <= F.col("na") + F.col("nb"))
     able = materialize(able.select("a", "b").distinct())
     wanted = able.select(F.col("a").alias("id")).union(able.select(F.col("b").alias("id"))).distinct()
     few = materialize(texts.join(wanted, "id", "left_semi"))
