@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html, jaccard, language, media, mixing, quality, secrets
+from tidemark.llm import ann, bpe, html, jaccard, language, media, mixing, pii, quality, secrets
 from tidemark.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +73,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.resolve(refs, media.describe(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text, by built-in functions only."""
+    return pii.find(table(spark, sf_dir, "documents"), pii.learn(spark))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text."""
     docs = table(spark, sf_dir, "documents")
@@ -81,7 +86,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_bpe, op4_html, op5_mixing, op6_jaccard, op7_language, op8_media, op10_secrets)}
+    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_bpe, op4_html, op5_mixing, op6_jaccard, op7_language, op8_media, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
