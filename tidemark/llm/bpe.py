@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,6 +35,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CHUNK = 1 << 16
 WORDS = 400_000
 LONG = 512
+ROWS = 512
 SHORT = 64
 
 
@@ -259,6 +261,24 @@ def decode(vocabulary: Vocabulary, pieces: Iterable[bytes]) -> Iterator[str]:
     yield machine.decode(b"", final=True)
 
 
+def _one(vocabulary: Vocabulary, text: str, keep_ids: bool) -> tuple[int, str, str, bytes]:
+    """Number of tokens, both digests and, if kept, the packed ids; pieces pass through and are dropped."""
+    n, digest, back, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+
+    def counted():
+        nonlocal n
+        for piece in encode(vocabulary, text):
+            n += len(piece) // 4
+            digest.update(piece)
+            if keep_ids:
+                kept.append(piece)
+            yield piece
+
+    for part in decode(vocabulary, counted()):
+        back.update(part.encode("utf-8"))
+    return n, digest.hexdigest(), back.hexdigest(), b"".join(kept)
+
+
 _LOADED: dict[str, Vocabulary] = {}
 
 
@@ -281,33 +301,16 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         vocabulary = vocabulary_of(path)
         for batch in batches:
-            counts, ids_hex, text_hex, kept = [], [], [], []
-            for text in batch.column(1):
-                pieces, n = [], 0
-                digest, back = hashlib.sha256(), hashlib.sha256()
-
-                def through(pieces=encode(vocabulary, text.as_py() or ""), digest=digest, kept_here=pieces):
-                    nonlocal n
-                    for piece in pieces:
-                        n += len(piece) // 4
-                        digest.update(piece)
-                        if keep_ids:
-                            kept_here.append(piece)
-                        yield piece
-
-                for part in decode(vocabulary, through()):
-                    back.update(part.encode("utf-8"))
-                counts.append(n)
-                ids_hex.append(digest.hexdigest())
-                text_hex.append(back.hexdigest())
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                done = [_one(vocabulary, t.as_py() or "", keep_ids) for t in part.column(1)]
+                columns = [part.column(0), *(pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    kept.append(list(memoryview(b"".join(pieces)).cast("I")))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    ends = np.cumsum([0] + [d[0] for d in done])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(d[3] for d in done), "<i4"))))
+                    names.append("token_ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, f"{id_col} {narrow.schema[0].dataType.simpleString()}, {fields}")

@@ -8,7 +8,7 @@ order, the documents of a token-prefix.
 
 All steps are DataFrame operations: sums per leaf and hash range, windows over siblings, and one
 cut-off per leaf. No window runs over the documents of a leaf, except those of the one hash range
-(of 4096) in which its prefix ends.
+(of 256) in which its prefix ends.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 LEVELS = ("domain", "lang", "source")
 #: Up to so many leaves their cut-offs are broadcast; beyond it they are joined by shuffle.
 BROADCAST_LEAVES = 100_000
-RANGE_DIGITS = 3
+RANGE_DIGITS = 2
 
 
 def token_count(text: Column) -> Column:
