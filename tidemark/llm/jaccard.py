@@ -1,30 +1,34 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes. Two sets of a and b
-shingles with Jaccard 0.8 or more differ in at most (a + b) / 9 of them, and so in at most a / 4.
+shingles with Jaccard 0.8 or more differ in at most (a + b) / 9 of them, and b is at most 5 a / 4.
 
 Parity sketch: tokens are dealt to p parts by their leading bits, and each part is the XOR of its
 tokens' hashes. A token that only one set has changes one part, so the number of differing parts is
-at most the symmetric difference: of the non-empty parts of a set, at most a / 4 differ from those
-of a similar one. Pigeonhole: of any order common to all, the first a / 4 + 1 non-empty parts of both
-sets share one. These are the join keys. p grows with the size band (powers of two); a set near the
-upper end of its band has keys in the next band too, so every similar pair meets in one. The common
-order puts parts that a sample shows to be frequent last, so shared passages make few large buckets.
+at most the symmetric difference. Pigeonhole: in any order common to all, the first (a + b) / 9 + 1
+non-empty parts of both sets share one. These are the join keys. p grows with the size band, with two
+to four tokens a part; a set near the upper end of its band has keys in the next band too, so every
+similar pair meets in one. A part is shared only by documents with the very same tokens in it, so
+those that share a mere passage share few parts; the common order puts what a sample shows to be
+frequent last, so that even these make few large buckets.
 
 A second sketch of four to eight bits a token, in which each token flips one bit, bounds the
 symmetric difference from below by its Hamming distance and drops candidates before texts are
 compared. Those left are verified on their whole shingle sets.
 
 Copies with equal sets are one class from the start. Each class is first compared with one earlier
-class only, the one it shares most keys with; linked ones become one component. Then pairs that
-share a key but lie in different components are compared. So no link between different components
-is lost and a group of n near copies takes about n comparisons instead of n squared.
+class only, the one it shares most keys with; linked ones become one component. Then those that
+share a key but lie in different components are compared: by short forms of their sketches within
+the task that has their bucket, which sends on only the pairs that may link. So no link between
+different components is lost, and a group of n near copies takes about n comparisons of texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,13 @@ from tidemark.llm.common import bounded_sample, materialize
 
 WORDS = 5
 SLICE = 1 << 20
-#: Below this many tokens each is a part of its own.
+#: In bands up to this many tokens each is a part of its own.
 SMALL = 64
+#: Where the size bands begin: powers of the square root of two, rounded up.
+BOUNDS = [1, *(isqrt((1 << j) - 1) + 1 for j in range(1, 96))]
 LEAST_BITS = 1024
+#: A bucket with more members is compared in parts.
+CELL = 4096
 # The white space that divides words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -105,24 +113,50 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield words[:0]
 
 
-def part_keys(tokens: np.ndarray, scheme: int) -> np.ndarray:
-    """Keys of the non-empty parts under a band's scheme: 2**scheme parts, or one per token in small bands."""
-    salt = np.uint64((scheme + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-    if 2 << scheme <= SMALL:
+def band_of(m: int) -> int:
+    """The size band of a set: sizes from one power of the square root of two to the next."""
+    return bisect_right(BOUNDS, m) - 1
+
+
+def schemes(m: int) -> Iterator[tuple[int, int]]:
+    """The bands in which a set has keys, each with the number of parts that decide there.
+
+    Of its partners in a band the largest sets the bound: with b tokens it differs in (m + b) / 9 at most.
+    """
+    j = band_of(m)
+    yield j, (m + min(5 * m // 4, BOUNDS[j + 1] - 1)) // 9 + 1
+    if 5 * m >= 4 * BOUNDS[j + 1]:
+        yield j + 1, (m + 5 * m // 4) // 9 + 1
+
+
+def parts_of(band: int) -> int:
+    """The number of parts of a band, 0 where each token is a part of its own.
+
+    The more tokens a part has, the less often documents that only share a passage share a part; but
+    the largest sets must fill more parts than they can differ in, by eight deviations at least.
+    """
+    top = BOUNDS[band + 1]
+    return 0 if top <= SMALL else top // 2 if top <= 128 else top // 3 if top <= 512 else int(top / 3.8)
+
+
+def part_keys(tokens: np.ndarray, band: int) -> np.ndarray:
+    """Keys of the non-empty parts in a band; tokens come sorted, so those of a part are neighbours."""
+    salt, parts = np.uint64((band + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1), parts_of(band)
+    if not parts:
         return mixed(tokens ^ salt)
-    part = tokens >> np.uint64(64 - scheme)
+    part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     return mixed(mixed(np.bitwise_xor.reduceat(mixed(tokens), at) + salt) ^ part[at])
 
 
 def join_keys(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """The first a / 4 + 1 parts in the common order: by frequency in the sample, then by value."""
+    """The parts that decide, in the common order: by frequency in the sample, then by value."""
     m = len(tokens)
     if not m:
         return tokens
-    band, need, out = m.bit_length() - 1, m // 4 + 1, []
-    for scheme in (band, band + 1) if 5 * m >= 4 << (band + 1) else (band,):
-        keys = part_keys(tokens, scheme)
+    out = []
+    for band, need in schemes(m):
+        keys = part_keys(tokens, band)
         if len(keys) < need:
             raise ValueError(f"{m} tokens fill only {len(keys)} parts; {need} are needed for an exact join")
         if frequent is not None and len(frequent[0]):
@@ -146,6 +180,82 @@ def parity_bits(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def halved(bits: np.ndarray, times: int) -> np.ndarray:
+    """The sketch of half the length, so many times."""
+    for _ in range(times):
+        bits = bits[..., : bits.shape[-1] // 2] ^ bits[..., bits.shape[-1] // 2 :]
+    return bits
+
+
+def close_pairs(cells, ids, families, sides, sizes, sketches: list[bytes]) -> np.ndarray:
+    """The pairs of a cell, of different families and (where a cell has two) different sides, whose sizes
+    and sketches allow a link. Rows come sorted by cell; all pairs at one distance in that order are
+    compared at once."""
+    starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    lengths = np.array([len(b) for b in sketches])
+    least = np.repeat(np.minimum.reduceat(lengths, starts), np.diff([*starts, len(cells)]))
+    two = np.repeat(np.maximum.reduceat(sides, starts) != np.minimum.reduceat(sides, starts), np.diff([*starts, len(cells)]))
+    found = [np.zeros((0, 2), np.int64)]
+    for width in np.unique(least):
+        of = np.flatnonzero(least == width)
+        bits = np.empty((len(of), width // 8), np.uint64)
+        for length in np.unique(lengths[of]):
+            at = np.flatnonzero(lengths[of] == length)
+            raw = np.frombuffer(b"".join(sketches[i] for i in of[at]), np.uint64).reshape(len(at), -1)
+            bits[at] = halved(raw, int(length // width).bit_length() - 1)
+        c, f, n, s, t = cells[of], families[of], sizes[of], sides[of], two[of]
+        i, d = np.arange(len(of)), 0
+        while True:
+            d += 1
+            i = i[i < len(of) - d]
+            i = i[c[i] == c[i + d]]
+            if not len(i):
+                break
+            j = i + d
+            able = (f[i] != f[j]) & (~t[i] | (s[i] != s[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            a, b = i[able], j[able]
+            for k in range(0, len(a), 1 << 16):
+                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                near = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
+                pair = np.stack([ids[of[x[near]]], ids[of[y[near]]]], axis=1)
+                found.append(np.unique(np.sort(pair, axis=1), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _pairs_across(placed: DataFrame, prints: DataFrame) -> DataFrame:
+    """Close pairs of different components in one bucket, as (a, b), some more than once.
+
+    A bucket is a cell of a task; of one with more than CELL members each pair of its blocks is a cell,
+    so no task holds more than a bounded part of it.
+    """
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
+    rows = placed.join(sizes, "key").join(prints.select("id", "n_shingles", "small"), "id")
+    blocks = F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL)).otherwise(1).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).alias("cell"), "id", "c", "side", "n_shingles", "small")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            here = here if held is None else pa.concat_tables([held, here])
+            cell = here["cell"].to_numpy()
+            end = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            held = here.slice(end)
+            if end:
+                yield _compare(here.slice(0, end))
+        if held is not None and held.num_rows:
+            yield _compare(held)
+
+    def _compare(t: pa.Table) -> pa.RecordBatch:
+        column = lambda c: t[c].to_numpy()
+        pairs = close_pairs(column("cell"), column("id"), column("c"), column("side"), column("n_shingles"), t["small"].to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
 def _slices(batch) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of a batch of some SLICE characters each."""
     texts, start, size = batch.column(1).to_pylist(), 0, 0
@@ -166,7 +276,7 @@ def sample_frequencies(docs: DataFrame, rows: int, seed: int, least: float = 0.0
     def run(batches):
         for batch in batches:
             for _, texts in _slices(batch):
-                keys = [part_keys(s, k) for s in shingle_sets(texts) if len(s) for k in {len(s).bit_length() - 1, (5 * len(s) // 4).bit_length() - 1}]
+                keys = [part_keys(s, k) for s in shingle_sets(texts) if len(s) for k, _ in schemes(len(s))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
 
     sample = bounded_sample(docs, "id", rows, seed, 20_000)
@@ -178,22 +288,23 @@ def sample_frequencies(docs: DataFrame, rows: int, seed: int, least: float = 0.0
 
 
 def fingerprints(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, n_shingles, class digest, parity bits and join keys of every row of (id, text)."""
+    """id, n_shingles, class digest, parity bits, their short form and join keys of every row of (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for batch in batches:
             for part, texts in _slices(batch):
-                sizes, classes, bits, keys = [], [], [], []
+                sizes, classes, bits, small, keys = [], [], [], [], []
                 for tokens in shingle_sets(texts):
                     sizes.append(len(tokens))
                     classes.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                     bits.append(parity_bits(tokens))
+                    small.append(halved(bits[-1], 2).tobytes())
                     keys.append(join_keys(tokens, shared.value).view(np.int64))
                 as_lists = lambda arrays: pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(a) for a in arrays]), pa.int32()), pa.array(np.concatenate(arrays)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), as_lists(bits), as_lists(keys)], ["id", "n_shingles", "class", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), as_lists(bits), pa.array(small, pa.binary()), as_lists(keys)], ["id", "n_shingles", "class", "bits", "small", "keys"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, class binary, bits array<long>, keys array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, class binary, bits array<long>, small binary, keys array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,7 +376,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = rows.where(F.col("id").isNotNull())
     prints = materialize(fingerprints(rows, sample_frequencies(named, sample_rows, seed)))
-    member = prints.where("id IS NOT NULL AND n_shingles > 0").select("id", "class", "n_shingles", "bits", "keys")
+    member = prints.where("id IS NOT NULL AND n_shingles > 0").select("id", "class", "n_shingles", "bits", "small", "keys")
     classes = materialize(member.groupBy("class").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
     copies = member.select("id", "class").join(classes.where("rep < last").select("class", "rep"), "class").where("id <> rep").select("id", "class").distinct()
     reps = member.join(materialize(copies), ["id", "class"], "left_anti")
@@ -280,12 +391,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(linked)
 
     placed = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    placed = materialize(placed.join(split, "key", "left_semi"))
-    families = materialize(placed.select("key", "c").distinct())
-    across = families.join(families.select("key", F.col("c").alias("d")), "key").where("c < d")
-    pairs = across.join(placed.select("key", "c", F.col("id").alias("x")), ["key", "c"]).join(placed.select("key", F.col("c").alias("d"), F.col("id").alias("y")), ["key", "d"])
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs = _pairs_across(placed, reps).distinct().join(first, ["a", "b"], "left_anti")
     more = materialize(_similar(materialize(pairs), brief, texts))
     if not more.isEmpty():
         found = components(linked.union(more))
