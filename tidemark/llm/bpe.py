@@ -27,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BoundedCache
+from tidemark.llm.common import BoundedCache, short_batches
 
 # The published pre-tokenization pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 CHUNK = 1 << 16
-WORDS = 400_000
+WORDS = 300_000
 LONG = 512
 ROWS = 512
 SHORT = 64
@@ -312,5 +312,6 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, f"{id_col} {narrow.schema[0].dataType.simpleString()}, {fields}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,11 +65,6 @@ class BoundedCache(dict):
         return value
 
 
-def batches_of(columns: list[str], batches) -> Iterator[list[list]]:
-    """Arrow batches as lists of Python values, one list per column."""
-    for batch in batches:
-        yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-
 
 def bounded_sample(df: DataFrame, id_col: str, rows: int, seed: int, most_chars: int, text_col: str = "text") -> DataFrame:
     """At most ``rows`` rows of ``df``, those whose ids hash lowest, with texts of at most ``most_chars``.
@@ -80,3 +75,17 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, seed: int, most_chars:
     key = "__sample_id"
     ids = df.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct().orderBy(seeded(F.col(key), seed), key).limit(rows)
     return df.where(F.length(text_col) <= most_chars).join(F.broadcast(ids), F.col(id_col) == F.col(key), "left_semi")
+
+
+#: Rows a Python worker gets at a time. Texts may be long, so fewer than Spark's usual 10,000.
+BATCH_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of this session to BATCH_ROWS, so that workers hold little at a time.
+
+    Called by every operator that sends texts to workers; a smaller setting of the caller's stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample
+from tidemark.llm.common import bounded_sample, short_batches
 
 # Elements whose content is not text, that end themselves, and that do not break a block.
 RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "canvas", "math")
@@ -236,5 +236,6 @@ def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_c
             texts = [extract(h.as_py(), weights) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
+    short_batches(pages.sparkSession)
     narrow = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("html"))
     return narrow.mapInArrow(run, f"{id_col} {narrow.schema[0].dataType.simpleString()}, {url_col} {narrow.schema[1].dataType.simpleString()}, text string, n_chars long")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, materialize
+from tidemark.llm.common import bounded_sample, materialize, short_batches
 
 WORDS = 5
 SLICE = 1 << 20
@@ -289,6 +289,7 @@ def sample_frequencies(docs: DataFrame, rows: int, seed: int, least: float = 0.0
 
 def fingerprints(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """id, n_shingles, class digest, parity bits, their short form and join keys of every row of (id, text)."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):

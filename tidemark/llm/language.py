@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import short_batches
+
 BUCKETS, WIDTH, STEP, WORDS = 1 << 15, 12, 8192, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -156,6 +158,7 @@ def learn(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, lang_pred, score and rejected, from the whole text alone; no shuffle. A text that is
     null or has no letter gets und with score 0 and is rejected."""
+    short_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, short_batches
 from tidemark.llm.html import INLINE, RAW, events
 
 WIDTH = 64
@@ -137,6 +137,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 full = [padded(r) for r in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in full], pa.string()), pa.array([to_image(f) for f in full], pa.binary())], [id_col, "n_bytes", "digest", "media"])
 
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return materialize(narrow.mapInArrow(run, f"{id_col} {narrow.schema[0].dataType.simpleString()}, n_bytes long, digest string, media binary"))
 

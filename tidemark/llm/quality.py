@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BoundedCache, bounded_sample
+from tidemark.llm.common import BoundedCache, bounded_sample, short_batches
 
 WIDTH, NONZERO, WINDOW = 48, 6, 2
 STEP = 8192
@@ -68,7 +68,7 @@ class Classifier:
     def features(self, text: str) -> np.ndarray:
         """Pooled vectors and counts of a whole text, in steps of bounded size."""
         if self._cache is None:
-            self._cache = BoundedCache(self.row_of, 300_000)
+            self._cache = BoundedCache(self.row_of, 150_000)
         words = text.split()
         total = np.zeros(self.vectors.shape[1])
         look = self._cache
@@ -164,6 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Every row's id and calibrated score, from the text alone; no shuffle. Null, empty and blank texts score 0."""
+    short_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -176,6 +177,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 def kept(docs: DataFrame, model: Classifier, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that score at least ``threshold``."""
+    short_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample
+from tidemark.llm.common import bounded_sample, short_batches
 
 # The base formats, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -148,6 +148,7 @@ def scan(docs: DataFrame, models: Models | None = None, id_col: str = "doc_id",
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], [id_col, "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, f"{id_col} {narrow.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
@@ -171,4 +172,5 @@ def redacted(docs: DataFrame, models: Models | None = None, text_col: str = "tex
                 columns[count_at] = pa.array(lengths, batch.column(count_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
