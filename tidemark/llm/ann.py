@@ -68,17 +68,17 @@ def build_index(rows: DataFrame, dim: int, bits: int, seed: int) -> DataFrame:
 def best_of_block(query_ids, queries, ids, vectors, codes, c, norms, turn, k: int, eps: float):
     """(query, id, score) of the k best of a chunk for each query of a block."""
     bits = turn.shape[0]
-    signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
+    signs = np.ascontiguousarray((np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1).T)
     scale = (norms / c / np.sqrt(bits)).astype(np.float32)
     spread = (norms * np.sqrt(np.maximum(0, 1 - c * c)) / c * eps / np.sqrt(bits - 1)).astype(np.float32)
     for at in range(0, len(queries), STEP):
         part, part_ids = queries[at : at + STEP], query_ids[at : at + STEP]
-        estimate = (signs @ (part @ turn.T).T.astype(np.float32)) * scale[:, None]
-        error = spread[:, None] * np.linalg.norm(part, axis=1).astype(np.float32)[None, :] + 1e-5
-        own = ids[:, None] == part_ids[None, :]
+        estimate = ((part @ turn.T).astype(np.float32) @ signs) * scale[None, :]
+        error = np.linalg.norm(part, axis=1).astype(np.float32)[:, None] * spread[None, :] + 1e-5
+        own = part_ids[:, None] == ids[None, :]
         lower = np.where(own, -np.inf, estimate - error)
-        least = np.partition(lower, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(part), -np.inf)
-        row, query = np.nonzero((estimate + error >= least[None, :]) & ~own)
+        least = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(part), -np.inf)
+        query, row = np.nonzero((estimate + error >= least[:, None]) & ~own)
         score = np.concatenate([(vectors[row[i : i + 65536]] * part[query[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
         order = np.lexsort((ids[row], -score, query))
         row, query, score = row[order], query[order], score[order]
