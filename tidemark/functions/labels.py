@@ -56,23 +56,35 @@ def split_camel(text: Column) -> Column:
     return F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")
 
 
-def strip_decorations(label: Column, passes: int = 3) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def strip_decorations(label: Column, passes: int = 4) -> Column:
     """A struct of name, formula, footnote and unit: what follows a name is peeled off its end, in any
     order, a few times over."""
-    text, formula, footnote, unit = F.trim(label), F.lit(""), F.lit(""), F.lit(None).cast("string")
     known = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    for _ in range(passes):
-        found = F.regexp_extract(text, FOOTNOTE, 1)
-        footnote = F.concat(found, footnote)
-        text = F.regexp_replace(text, FOOTNOTE, "")
-        stated = F.try_element_at(known, F.lower(F.trim(F.regexp_extract(text, UNIT, 1))))
-        unit = F.coalesce(stated, unit)
-        text = F.when(stated.isNotNull(), F.regexp_replace(text, UNIT, "")).otherwise(text)
-        span, body = F.regexp_extract(text, RANGE, 1), F.regexp_extract(text, FORMULA, 1)
-        arithmetic = body.rlike(r"^[\[\]()\d+\-*/.…'’\s]+$") & body.rlike(r"[+\-*/]|\.{2,}|…") & body.rlike(r"\d")
-        formula = F.when(span != "", span).when(arithmetic, F.trim(body)).otherwise(formula)
-        text = F.when(span != "", F.regexp_replace(text, RANGE, "")).when(arithmetic, F.regexp_replace(text, FORMULA, "")).otherwise(text)
-    return F.struct(F.trim(text).alias("name"), formula.alias("formula"), footnote.alias("footnote"), unit.alias("unit"))
+    state = lambda n, f, o, u: F.struct(n.alias("name"), f.alias("formula"), o.alias("footnote"), u.alias("unit"))
+
+    def footnote(s):
+        return state(F.regexp_replace(s["name"], FOOTNOTE, ""), s["formula"], F.concat(F.regexp_extract(s["name"], FOOTNOTE, 1), s["footnote"]), s["unit"])
+
+    def unit(s):
+        stated = F.try_element_at(known, F.lower(F.trim(F.regexp_extract(s["name"], UNIT, 1))))
+        return let(stated, lambda u: state(F.when(u.isNotNull(), F.regexp_replace(s["name"], UNIT, "")).otherwise(s["name"]), s["formula"], s["footnote"], F.coalesce(u, s["unit"])))
+
+    def formula(s):
+        def peeled(found):
+            span, body = found[0], found[1]
+            arithmetic = body.rlike(r"^[\[\]()\d+\-*/.…'’\s]+$") & body.rlike(r"[+\-*/]|\.{2,}|…") & body.rlike(r"\d")
+            rest = F.when(span != "", F.regexp_replace(s["name"], RANGE, "")).when(arithmetic, F.regexp_replace(s["name"], FORMULA, "")).otherwise(s["name"])
+            return state(rest, F.when(span != "", span).when(arithmetic, F.trim(body)).otherwise(s["formula"]), s["footnote"], s["unit"])
+
+        return let(F.array(F.regexp_extract(s["name"], RANGE, 1), F.regexp_extract(s["name"], FORMULA, 1)), peeled)
+
+    start = state(F.trim(label), F.lit(""), F.lit(""), F.lit(None).cast("string"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, lambda s, _: let(let(footnote(s), unit), formula), lambda s: state(F.trim(s["name"]), s["formula"], s["footnote"], s["unit"]))
 
 
 def canonical_key(label: Column) -> Column:
@@ -112,13 +124,18 @@ def comma_decimals(text: Column) -> Column:
     return F.coalesce(comma, F.lit(False)) & ~F.coalesce(point, F.lit(False))
 
 
+def date_of(year: Column, month: Column, day: Column) -> Column:
+    """The date of three integers, null where there is none."""
+    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+
+
 def parse_date(text: Column) -> Column:
     """A date: year-first as it is, else day-first, with month names in two languages; a name and a year is
     the first of the month. Years before 1900 or after 2100, and what is no date, give null."""
     bare = F.lower(F.translate(F.regexp_replace(F.trim(text), r"\s*/\s*[A-Za-z]+", ""), "İI", "iı"))
     for i, (names, english) in enumerate(zip(MONTHS, ENGLISH, strict=True), start=1):
         bare = F.regexp_replace(bare, rf"\b(?:{'|'.join((*names, english, english.replace('i', 'ı')))})\b", str(i))
-    parts = lambda p, y, m, d: F.when(bare.rlike(p), F.try_make_date(*(F.regexp_extract(bare, p, g).try_cast("int") if g else F.lit(1) for g in (y, m, d))))
+    parts = lambda p, y, m, d: F.when(bare.rlike(p), date_of(*(F.regexp_extract(bare, p, g).try_cast("int") if g else F.lit(1) for g in (y, m, d))))
     found = F.coalesce(
         parts(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ t].*)?$", 1, 2, 3),
         parts(r"^(\d{1,2})[./\- ](\d{1,2})[./\- ](\d{4})$", 3, 2, 1),
@@ -132,8 +149,8 @@ def parse_period_label(text: Column) -> Column:
     """dd-mm-yyyy, yyyy-m or yyyy-Qn as a struct of date and grain; a quarter sits on its last month."""
     year = F.substring(text, 1, 4).try_cast("int")
     day = F.when(text.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.struct(F.try_to_date(text, "dd-MM-yyyy").alias("date"), F.lit("day").alias("grain")))
-    month = F.when(text.rlike(r"^\d{4}-\d{1,2}$"), F.struct(F.try_make_date(year, F.regexp_extract(text, r"-(\d{1,2})$", 1).try_cast("int"), F.lit(1)).alias("date"), F.lit("month").alias("grain")))
-    quarter = F.when(text.rlike(r"^\d{4}-Q[1-4]$"), F.struct(F.try_make_date(year, 3 * F.regexp_extract(text, r"Q([1-4])$", 1).try_cast("int"), F.lit(1)).alias("date"), F.lit("quarter").alias("grain")))
+    month = F.when(text.rlike(r"^\d{4}-\d{1,2}$"), F.struct(date_of(year, F.regexp_extract(text, r"-(\d{1,2})$", 1).try_cast("int"), F.lit(1)).alias("date"), F.lit("month").alias("grain")))
+    quarter = F.when(text.rlike(r"^\d{4}-Q[1-4]$"), F.struct(date_of(year, 3 * F.regexp_extract(text, r"Q([1-4])$", 1).try_cast("int"), F.lit(1)).alias("date"), F.lit("quarter").alias("grain")))
     return F.coalesce(day, month, quarter)
 
 

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements without readable text.
 CHROME = frozenset(("script", "style", "nav", "header", "footer", "aside", "noscript", "form", "head"))
@@ -40,7 +41,7 @@ def readable(html: str | None, most: int | None = None) -> str:
     return text if most is None else text[:most]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     """`readable` for a column."""
     return html.map(readable)
