@@ -77,6 +77,16 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, seed: int, most_chars:
     return df.where(F.length(text_col) <= most_chars).join(F.broadcast(ids), F.col(id_col) == F.col(key), "left_semi")
 
 
+#: Up to so many rows of a few numbers or digests each are broadcast; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of short rows, written once and counted, with a broadcast hint if it has at most ``most``."""
+    rows = materialize(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 #: Rows a Python worker gets at a time. Texts may be long, so fewer than Spark's usual 10,000.
 BATCH_ROWS = 512
 

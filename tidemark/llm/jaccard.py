@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, materialize, short_batches
+from tidemark.llm.common import bounded_sample, broadcast_if_few, materialize, short_batches
 
 WORDS = 5
 SLICE = 1 << 20
@@ -380,7 +380,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = prints.where("id IS NOT NULL AND n_shingles > 0").select("id", "class", "n_shingles", "bits", "small", "keys")
     classes = materialize(member.groupBy("class").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
     copies = member.select("id", "class").join(classes.where("rep < last").select("class", "rep"), "class").where("id <> rep").select("id", "class").distinct()
-    reps = member.join(materialize(copies), ["id", "class"], "left_anti")
+    reps = member.join(broadcast_if_few(copies), ["id", "class"], "left_anti")
 
     key = Window.partitionBy("key")
     buckets = reps.select(F.explode("keys").alias("key"), "id").withColumn("leader", F.min("id").over(key)).withColumn("last", F.max("id").over(key))

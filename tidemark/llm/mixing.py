@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import broadcast_if_few
+
 LEVELS = ("domain", "lang", "source")
-#: Up to so many leaves their cut-offs are broadcast; beyond it they are joined by shuffle.
-BROADCAST_LEAVES = 100_000
 RANGE_DIGITS = 2
 
 
@@ -97,18 +97,18 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
         "tokens",
     )
     granted = granted.withColumn("quota", F.when(F.col("tokens") > 0, F.col("granted") - F.col("whole") * F.col("tokens")).otherwise(F.lit(0.0)))
-    granted = _small(granted.select(*LEVELS, "whole", "quota"))
+    granted = broadcast_if_few(granted.select(*LEVELS, "whole", "quota"))
     keyed = narrow.join(granted, list(LEVELS)).withColumn("k", order_key(F.col("i"), seed, F.col("whole")))
     ranges = keyed.withColumn("r", F.substring("k", 1, RANGE_DIGITS)).groupBy(*LEVELS, "quota", "r").agg(F.sum("n").alias("n"))
     before = Window.partitionBy(*LEVELS).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # The last range that starts before the quota is the one in which the prefix ends.
-    last = _small(ranges.where("before < quota").groupBy(*LEVELS).agg(F.max(F.struct("r", "before")).alias("e")).select(*LEVELS, F.col("e.r").alias("r"), F.col("e.before").alias("before")))
+    last = broadcast_if_few(ranges.where("before < quota").groupBy(*LEVELS).agg(F.max(F.struct("r", "before")).alias("e")).select(*LEVELS, F.col("e.r").alias("r"), F.col("e.before").alias("before")))
     ending = keyed.withColumn("r", F.substring("k", 1, RANGE_DIGITS)).join(last, [*LEVELS, "r"])
     running = Window.partitionBy(*LEVELS).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     cuts = ending.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(running), F.lit(0))).where("start < quota").groupBy(*LEVELS).agg(F.max("k").alias("cut"))
     # A quota below every start of its range cannot be: the range's first document starts at ``before``.
-    plan = _small(granted.join(cuts, list(LEVELS), "left").select(*(F.col(c).alias(f"__{c}") for c in LEVELS), F.col("whole").alias("__whole"), F.col("cut").alias("__cut")))
+    plan = broadcast_if_few(granted.join(cuts, list(LEVELS), "left").select(*(F.col(c).alias(f"__{c}") for c in LEVELS), F.col("whole").alias("__whole"), F.col("cut").alias("__cut")))
     marked = docs.select("*", *(c.alias(f"__leaf{i}") for i, c in enumerate(_unnamed(leaf, domain, lang_col, source_col))))
     joined = marked.join(plan, [F.col(f"__leaf{i}") == F.col(f"__{c}") for i, c in enumerate(LEVELS)])
     in_prefix = F.coalesce(order_key(F.col(id_col), seed, F.col("__whole")) <= F.col("__cut"), F.lit(False))
@@ -117,11 +117,3 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
 
 def _unnamed(leaf, domain, lang_col, source_col):
     return [F.coalesce(domain, F.lit("none")), F.coalesce(F.col(lang_col).cast("string"), F.lit("none")), F.coalesce(F.col(source_col).cast("string"), F.lit("none"))]
-
-
-def _small(leaves: DataFrame) -> DataFrame:
-    """A table of one row per leaf, written once; broadcast if its counted rows are few."""
-    from tidemark.llm.common import materialize
-
-    leaves = materialize(leaves)
-    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
