@@ -43,7 +43,7 @@ GENERATORS = (
     ("card", r"(?<![0-9A-Za-z.])[0-9]{4}[./][0-9]{4}[./][0-9]{4}[./][0-9]{4}(?![0-9A-Za-z])", r"[0-9]{4}[./][0-9]{4}[./]"),
 )
 CONTEXT = 32
-FEATURES = ("generator", "chars", "digits", "groups", "longest", "parens", "dots", "hyphens", "spaces", "luhn", "years", "letters", "before_word", "personal", "impersonal", "repeats")
+FEATURES = ("generator", "chars", "digits", "groups", "longest", "brackets", "dots", "hyphens", "spaces", "luhn", "years", "letters", "before_word", "personal", "impersonal", "repeats")
 PERSONAL = r"(?i)(?:phone|tel|call|fax|mobile|cell|contact|reach|mail|card|visa|iban|account|ssn|social|security|address|host|server|client|login|user|dial|whatsapp|sms)[^0-9A-Za-z]{0,8}(?:[a-z]{1,8}[^0-9A-Za-z]{0,4})?$"
 IMPERSONAL = r"(?i)(?:isbn|issn|version|ver|order|invoice|part|model|page|pages|pp|table|fig|figure|no|nr|ref|date|serial|sku|item|lot|batch|doi|score|range|coordinates|build)[^0-9A-Za-z]{0,8}(?:[a-z]{1,8}[^0-9A-Za-z]{0,4})?$"
 BLOCK = 1000
@@ -131,7 +131,7 @@ def features(p: Column) -> dict[str, Column]:
     count = lambda c: (F.length(m) - F.length(F.regexp_replace(m, c, ""))).cast("int")
     groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
     values = (
-        p["generator"], F.length(m), F.length(digits), F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), count("[()]"), count("[.]"), count("-"), count(" "),
+        p["generator"], F.length(m), F.length(digits), F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), count(r"[()\[\]{}]"), count("[.]"), count("-"), count(" "),
         F.coalesce(F.call_function("luhn_check", digits) & (F.length(digits) > 0), F.lit(False)).cast("int"), m.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])").cast("int"), count("[A-Za-z]"), before.rlike(r"[A-Za-z]\W*$").cast("int"), before.rlike(PERSONAL).cast("int"), before.rlike(IMPERSONAL).cast("int"),
         (F.length(digits) - F.size(F.array_distinct(F.split(digits, "")))).cast("int"),
     )
@@ -234,8 +234,8 @@ def value_of(node, row) -> float:
 def learn(spark: SparkSession, n: int = 1600, seed: int = 13, precision: float = 0.99) -> Trees:
     """Trees and thresholds from ``n`` generated examples, a quarter of them kept aside to calibrate.
 
-    A generator's threshold is the least score from which on at least ``precision`` of the examples
-    kept aside are personal, and never below even odds.
+    A generator's threshold lies below the last score down to which at least ``precision`` of the
+    examples kept aside are personal, halfway to the next one, and never below even odds.
     """
     made = examples(n, seed)
     lines = ", ".join("('{}', {}, {})".format(t.replace("\\", "\\\\").replace("'", "\\'"), label, i) for i, (t, label) in enumerate(made))
@@ -243,7 +243,7 @@ def learn(spark: SparkSession, n: int = 1600, seed: int = 13, precision: float =
     got = df.select("i", "label", F.explode(proposals(F.col("text"))).alias("p"))
     got = got.select("i", "label", *(v.cast("double").alias(k) for k, v in features(F.col("p")).items())).collect()
     got.sort(key=lambda r: (r.i, *r[2:]))
-    x, y, aside = np.array([r[2:] for r in got]), np.array([r.label for r in got], float), np.array([(r.i // 2) % 4 == 3 for r in got])
+    x, y, aside = np.array([r[2:] for r in got]), np.array([r.label for r in got], float), np.array([r.i // 168 % 4 == 3 for r in got])
     trees = boost(x[~aside], y[~aside])
     score = np.array([sum(value_of(t, r) for t in trees) for r in x])
     thresholds = []
@@ -252,7 +252,12 @@ def learn(spark: SparkSession, n: int = 1600, seed: int = 13, precision: float =
         order = own[np.argsort(-score[own])]
         right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(right >= precision)
-        thresholds.append(max(0.0, round(float(score[order[good[-1]]]) - 1e-9, 6)) if len(good) else float("inf"))
+        if not len(good):
+            thresholds.append(float("inf"))
+            continue
+        last = good[-1]
+        lower = score[order[last + 1]] if last + 1 < len(order) else -np.inf
+        thresholds.append(max(0.0, round(float(score[order[last]] + lower) / 2, 6)))
     return Trees(tuple(trees), tuple(thresholds))
 
 
