@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html, jaccard, language, media, mixing, pii, quality, secrets
+from tidemark.llm import ann, bpe, html, jaccard, language, media, mixing, oracles, pii, quality, secrets
 from tidemark.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {}
+    return {"op5_mixing": oracles.mixing(MIX_WEIGHTS["lang"], 0.6, 4, 17), "op6_jaccard": oracles.JACCARD}
