@@ -80,3 +80,22 @@ def exact_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = df.select(F.col(id_col), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("digest"))
     first = keyed.groupBy("digest").agg(F.min(id_col).alias("canonical_id"), F.count("*").alias("n_copies"))
     return keyed.join(first, "digest").select(id_col, "canonical_id", "n_copies")
+
+
+def merge_documents(df: DataFrame, id_col: str, keys: list[str], rounds: int = 30) -> DataFrame:
+    """Documents that share any of their keys (an address, a content digest), directly or through others, as
+    one: id and canonical_id, the smallest id reached.
+
+    Labels fall along the keys until none changes: two sums by key a round, over (id, key) rows only.
+    """
+    links = df.select(id_col, F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys)))).alias("key")).distinct()
+    labels = df.select(id_col).distinct().withColumn("canonical_id", F.col(id_col))
+    for _ in range(rounds):
+        least = links.join(labels, id_col).groupBy("key").agg(F.min("canonical_id").alias("m"))
+        reached = links.join(least, "key").groupBy(id_col).agg(F.min("m").alias("m"))
+        after = labels.join(reached, id_col, "left").select(id_col, F.least("canonical_id", F.coalesce("m", "canonical_id")).alias("canonical_id"), (F.coalesce("m", "canonical_id") < F.col("canonical_id")).alias("moved"))
+        after = after.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else after.cache()
+        labels = after.drop("moved")
+        if after.where("moved").isEmpty():
+            break
+    return labels
