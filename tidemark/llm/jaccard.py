@@ -379,7 +379,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = materialize(fingerprints(rows, sample_frequencies(named, sample_rows, seed)))
     member = prints.where("id IS NOT NULL AND n_shingles > 0").select("id", "class", "n_shingles", "bits", "small", "keys")
     classes = materialize(member.groupBy("class").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
-    copies = member.select("id", "class").join(classes.where("rep < last").select("class", "rep"), "class").where("id <> rep").select("id", "class").distinct()
+    repeated = broadcast_if_few(classes.where("rep < last").select("class", "rep"))
+    copies = member.select("id", "class").join(repeated, "class").where("id <> rep").select("id", "class")
     reps = member.join(broadcast_if_few(copies), ["id", "class"], "left_anti")
 
     key = Window.partitionBy("key")
