@@ -1,6 +1,6 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
-A word's subwords are the n-grams of 1 to 4 letters of <word>, hashed into a table of embeddings.
+A word's subwords are the n-grams of 1 to 4 bytes of <word> in UTF-8, hashed into a table of embeddings.
 The mean embedding of a text goes through one linear layer and a softmax. One temperature, fitted on
 rows kept aside, calibrates the probabilities; below the calibrated rejection level a prediction is
 marked as rejected.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import short_batches
 
-BUCKETS, WIDTH, STEP, WORDS = 1 << 15, 12, 8192, 200_000
+BUCKETS, WIDTH, STEP, WORDS = 1 << 15, 12, 8192, 400_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -28,8 +28,8 @@ def subwords(word: str) -> list[int]:
     """Hashed n-grams of a lower-cased word; of a very long one, those of its pieces of 64 letters."""
     out = []
     for i in range(0, len(word), 64):
-        w = f"<{word[i : i + 64]}>"
-        out += [crc32(w[j : j + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (1, 2, 3, 4) for j in range(len(w) - n + 1)]
+        w = f"<{word[i : i + 64]}>".encode("utf-8", "surrogatepass")
+        out += [crc32(w[j : j + n]) % BUCKETS for n in (1, 2, 3, 4) for j in range(len(w) - n + 1)]
     return out
 
 
