@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_sample, broadcast_if_few, materialize, short_batches
 
 WORDS = 5
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: In bands up to this many tokens each is a part of its own.
 SMALL = 64
 #: Where the size bands begin: powers of the square root of two, rounded up.
