@@ -305,6 +305,21 @@ def test_secrets_base_masks_and_random_strings(spark):
     assert secrets.redacted(odd(spark), models, chars_col=None).columns == odd(spark).columns
 
 
+def test_secrets_random_strings_without_digits(spark):
+    models, rng = secrets.learn(documents(spark)), random.Random(31)
+    for alphabet in secrets.ALPHABETS[1:]:
+        for size in (16, 20, 32):
+            for letters in (alphabet, re.sub("[0-9]", "", alphabet)):
+                keys = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+                assert sum(bool(secrets.find(f"see {k} end", models)) for k in keys) >= 297, (alphabet, size)
+    key = "qZxWvKjTfRbNhGpL"
+    assert secrets.redact(f"a {key} b", secrets.find(f"a {key} b", models), "#") == "a # b"
+    plain = ["internationalization", "application/x-www-form-urlencoded", "x86_64-linux-gnu", "getElementsByTagName", "z" * 30, "Q" * 16, "-=" * 12, "/usr/local/share/doc/", "SECTION_HEADER_ONE", "chapter3/section-title"]
+    assert [p for p in plain if secrets.find(f"see {p} end", models)] == []
+    words = {w for r in documents(spark).collect() for w in re.findall(r"[A-Za-z]{16,}", r.text or "")}
+    assert sum(bool(secrets.find(f"see {w} end", models)) for w in words) <= 0.01 * len(words)
+
+
 # Pipeline
 
 

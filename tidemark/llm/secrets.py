@@ -3,7 +3,8 @@
 Two first-order Markov chains over characters are trained from labelled samples: one of random
 strings (hexadecimal, base 32, base 62, base 64), one of ordinary words and identifiers, part of
 them from a bounded sample of the corpus. A long token whose log-likelihood ratio per character
-exceeds the calibrated threshold is reported beside the fixed formats.
+exceeds the threshold is reported beside the fixed formats. Thresholds are calibrated apart for
+tokens without digits, with one, and with more.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +29,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-#: No token of fewer characters, and none without two digits, is called random.
-SHORTEST, DIGITS = 16, re.compile(r"[0-9].*[0-9]", re.DOTALL)
+#: No token of fewer characters is called random.
+SHORTEST, DIGIT = 16, re.compile(r"[0-9]")
 
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 IDENTIFIERS = ("get", "set", "user", "name", "value", "count", "index", "table", "column", "order", "item", "list", "total", "price", "date", "time", "file", "path", "config", "default", "handler", "request", "response", "session", "message", "update", "create", "delete", "number", "version", "release", "model", "data", "test", "http", "www", "example", "chapter", "section", "figure", "page")
@@ -36,17 +38,32 @@ IDENTIFIERS = ("get", "set", "user", "name", "value", "count", "index", "table",
 
 @dataclass(frozen=True)
 class Models:
-    """Log-likelihood ratios of character pairs, random over ordinary, and the threshold per character."""
+    """Log-likelihood ratios of character pairs, random over ordinary, and the thresholds per character
+    of tokens with no digit, one, and more."""
 
     ratio: np.ndarray
-    threshold: float
+    thresholds: tuple[float, float, float]
 
     def score(self, token: str) -> float:
-        """Mean log-likelihood ratio per character; -1 for a token of fewer than two characters."""
+        """Mean log-likelihood ratio per character; -1 for a token of fewer than two characters.
+
+        A pair that speaks for random counts once however often it comes, so no run of one letter is random.
+        """
         codes = np.minimum(np.frombuffer(token.encode("latin-1", "replace"), np.uint8), 127)
         if len(codes) < 2:
             return -1.0
-        return float(self.ratio[codes[:-1], codes[1:]].mean())
+        pairs = codes[:-1].astype(np.int64) * 128 + codes[1:]
+        ratios, once = self.ratio.ravel()[pairs], self.ratio.ravel()[np.unique(pairs)]
+        return float((ratios[ratios < 0].sum() + once[once > 0].sum()) / len(pairs))
+
+    def random(self, token: str) -> bool:
+        """Whether the ratio calls a token random."""
+        return self.score(token) > self.thresholds[digit_class(token)]
+
+
+def digit_class(token: str) -> int:
+    """0, 1, or 2 for more digits."""
+    return min(2, len(DIGIT.findall(token)))
 
 
 def random_tokens(n: int, rng: random.Random) -> list[str]:
@@ -54,6 +71,18 @@ def random_tokens(n: int, rng: random.Random) -> list[str]:
     return ["".join(rng.choices(ALPHABETS[i % len(ALPHABETS)], k=rng.randint(16, 64))) for i in range(n)]
 
 
+def shortest_random(n: int, digits: int, rng: random.Random) -> list[str]:
+    """Random strings of SHORTEST characters with so many digits, of the alphabets that HEX does not cover."""
+    out = []
+    for i in range(n):
+        alphabet = ALPHABETS[1 + i % (len(ALPHABETS) - 1)]
+        token = rng.choices(DIGIT.sub("", alphabet), k=SHORTEST)
+        for at in rng.sample(range(SHORTEST), digits):
+            token[at] = rng.choice(DIGIT.findall(alphabet))
+        out.append("".join(token))
+    return out
+
+
 def ordinary_tokens(words: list[str], n: int, rng: random.Random) -> list[str]:
     """Labelled negatives: words, and identifiers, slugs, dates and numbered names made of them."""
     words = words or list(IDENTIFIERS)
@@ -61,15 +90,18 @@ def ordinary_tokens(words: list[str], n: int, rng: random.Random) -> list[str]:
     joined = (
         lambda p: "_".join(p), lambda p: "-".join(p), lambda p: "".join(x.title() for x in p), lambda p: p[0] + "".join(x.title() for x in p[1:]), lambda p: "_".join(p).upper(),
         lambda p: "/".join(p), lambda p: "".join(p), lambda p: "-".join(p) + f"-{rng.randint(1, 2030)}", lambda p: f"20{rng.randint(0, 29):02}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}_" + "_".join(p), lambda p: rng.choice("-=_+") * rng.randint(16, 40),
+        lambda p: "_".join(p) + str(rng.randint(0, 9)), lambda p: p[0].title() + str(rng.randint(0, 9)) + "".join(x.title() for x in p[1:]), lambda p: "-".join(p[:-1]) + f"-{rng.randint(0, 9)}/" + p[-1], lambda p: "/" + "/".join(p) + "/", lambda p: (rng.choice(("-=", "+-", "=_", "/", "/=")) * 40)[: rng.randint(16, 40)],
     )
     return [joined[i % len(joined)]([pick() for _ in range(rng.randint(2, 5))]) for i in range(n)]
 
 
 def fit(words: list[str], seed: int = 7, each: int = 6000, false_alarms: float = 0.0005) -> Models:
-    """Trains both chains on ``each`` samples of a label and calibrates the threshold on as many others:
-    the smallest at which at most ``false_alarms`` of the ordinary ones are reported."""
+    """Trains both chains on ``each`` samples of a label, and calibrates the threshold of a digit class on
+    others, made of words kept out of the training: the smallest at which at most ``false_alarms`` of the
+    ordinary ones are reported, or midway from there to where as few of the shortest random ones are missed."""
     rng = random.Random(seed)
     words = sorted({w for w in words if w.isascii() and w.isalpha() and len(w) > 2})
+    kept_out, words = words[::5], [w for i, w in enumerate(words) if i % 5]
 
     def chain(tokens):
         counts = np.full((128, 128), 0.05)
@@ -78,10 +110,17 @@ def fit(words: list[str], seed: int = 7, each: int = 6000, false_alarms: float =
             np.add.at(counts, (codes[:-1], codes[1:]), 1.0)
         return np.log(counts / counts.sum(axis=1, keepdims=True))
 
-    ratio = chain(random_tokens(each, rng)) - chain(ordinary_tokens(words, each, rng) + words)
-    draft = Models(ratio, 0.0)
-    ordinary = sorted(draft.score(t) for t in ordinary_tokens(words, each, rng) if len(t) >= SHORTEST and DIGITS.search(t)) or [0.0]
-    return Models(ratio, max(0.0, ordinary[min(len(ordinary) - 1, int(len(ordinary) * (1 - false_alarms)))]) + 0.05)
+    draft = Models(chain(random_tokens(each, rng)) - chain(ordinary_tokens(words, each, rng) + words), (0.0, 0.0, 0.0))
+    scores = ([], [], [])
+    for t in ordinary_tokens(kept_out, 10 * each, rng):
+        if len(t) >= SHORTEST:
+            scores[digit_class(t)].append(draft.score(t))
+    at = lambda x, part: sorted(x)[min(len(x) - 1, int(len(x) * part))] if x else 0.0
+    thresholds = []
+    for digits, ordinary in enumerate(scores):
+        least = max(0.0, at(ordinary, 1 - false_alarms)) + 0.05
+        thresholds.append(max(least, (least + at([draft.score(t) for t in shortest_random(each, digits, rng)], false_alarms)) / 2))
+    return Models(draft.ratio, tuple(thresholds))
 
 
 def find(text: str, models: Models | None) -> list[tuple[int, int, int]]:
@@ -97,7 +136,7 @@ def find(text: str, models: Models | None) -> list[tuple[int, int, int]]:
         base = sorted((s, e) for s, _, e in spans)
         for m in TOKEN.finditer(text):
             token = m.group()
-            if DIGITS.search(token) and not any(s < m.end() and m.start() < e for s, e in base) and models.score(token) > models.threshold:
+            if not any(s < m.end() and m.start() < e for s, e in base) and models.random(token):
                 spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 
@@ -123,10 +162,14 @@ def redact(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1000, seed: int = 7) -> Models:
-    """Models whose ordinary samples hold the words of at most ``sample_rows`` texts of up to 20,000 characters."""
+    """Models whose ordinary samples hold the words of at most ``sample_rows`` texts of up to 20,000 characters.
+
+    A word of SHORTEST letters or more may itself be a secret, so it counts only if two texts hold it.
+    """
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
     texts = bounded_sample(narrow, "i", sample_rows, seed, 20_000).select("text").collect()
-    return fit(sorted({w for r in texts for w in re.findall(r"[A-Za-z]{3,30}", r.text or "")}), seed)
+    held = Counter(w for r in texts for w in set(re.findall(r"(?<![A-Za-z])[A-Za-z]{3,30}(?![A-Za-z])", r.text or "")))
+    return fit(sorted(w for w, n in held.items() if n > 1 or len(w) < SHORTEST), seed)
 
 
 def scan(docs: DataFrame, models: Models | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
