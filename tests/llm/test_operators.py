@@ -109,6 +109,33 @@ def test_budget_is_shared_like_repeated_redistribution(spark):
         assert got == pytest.approx(want)
 
 
+def brute_tree(leaves, weights, share, epochs):
+    weigh = lambda level, name: (weights[level].get(name, 0.0) if weights.get(level) else 1.0)
+    capacity = lambda path: sum(t * epochs for leaf, t in leaves.items() if leaf[: len(path)] == path and all(weigh(v, n) > 0 for v, n in zip(mixing.LEVELS, leaf, strict=True)))
+    granted = {(): sum(leaves.values()) * share}
+    for depth, level in enumerate(mixing.LEVELS):
+        for parent in {leaf[:depth] for leaf in leaves}:
+            paths = {leaf[: depth + 1] for leaf in leaves if leaf[:depth] == parent}
+            granted |= brute_share({p: (capacity(p), weigh(level, p[-1])) for p in paths}, granted[parent])
+    return {leaf: granted[leaf] for leaf in leaves}
+
+
+def test_budget_of_the_whole_tree_goes_where_it_can_be_taken(spark):
+    def check(leaves, weights, share, epochs):
+        df = spark.createDataFrame([(*leaf, t) for leaf, t in leaves.items()], "domain string, lang string, source string, tokens long")
+        got = {(r.domain, r.lang, r.source): r.granted for r in mixing.budgets(df, weights, share, epochs).collect()}
+        assert got == pytest.approx(brute_tree(leaves, weights, share, epochs))
+        return sum(got.values())
+
+    lost = {("d0", "it", "s"): 100} | {(f"d{i}", "en", "s"): 1000 for i in (1, 2, 3)}
+    assert check(lost, {"lang": {"en": 1.0}}, 0.9, 1) == pytest.approx(2790)
+    rng = random.Random(6)
+    for _ in range(3):
+        leaves = {(d, v, s): rng.choice([0, 7, 60, 900]) for d in "abc" for v in ("en", "de", "none") for s in "xyz" if rng.random() < 0.7}
+        weights = {"lang": {"en": 0.7, "de": 0.3}} | rng.choice([{}, {"source": {"x": 2.0, "y": 1.0}}, {"domain": {"a": 1.0, "b": 3.0}}])
+        check(leaves, weights, rng.choice([0.2, 0.6, 0.9]), rng.choice([1, 3]))
+
+
 def test_mix_takes_a_prefix_of_each_leaf(spark):
     docs = documents(spark)
     out = mixing.mix(docs, queries.mix_domain(), queries.MIX_WEIGHTS, share=0.5, max_epochs=3)

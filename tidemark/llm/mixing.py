@@ -1,7 +1,8 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
 The leaves of a domain-language-source tree have as much to give as their tokens times the epochs
-allowed. A budget is split among siblings in proportion to their weights; whoever cannot take a
+allowed, and nothing where their source, language or domain has no weight; a family has what its
+leaves have. A budget is split among siblings in proportion to their weights; whoever cannot take a
 share gives the rest back to its siblings first, and only what a whole family cannot take goes to
 the families beside it. Each leaf then contributes whole epochs and, of one more epoch in seeded
 order, the documents of a token-prefix.
@@ -61,13 +62,16 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], share: floa
     names without one count 1 if the level has no weights at all, else 0.
     """
     weigh = lambda level: _lookup(weights.get(level) or {}, F.col(level))
-    domains = leaves.groupBy("domain").agg((F.sum("tokens") * max_epochs).alias("capacity"), F.sum("tokens").alias("t"))
+    # What a leaf can take: nothing without a weight, be it its source's or its language's.
+    able = (weigh("source") > 0) & (weigh("lang") > 0) & (weigh("domain") > 0)
+    leaves = leaves.withColumn("capacity", F.when(able, F.col("tokens") * max_epochs).otherwise(F.lit(0)))
+    domains = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("t"))
     domains = domains.withColumn("budget", F.sum("t").over(Window.partitionBy(F.lit(0))) * share).withColumn("weight", weigh("domain"))
     domains = share_out(domains, [], "domain").select(F.col("domain").alias("d1"), F.col("granted").alias("budget"))
-    langs = leaves.groupBy("domain", "lang").agg((F.sum("tokens") * max_epochs).alias("capacity")).withColumn("weight", weigh("lang"))
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).withColumn("weight", weigh("lang"))
     langs = langs.join(domains, F.col("domain").eqNullSafe(F.col("d1"))).drop("d1")
     langs = share_out(langs, ["domain"], "lang").select(F.col("domain").alias("d2"), F.col("lang").alias("l2"), F.col("granted").alias("budget"))
-    sources = leaves.withColumn("capacity", F.col("tokens") * max_epochs).withColumn("weight", weigh("source"))
+    sources = leaves.withColumn("weight", weigh("source"))
     sources = sources.join(langs, F.col("domain").eqNullSafe(F.col("d2")) & F.col("lang").eqNullSafe(F.col("l2"))).drop("d2", "l2")
     return share_out(sources, ["domain", "lang"], "source").select(*LEVELS, "tokens", "granted")
 
