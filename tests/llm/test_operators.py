@@ -232,6 +232,20 @@ def test_main_text_of_articles_and_of_generated_pages(spark):
     assert [(r.text, r.n_chars) for r in html.main_text(odd_pages, weights).orderBy("page_id").collect()] == [("", 0), ("", 0), ("", 0), ("ab& c\nd", 7)]
 
 
+def test_main_text_keeps_what_foreign_and_fallback_elements_hold_or_precede():
+    weights = html.fit(html.generated_pages(100, 5))
+    rest = "<p>three four five</p>"
+    for inner, text in (
+        ('one <svg class="i"/> two', "one two"), ("one <svg/><svg><g><svg/>x</g><text>y</text></svg> two", "one two"), ("one <svg><path d='M'/> <b>two</b>", "one two"), ("one <svg> two", "one two"), ("one <svg><foreignObject><div>x</div></foreignObject></svg> two", "one two"),
+        ("one <canvas> two", "one two"), ("one <object data='x'> two", "one two"), ("one <iframe src='x'> two", "one two"), ("one <iframe>x</iframe> two", "one two"), ("one <template> two", "one two"), ("one <template><i>x</i></template> two", "one two"),
+        ("one <math><mi>x</mi><mspace/><mo>=</mo><mn>1</mn></math> two", "one x=1 two"), ("one <math/> two", "one two"), ("one <canvas>two</canvas>", "one two"), ("one <noscript>two</noscript>", "one two"), ("one <object>two</object>", "one two"), ("one <script>x</script><style>y</style> two", "one two"),
+    ):
+        assert html.extract(f"<article><p>{inner}</p>{rest}</article>", weights) == f"{text}\nthree four five", inner
+    assert html.extract('<p>one <svg class="i"/> two</p><p>three</p>', weights) == "one two\nthree"
+    page = "<p>a</p>" + "<svg>" * 20_000 + "<p>b</p>" + "<iframe>" * 20_000 + "<p>c</p>"
+    assert html.extract(page, weights).split() == ["a", "b", "c"]
+
+
 def test_sequence_keeps_order_and_captions():
     page = "<p>one</p><figure><img src='media:sha256/aa'><img src='media:sha256/bb'><figcaption>cap &amp; t</figcaption></figure>two<img src='media:sha256/cc' alt='alt'><img src='x.png'>"
     got = [(i["position"], i["kind"], i["text"] or i["digest"], i["caption"]) for i in media.sequence(page)]

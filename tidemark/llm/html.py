@@ -27,30 +27,82 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_sample, short_batches
 
 # Elements whose content is not text, that end themselves, and that do not break a block.
-RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "canvas", "math")
+RAW = ("script", "style", "textarea", "select")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that do not break a block either.
+FLOWS = INLINE | frozenset("annotation annotation-xml canvas iframe maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover noscript object semantics svg template path g circle rect line polyline polygon ellipse use defs".split())
+#: Elements shown apart from the text or not at all, up to their end tags; without one they hold nothing.
+HIDDEN = ("svg", "template", "iframe")
 #: A start tag on the left ends an open element named on the right.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+BREAKS_OUT = frozenset("b big body br center code dd dt em embed head html i img label button input li meta nobr ruby s small span strike strong sub sup tbody td th thead tr tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
+HIDES, UNQUOTED_SLASH = re.compile(rf"<(?:{'|'.join(HIDDEN)})[\s/>]", re.IGNORECASE), re.compile(r"=\s*[^\s\"'>]*/\Z")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORDS_OF = re.compile(r"[A-Za-z]{2,}")
 
 
+def self_closed(attributes: str | None) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    return bool(attributes) and attributes.endswith("/") and not UNQUOTED_SLASH.search(attributes)
+
+
+def hidden(tokens: list[re.Match]) -> dict[int, tuple[int, int]]:
+    """By the place of a hidden element's start tag, the place of the tag and the offset at which the page goes on.
+
+    An svg has no end tag behind a tag that only a page can hold, unless that is inside its foreignObject.
+    """
+    ends, starts, inside = {}, {name: [] for name in HIDDEN}, Counter()
+    for i, m in enumerate(tokens):
+        name, closing = (m.group(3) or "").lower(), bool(m.group(2))
+        if starts["svg"] and (name in BREAKS_OUT or name in CLOSES_P or (closing and name in INLINE)) and not inside["foreignobject"] and not (closing and inside[name]):
+            ends |= {x: (x + 1, tokens[x].end()) for x in starts["svg"]}
+            starts["svg"].clear()
+        if name in HIDDEN and closing and starts[name]:
+            ends[starts[name].pop(0 if name == "iframe" else -1)] = (i + 1, m.end())
+            if name == "iframe":  # what it holds is no markup
+                starts[name].clear()
+        elif name in HIDDEN and not closing:
+            if self_closed(m.group(4)):
+                ends[i] = (i + 1, m.end())
+            else:
+                starts[name].append(i)
+        elif starts["svg"] and name and not self_closed(m.group(4)):
+            inside[name] = max(0, inside[name] + (-1 if closing else 1))
+        if not starts["svg"]:
+            inside.clear()
+    return {i: (i + 1, tokens[i].end()) for x in starts.values() for i in x} | ends
+
+
 def events(html: str) -> Iterator[tuple[str, int, str, str]]:
-    """(kind, offset, name or text, attributes); kind is text, open or close. Comments, declarations and raw elements are skipped."""
-    at = 0
-    for m in MARKUP.finditer(html):
+    """(kind, offset, name or text, attributes); kind is text, open or close. Comments, declarations, raw and hidden elements are skipped."""
+    at, until, over = 0, 0, hidden(list(MARKUP.finditer(html))) if HIDES.search(html) else {}
+    foreign = 0
+    for i, m in enumerate(MARKUP.finditer(html)):
+        if i < until:
+            continue
         if m.start() > at:
             yield "text", at, html[at : m.start()], ""
         at = m.end()
-        if m.group(3):
-            yield "close" if m.group(2) else "open", m.start(), m.group(3).lower(), m.group(4) or ""
+        if i in over:
+            until, at = over[i]
+        elif m.group(3):
+            name = m.group(3).lower()
+            yield "close" if m.group(2) else "open", m.start(), name, m.group(4) or ""
+            # A slash closes math and what is in it, and no other element.
+            slash = not m.group(2) and self_closed(m.group(4)) and (name == "math" or foreign > 0) and name not in VOID
+            if slash:
+                yield "close", m.start(), name, ""
+            elif name == "math":
+                foreign = max(0, foreign + (-1 if m.group(2) else 1))
+            elif name in CLOSES_P:
+                foreign = 0
     if at < len(html):
         yield "text", at, html[at:], ""
 
@@ -211,7 +263,7 @@ def extract(html: str | None, weights: Weights) -> str:
         if name == "br":
             if open_.value:
                 blocks[-1][0].append(" ")
-        elif name not in INLINE and blocks[-1][0]:
+        elif name not in FLOWS and blocks[-1][0]:
             blocks.append(([], True))
     if span is None:
         return ""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, short_batches
-from tidemark.llm.html import INLINE, RAW, events
+from tidemark.llm.html import FLOWS, RAW, events
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -102,7 +102,7 @@ def sequence(html: str | None) -> list[dict]:
                     if item["kind"] == "media":
                         item["caption"] = line or item["caption"]
                 caption = None
-        elif name not in INLINE or name == "br":
+        elif name not in FLOWS or name == "br":
             flush()
             if name == "figure":
                 figure = len(items) if kind == "open" else None
