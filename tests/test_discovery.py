@@ -60,6 +60,12 @@ def test_documents_merge_by_any_key(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_long_chains_of_documents_merge(spark):
+    rows = [(f"d{i:03}", f"u{(i + 1) // 2}", f"h{i // 2}") for i in range(80)] + [("z", "other", None), (None, "u1", None)]
+    got = {r.i: r.canonical_id for r in search.merge_documents(spark.createDataFrame(rows, "i string, url string, digest string"), "i", ["url", "digest"]).collect()}
+    assert got == {f"d{i:03}": "d000" for i in range(80)} | {"z": "z", None: None}
+
+
 def test_vectors_and_fusion(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0])], "i int, v array<double>")
     assert [(r.i, r.score) for r in search.cosine_topk(df, [2.0, 0.0], 3, "i", "v").collect()] == [(1, 1.0), (2, 0.0), (3, -1.0)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.jaccard import components
+
 
 def term_score(key: Column, name: Column, context: Column, terms: dict[str, float]) -> Column:
     """Weighted matches: twice the weight in the key (three times if it is or begins the key), 1.5 times in
@@ -82,20 +84,14 @@ def exact_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(first, "digest").select(id_col, "canonical_id", "n_copies")
 
 
-def merge_documents(df: DataFrame, id_col: str, keys: list[str], rounds: int = 30) -> DataFrame:
+def merge_documents(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """Documents that share any of their keys (an address, a content digest), directly or through others, as
     one: id and canonical_id, the smallest id reached.
 
-    Labels fall along the keys until none changes: two sums by key a round, over (id, key) rows only.
+    Every document of a key is linked to the key's smallest id; the links' components are found over ids
+    alone, until no label moves.
     """
-    links = df.select(id_col, F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys)))).alias("key")).distinct()
-    labels = df.select(id_col).distinct().withColumn("canonical_id", F.col(id_col))
-    for _ in range(rounds):
-        least = links.join(labels, id_col).groupBy("key").agg(F.min("canonical_id").alias("m"))
-        reached = links.join(least, "key").groupBy(id_col).agg(F.min("m").alias("m"))
-        after = labels.join(reached, id_col, "left").select(id_col, F.least("canonical_id", F.coalesce("m", "canonical_id")).alias("canonical_id"), (F.coalesce("m", "canonical_id") < F.col("canonical_id")).alias("moved"))
-        after = after.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else after.cache()
-        labels = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
-    return labels
+    links = df.select(F.col(id_col).alias("b"), F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys)))).alias("key")).where("b IS NOT NULL").distinct()
+    least = links.groupBy("key").agg(F.min("b").alias("a"))
+    found = components(links.join(least, "key").select("a", "b").where("a <> b")).select(F.col("id").alias(id_col), F.col("component").alias("canonical_id"))
+    return df.select(id_col).distinct().join(found, id_col, "left").select(id_col, F.coalesce("canonical_id", id_col).alias("canonical_id"))
