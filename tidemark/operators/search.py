@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.jaccard import components
+from tidemark.operators.graph import components
 
 
 def term_score(key: Column, name: Column, context: Column, terms: dict[str, float]) -> Column:
