@@ -200,20 +200,71 @@ def test_components_of_odd_and_no_rows(spark):
     assert jaccard.similar_components(odd(spark).limit(0)).count() == 0
 
 
-def test_close_pairs_bounds_from_below():
+def components_by_matrix(sets):
+    """Components of sets given as lists, by counting every pair's common members."""
+    numbers = {t: i for i, t in enumerate({t for s in sets for t in s})}
+    x = np.zeros((len(sets), len(numbers)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, [numbers[t] for t in s]] = 1
+    both, size = x @ x.T, x.sum(1)
+    linked = (100 * both >= 80 * (size[:, None] + size - both)) & (size[:, None] > 0) & (size > 0)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(linked, label, len(sets)).min(1)
+        least = np.minimum(label, least)
+        if (least == label).all():
+            return label, linked
+        label = least
+
+
+def test_large_group_of_copies_around_the_threshold(spark):
+    rng = random.Random(41)
+    base = ["".join(rng.choices("etaoinshr", k=rng.randint(3, 8))) for _ in range(130)]
+    texts = [" ".join(edited(base, rng.choice([0, 1, 2, 3, 3, 4, 4, 5]), rng)) for _ in range(2000)]
+    texts += [" ".join(edited(base[:70], rng.choice([2, 3]), rng) + ["".join(rng.choices("xyz", k=6)) for _ in range(40)]) for _ in range(300)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label, linked = components_by_matrix(sets)
+    assert 10 < len(set(label)) < len(texts) - 100 and 0.02 < linked.mean() < 0.9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(df).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    monkeypatch.setattr(jaccard, "VERIFIED", 700)
+    test_components_match_brute_force(spark)
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice([0, 0, 0, 1, 100 + i]), rng.choice([10, 50])) for k in (1, 2, 3) for i in range(k * 40 - 35)]
+    cells = jaccard.cells_of(spark.createDataFrame(rows, "key long, id long, c long, n_shingles long"), 16, 10_000).collect()
+    of = {(k, i): c for k, i, c, _ in rows}
+    met, by = set(), defaultdict(list)
+    for r in cells:
+        by[r.cell].append(r)
+    assert max(len(b) for b in by.values()) <= 48
+    for b in by.values():
+        met |= {(x.id, y.id) for x in b for y in b if x.id < y.id and (x.side != y.side or x.side == jaccard.BOTH)}
+    for k in (1, 2, 3):
+        ids = [i for key, i in of if key == k]
+        assert {(x, y) for x in ids for y in ids if x < y and of[k, x] != of[k, y]} <= met
+
+
+def test_close_links_bound_from_below():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(4)]
     sets += [np.unique(np.concatenate([s[:-12], rng.integers(0, 1 << 63, 12, dtype=np.uint64)])) for s in sets]
-    args = [np.zeros(8, np.int64), np.arange(8), np.arange(8), np.zeros(8, np.int64), np.array([len(s) for s in sets]), [jaccard.halved(jaccard.parity_bits(s), 2).tobytes() for s in sets]]
-    assert {tuple(p) for p in jaccard.close_pairs(*args)} >= {(i, i + 4) for i in range(4)}
-    assert len(jaccard.close_pairs(*args)) < 10
-
-
-def test_chains_of_links_are_one_component(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(30, 0, -1)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.id: r.component for r in jaccard.components(edges).collect()}
-    assert got == {i: 1 for i in range(1, 32)} | {100: 100, 101: 100}
-    assert jaccard.components(edges.limit(0)).count() == 0
+    bits = [jaccard.parity_bits(s).view(np.uint64) for s in sets]
+    rows = [np.zeros(8, np.int64), np.arange(8), np.arange(8), np.full(8, jaccard.BOTH), np.array([len(s) for s in sets])]
+    links = jaccard.close_links(*rows, np.concatenate(bits), np.cumsum([len(b) for b in bits]))
+    assert {tuple(p) for p in links} == {(i, i + 4) for i in range(4)}
+
+
+def test_words_of_one_structure_do_not_collide():
+    morse = b"a"
+    for _ in range(11):
+        morse += morse.translate(bytes.maketrans(b"ab", b"ba"))
+    words, _ = jaccard.word_hashes(b" ".join([morse, morse.translate(bytes.maketrans(b"ab", b"ba")), morse.upper(), b"a", b"aa", b"\x00", b"\x00\x00"]))
+    assert len(set(words.tolist())) == 6 and words[0] == words[2]
 
 
 # HTML and media

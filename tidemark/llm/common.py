@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from tidemark.shared import discard, materialize, shared_folder
 
+__all__ = ["BoundedCache", "bounded_sample", "broadcast_if_few", "discard", "held_out", "materialize", "seeded", "shared_folder", "short_batches", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
-        folder = _OWN[app]
-    return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts the lineage.
-
-    Unlike a cached or locally checkpointed frame this survives lost executors, and later
-    readers still prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True for the rows of the held-out fold: crc32 of the id's text, modulo; null ids count as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder

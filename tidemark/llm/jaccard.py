@@ -17,16 +17,21 @@ symmetric difference from below by its Hamming distance and drops candidates bef
 compared. Those left are verified on their whole shingle sets.
 
 Copies with equal sets are one class from the start. Each class is first compared with one earlier
-class only, the one it shares most keys with; linked ones become one component. Then those that
-share a key but lie in different components are compared: by short forms of their sketches within
-the task that has their bucket, which sends on only the pairs that may link. So no link between
-different components is lost, and a group of n near copies takes about n comparisons of texts.
+class only, the one it shares most keys with; linked ones become one component. Then those that share
+a key but lie in different components are compared. No pair of these ever becomes a row: the task that
+has a bucket compares whole sketches and returns, for each member that is close to another, one edge
+to the first of those it hangs together with. The families so found, all close pairs inside them, get
+their texts once; the task that has a family compares whole shingle sets and returns at most one edge
+a member. Buckets and families of more than a bounded size are cut into blocks, of one component
+where that is large, and only blocks of different components meet. So no link between different
+components is lost, a group of n near copies takes about n comparisons of texts, and what shuffles
+grows with the members of buckets, not with their pairs.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
 
@@ -36,7 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, broadcast_if_few, materialize, short_batches
+from tidemark.llm.common import bounded_sample, broadcast_if_few, discard, materialize, short_batches
+from tidemark.operators.graph import components
 
 WORDS = 5
 SLICE = 1 << 18
@@ -45,8 +51,11 @@ SMALL = 64
 #: Where the size bands begin: powers of the square root of two, rounded up.
 BOUNDS = [1, *(isqrt((1 << j) - 1) + 1 for j in range(1, 96))]
 LEAST_BITS = 1024
-#: A bucket with more members is compared in parts.
-CELL = 4096
+#: A bucket or family with more members is compared in blocks, and so is one with more shingles in all:
+#: a sketch has up to a byte a shingle, a text and its set some fifteen.
+CELL, SKETCHED, VERIFIED = 8192, 1 << 25, 1 << 21
+#: The side of rows that are compared with all others of their cell.
+BOTH = 2
 # The white space that divides words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -61,38 +70,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of bytes (of A-Z those of a-z), whether a byte is white space, and the shingle's factors."""
-    rng = np.random.default_rng(20240607)
-    values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    values = np.arange(1, 257, dtype=np.uint64)
     values[65:91] = values[97:123]
     space = np.zeros(256, bool)
     space[list(SPACES)] = True
-    return values, space, rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return values, space, np.random.default_rng(20240607).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_FACTORS: list[np.ndarray] = [np.zeros(0, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, at least ``n`` of them."""
-    if len(_POWERS[0]) < n:
-        base = 0x9E3779B97F4A7C15
-        for i, b in enumerate((base, pow(base, -1, 1 << 64))):
-            p = np.full(2 * n, b, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _factors(n: int) -> np.ndarray:
+    """A random 64-bit factor for every place in a word, at least ``n`` of them."""
+    if len(_FACTORS[0]) < n:
+        _FACTORS[0] = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _FACTORS[0]
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of ``data``: polynomial sums over its bytes, scrambled."""
+    """Hash and start of every word of ``data``: the sum of its bytes' values, each times the factor of
+    its place, scrambled. Any two different words collide with a chance of 2**-56 at most."""
     values, space, _ = _tables()
     raw = np.frombuffer(data, np.uint8)
     gap = np.concatenate([[True], space[raw], [True]])
-    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
-    ends = np.flatnonzero(~gap[:-1] & gap[1:])
-    up, down = _powers(len(raw) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(values[raw] * up[: len(raw)], dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = ends - starts
+    at = np.flatnonzero(~gap[1:-1])
+    terms = values[raw[at]] * _factors(int(lengths.max()))[at - np.repeat(starts, lengths)]
+    sums = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
+    return mixed(sums + lengths.astype(np.uint64)), starts
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -187,23 +195,37 @@ def halved(bits: np.ndarray, times: int) -> np.ndarray:
     return bits
 
 
-def close_pairs(cells, ids, families, sides, sizes, sketches: list[bytes]) -> np.ndarray:
-    """The pairs of a cell, of different families and (where a cell has two) different sides, whose sizes
-    and sketches allow a link. Rows come sorted by cell; all pairs at one distance in that order are
-    compared at once."""
+def close_links(cells, ids, families, sides, sizes, bits: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Edges (a, b) that join, within each cell, the ids that chains of close pairs connect: one an id.
+
+    A pair is close whose families differ, whose sides differ or are BOTH, and whose sizes and sketches
+    allow a link. Rows come sorted by cell, row i's sketch ending at ``ends[i]`` of ``bits``; all pairs
+    at one distance in that order are compared at once.
+    """
     starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-    lengths = np.array([len(b) for b in sketches])
+    lengths = np.diff(np.concatenate([[0], ends]))
     least = np.repeat(np.minimum.reduceat(lengths, starts), np.diff([*starts, len(cells)]))
-    two = np.repeat(np.maximum.reduceat(sides, starts) != np.minimum.reduceat(sides, starts), np.diff([*starts, len(cells)]))
-    found = [np.zeros((0, 2), np.int64)]
+    labels = np.arange(len(cells))
+
+    def connect(x: np.ndarray, y: np.ndarray) -> None:
+        while True:
+            one, two = labels[x], labels[y]
+            apart = one != two
+            if not apart.any():
+                return
+            x, y, one, two = x[apart], y[apart], one[apart], two[apart]
+            np.minimum.at(labels, np.maximum(one, two), np.minimum(one, two))
+            while (labels[labels] != labels).any():
+                labels[:] = labels[labels]
+
     for width in np.unique(least):
         of = np.flatnonzero(least == width)
-        bits = np.empty((len(of), width // 8), np.uint64)
+        sketch = np.empty((len(of), width), np.uint64)
         for length in np.unique(lengths[of]):
             at = np.flatnonzero(lengths[of] == length)
-            raw = np.frombuffer(b"".join(sketches[i] for i in of[at]), np.uint64).reshape(len(at), -1)
-            bits[at] = halved(raw, int(length // width).bit_length() - 1)
-        c, f, n, s, t = cells[of], families[of], sizes[of], sides[of], two[of]
+            raw = bits[(ends[of[at]] - length)[:, None] + np.arange(length)]
+            sketch[at] = halved(raw, int(length // width).bit_length() - 1)
+        c, f, n, s = cells[of], families[of], sizes[of], sides[of]
         i, d = np.arange(len(of)), 0
         while True:
             d += 1
@@ -212,28 +234,84 @@ def close_pairs(cells, ids, families, sides, sizes, sketches: list[bytes]) -> np
             if not len(i):
                 break
             j = i + d
-            able = (f[i] != f[j]) & (~t[i] | (s[i] != s[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            able = (f[i] != f[j]) & ((s[i] != s[j]) | (s[i] == BOTH)) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             a, b = i[able], j[able]
-            for k in range(0, len(a), 1 << 16):
-                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                near = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
-                pair = np.stack([ids[of[x[near]]], ids[of[y[near]]]], axis=1)
-                found.append(np.unique(np.sort(pair, axis=1), axis=0))
-    return np.unique(np.concatenate(found), axis=0)
-
-
-def _pairs_across(placed: DataFrame, prints: DataFrame) -> DataFrame:
-    """Close pairs of different components in one bucket, as (a, b), some more than once.
-
-    A bucket is a cell of a task; of one with more than CELL members each pair of its blocks is a cell,
-    so no task holds more than a bounded part of it.
+            step = max(1, (1 << 22) // int(width))
+            for k in range(0, len(a), step):
+                x, y = a[k : k + step], b[k : k + step]
+                near = 9 * np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
+                if near.any():
+                    connect(of[x[near]], of[y[near]])
+    joined = np.flatnonzero(labels != np.arange(len(cells)))
+    pairs = np.stack([ids[labels[joined]], ids[joined]], axis=1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def verified_links(ids, families, sides, texts: list[str | None]) -> list[tuple[int, int]]:
+    """Pairs of a cell that link, one for each time that two families become one; pairs of one family,
+    or of the same side unless that is BOTH, are not compared. Tokens are numbered within the cell, so a
+    set is compared with all smaller ones by looking their numbers up in its marks."""
+    sets = list(shingle_sets(texts))
+    rows = np.array([i for i in np.argsort([len(s) for s in sets], kind="stable") if len(sets[i])], np.int64)
+    if len(rows) < 2:
+        return []
+    sizes, side, id_ = np.array([len(sets[i]) for i in rows]), sides[rows], ids[rows]
+    roots = np.unique(families[rows], return_inverse=True)[1]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    numbers = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True)[1]
+    marks, found = np.zeros(int(numbers.max()) + 1, bool), []
+    for i in range(1, len(rows)):
+        lo = int(np.searchsorted(sizes[:i], -(-4 * sizes[i] // 5)))
+        others = lo + np.flatnonzero((roots[lo:i] != roots[i]) & ((side[lo:i] != side[i]) | (side[i] == BOTH)))
+        if not len(others):
+            continue
+        own = numbers[offsets[i] : offsets[i + 1]]
+        marks[own] = True
+        if 2 * len(others) > i - lo:
+            both = np.add.reduceat(marks[numbers[offsets[lo] : offsets[i]]], offsets[lo:i] - offsets[lo], dtype=np.int64)[others - lo]
+        else:
+            both = np.array([np.count_nonzero(marks[numbers[offsets[j] : offsets[j + 1]]]) for j in others])
+        marks[own] = False
+        for j in others[100 * both >= 80 * (sizes[i] + sizes[others] - both)]:
+            if roots[i] != roots[j]:
+                found.append((int(id_[i]), int(id_[j])))
+                roots[roots == roots[j]] = roots[i]
+    return found
+
+
+def cells_of(rows: DataFrame, members: int, shingles: int) -> DataFrame:
+    """Rows (key, id, c, n_shingles) dealt to cells, as (cell, side, id, c, n_shingles).
+
+    A key within both bounds is a cell. A larger one is cut into blocks of half a cell: components of
+    more than a block by their ids, the others together by their component. Each pair of its blocks is
+    a cell, except those of one component, and so is each block of several components. Hence the many
+    rows of one component are repeated only as often as there are blocks of others.
     """
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
-    rows = placed.join(sizes, "key").join(prints.select("id", "n_shingles", "small"), "id")
-    blocks = F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL)).otherwise(1).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).alias("cell"), "id", "c", "side", "n_shingles", "small")
+    size = [F.count("*").alias("n"), F.sum("n_shingles").alias("w")]
+    parts = F.ceil(F.greatest(2 * F.col("n") / members, 2 * F.col("w") / shingles)).cast("int")
+    large = materialize(rows.groupBy("key").agg(*size).where((F.col("n") > members) | (F.col("w") > shingles)).select("key"))
+    whole = rows.select(F.col("key").alias("cell"), F.lit(BOTH).alias("side"), "id", "c", "n_shingles")
+    if large.isEmpty():
+        return whole
+    whole = rows.join(large, "key", "left_anti").select(F.col("key").alias("cell"), F.lit(BOTH).alias("side"), "id", "c", "n_shingles")
+    cut = materialize(rows.join(large, "key", "left_semi"))
+    by_c = materialize(cut.groupBy("key", "c").agg(*size).withColumn("own", parts))
+    pool = by_c.where("own <= 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).select("key", parts.alias("pool"))
+    placed = cut.join(by_c.where("own > 1").select("key", "c", "own"), ["key", "c"], "left").join(pool, "key", "left")
+    alone = F.when(F.col("own").isNotNull(), F.col("c"))
+    number = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id"), "own")).otherwise(F.pmod(F.xxhash64("c"), "pool"))
+    placed = materialize(placed.select("key", F.concat_ws(":", F.coalesce(alone.cast("string"), F.lit("-")), number.cast("string")).alias("block"), alone.alias("alone"), "id", "c", "n_shingles"))
+    blocks = placed.select("key", "block", "alone").distinct()
+    one, two = (blocks.select("key", F.col("block").alias(f"b{i}"), F.col("alone").alias(f"a{i}")) for i in (1, 2))
+    pairs = one.join(two, "key").where(((F.col("b1") < F.col("b2")) & ~F.coalesce(F.col("a1") == F.col("a2"), F.lit(False))) | ((F.col("b1") == F.col("b2")) & F.col("a1").isNull()))
+    pairs = pairs.select("key", F.xxhash64("key", "b1", "b2").alias("cell"), "b1", "b2")
+    at = F.explode(F.when(F.col("b1") == F.col("b2"), F.array(F.struct(F.col("b1").alias("block"), F.lit(BOTH).alias("side")))).otherwise(F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side")))))
+    seats = pairs.select("key", "cell", at.alias("at")).select("key", "cell", "at.block", "at.side")
+    return whole.union(placed.join(seats, ["key", "block"]).select("cell", "side", "id", "c", "n_shingles"))
+
+
+def _by_cell(cells: DataFrame, compare: Callable[[pa.Table], list[tuple[int, int]] | np.ndarray]) -> DataFrame:
+    """The edges (a, b) that ``compare`` finds in whole cells, several at a time, each held by one task."""
 
     def run(batches):
         held = None
@@ -244,18 +322,53 @@ def _pairs_across(placed: DataFrame, prints: DataFrame) -> DataFrame:
             end = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
             held = here.slice(end)
             if end:
-                yield _compare(here.slice(0, end))
+                yield edges(here.slice(0, end))
         if held is not None and held.num_rows:
-            yield _compare(held)
+            yield edges(held)
 
-    def _compare(t: pa.Table) -> pa.RecordBatch:
-        column = lambda c: t[c].to_numpy()
-        pairs = close_pairs(column("cell"), column("id"), column("c"), column("side"), column("n_shingles"), t["small"].to_pylist())
+    def edges(t: pa.Table) -> pa.RecordBatch:
+        pairs = np.array(compare(t), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
+def _close(t: pa.Table) -> np.ndarray:
+    lists = t["bits"].combine_chunks()
+    ends = lists.offsets.to_numpy()
+    columns = (t[c].to_numpy() for c in ("cell", "id", "c", "side", "n_shingles"))
+    return close_links(*columns, lists.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]], ends[1:] - ends[0])
+
+
+def _verified(t: pa.Table) -> list[tuple[int, int]]:
+    cell, found = t["cell"].to_numpy(), []
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    for a, b in zip(starts, [*starts[1:], len(cell)], strict=True):
+        part = t.slice(a, b - a)
+        found += verified_links(part["id"].to_numpy(), part["c"].to_numpy(), part["side"].to_numpy(), part["text"].to_pylist())
+    return found
+
+
+def _links_across(placed: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that share a bucket: enough to join all that link.
+
+    Buckets with the very same members would find the same pairs; one of them is compared.
+    """
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("h2")]
+    contested = placed.groupBy("key").agg(*members, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    rows = materialize(placed.join(contested, "key").join(prints.select("id", "n_shingles"), "id").select("key", "id", "c", "n_shingles"))
+    cells = cells_of(rows, CELL, SKETCHED).join(prints.select("id", "n_shingles", "bits"), ["id", "n_shingles"])
+    close = materialize(_by_cell(cells.select("cell", "id", "c", "side", "n_shingles", "bits"), _close).distinct())
+    if close.isEmpty():
+        return close
+    families = components(close).select("id", F.col("component").alias("key"))
+    of = rows.select("id", "c", "n_shingles").distinct().join(families, "id").select("key", "id", "c", "n_shingles")
+    cells = cells_of(materialize(of), CELL, VERIFIED).join(texts, "id")
+    found = materialize(_by_cell(cells.select("cell", "id", "c", "side", "text"), _verified))
+    discard(rows, close)
+    return found
+
+
 def _slices(batch) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of a batch of some SLICE characters each."""
     texts, start, size = batch.column(1).to_pylist(), 0, 0
@@ -288,53 +401,27 @@ def sample_frequencies(docs: DataFrame, rows: int, seed: int, least: float = 0.0
 
 
 def fingerprints(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, n_shingles, class digest, parity bits, their short form and join keys of every row of (id, text)."""
+    """id, n_shingles, class digest, parity bits and join keys of every row of (id, text); ``often`` has
+    those of the keys that are frequent in the sample."""
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for batch in batches:
             for part, texts in _slices(batch):
-                sizes, classes, bits, small, keys = [], [], [], [], []
+                sizes, classes, bits, keys, often = [], [], [], [], []
                 for tokens in shingle_sets(texts):
                     sizes.append(len(tokens))
                     classes.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                     bits.append(parity_bits(tokens))
-                    small.append(halved(bits[-1], 2).tobytes())
-                    keys.append(join_keys(tokens, shared.value).view(np.int64))
+                    mine = join_keys(tokens, shared.value)
+                    hot = np.isin(mine, shared.value[0])
+                    keys.append(mine[~hot].view(np.int64))
+                    often.append(mine[hot].view(np.int64))
                 as_lists = lambda arrays: pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(a) for a in arrays]), pa.int32()), pa.array(np.concatenate(arrays)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), as_lists(bits), pa.array(small, pa.binary()), as_lists(keys)], ["id", "n_shingles", "class", "bits", "small", "keys"])
-
-    return docs.mapInArrow(run, "id long, n_shingles long, class binary, bits array<long>, small binary, keys array<long>")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), as_lists(bits), as_lists(keys), as_lists(often)], ["id", "n_shingles", "class", "bits", "keys", "often"])
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): id and its component's smallest id, for every id in an edge.
-
-    Each id is hooked to its smallest neighbour if that is smaller, the pointers are doubled until they
-    end at roots, and the edges are carried over to the roots, until none is left. Every step is a join
-    or a sum by key over edges, written to the shared folder.
-    """
-    edges = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = None
-    while not edges.isEmpty():
-        parents = materialize(edges.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("p")))
-        while True:
-            above = parents.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-            doubled = materialize(parents.join(above, "p", "left").select("id", F.coalesce("pp", "p").alias("q"), "p"))
-            parents = doubled.select("id", F.col("q").alias("p"))
-            if doubled.where("p <> q").isEmpty():
-                break
-        if labels is None:
-            labels = parents
-        else:
-            labels = materialize(labels.join(parents.select(F.col("id").alias("p"), F.col("p").alias("pp")), "p", "left").select("id", F.coalesce("pp", "p").alias("p")))
-        roots = parents.select(F.col("id").alias("a"), F.col("p").alias("ra"))
-        edges = edges.join(roots, "a").join(roots.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-        edges = materialize(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
-    if labels is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels.select("id", F.col("p").alias("component"))
+    return docs.mapInArrow(run, "id long, n_shingles long, class binary, bits array<long>, keys array<long>, often array<long>")
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
@@ -377,15 +464,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = rows.where(F.col("id").isNotNull())
     prints = materialize(fingerprints(rows, sample_frequencies(named, sample_rows, seed)))
-    member = prints.where("id IS NOT NULL AND n_shingles > 0").select("id", "class", "n_shingles", "bits", "small", "keys")
+    member = prints.where("id IS NOT NULL AND n_shingles > 0").select("id", "class", "n_shingles", "bits", "keys", "often")
     classes = materialize(member.groupBy("class").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
     repeated = broadcast_if_few(classes.where("rep < last").select("class", "rep"))
     copies = member.select("id", "class").join(repeated, "class").where("id <> rep").select("id", "class")
     reps = member.join(broadcast_if_few(copies), ["id", "class"], "left_anti")
 
+    ends = [F.min("id"), F.max("id")]
     key = Window.partitionBy("key")
-    buckets = reps.select(F.explode("keys").alias("key"), "id").withColumn("leader", F.min("id").over(key)).withColumn("last", F.max("id").over(key))
-    buckets = materialize(buckets.where("leader < last").select("key", "id", "leader").distinct())
+    rare = reps.select(F.explode("keys").alias("key"), "id").withColumn("leader", ends[0].over(key)).withColumn("last", ends[1].over(key))
+    hot = reps.select(F.explode("often").alias("key"), "id")
+    # Frequent keys may have any part of all rows: their ends are partial aggregates, joined back.
+    shared = broadcast_if_few(hot.groupBy("key").agg(ends[0].alias("leader"), ends[1].alias("last")).where("leader < last").select("key", "leader"))
+    buckets = materialize(rare.where("leader < last").select("key", "id", "leader").distinct().union(hot.join(shared, "key").select("key", "id", "leader").distinct()))
     first = buckets.where("id > leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = materialize(first.groupBy("id").agg(F.max(F.struct("n", -F.col("leader"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("id").alias("b")))
     brief, texts = reps.select("id", "n_shingles", "bits"), named
@@ -393,11 +484,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(linked)
 
     placed = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    pairs = _pairs_across(placed, reps).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(_similar(materialize(pairs), brief, texts))
+    more = _links_across(placed, brief, texts)
     if not more.isEmpty():
+        discard(found)
         found = components(linked.union(more))
     of_class = materialize(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id")))
+    discard(classes, buckets, first, linked, more, found)
     joined = prints.where("id IS NOT NULL AND n_shingles > 0").select("id", "n_shingles", "class").join(of_class, "class").select("id", "n_shingles", "component_id")
     alone = prints.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return joined.union(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id")
