@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -297,6 +298,35 @@ def test_main_text_keeps_what_foreign_and_fallback_elements_hold_or_precede():
     assert html.extract(page, weights).split() == ["a", "b", "c"]
 
 
+def unseen_page(rng):
+    """A page of a template that no training page has: other elements, classes without meaning, things beside
+    the article known by their links and openings only. Its html and main text."""
+    say = lambda a, b: " ".join("".join(rng.choices("aeiourstlnm", k=rng.randint(2, 8))) for _ in range(rng.randint(a, b)))
+    odd = lambda: "".join(rng.choices("qxzkvw", k=5))
+    menu = f"<div class={odd()}>" + " | ".join(f"<a href=/{i}>{say(1, 2)}</a>" for i in range(rng.randint(3, 9))) + "</div>"
+    blocks = [say(3, 8)] + [say(15, 80) for _ in range(rng.randint(2, 8))]
+    body = f"<div class={odd()}><h2>{blocks[0]}</h2>" + "".join(f"<div class={odd()}><span>{b}</span></div>" if rng.random() < 0.5 else f"<p>{b}</p>" for b in blocks[1:]) + "</div>"
+    ends = [f"<div class={odd()}>Tags: {say(1, 3)}</div>", f"<div class={odd()}>&copy; {say(1, 4)}. All rights reserved.</div>", f"<div class={odd()}><h4>{rng.randint(2, 30)} comments</h4><p>Reply {say(2, 8)}</p></div>", f"<p>Share this {say(1, 2)}</p>", f"<p>Subscribe {say(3, 9)}</p>"]
+    return f"<html><body>{menu}{body}{''.join(rng.sample(ends, rng.randint(1, 4)))}{menu}</body></html>", "\n".join(blocks)
+
+
+def test_main_text_of_a_template_kept_out_of_training():
+    weights, rng = html.fit(html.generated_pages(300, 3)), random.Random(15)
+    pages = [unseen_page(rng) for _ in range(200)]
+    right = sum(html.extract(h, weights) == text for h, text in pages)
+    assert right >= 170
+    licence = "<article><h1>one two</h1><p>three four five six</p><p>All rights reserved.</p></article><p>Copyright x</p>"
+    assert html.extract(licence, weights) == "one two\nthree four five six\nAll rights reserved."
+
+
+def test_main_text_takes_time_in_proportion_to_the_page():
+    weights = html.fit(html.generated_pages(50, 5))
+    for part in ("<script ", "<!x", '<a "', "<a '\"", "<svg>", "<iframe>", "</div>", "<script>", "</script", "<!--", "<style x>a"):
+        began = time.perf_counter()
+        html.extract(part * (1_000_000 // len(part)), weights)
+        assert time.perf_counter() - began < 20, part
+
+
 def test_sequence_keeps_order_and_captions():
     page = "<p>one</p><figure><img src='media:sha256/aa'><img src='media:sha256/bb'><figcaption>cap &amp; t</figcaption></figure>two<img src='media:sha256/cc' alt='alt'><img src='x.png'>"
     got = [(i["position"], i["kind"], i["text"] or i["digest"], i["caption"]) for i in media.sequence(page)]

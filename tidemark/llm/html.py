@@ -1,13 +1,15 @@
 """HTML extraction by maximum-scoring subsequence.
 
-A page is read as one sequence of words and tags. Words score positive unless one of their
-enclosing elements was seen outside the content of labelled pages; tags score negative, by how
-rarely they were seen inside. A linear scan finds the contiguous region with the highest sum; its
-blocks, without those enclosed by boilerplate elements, are the main text.
+A page is read as one sequence of words and tags. Words score positive in blocks like those of the
+content of labelled pages, negative in blocks like those outside it (mostly links, or opening as
+notices, tag lists, share bars and comments do, unless an element like article is around them) and slightly negative below elements that were seen
+outside; tags score negative, by how rarely they were seen inside. A linear scan finds the contiguous
+region with the highest sum; its blocks, without those enclosed by boilerplate elements, are the main
+text. So what elements without a telling name or class hold is left out where it borders the content.
 
 The weights are log ratios of counts inside and outside the content, taken over labelled pages: a
 bounded sample of the table's pages that mark their article, and generated pages with the usual
-menus, headers, sidebars, notices, adverts, forms and comments.
+menus, headers, sidebars, notices, adverts, forms and comments, with and without telling classes.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that do not break a block either.
 FLOWS = INLINE | frozenset("annotation annotation-xml canvas iframe maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover noscript object semantics svg template path g circle rect line polyline polygon ellipse use defs".split())
+#: Elements that may mark the content by their names.
+MARKING = ("article", "main")
 #: Elements shown apart from the text or not at all, up to their end tags; without one they hold nothing.
 HIDDEN = ("svg", "template", "iframe")
 #: A start tag on the left ends an open element named on the right.
@@ -39,13 +43,20 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 BREAKS_OUT = frozenset("b big body br center code dd dt em embed head html i img label button input li meta nobr ruby s small span strike strong sub sup tbody td th thead tr tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 HIDES, UNQUOTED_SLASH = re.compile(rf"<(?:{'|'.join(HIDDEN)})[\s/>]", re.IGNORECASE), re.compile(r"=\s*[^\s\"'>]*/\Z")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORDS_OF = re.compile(r"[A-Za-z]{2,}")
+# How blocks open that belong to a page rather than to its article.
+OPENINGS = {
+    "rights": ("\xa9", "(c)", "copyright", "all rights reserved", "terms of", "privacy policy", "imprint"),
+    "tags": ("tags:", "tagged", "filed under", "posted in", "categories:", "category:", "topics:", "labels:"),
+    "share": ("share this", "share on", "share:", "tweet", "follow us", "like us", "print this", "email this"),
+    "talk": ("comments", "comment by", "leave a comment", "leave a reply", "reply", "log in to", "sign in to", "join the discussion", "add a comment", "post a comment"),
+    "offer": ("advertisement", "sponsored", "subscribe", "sign up", "newsletter", "related posts", "related articles", "read more", "read next", "you may also like", "recommended", "skip to", "we use cookies", "this site uses cookies", "accept cookies"),
+}
+TALK = re.compile(r"\d+ (?:comments?|replies|responses?)\b")
 
 
 def self_closed(attributes: str | None) -> bool:
@@ -53,54 +64,87 @@ def self_closed(attributes: str | None) -> bool:
     return bool(attributes) and attributes.endswith("/") and not UNQUOTED_SLASH.search(attributes)
 
 
-def hidden(tokens: list[re.Match]) -> dict[int, tuple[int, int]]:
+class Token(tuple):
+    """A piece of markup: where it starts and ends, whether it closes, its name ('' of what is skipped) and attributes."""
+
+    start, end, closing, name, attributes = (property(lambda self, i=i: self[i]) for i in range(5))
+
+
+def tokens_of(html: str) -> Iterator[Token]:
+    """Comments, declarations, raw elements with their text, and tags, in one pass that only moves forward."""
+    at, ends = 0, {}
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            token = Token((at, end + 3 if end >= 0 else len(html), False, "", ""))
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            token = Token((at, end + 1 if end >= 0 else len(html), False, "", ""))
+        elif m := TAG.match(html, at):
+            name = m.group(2).lower()
+            if name in RAW_END and not m.group(1):
+                # Once no end tag follows, none follows any later start tag.
+                found = None if ends.get(name) == "none" else RAW_END[name].search(html, m.end())
+                if found is None:
+                    ends[name] = "none"
+                token = Token((at, found.end() if found else len(html), False, "", ""))
+            else:
+                token = Token((at, m.end(), bool(m.group(1)), name, m.group(3)))
+        else:
+            at += 1
+            continue
+        yield token
+        at = token.end
+
+
+def hidden(tokens: list[Token]) -> dict[int, tuple[int, int]]:
     """By the place of a hidden element's start tag, the place of the tag and the offset at which the page goes on.
 
     An svg has no end tag behind a tag that only a page can hold, unless that is inside its foreignObject.
     """
     ends, starts, inside = {}, {name: [] for name in HIDDEN}, Counter()
-    for i, m in enumerate(tokens):
-        name, closing = (m.group(3) or "").lower(), bool(m.group(2))
+    for i, t in enumerate(tokens):
+        name, closing = t.name, t.closing
         if starts["svg"] and (name in BREAKS_OUT or name in CLOSES_P or (closing and name in INLINE)) and not inside["foreignobject"] and not (closing and inside[name]):
-            ends |= {x: (x + 1, tokens[x].end()) for x in starts["svg"]}
+            ends |= {x: (x + 1, tokens[x].end) for x in starts["svg"]}
             starts["svg"].clear()
         if name in HIDDEN and closing and starts[name]:
-            ends[starts[name].pop(0 if name == "iframe" else -1)] = (i + 1, m.end())
+            ends[starts[name][0] if name == "iframe" else starts[name].pop()] = (i + 1, t.end)
             if name == "iframe":  # what it holds is no markup
                 starts[name].clear()
         elif name in HIDDEN and not closing:
-            if self_closed(m.group(4)):
-                ends[i] = (i + 1, m.end())
+            if self_closed(t.attributes):
+                ends[i] = (i + 1, t.end)
             else:
                 starts[name].append(i)
-        elif starts["svg"] and name and not self_closed(m.group(4)):
+        elif starts["svg"] and name and not self_closed(t.attributes):
             inside[name] = max(0, inside[name] + (-1 if closing else 1))
         if not starts["svg"]:
             inside.clear()
-    return {i: (i + 1, tokens[i].end()) for x in starts.values() for i in x} | ends
+    return {i: (i + 1, tokens[i].end) for x in starts.values() for i in x} | ends
 
 
 def events(html: str) -> Iterator[tuple[str, int, str, str]]:
     """(kind, offset, name or text, attributes); kind is text, open or close. Comments, declarations, raw and hidden elements are skipped."""
-    at, until, over = 0, 0, hidden(list(MARKUP.finditer(html))) if HIDES.search(html) else {}
+    tokens = list(tokens_of(html))
+    at, until, over = 0, 0, hidden(tokens) if HIDES.search(html) else {}
     foreign = 0
-    for i, m in enumerate(MARKUP.finditer(html)):
+    for i, t in enumerate(tokens):
         if i < until:
             continue
-        if m.start() > at:
-            yield "text", at, html[at : m.start()], ""
-        at = m.end()
+        if t.start > at:
+            yield "text", at, html[at : t.start], ""
+        at = t.end
         if i in over:
             until, at = over[i]
-        elif m.group(3):
-            name = m.group(3).lower()
-            yield "close" if m.group(2) else "open", m.start(), name, m.group(4) or ""
+        elif name := t.name:
+            yield "close" if t.closing else "open", t.start, name, t.attributes
             # A slash closes math and what is in it, and no other element.
-            slash = not m.group(2) and self_closed(m.group(4)) and (name == "math" or foreign > 0) and name not in VOID
+            slash = not t.closing and self_closed(t.attributes) and (name == "math" or foreign > 0) and name not in VOID
             if slash:
-                yield "close", m.start(), name, ""
+                yield "close", t.start, name, ""
             elif name == "math":
-                foreign = max(0, foreign + (-1 if m.group(2) else 1))
+                foreign = max(0, foreign + (-1 if t.closing else 1))
             elif name in CLOSES_P:
                 foreign = 0
     if at < len(html):
@@ -153,16 +197,26 @@ class Open:
 
 @dataclass(frozen=True)
 class Weights:
-    """Log ratios inside over outside of words below a key and of tags with a key."""
+    """Log ratios inside over outside of words below a key, of tags with a key and of words in a form of block."""
 
     below: dict[str, float]
     tags: dict[str, float]
+    forms: dict[str, float]
     boilerplate: float = -1.0
+    content: float = 3.0
+
+    def word(self, form: str) -> float:
+        """Score of a word in a form of block, between -1 and 1; 1 for forms not seen."""
+        return max(-1.0, min(1.0, self.forms.get(form, 1.0)))
 
     def tag(self, keys: tuple[str, ...]) -> float:
         """Score of a tag, between -4 and -0.05."""
         return min(-0.05, max(-4.0, min(self.tags.get(k, -0.2) for k in keys)))
 
+    def marks(self, keys: tuple[str, ...]) -> bool:
+        """True for elements whose words were nearly all seen inside the content: how blocks in them open means nothing."""
+        return any(self.below.get(k, 0.0) > self.content for k in keys if k[0] == "." or k in MARKING)
+
     def clean(self, keys: tuple[str, ...]) -> bool:
         """False for elements whose words were mostly seen outside the content; inline ones go with their block."""
         return all(self.below.get(k, 0.0) > self.boilerplate for k in keys[keys[0] in INLINE :])
@@ -179,6 +233,12 @@ def generated_pages(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]
         lambda: f"<form><label>{say(1, 2)}</label><input name='q'><button>{say(1, 1)}</button></form>", lambda: f'<div class="newsletter subscribe signup popup modal"><p>{say(4, 20)}</p></div>', lambda: f'<section class="comments" id="comments"><h2>{say(1, 2)}</h2>' + "".join(f'<div class="comment reply"><p>{say(5, 30)}</p></div>' for _ in range(rng.randint(1, 4))) + "</section>",
         lambda: f"<footer>&copy; {say(2, 20)}</footer>", lambda: f'<div class="footer copyright">{say(2, 12)}</div>', lambda: f'<div class="share social"><a href="#">{say(1, 2)}</a></div>', lambda: f'<div class="related recommended">{links(4)}</div>', lambda: f'<div class="breadcrumb breadcrumbs pagination">{links(3)}</div>', lambda: f'<dialog><p>{say(4, 12)}</p></dialog>',
     )
+    # The same kinds of things in elements whose names say nothing.
+    opening = lambda kind: rng.choice(OPENINGS[kind]).capitalize()
+    plain = (
+        lambda: f"<div>{links(5)}</div>", lambda: f"<p>{opening('rights')} {say(2, 10)}</p>", lambda: f"<div>{opening('tags')} <a href='/t'>{say(1, 1)}</a> {say(1, 2)}</div>", lambda: f"<p>{opening('share')} {say(1, 4)}</p>",
+        lambda: f"<div><h3>{opening('talk')}</h3><p>{opening('talk')} {say(3, 12)}</p></div>", lambda: f"<p>{opening('offer')} {say(2, 12)}</p>", lambda: f"<p><a href='/'>{say(1, 3)}</a> <a href='/b'>{say(1, 3)}</a> <a href='/c'>{say(1, 3)}</a></p>",
+    )
     blocks = (
         lambda: f"<p>{say(10, 60)}</p>", lambda: f"<p>{say(5, 20)} <b>{say(1, 3)}</b> <a href='/x'>{say(1, 3)}</a> {say(5, 20)}</p>", lambda: f"<h2>{say(2, 6)}</h2>", lambda: "<ul>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + "</ul>", lambda: f"<blockquote><p>{say(6, 20)}</p></blockquote>",
         lambda: f"<p>{say(3, 9)}<br>{say(3, 9)}</p>", lambda: f"<div>{say(10, 40)}</div>", lambda: f"<pre>{say(4, 12)}</pre>", lambda: "<table>" + "".join(f"<tr><td>{say(1, 3)}</td><td>{say(1, 3)}</td></tr>" for _ in range(3)) + "</table>", lambda: f"<figure><img src='x'><figcaption>{say(2, 8)}</figcaption></figure>", lambda: f"<section><h3>{say(1, 4)}</h3><p>{say(10, 40)}</p></section>",
@@ -186,7 +246,7 @@ def generated_pages(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]
     around = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content post entry">', "</div>"), ('<div id="main" role="main">', "</div>"), ("<div>", "</div>"), ("", ""))
     pages = []
     for _ in range(n):
-        head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{say(2, 6)}</title></head><body>" + "".join(rng.choice(outside)() for _ in range(rng.randint(1, 4)))
+        head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{say(2, 6)}</title></head><body>" + "".join(rng.choice(outside)() for _ in range(rng.randint(1, 4))) + (rng.choice(plain)() if rng.random() < 0.3 else "")
         before, after = rng.choice(around)
         body = f"{before}<h1>{say(2, 7)}</h1>" + "".join(rng.choice(blocks)() for _ in range(rng.randint(2, 12)))
         ranges, html = [(len(head), len(head) + len(body))], head + body
@@ -195,7 +255,7 @@ def generated_pages(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]
             more = "".join(rng.choice(blocks)() for _ in range(rng.randint(2, 6)))
             ranges.append((len(html), len(html) + len(more)))
             html += more
-        pages.append((html + after + "".join(rng.choice(outside)() for _ in range(rng.randint(1, 4))) + "</body></html>", ranges))
+        pages.append((html + after + (rng.choice(plain)() if rng.random() < 0.3 else "") + "".join(rng.choice(outside)() for _ in range(rng.randint(1, 4))) + "</body></html>", ranges))
     return pages
 
 
@@ -204,70 +264,127 @@ def article_ranges(html: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in re.finditer(r"<article\b.*?(?:</article\s*>|\Z)", html, re.DOTALL | re.IGNORECASE)]
 
 
+def form_of(parts: list[str], linked: int) -> str:
+    """The form of a block: how it opens, or whether most of its ``parts`` of text are ``linked`` words."""
+    start = " ".join("".join(parts)[:200].split()).lower()
+    for name, openings in OPENINGS.items():
+        if start.startswith(openings):
+            return name
+    if TALK.match(start):
+        return "talk"
+    words = sum(len(p.split()) for p in parts)
+    return "links" if 2 * linked > words else "some links" if linked else "text"
+
+
+class Block:
+    """A run of text between tags that break blocks: its parts, number of words and of linked ones, whether
+    it is shown and whether an element around it marks the content."""
+
+    def __init__(self, state: tuple[bool, bool]):
+        (self.shown, self.marked), self.parts, self.linked, self.words = state, [], 0, 0
+
+
+def walk(html: str, clean, marks, note) -> list[Block]:
+    """Blocks of a page in order. ``clean(keys)`` says whether an element is shown, ``marks(keys)`` whether it
+    marks the content; ``note(kind, at, value)`` is told of every tag, by its keys and whether what follows is shown, and of every text, by
+    (block, words, open elements)."""
+    blocks, open_ = [Block((True, False))], Open((True, False))
+    for kind, at, name, attributes in events(html):
+        if kind == "text":
+            n, state = len(name.split()), open_.value
+            if not n and not blocks[-1].parts:
+                continue
+            if blocks[-1].shown != state[0]:
+                blocks.append(Block(state))
+            block = blocks[-1]
+            block.parts.append(name)
+            block.words += n
+            block.linked += n * (open_.count["a"] > 0)
+            if n:
+                note("text", at, (len(blocks) - 1, n, open_))
+            continue
+        if kind == "open":
+            keys = keys_of(name, attributes)
+            open_.start(name)
+            if name not in VOID:
+                shown, marked = open_.value
+                open_.push(name, keys, (shown and clean(keys), marked or marks(keys)))
+        else:
+            closed = open_.pop_to(name)
+            keys = closed[-1] if closed else (name,)
+        note(kind, at, (keys, open_.value[0]))
+        if name == "br":
+            if open_.value[0] and blocks[-1].parts:
+                blocks[-1].parts.append(" ")
+        elif name not in FLOWS:
+            if blocks[-1].parts:
+                blocks.append(Block(open_.value))
+            else:
+                blocks[-1].shown, blocks[-1].marked = open_.value
+    return blocks
+
+
 def fit(pages: list[tuple[str, list[tuple[int, int]]]]) -> Weights:
     """Weights from labelled pages: (html, offset ranges of the content)."""
-    words, tags = (Counter(), Counter()), (Counter(), Counter())
+    words, tags, forms = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
     for html, ranges in pages:
         inside = lambda at, ranges=ranges: any(a <= at < b for a, b in ranges)
-        open_ = Open(frozenset())
-        for kind, at, name, attributes in events(html):
+        texts = []
+
+        def note(kind, at, value, inside=inside, texts=texts):
             if kind == "text":
-                n = len(name.split())
-                for key in open_.value if n else ():
-                    words[inside(at)][key] += n
+                block, n, open_ = value
+                texts.append((block, n, inside(at), {k for _, keys, _ in open_.stack for k in keys}))
             elif kind == "open":
-                keys = keys_of(name, attributes)
-                for key in keys:
+                for key in value[0]:
                     tags[inside(at)][key] += 1
-                open_.start(name)
-                if name not in VOID:
-                    open_.push(name, keys, open_.value | set(keys))
-            else:
-                open_.pop_to(name)
+
+        blocks = walk(html, lambda keys: True, lambda keys: False, note)
+        for block, n, within, keys in texts:
+            for key in keys:
+                words[within][key] += n
+            forms[within][form_of(blocks[block].parts, blocks[block].linked)] += n
     share = [max(1, sum(c.values())) for c in tags]
     below = {k: math.log((words[1][k] + 1) / (words[0][k] + 1)) for k in words[0].keys() | words[1].keys()}
-    return Weights(below, {k: math.log((tags[1][k] + 1) / share[1] / ((tags[0][k] + 1) / share[0])) for k in tags[0].keys() | tags[1].keys()})
+    ratio = lambda c, k, of: math.log((c[1][k] + 1) / of[1] / ((c[0][k] + 1) / of[0]))
+    all_words = [max(1, sum(c.values())) for c in forms]
+    shapes = {k: ratio(forms, k, all_words) for k in forms[0].keys() | forms[1].keys()}
+    return Weights(below, {k: ratio(tags, k, share) for k in tags[0].keys() | tags[1].keys()}, shapes | {"text": 1.0})
+
+
+#: What words and tags below boilerplate cost in the scan: a part of their scores, and so much between two shown blocks at most.
+ASIDE, ASIDE_MOST = 0.05, 2.0
 
 
 def extract(html: str | None, weights: Weights) -> str:
     """The main text: blocks of the best region, one per line."""
     if not html:
         return ""
-    blocks: list[tuple[list[str], bool]] = [([], True)]
-    open_ = Open(True)
+    steps: list[tuple[int, float]] = []  # a block's number and its words, or -1 and a tag's score, or -2 and that of a tag not shown
+
+    def note(kind, _, value):
+        steps.append((value[0], float(value[1])) if kind == "text" else (-1 if value[1] else -2, weights.tag(value[0])))
+
+    blocks = walk(html, weights.clean, weights.marks, note)
+    scores = [0.0 if not b.shown or not b.words else 1.0 if b.marked else weights.word(form_of(b.parts, b.linked)) for b in blocks]
     # The scan: the best sum ending here and its first block; the best sum so far and its blocks.
-    here, first, best, span = 0.0, 0, 0.0, None
-    for kind, _, name, attributes in events(html):
-        if kind == "text":
-            n = len(name.split())
-            if open_.value:
-                if blocks[-1][1] is not True:
-                    blocks.append(([], True))
-                blocks[-1][0].append(name)
-                if n:
-                    if here <= 0:
-                        here, first = 0.0, len(blocks) - 1
-                    here += n
-                    if here > best:
-                        best, span = here, (first, len(blocks) - 1)
-            continue
-        if kind == "open":
-            keys = keys_of(name, attributes)
-            open_.start(name)
-            if name not in VOID:
-                open_.push(name, keys, open_.value and weights.clean(keys))
+    here, first, best, span, aside = 0.0, 0, 0.0, None, 0.0
+    for block, amount in steps:
+        if block == -1:
+            here += amount
+        elif block == -2 or not blocks[block].shown:
+            cost = min(ASIDE * abs(amount), ASIDE_MOST - aside)
+            here, aside = here - cost, aside + cost
         else:
-            closed = open_.pop_to(name)
-            keys = closed[-1] if closed else (name,)
-        here += weights.tag(keys)
-        if name == "br":
-            if open_.value:
-                blocks[-1][0].append(" ")
-        elif name not in FLOWS and blocks[-1][0]:
-            blocks.append(([], True))
+            aside = 0.0
+            if here <= 0:
+                here, first = 0.0, block
+            here += scores[block] * amount
+            if here > best:
+                best, span = here, (first, block)
     if span is None:
         return ""
-    lines = (" ".join(unescape("".join(parts)).split()) for parts, _ in blocks[span[0] : span[1] + 1])
+    lines = (" ".join(unescape("".join(b.parts)).split()) for b in blocks[span[0] : span[1] + 1] if b.shown)
     return "\n".join(line for line in lines if line)
 
 
@@ -281,7 +398,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 
 def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page's id, url, text and n_chars from its whole html; no shuffle. Null or empty html, and pages
-    without content, give an empty text."""
+    without content, give an empty text; a very long page is read whole, in time proportional to it."""
 
     def run(batches):
         for batch in batches:
