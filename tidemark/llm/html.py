@@ -266,7 +266,7 @@ def article_ranges(html: str) -> list[tuple[int, int]]:
 
 def form_of(parts: list[str], linked: int) -> str:
     """The form of a block: how it opens, or whether most of its ``parts`` of text are ``linked`` words."""
-    start = " ".join("".join(parts)[:200].split()).lower()
+    start = " ".join(unescape("".join(parts)[:200]).split()).lower()
     for name, openings in OPENINGS.items():
         if start.startswith(openings):
             return name
