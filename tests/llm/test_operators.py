@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, html, jaccard, language, media, mixing, pii, quality, queries, secrets
+from tidemark.llm import ann, bpe, html, jaccard, language, media, mixing, pii, quality, queries, secrets
 from tidemark.llm.common import held_out
 
 SF = "/root/testdata/sf0.001"
@@ -398,6 +398,59 @@ def test_pii_adds_loose_forms_and_spares_others(spark, trees):
     assert pii.find(clean, trees).where("n_added > 0").count() <= 0.01 * clean.count()
 
 
+def test_pii_passes_over_spans_match_brute_force(spark):
+    rng, rows = random.Random(23), []
+    for i in range(60):
+        spans = sorted((s, s + rng.randint(1, 9), rng.randint(0, 4), round(rng.random() * 9, 3)) for s in (rng.randrange(400) for _ in range(rng.choice([0, 1, 5, 150]))))
+        base = sorted((s, s + rng.randint(1, 9), 0, float("-inf")) for s in (rng.randrange(400) for _ in range(rng.choice([0, 2, 20]))))
+        rows.append((i, base, spans))
+    form = "array<struct<s:int,e:int,kind:int,score:double>>"
+    df = spark.createDataFrame(rows, f"i int, base {form}, good {form}")
+    df = df.select("i", pii.apart_from(F.col("base"), F.col("good")).alias("free")).withColumn("won", pii.winners(F.col("free")))
+    for r in df.collect():
+        _, base, spans = rows[r.i]
+        free = [p for p in spans if all(p[1] <= b[0] or b[1] <= p[0] for b in base)]
+        assert [tuple(x) for x in r.free] == free
+        kept, won = None, []
+        for p in free:
+            if kept and p[0] >= kept[1]:
+                won.append(kept)
+                kept = p
+            elif kept is None or p[3] > kept[3]:
+                kept = p
+        assert [tuple(x) for x in r.won] == won + [kept] * (kept is not None)
+
+
+def test_pii_of_a_very_long_text_takes_time_in_proportion(spark, trees):
+    part = "call me: (415) 555-1234 or 1.2.3.4 or jo.doe [at] example [dot] org, SSN: 123-45-6789 "
+    times = []
+    for n in (1, 1500, 12_000):
+        df = spark.createDataFrame([(1, part * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        (r,) = pii.find(df, trees).collect()
+        times.append(time.perf_counter() - began)
+        assert (r.n_ip, r.n_added) == (n, 3 * n)
+    assert times[2] < 14 * times[1] + 10
+
+
+def unseen_forms(rng):
+    """Labelled texts whose cues and forms the generator of examples does not make."""
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    yes = [f"Please ring Anna on ({d(3)}) {rng.randint(200, 999)} {d(4)} after six", f"my handset is {rng.randint(200, 999)}.{d(3)}.{d(4)}, mobile {rng.randint(200, 999)}-{d(3)}-{d(4)}", f"kim_lee{d(2)} (at) mail(dot)net", f"Her social: {d(3)} {d(2)} {d(4)}", f"pay to IBAN DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"]
+    no = [f"rows {d(3)} {d(3)} {d(3)} of the grid", f"catalogue no. {d(3)}-{d(2)}-{d(4)}", f"ISBN {d(3)}-{d(3)}-{d(4)}", f"build {d(4)}.{d(4)}.{d(4)}.{d(4)}", "we met (at) noon. Then left", f"between {rng.randint(1900, 2020)} {d(3)} {d(4)}"]
+    return [(t, 1) for t in yes] + [(t, 0) for t in no]
+
+
+def test_pii_on_forms_kept_out_of_training(spark, trees):
+    rng = random.Random(77)
+    rows = [(i, *r) for i, r in enumerate(x for _ in range(40) for x in unseen_forms(rng))]
+    got = {r.doc_id: r.n_added for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string, label int"), trees).collect()}
+    caught = [got[i] > 0 for i, _, label in rows if label]
+    false = [got[i] > 0 for i, _, label in rows if not label]
+    print("recall", np.mean(caught), "false alarms", np.mean(false))
+    assert np.mean(caught) >= 0.6 and np.mean(false) <= 0.1
+
+
 def test_trees_give_the_same_scores_in_sql_and_python(spark, trees):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pii.examples(60, 99))], "i int, text string").select("i", F.explode(pii.proposals(F.col("text"))).alias("p"))
     df = df.select("i", F.struct(*(v.cast("double").alias(k) for k, v in pii.features(F.col("p")).items())).alias("x"))
@@ -427,6 +480,26 @@ def test_secrets_base_masks_and_random_strings(spark):
     assert secrets.redacted(odd(spark), models, chars_col=None).columns == odd(spark).columns
 
 
+def base_secrets(text):
+    out = []
+    for k, (kind, pattern, flags) in enumerate((("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0))):
+        for m in re.finditer(pattern, text or "", flags):
+            if len(m.group(2) if kind == "assign" else m.group()) >= (12, 18, 16)[k]:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for *_, s in sorted(out)]
+
+
+def test_secrets_base_matches_brute_force(spark):
+    rng = random.Random(9)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "apikey", "ſecret", "toKen", '"', "'", " ", "  ", ":", "=", "abcdef012345", "AKIA", "AKIAZZZZ", "0123456789abcdef", "é", "🙂", "\n", "-", "/", ".", "ABCDEFGHIJKLMNOP", "x"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(600)] + [None, "", "token=" * 5000, "a" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df, None).collect():
+        want = base_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        assert [r.n_assign, r.n_access, r.n_hex] == [Counter(w.split(":")[0] for w in want)[k] for k in ("assign", "access", "hex")]
+
+
 def test_secrets_random_strings_without_digits(spark):
     models, rng = secrets.learn(documents(spark)), random.Random(31)
     for alphabet in secrets.ALPHABETS[1:]:
@@ -442,6 +515,32 @@ def test_secrets_random_strings_without_digits(spark):
     assert sum(bool(secrets.find(f"see {w} end", models)) for w in words) <= 0.01 * len(words)
 
 
+# All operators: nulls, empty and repeated rows, clashing names, empty tables
+
+
+def everywhere(spark):
+    """Each operator on documents, as name: function of (id, text, more columns)."""
+    model = secrets.fit(["thereof", "windowing", "hereafter", "ordinary", "sentences"])
+    docs = documents(spark)
+    good = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"), lambda i: F.lit(True))
+    langs = language.learn(docs, lambda i: F.lit(True), per_lang=20)
+    weights = html.fit(html.generated_pages(30, 1))
+    found_pii = pii.learn(spark, 400)
+    return {
+        "quality": lambda d: quality.score(d, good), "kept": lambda d: quality.kept(d, good, 0.0), "bpe": lambda d: bpe.round_trip(d, queries.VOCABULARY), "mix": lambda d: mixing.mix(d, F.lit("d"), {}, share=1.0, max_epochs=1), "jaccard": jaccard.similar_components, "language": lambda d: language.identify(d, langs),
+        "store": media.store, "pii": lambda d: pii.find(d, found_pii), "secrets": lambda d: secrets.scan(d, model), "redacted": lambda d: secrets.redacted(d, model, chars_col=None), "html": lambda d: html.main_text(d.selectExpr("doc_id AS page_id", "text AS html", "lang AS url", "*"), weights),
+    }
+
+
+def test_operators_take_odd_rows_clashing_names_and_empty_tables(spark):
+    clash = ["'q' AS id", "1 AS score", "2 AS spans", "3 AS n_tokens", "4 AS key", "5 AS n", "'b' AS lang", "CAST(NULL AS STRING) AS source", "'z' AS class", "7 AS k", "8 AS label", "9 AS digest", "10 AS component_id"]
+    rows = spark.createDataFrame([*ODD, (8, "\U0001f642 \u00e9" * 50), (None, None), (None, None)], "doc_id long, text string").selectExpr("doc_id", "text", *clash)
+    for name, run in everywhere(spark).items():
+        got = run(rows).collect()
+        assert len(got) == rows.count(), name
+        assert run(rows.limit(0)).count() == 0, name
+
+
 # Pipeline
 
 

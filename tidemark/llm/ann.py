@@ -6,20 +6,24 @@ product with a query is estimated from the bits as norm * <signs / sqrt(bits), r
 error stays below norm * |query| * sqrt(1 - c * c) / c * eps / sqrt(bits - 1) but for a small chance
 that falls with eps. Codes, c and norm are made once for every row.
 
-Search is a join of query blocks with chunks of the index, each of bounded size: within a pair of
-them the k-th largest lower bound of a query is a threshold, rows whose upper bound reaches it are
-reranked by their original vectors, and the k best go on. All rows of the index meet all query
-blocks; nothing is broadcast, and hashing of ids keeps blocks even whatever the vectors are.
+Search is a join of query blocks with chunks of the index, each of bounded size. Within a pair of them
+estimates are summed straight from the packed codes, one look-up a byte in a table of the query's 256
+partial sums for it; codes are never unpacked. The exact scores of a query's k best estimates give a
+threshold, rows whose upper bound reaches it are reranked by their original vectors, and the k best go
+on. All rows of the index meet all query blocks; a block is large, so the index is copied once per
+16,384 queries. Nothing is broadcast, and rows are dealt evenly whatever their ids and vectors are.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CHUNK, STEP = 2048, 8192, 128
+QUERY_BLOCK, CHUNK, STEP = 16_384, 8192, 64
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -65,21 +69,40 @@ def build_index(rows: DataFrame, dim: int, bits: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, f"id long, vector {rows.schema['vector'].dataType.simpleString()}, code binary, c double, norm double")
 
 
+@lru_cache(maxsize=1)
+def byte_signs() -> np.ndarray:
+    """The eight signs of every byte, highest bit first."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+
+
+def sign_products(codes: np.ndarray, rotated: np.ndarray) -> np.ndarray:
+    """<signs, rotated query> for every query and code, by a look-up for each byte of the code."""
+    parts = rotated.astype(np.float32).reshape(len(rotated), -1, 8)
+    tables = np.einsum("vj,qbj->bvq", byte_signs(), parts).copy()
+    total, one = np.zeros((len(codes), len(rotated)), np.float32), np.empty((len(codes), len(rotated)), np.float32)
+    for b in range(codes.shape[1]):
+        total += np.take(tables[b], codes[:, b], axis=0, out=one)
+    return total.T
+
+
 def best_of_block(query_ids, queries, ids, vectors, codes, c, norms, turn, k: int, eps: float):
     """(query, id, score) of the k best of a chunk for each query of a block."""
     bits = turn.shape[0]
-    signs = np.ascontiguousarray((np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1).T)
     scale = (norms / c / np.sqrt(bits)).astype(np.float32)
     spread = (norms * np.sqrt(np.maximum(0, 1 - c * c)) / c * eps / np.sqrt(bits - 1)).astype(np.float32)
+    exact = lambda row, part, query: np.concatenate([(vectors[row[i : i + 65536]] * part[query[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
     for at in range(0, len(queries), STEP):
         part, part_ids = queries[at : at + STEP], query_ids[at : at + STEP]
-        estimate = ((part @ turn.T).astype(np.float32) @ signs) * scale[None, :]
+        estimate = np.where(part_ids[:, None] == ids[None, :], -np.inf, sign_products(codes, part @ turn.T) * scale[None, :])
         error = np.linalg.norm(part, axis=1).astype(np.float32)[:, None] * spread[None, :] + 1e-5
-        own = part_ids[:, None] == ids[None, :]
-        lower = np.where(own, -np.inf, estimate - error)
-        least = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(part), -np.inf)
-        query, row = np.nonzero((estimate + error >= least[:, None]) & ~own)
-        score = np.concatenate([(vectors[row[i : i + 65536]] * part[query[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+        least = np.full(len(part), -np.inf)
+        if len(ids) > k:
+            # k rows score at least the least exact score of the k best by estimate; one may be the query itself.
+            top = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
+            scores = exact(top.ravel(), part, np.repeat(np.arange(len(part)), k)).reshape(-1, k)
+            least = np.where(np.isinf(np.take_along_axis(estimate, top, axis=1)), -np.inf, scores).min(axis=1)
+        query, row = np.nonzero((estimate + error >= least[:, None] - 1e-6 * np.abs(least[:, None])) & (estimate > -np.inf))
+        score = exact(row, part, query)
         order = np.lexsort((ids[row], -score, query))
         row, query, score = row[order], query[order], score[order]
         first = np.searchsorted(query, query, "left")
@@ -87,23 +110,25 @@ def best_of_block(query_ids, queries, ids, vectors, codes, c, norms, turn, k: in
         yield part_ids[query[keep]], ids[row[keep]], score[keep]
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int | None = None, eps: float = 2.5, seed: int = 41) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int | None = None, eps: float = 3.0, seed: int = 41) -> DataFrame:
     """query_id, rank, vec_id and score: each query's ``k`` rows of ``base`` with the largest inner product.
 
     Scores are exact, in double precision, on the original vectors; ties go to the smaller id. A row
     with a query's own id is no candidate. Null ids, and vectors that are null, zero, not finite or not
-    of the commonest length, take no part on either side. Repeated rows are candidates
+    of the commonest length, take no part on either side. An empty table gives no rows. Repeated rows are candidates
     each; of queries that share an id the least vector counts.
     """
     dim = dimension(base, vector_col)
     form = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
     rows, asked = form(base), form(queries).groupBy("id").agg(F.min("vector").alias("vector"))
     blocks, chunks = max(1, -(-asked.count() // QUERY_BLOCK)), max(4, -(-rows.count() // CHUNK))
-    bits = bits or max(128, -(-2 * dim // 64) * 64)
+    bits = bits or max(128, -(-4 * dim // 64) * 64)
     place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("block", place(blocks, 1)).withColumn("chunk", every(chunks))
-    right = build_index(rows, dim, bits, seed).withColumn("chunk", place(chunks, 2)).withColumn("block", every(blocks))
+    # Rows are dealt by their place in the table: a repeated id or vector may be a third of them.
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    right = build_index(rows, dim, bits, seed).withColumn("chunk", dealt).withColumn("block", every(blocks))
 
     def meet(some: pa.Table, others: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]

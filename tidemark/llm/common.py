@@ -27,29 +27,33 @@ def seeded(doc_id: Column, seed: int) -> Column:
 
 
 class BoundedCache(dict):
-    """A dict that computes missing values and starts anew once it holds ``limit`` of them."""
+    """A dict of strings that computes missing values and starts anew once it holds ``limit`` of them, or
+    keys of ``most_chars`` characters in all; values are taken to be as long as their keys at most."""
 
-    def __init__(self, make: Callable, limit: int):
+    def __init__(self, make: Callable, limit: int, most_chars: int = 1 << 24):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.most_chars, self.chars = make, limit, most_chars, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        self.chars += len(key)
+        if len(self) >= self.limit or self.chars > self.most_chars:
             self.clear()
+            self.chars = len(key)
         value = self[key] = self.make(key)
         return value
 
 
-
 def bounded_sample(df: DataFrame, id_col: str, rows: int, seed: int, most_chars: int, text_col: str = "text") -> DataFrame:
     """At most ``rows`` rows of ``df``, those whose ids hash lowest, with texts of at most ``most_chars``.
 
     The ids are chosen first, from their column alone, so no text passes through the sort; the
-    chosen ids, at most ``rows`` longs, are then broadcast.
+    chosen ids, at most ``rows`` longs, are then broadcast. Of rows that repeat an id the least text is
+    taken, so the bound holds for rows too.
     """
     key = "__sample_id"
     ids = df.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct().orderBy(seeded(F.col(key), seed), key).limit(rows)
-    return df.where(F.length(text_col) <= most_chars).join(F.broadcast(ids), F.col(id_col) == F.col(key), "left_semi")
+    chosen = df.where(F.length(text_col) <= most_chars).join(F.broadcast(ids), F.col(id_col) == F.col(key), "left_semi")
+    return chosen.groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
 
 #: Up to so many rows of a few numbers or digests each are broadcast; beyond it they are joined by shuffle.

@@ -14,12 +14,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import short_batches
 
-BUCKETS, WIDTH, STEP, WORDS = 1 << 15, 12, 8192, 400_000
+BUCKETS, WIDTH, STEP = 1 << 15, 12, 8192
+#: Bytes of the sums that a worker keeps, and the longest words that have one.
+KEPT_BYTES, KEPT_CHARS = 1 << 26, 64
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -49,22 +51,34 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_rows": None, "_sums": None}
 
+    def _sum(self, word: str) -> np.ndarray:
+        """The contributions of a word's subwords, and their number."""
+        ids = subwords(word)
+        return np.append(sum((self.table[ids[i : i + STEP]].sum(axis=0) for i in range(0, len(ids), STEP)), np.zeros(len(self.languages))), len(ids))
+
     def _total(self, words: list[str]) -> np.ndarray:
-        """Summed contributions and number of the subwords of ``words``; sums per word are kept for reuse."""
+        """Summed contributions and number of the subwords of ``words``; sums of short words are kept for
+        reuse, in a table that doubles up to KEPT_BYTES and then starts anew."""
+        width = len(self.languages) + 1
+        most = max(STEP, KEPT_BYTES // (8 * width))
         if self._rows is None:
-            self._rows, self._sums = {}, np.zeros((WORDS, len(self.languages) + 1))
-        rows, total = self._rows, np.zeros(len(self.languages) + 1)
+            self._rows, self._sums = {}, np.zeros((STEP, width))
+        rows, total = self._rows, np.zeros(width)
         for i in range(0, len(words), STEP):
             part = words[i : i + STEP]
-            if len(rows) + len(part) > WORDS:
+            if len(rows) + len(part) > most:
                 rows.clear()
+            if len(rows) + len(part) > len(self._sums):
+                self._sums = np.concatenate([self._sums, np.zeros((min(len(self._sums), most), width))])
             at = []
             for w in part:
+                if len(w) > KEPT_CHARS:
+                    total += self._sum(w)
+                    continue
                 r = rows.get(w)
                 if r is None:
                     r = rows[w] = len(rows)
-                    ids = subwords(w)
-                    self._sums[r, :-1], self._sums[r, -1] = self.table[ids].sum(axis=0), len(ids)
+                    self._sums[r] = self._sum(w)
                 at.append(r)
             total += self._sums[at].sum(axis=0)
         return total
@@ -138,20 +152,23 @@ def train(texts: list[str], langs: list[str], seed: int = 5, epochs: int = 4, pe
     return Model(names, contributions, bias, float(temperature), float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0)
 
 
-def learn(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most_langs: int = 400, most_chars: int = 20_000, seed: int = 5) -> Model:
-    """Trains on at most ``per_lang`` texts of each of the ``most_langs`` commonest languages: those rows
-    with a language and ``usable(id)`` whose ids hash lowest, texts of 1 to ``most_chars`` characters."""
-    known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("k")).where(F.col("k").isNotNull() & F.col("i").isNotNull() & usable(F.col("i")))
+def learn(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most_langs: int = 4000, most_chars: int = 20_000, seed: int = 5) -> Model:
+    """Trains on at most ``per_lang`` texts of each language: those rows with a language, a text and
+    ``usable(id)`` whose ids hash lowest. Of a longer text a window of ``most_chars`` characters at a
+    seeded place is learned from. No language is left out: more than ``most_langs`` raise an error."""
+    known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("k"), F.length(text_col).alias("c")).where(F.col("k").isNotNull() & F.col("i").isNotNull() & (F.col("c") > 0) & usable(F.col("i"))).select("i", "k")
     order = F.xxhash64(F.lit(seed), "i")
-    counts = {r.k: r.n for r in known.groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(most_langs).collect()}
+    counts = {r.k: r.n for r in known.groupBy("k").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"{lang_col} has more than {most_langs} values")
     # A hash threshold per language keeps some 1.5 times what is wanted; the sort then sees only those.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_lang / n + 50 / n))]) if counts else F.lit(None).cast("map<string,double>")
-    few = known.where((F.col("k").isin(list(counts))) & (F.pmod(order, F.lit(1 << 30)) < share[F.col("k")] * (1 << 30)))
-    from pyspark.sql import Window
-
-    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(order, "i"))).where(F.col("n") <= per_lang).select(F.col("i").alias("j"), "k").distinct()
-    narrow = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, most_chars))
-    got = sorted((r.i, r.text, r.k) for r in narrow.join(F.broadcast(chosen), (F.col("i") == F.col("j")) & (F.col("l") == F.col("k"))).select("i", "text", "k").collect())
+    few = known.where(F.pmod(order, F.lit(1 << 30)) < share[F.col("k")] * (1 << 30))
+    chosen = few.distinct().withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(order, "i"))).where(F.col("n") <= per_lang).select(F.col("i").alias("j"), "k")
+    window = F.substring(F.col("text"), (F.pmod(order, F.greatest(F.length("text") - most_chars, F.lit(0)) + 1) + 1).cast("int"), F.lit(most_chars))
+    narrow = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
+    picked = narrow.join(F.broadcast(chosen), (F.col("i") == F.col("j")) & (F.col("l") == F.col("k"))).select("i", "k", window.alias("text"))
+    got = sorted((r.i, r.text, r.k) for r in picked.groupBy("i", "k").agg(F.min("text").alias("text")).collect())
     return train([g[1] for g in got], [g[2] for g in got], seed=seed)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_few
+from tidemark.llm.common import broadcast_if_few, materialize
 
 LEVELS = ("domain", "lang", "source")
 RANGE_DIGITS = 2
@@ -83,16 +83,19 @@ def _lookup(weights: dict[str, float], name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), F.lit(0.0))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float = 0.6, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float = 0.6, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
     """The documents with ``__epochs``, the number of times each is taken (0 for those left out).
 
     ``domain`` is computed from the documents' columns. Null languages and sources are leaves named
     "none". Documents without tokens cost nothing: they go with their leaf's whole epochs, and with
     the prefix where their place in the order is before its end. Rows that repeat an id share its
-    place. A document that straddles the end of the prefix is taken whole.
+    place. A document that straddles the end of the prefix is taken whole. A null text has no tokens, a
+    very long one is counted whole. ``tokens`` is a column that counts them, if the documents have one;
+    else texts are counted once, and ids, leaves and counts are written to the shared folder.
     """
     leaf = [F.coalesce(domain, F.lit("none")).alias("domain"), F.coalesce(F.col(lang_col).cast("string"), F.lit("none")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("none")).alias("source")]
-    narrow = docs.select(*leaf, F.col(id_col).alias("i"), token_count(F.col(text_col)).alias("n"))
+    narrow = docs.select(*leaf, F.col(id_col).alias("i"), (token_count(F.col(text_col)) if tokens is None else tokens).alias("n"))
+    narrow = materialize(narrow) if tokens is None else narrow
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     granted = budgets(leaves, weights, share, max_epochs).select(
         *LEVELS,

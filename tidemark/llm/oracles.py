@@ -23,16 +23,17 @@ def _share(src: str, out: str, family: str, node: str) -> str:
 {out} AS (SELECT * EXCLUDE (takes, ratio, behind, upto, isfull, rest, opened), coalesce(CASE WHEN isfull THEN takes ELSE least(takes, weight * rest / NULLIF(opened, 0)) END, 0) AS granted FROM {out}_d)"""
 
 
-def mixing(langs: dict[str, float], share: float, epochs: int, seed: int) -> str:
-    """The query op5 for given language weights."""
-    weight = " ".join(f"WHEN lang = '{k}' THEN {w}" for k, w in langs.items())
+def mixing(domains: dict[str, float], langs: dict[str, float], share: float, epochs: int, seed: int) -> str:
+    """The query op5 for given weights of domains and languages; a leaf without weight has no capacity."""
+    when = lambda name, weights: f"CAST(CASE {' '.join(f"WHEN {name} = '{k}' THEN {w}" for k, w in weights.items())} ELSE 0 END AS DOUBLE)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(CASE WHEN regexp_extract(source, '([0-9]+)$', 1) <> '' THEN 'domain' || (CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4) END, 'none') AS domain, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
 len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n FROM documents),
-leaf AS (SELECT domain, lang, source, CAST(sum(n) AS DOUBLE) AS tokens FROM d GROUP BY 1, 2, 3),
-domains AS (SELECT domain, sum(tokens) * {epochs} AS capacity, (SELECT sum(tokens) FROM leaf) * {share} AS budget, 1.0::DOUBLE AS weight FROM leaf GROUP BY 1), {_share("domains", "dg", "", "domain")},
-langs AS (SELECT domain, lang, sum(tokens) * {epochs} AS capacity, any_value(granted) AS budget, CAST(CASE {weight} ELSE 0 END AS DOUBLE) AS weight FROM leaf JOIN (SELECT domain, granted FROM dg) USING (domain) GROUP BY 1, 2), {_share("langs", "lg", "domain", "lang")},
-sources AS (SELECT domain, lang, source, tokens, tokens * {epochs} AS capacity, granted AS budget, 1.0::DOUBLE AS weight FROM leaf JOIN (SELECT domain, lang, granted FROM lg) USING (domain, lang)), {_share("sources", "sg", "domain, lang", "source")},
+sums AS (SELECT domain, lang, source, CAST(sum(n) AS DOUBLE) AS tokens FROM d GROUP BY 1, 2, 3),
+leaf AS (SELECT *, CASE WHEN {when("domain", domains)} > 0 AND {when("lang", langs)} > 0 THEN tokens * {epochs} ELSE 0 END AS capacity FROM sums),
+domains AS (SELECT domain, sum(capacity) AS capacity, (SELECT sum(tokens) FROM leaf) * {share} AS budget, {when("domain", domains)} AS weight FROM leaf GROUP BY 1), {_share("domains", "dg", "", "domain")},
+langs AS (SELECT domain, lang, sum(capacity) AS capacity, any_value(granted) AS budget, {when("lang", langs)} AS weight FROM leaf JOIN (SELECT domain, granted FROM dg) USING (domain) GROUP BY 1, 2), {_share("langs", "lg", "domain", "lang")},
+sources AS (SELECT domain, lang, source, tokens, capacity, granted AS budget, 1.0::DOUBLE AS weight FROM leaf JOIN (SELECT domain, lang, granted FROM lg) USING (domain, lang)), {_share("sources", "sg", "domain, lang", "source")},
 q AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN CAST(floor(granted / tokens) AS INTEGER) ELSE {epochs} END AS whole, CASE WHEN tokens > 0 THEN granted - floor(granted / tokens) * tokens ELSE 0 END AS quota FROM sg),
 k AS (SELECT d.*, whole, quota, md5('{seed}:' || whole || ':' || doc_id) AS k FROM d JOIN q USING (domain, lang, source)),
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < quota AS taken FROM k)

@@ -46,18 +46,23 @@ CONTEXT = 32
 FEATURES = ("generator", "chars", "digits", "groups", "longest", "brackets", "dots", "hyphens", "spaces", "luhn", "years", "letters", "before_word", "personal", "impersonal", "repeats")
 PERSONAL = r"(?i)(?:phone|tel|call|fax|mobile|cell|contact|reach|mail|card|visa|iban|account|ssn|social|security|address|host|server|client|login|user|dial|whatsapp|sms)[^0-9A-Za-z]{0,8}(?:[a-z]{1,8}[^0-9A-Za-z]{0,4})?$"
 IMPERSONAL = r"(?i)(?:isbn|issn|version|ver|order|invoice|part|model|page|pages|pp|table|fig|figure|no|nr|ref|date|serial|sku|item|lot|batch|doi|score|range|coordinates|build)[^0-9A-Za-z]{0,8}(?:[a-z]{1,8}[^0-9A-Za-z]{0,4})?$"
-BLOCK = 1000
+BLOCK = 128
 
 
-def offsets(text: Column, pattern: str, matches: Column) -> Column:
-    """Starts, in code points, of a pattern's ``matches`` in a text: running sums over blocks of BLOCK matches."""
-    gaps = F.split(text, pattern, -1)
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the expression names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def offsets(gaps: Column, matches: Column) -> Column:
+    """Starts, in code points, of matches of the lengths ``matches``, with texts of the lengths ``gaps``
+    between them: running sums over blocks of BLOCK matches."""
     n = F.size(matches)
     empty = F.array().cast("array<int>")
 
     def block(b):
         at = b * BLOCK + 1
-        steps = F.zip_with(F.slice(F.transform(gaps, F.length), at, F.lit(BLOCK)), F.slice(F.transform(matches, F.length), at, F.lit(BLOCK)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        steps = F.zip_with(F.slice(gaps, at, F.lit(BLOCK)), F.slice(matches, at, F.lit(BLOCK)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
         steps = F.filter(steps, lambda s: s["m"].isNotNull())
         start = F.struct(F.lit(0).alias("sum"), empty.alias("starts"))
         return F.aggregate(steps, start, lambda s, x: F.struct((s["sum"] + x["g"] + x["m"]).alias("sum"), F.concat(s["starts"], F.array(s["sum"] + x["g"])).alias("starts")))
@@ -71,13 +76,29 @@ def offsets(text: Column, pattern: str, matches: Column) -> Column:
     return F.flatten(shifted)
 
 
-def located(text: Column, pattern: str, kind: int, needs: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches of a pattern as structs (kind, s, e, m)."""
+def located(text: Column, pattern: str, kind: int, needs: Column | None = None, generator: int | None = None) -> Column:
+    """Leftmost non-overlapping matches of a pattern as structs (kind, s, e, m), those of a generator with its
+    number and the CONTEXT characters ``before``: the end of what lies behind the match before the last."""
+    fields = "kind:int,s:int,e:int,m:string" + (",generator:int,before:string" if generator is not None else "")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if needs is not None:
         matches = F.when(needs, matches).otherwise(F.array().cast("array<string>"))
-    spans = F.zip_with(offsets(text, pattern, matches), matches, lambda s, m: F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast("array<struct<kind:int,s:int,e:int,m:string>>"))
+
+    def spans(matches, gaps, starts):
+        def one(m, i):
+            own = [F.lit(kind).alias("kind"), F.get(starts, i).alias("s"), (F.get(starts, i) + F.length(m)).alias("e"), m.alias("m")]
+            if generator is not None:
+                before = F.concat(F.when(i > 0, F.get(matches, i - 1)).otherwise(""), F.get(gaps, i))
+                own += [F.lit(generator).alias("generator"), F.substring(before, -CONTEXT, CONTEXT).alias("before")]
+            return F.struct(*own)
+
+        return F.transform(matches, one)
+
+    def over_gaps(matches):
+        lengths = lambda v: F.transform(v, F.length)
+        return let(F.split(text, pattern, -1), lambda gaps: let(F.struct(lengths(gaps).alias("g"), lengths(matches).alias("m")), lambda x: let(offsets(x["g"], x["m"]), lambda starts: spans(matches, gaps, starts))))
+
+    return let(matches, lambda v: F.when(F.size(v) > 0, over_gaps(v)).otherwise(F.array().cast(f"array<struct<{fields}>>")))
 
 
 def valid(kind: str, match: Column) -> Column:
@@ -108,16 +129,7 @@ def _checked(spans: Column, kind: str) -> Column:
 
 def proposals(text: Column) -> Column:
     """The generators' spans as structs (kind, s, e, m, generator, before); spans of several may overlap."""
-    parts = []
-    for g, (kind, pattern, needs) in enumerate(GENERATORS):
-        spans = located(text, pattern, KINDS.index(kind), text.rlike(needs))
-        parts.append(_with_context(spans, text, g))
-    return F.concat(*parts)
-
-
-def _with_context(spans: Column, text: Column, generator: int) -> Column:
-    before = lambda x: F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
-    return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(generator).alias("generator"), before(x).alias("before")))
+    return F.concat(*(located(text, pattern, KINDS.index(kind), text.rlike(needs), g) for g, (kind, pattern, needs) in enumerate(GENERATORS)))
 
 
 def _number_of(spans: str, kind: int) -> Column:
@@ -265,32 +277,81 @@ def _key(x: Column) -> Column:
     return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))
 
 
+SPAN = "struct<s:int,e:int,kind:int,score:double>"
+SWEEP = 64
+
+
+def span(s: Column, e: Column, kind: Column, score: Column) -> Column:
+    """A span for `swept`, ordered by where it starts."""
+    return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), kind.cast("int").alias("kind"), score.cast("double").alias("score"))
+
+
+def swept(spans: Column, start: Column, step, give) -> Column:
+    """One pass over an array of spans with a state: ``step(state, x)`` is the next state, ``give(state, x)``
+    the array of spans that x yields. Arrays grow by blocks of SWEEP, so the time follows their length."""
+    state = start.alias("state")
+
+    def over_block(done, block):
+        inner = F.struct(done["state"].alias("state"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(
+            block,
+            inner,
+            lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], give(a["state"], x)).alias("out")),
+            lambda a: F.struct(a["state"].alias("state"), F.concat(done["all"], F.array(a["out"])).alias("all")),
+        )
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / SWEEP), F.lit(0)).cast("int")), lambda b: F.slice(v, b * SWEEP + 1, F.lit(SWEEP)))
+    return F.flatten(F.aggregate(let(spans, cut), F.struct(state, F.array().cast(f"array<array<{SPAN}>>").alias("all")), over_block, lambda a: a["all"]))
+
+
+def apart_from(base: Column, good: Column) -> Column:
+    """The spans of ``good`` that touch none of ``base``, in order: a pass forward looks at base spans that
+    start earlier, one back at those that start later. Base spans have the score -inf."""
+    is_base = lambda x: x["score"] == float("-inf")
+    none = F.array().cast(f"array<{SPAN}>")
+    forward = swept(F.array_sort(F.concat(base, good)), F.lit(0), lambda end, x: F.when(is_base(x), F.greatest(end, x["e"])).otherwise(end), lambda end, x: F.when(is_base(x) | (x["s"] >= end), F.array(x)).otherwise(none))
+    back = swept(F.reverse(forward), F.lit(2**31 - 1), lambda at, x: F.when(is_base(x), F.least(at, x["s"])).otherwise(at), lambda at, x: F.when(~is_base(x) & (x["e"] <= at), F.array(x)).otherwise(none))
+    return F.reverse(back)
+
+
+def winners(good: Column) -> Column:
+    """Of overlapping spans the best: from left to right a span is kept until a better one, by score and then
+    by start, kind and end, overlaps it; what starts after the kept one's end is kept next."""
+    none = F.array().cast(f"array<{SPAN}>")
+    nothing = span(F.lit(-1), F.lit(-1), F.lit(-1), F.lit(float("-inf")))
+    last = span(F.lit(2**31 - 1), F.lit(2**31 - 1), F.lit(-1), F.lit(0.0))
+    better = lambda x, kept: x["score"] > kept["score"]
+    step = lambda kept, x: F.when((x["s"] >= kept["e"]) | better(x, kept), x).otherwise(kept)
+    give = lambda kept, x: F.when((x["s"] >= kept["e"]) & (kept["e"] > 0), F.array(kept)).otherwise(none)
+    return swept(F.concat(good, F.array(last)), nothing, step, give)
+
+
 def find(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data of every whole text; one row per input row, no shuffle, no Python.
 
     Returns the id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added. Accepted proposals
-    that touch a base span, or a better one, are left out. A null or empty text has no spans.
+    that touch a base span, or a better one, are left out. A null or empty text has no spans; a very long
+    one is read whole, in time proportional to its length and the spans in it.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(F.col(id_col), text.alias("text")).select(id_col, base_spans(F.col("text")).alias("base"), (proposals(F.col("text")) if trees else F.array()).alias("proposed"))
-    apart = lambda a, b: (a["e"] <= b["s"]) | (b["e"] <= a["s"])
+    nothing = F.array().cast(f"array<{SPAN}>")
     if trees:
-        free = F.filter("proposed", lambda p: F.forall("base", lambda b: apart(p, b)))
-        scored = F.transform(free, lambda p: F.struct(F.struct(*(v.alias(k) for k, v in features(p).items())).alias("x"), p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
+        scored = F.transform("proposed", lambda p: F.struct(F.struct(*(v.alias(k) for k, v in features(p).items())).alias("x"), p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
         scored = F.transform(scored, lambda p: F.struct(trees.score(p["x"]).alias("score"), p["x"].alias("x"), p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
-        found = found.withColumn("good", F.when(F.size("proposed") > 0, F.filter(scored, lambda p: trees.accepts(p["x"], p["score"]))))
-        better = lambda q, p: (q["score"] > p["score"]) | ((q["score"] == p["score"]) & (F.struct(q["s"], q["kind"], q["e"]) < F.struct(p["s"], p["kind"], p["e"])))
-        chosen = F.filter("good", lambda p: ~F.exists("good", lambda q: ~apart(p, q) & better(q, p)))
-        plain = F.transform(chosen, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
-        found = found.withColumn("added", F.array_distinct(F.coalesce(plain, F.array().cast("array<struct<kind:int,s:int,e:int>>"))))
+        good = F.transform(F.filter(scored, lambda p: trees.accepts(p["x"], p["score"])), lambda p: span(p["s"], p["e"], p["kind"], p["score"]))
+        found = found.withColumn("good", F.when(F.size("proposed") > 0, good).otherwise(nothing))
+        base = F.transform("base", lambda b: span(b["s"], b["e"], b["kind"], F.lit(float("-inf"))))
+        found = found.withColumn("free", F.when(F.size("good") > 0, apart_from(base, F.col("good"))).otherwise(nothing))
+        found = found.withColumn("chosen", F.when(F.size("free") > 0, winners(F.col("free"))).otherwise(nothing))
     else:
-        found = found.withColumn("added", F.array().cast("array<struct<kind:int,s:int,e:int>>"))
-    short = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+        found = found.withColumn("chosen", nothing)
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     counts = [_number_of("base", i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
     return found.select(
         id_col,
         *counts,
         F.sha2(F.array_join(F.transform("base", _key), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform(F.array_sort(F.concat(short, "added")), _key), ",").alias("spans"),
-        F.size("added").cast("long").alias("n_added"),
+        F.array_join(F.transform(F.array_sort(F.concat(plain("base"), plain("chosen"))), _key), ",").alias("spans"),
+        F.size("chosen").cast("long").alias("n_added"),
     )
