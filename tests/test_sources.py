@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels, pages
 from tidemark.sources import published
-from tidemark.sources.zone import EvidenceLog, ResultCache, Zone, verify
+from tidemark.sources.zone import EvidenceLog, Zone, verify
 from tidemark.streaming import landing
 
 
@@ -111,18 +111,11 @@ def test_verify_finds_scale_mismatch(spark):
     assert {r.landed_key: r.verdict for r in verify(landed, corpus).collect()} == {"same": "match", "thousand": "scale_mismatch"}
 
 
-def test_evidence_and_cache(spark, tmp_path):
+def test_evidence_log(spark, tmp_path):
     log = EvidenceLog(spark, f"file://{tmp_path}/log")
     run = log.start("q")
     log.record(run, [("fetch", {"n": 1}), ("chart", {"ş": [1]})])
     assert [r["payload"] for r in log.results(run)] == [{"n": 1}, {"ş": [1]}] and log.runs().first().n == 2
-    now = [0.0]
-    cache = ResultCache(10, 5, lambda: now[0])
-    cache.put("a", b"12345")
-    cache.put("b", b"123456")
-    assert cache.get("a") is None and cache.get("b") == b"123456"
-    now[0] = 6
-    assert cache.get("b") is None
 
 
 def test_grids_and_links(spark):

@@ -77,3 +77,22 @@ def month_end_pairs(fine: DataFrame, coarse: DataFrame, keys: list[str], date: s
     """Fine rows that fall on the last day of a month beside the coarse row of that month."""
     ends = fine.where(F.last_day(date) == F.col(date)).withColumn(period, F.trunc(date, "month")).withColumnRenamed("value", "fine_value")
     return ends.join(coarse.withColumnRenamed("value", "coarse_value"), [*keys, period])
+
+
+def risk_weight_differences(df: DataFrame, keys: list[str], label: str, value: str, total: str, absolute: float = 2.0, relative: float = 0.0005) -> DataFrame:
+    """Keys whose ``total`` is not the sum of their rows, each times the percentage that its label states."""
+    weight = F.regexp_extract(F.col(label), r"%\s*([0-9]+)|([0-9]+)\s*%", 0)
+    share = F.regexp_replace(weight, "[^0-9]", "").try_cast("double") / 100
+    sums = df.groupBy(*keys).agg(F.sum(F.when(share.isNotNull(), share * F.col(value))).alias("weighted_sum"), F.max(total).alias("total"))
+    return sums.where(F.abs(F.col("total") - F.coalesce("weighted_sum", F.lit(0.0))) > F.greatest(F.lit(absolute), relative * F.abs("total")))
+
+
+def missing_flows(df: DataFrame, keys: list[str], value: str, flow: str) -> DataFrame:
+    """Per key, how many published year-to-date values have no flow; only keys that have any."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n_values"), F.count_if(F.col(value).isNotNull() & F.col(flow).isNull()).alias("n_missing")).where("n_missing > 0")
+
+
+def broken_sequences(df: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """Keys whose codes are not exactly 1 to n: a gap, a repeat or a code below 1."""
+    facts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(code).alias("distinct_codes"), F.min(code).alias("first_code"), F.max(code).alias("last_code"))
+    return facts.where((F.col("n") != F.col("distinct_codes")) | (F.col("first_code") != 1) | (F.col("last_code") != F.col("n")))

@@ -95,3 +95,20 @@ def merge_documents(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     least = links.groupBy("key").agg(F.min("b").alias("a"))
     found = components(links.join(least, "key").select("a", "b").where("a <> b")).select(F.col("id").alias(id_col), F.col("component").alias("canonical_id"))
     return df.select(id_col).distinct().join(found, id_col, "left").select(id_col, F.coalesce("canonical_id", id_col).alias("canonical_id"))
+
+
+def filter_hits(hits: DataFrame, url: str, order: list, domains: list[str] | None = None, k: int | None = None) -> DataFrame:
+    """Search hits of the named domains and what lies below them, the first of each address, the first ``k`` in order."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z]+://([^/?#:]+)", 1)), r"\.$", "")
+    if domains is not None:
+        below = F.lit(False)
+        for d in domains:
+            below = below | (host == d.lower()) | F.endswith(host, F.lit("." + d.lower()))
+        hits = hits.where(below)
+    first = hits.withColumn("__n", F.row_number().over(Window.partitionBy(url).orderBy(*order))).where("__n = 1").drop("__n")
+    return first if k is None else first.orderBy(*order).limit(k)
+
+
+def distinct_roots(citations: DataFrame, run: str, root: str) -> DataFrame:
+    """How many different documents the citations of a run go back to."""
+    return citations.groupBy(run).agg(F.countDistinct(root).alias("n_roots"), F.count("*").alias("n_citations"))

@@ -7,6 +7,7 @@ as rows of failures by `check_*`, to be enforced before anything is written.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,17 +161,17 @@ def attach_parents(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items.join(one, ["table_id", "row_position"], "left"), twice
 
 
-@F.udf(T.ArrayType(T.ArrayType(T.StringType())))
-def first_grid(html: str | None):
-    """The first table of a page as a grid; one page is one value, so rows are few and large."""
-    return next(iter(html_grids(html)), [])
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def first_grid(html: pd.Series) -> pd.Series:
+    """The first table of every page of a batch as a grid."""
+    return html.map(lambda h: next(iter(html_grids(h)), []))
 
 
 def read_weekly(spark: SparkSession, path: str) -> DataFrame:
     """Weekly tables as (period, item_id, currency, value): after the date, three columns for each requested item."""
     rows = _json(spark, path, WEEKLY).select("request.items", F.explode(first_grid("table_html")).alias("row"))
     day = labels.parse_date(F.element_at("row", 1))
-    cells = rows.where(day.isNotNull()).select(day.alias("period"), "items", F.posexplode(F.slice("row", 2, 10_000)).alias("pos", "cell"))
+    cells = rows.where(day.isNotNull()).select(day.alias("period"), "items", F.posexplode(F.slice("row", 2, F.size("row"))).alias("pos", "cell"))
     currency = F.element_at(F.array(F.lit("TL"), F.lit("FX"), F.lit("total")), F.pmod("pos", F.lit(3)) + 1)
     item = F.try_element_at("items", F.floor(F.col("pos") / 3).cast("int") + 1)
     value = F.replace(F.replace(F.trim("cell"), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")

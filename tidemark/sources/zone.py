@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,30 +131,6 @@ class EvidenceLog:
         return [{"tool": r.tool, "payload": json.loads(r.payload)} for r in rows]
 
 
-class ResultCache:
-    """Driver-side results by key, within a number of bytes and seconds; the least recently used go first."""
-
-    def __init__(self, most_bytes: int, seconds: float, clock=time.monotonic):
-        self.most, self.seconds, self.clock, self.held = most_bytes, seconds, clock, OrderedDict()
-
-    def get(self, key: str) -> bytes | None:
-        """The value, or None if it is absent or too old."""
-        found = self.held.get(key)
-        if found is None or self.clock() - found[0] > self.seconds:
-            self.held.pop(key, None)
-            return None
-        self.held.move_to_end(key)
-        return found[1]
-
-    def put(self, key: str, value: bytes) -> None:
-        """Keeps a value that fits."""
-        self.held.pop(key, None)
-        if len(value) <= self.most:
-            self.held[key] = (self.clock(), value)
-            while sum(len(v) for _, v in self.held.values()) > self.most:
-                self.held.popitem(last=False)
-
-
 def schema_card(spark: SparkSession, tables: dict[str, DataFrame]) -> str:
     """A text that tells what can be queried: columns, and the span of tables with a period."""
     lines = []
