@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from tidemark.plans.artifact import Artifact, Line, Refused
+from tidemark.plans.artifact import Artifact, Line, Quantity, Refused
 from tidemark.plans.plan import Executor, Plan, Step, parse, verify, widened
 from tidemark.plans.sqlguard import relations, run_sql
 
@@ -13,7 +13,7 @@ def frame(spark, values, start=2020):
 
 @pytest.fixture
 def loaded(spark):
-    data = {"loans": (frame(spark, [100 + 5 * i for i in range(36)]), Line("loans", "milyon TL", "stock", "monthly", source="s", key="loans")), "prices": (frame(spark, [50 + i for i in range(36)]), Line("prices", "endeks", "index", "monthly", source="s")), "rate": (frame(spark, [20 - i % 3 for i in range(36)]), Line("rate", "%", "rate", "monthly", source="s"))}
+    data = {"loans": (frame(spark, [100 + 5 * i for i in range(36)]), Line("loans", Quantity("stock", "milyon TL"), "monthly", origin="s/loans")), "prices": (frame(spark, [50 + i for i in range(36)]), Line("prices", Quantity("index", "endeks"), "monthly", origin="s")), "rate": (frame(spark, [20 - i % 3 for i in range(36)]), Line("rate", Quantity("rate", "%"), "monthly", origin="s"))}
     return lambda step: data[step.key]
 
 
@@ -24,8 +24,8 @@ def test_a_plan_end_to_end(loaded):
     out = Executor(loaded).run(plan)
     assert [f.split(":")[0] for f in out.failed] == ["step 5 transform", "step 9 search"]
     rows = out.artifact.frame.orderBy("period").collect()
-    assert len(rows) == 12 and rows[0].loans_yoy_pct == pytest.approx(100 * (160 / 100 - 1))
-    assert out.artifact.lines["loans_real"].unit == "milyon TL" and out.artifact.frame.schema["loans_real"].metadata["transform"] == "deflate(loans, prices)"
+    assert len(rows) == 12 and rows[0].loans_growth_12 == pytest.approx(100 * (160 / 100 - 1))
+    assert out.artifact.lines["loans_real"].unit == "milyon TL" and out.artifact.frame.schema["loans_real"].metadata["made"] == "deflate(loans, prices)"
     facts = {f["op"]: f for f in out.facts}
     assert facts["chart"]["chart"]["rebased"] and facts["find_periods"]["periods"] and facts["decompose"]["result"]["real_pct"] < 150
     assert verify(out) == []
@@ -36,8 +36,8 @@ def test_guards_refuse(spark, loaded):
     for k in ("loans", "rate"):
         df, line = loaded(Step("fetch_series", key=k))
         a = a.add(k, df.withColumnRenamed("value", k), line)
-    weekly = a.add("w", loaded(Step("f", key="loans"))[0].withColumnRenamed("value", "w"), Line("w", "milyon TL", "stock", "weekly"))
-    ytd = a.add("y", loaded(Step("f", key="loans"))[0].withColumnRenamed("value", "y"), Line("y", "milyon TL", "cumulative_ytd"))
+    weekly = a.add("w", loaded(Step("f", key="loans"))[0].withColumnRenamed("value", "w"), Line("w", Quantity("stock", "milyon TL"), "weekly"))
+    ytd = a.add("y", loaded(Step("f", key="loans"))[0].withColumnRenamed("value", "y"), Line("y", Quantity("cumulative_ytd", "milyon TL")))
     for call in (lambda: a.index_to_base("rate"), lambda: a.deflate("loans", "loans"), lambda: a.ratio("loans", "rate"), lambda: weekly.ratio("loans", "w"), lambda: ytd.change("y"), lambda: a.net_change("rate"), lambda: a.sum_columns(["loans", "rate"]), lambda: a.in_usd("rate", "loans"), lambda: a.change("nothing"), lambda: a.net_change("loans", 0), lambda: a.chart(["rate"], "pie")):
         with pytest.raises(Refused):
             call()

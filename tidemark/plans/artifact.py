@@ -13,32 +13,93 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import analytics, series
 
-RELATIVE = frozenset(("%", "endeks", "adet", "gün", "kişi", "gun", "kisi"))
-PRICES = frozenset(("index", "ratio", "rate"))
-
 
 class Refused(ValueError):
     """An operation whose result would not mean what it says."""
 
 
+#: What numbers of a kind are, and what their units add to that. Guards speak of these traits only.
+KIND_TRAITS = {"stock": {"amount", "level"}, "flow": {"amount"}, "net_change": {"amount"}, "cumulative_ytd": {"running"}, "index": {"price"}, "rate": {"price"}, "ratio": {"price"}}
+COUNTED = {"endeks", "adet", "gün", "gun", "kişi", "kisi"}
+
+
+@dataclass(frozen=True)
+class Quantity:
+    """A kind of number and its unit."""
+
+    kind: str = "unknown"
+    unit: str | None = None
+
+    @property
+    def traits(self) -> set[str]:
+        """All traits of the kind and the unit."""
+        found, unit = set(KIND_TRAITS.get(self.kind, ())), (self.unit or "").lower()
+        found |= {"percent", "without size"} if unit == "%" else {"without size"} if unit in COUNTED or not unit else set()
+        return found | ({"lira"} if "TL" in (self.unit or "") else set())
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Which quantities an operation takes, first and others, what it gives and what it calls its result."""
+
+    name: str
+    needs: frozenset[str] = frozenset()
+    bars: frozenset[str] = frozenset()
+    other_needs: frozenset[str] = frozenset()
+    alike: tuple[str, ...] = ()
+    kind: str | None = None
+    unit: str | None = None
+
+    def result(self, first: Quantity) -> Quantity:
+        """The quantity of the result."""
+        return Quantity(self.kind or first.kind, self.unit or first.unit)
+
+
+PERCENT, SIZELESS, RUNNING = frozenset({"percent"}), frozenset({"without size"}), frozenset({"running"})
+RULES = {
+    "index_to_base": Rule("{0}_index", bars=PERCENT, kind="index", unit="endeks"),
+    "deflate": Rule("{0}_real", bars=PERCENT, other_needs=frozenset({"price"})),
+    "change": Rule("{0}_growth_{n}", bars=RUNNING, kind="rate", unit="%"),
+    "net_change": Rule("{0}_difference_{n}", needs=frozenset({"level"}), bars=SIZELESS, kind="net_change"),
+    "sum_columns": Rule("sum_of_{all}", needs=frozenset({"amount"}), bars=SIZELESS, other_needs=frozenset({"amount"}), alike=("unit", "kind", "grain")),
+    "ratio": Rule("{0}_per_{1}", alike=("unit", "grain"), kind="ratio"),
+    "in_usd": Rule("{0}_usd", needs=frozenset({"lira"})),
+    "decompose": Rule("{0}", bars=PERCENT, other_needs=frozenset({"price"})),
+    "pie": Rule("{0}", bars=SIZELESS, alike=("unit",)),
+}
+
+
+@dataclass(frozen=True)
+class Made:
+    """The operation that made a column, and its inputs."""
+
+    operation: str
+    inputs: tuple[str, ...]
+
+    def __str__(self) -> str:
+        return f"{self.operation}({', '.join(self.inputs)})"
+
+
 @dataclass(frozen=True)
 class Line:
-    """Where a column comes from and what its numbers are."""
+    """What a column's numbers are, and where they come from: a published series or an operation."""
 
     column: str
-    unit: str | None = None
-    semantics: str = "unknown"
+    quantity: Quantity = Quantity()
     grain: str | None = None
     label: str = ""
-    source: str = "derived"
-    key: str | None = None
-    transform: str | None = None
-    derived_from: tuple[str, ...] = ()
+    origin: str | None = None
+    made: Made | None = None
     citation: dict = field(default_factory=dict, hash=False)
 
+    @property
+    def unit(self) -> str | None:
+        """The unit of the numbers."""
+        return self.quantity.unit
+
     def metadata(self) -> dict:
         """The lineage as column metadata, which Spark keeps through joins and filters."""
-        return {"unit": self.unit, "semantics": self.semantics, "grain": self.grain, "label": self.label or self.column, "source": self.source, "key": self.key, "transform": self.transform, "derived_from": list(self.derived_from)}
+        return {"kind": self.quantity.kind, "unit": self.unit, "grain": self.grain, "label": self.label or self.column, "origin": self.origin, "made": str(self.made) if self.made else None}
 
 
 @dataclass(frozen=True)
@@ -55,9 +116,26 @@ class Artifact:
         rest = {k: v for k, v in self.lines.items() if k != column}
         return Artifact(one if kept is None else kept.join(one, "period", how), rest | {column: line})
 
-    def _derive(self, name: str, frame: DataFrame, line: Line) -> Artifact:
-        tagged = frame.withColumn(name, F.col(name).alias(name, metadata=line.metadata()))
-        return Artifact(tagged, self.lines | {name: line})
+    def admit(self, operation: str, columns: list[str]) -> list[Line]:
+        """The lines of an operation's columns, if its rule takes them."""
+        rule, lines = RULES[operation], [self.line(c) for c in columns]
+        for i, x in enumerate(lines):
+            traits, needs = x.quantity.traits, rule.other_needs if i else rule.needs
+            if (missing := needs - traits) or (barred := rule.bars & traits if not i or rule.other_needs == rule.needs else set()):
+                raise Refused(f"{operation}: {x.column!r} is {x.quantity.kind} in {x.unit}, " + (f"not {' and '.join(sorted(missing))}" if missing else f"so {' and '.join(sorted(barred))}"))
+        for what in rule.alike:
+            found = {getattr(x, what, None) or getattr(x.quantity, what, None) for x in lines} - ({None} if operation == "ratio" and what == "grain" else set())
+            if len(found) > 1:
+                raise Refused(f"{operation}: {columns} differ in {what}: {sorted(map(str, found))}")
+        return lines
+
+    def _derive(self, operation: str, columns: list[str], name: str | None, compute, periods: int = 1, quantity: Quantity | None = None, detail: tuple[str, ...] = ()) -> Artifact:
+        """The table with the column that ``compute(name)`` adds, under the name and quantity of the rule."""
+        first, rule = self.admit(operation, columns)[0], RULES[operation]
+        name = name or rule.name.format(*columns, n=periods, all="_".join(columns))
+        line = Line(name, quantity or rule.result(first.quantity), first.grain, first.label, None, Made(operation, (*columns, *detail)))
+        frame = compute(name)
+        return Artifact(frame.withColumn(name, F.col(name).alias(name, metadata=line.metadata())), self.lines | {name: line})
 
     def line(self, column: str) -> Line:
         """A column's lineage; refuses unknown columns."""
@@ -67,65 +145,42 @@ class Artifact:
 
     def index_to_base(self, column: str, base_period: str | None = None, name: str | None = None) -> Artifact:
         """100 at the base period."""
-        line, name = self.line(column), name or f"{column}_index"
-        if line.unit == "%":
-            raise Refused(f"{column!r} is a percentage and has no index")
+        self.admit("index_to_base", [column])
         base = series.base_value(self.frame, [], base_period, column).first()
         if base is None or not base.base:
-            raise Refused(f"{column!r} has no value to index by" if base is None or base.base is None else f"the base of {column!r} is zero")
-        return self._derive(name, series.index_to_base(self.frame, [], base_period, column, name), replace(line, column=name, unit="endeks", semantics="index", source="derived", transform=f"index_to_base({column}, {base.base_period})", derived_from=(column,)))
+            raise Refused(f"{column!r} has nothing to index by at {base_period or 'its start'}")
+        return self._derive("index_to_base", [column], name, lambda n: series.index_to_base(self.frame, [], base_period, column, n), detail=(str(base.base_period),))
 
     def deflate(self, column: str, deflator: str, base_period: str | None = None, name: str | None = None) -> Artifact:
         """In prices of the base period."""
-        line, price, name = self.line(column), self.line(deflator), name or f"{column}_real"
-        if line.unit == "%":
-            raise Refused(f"{column!r} is a percentage and has no price")
-        if price.semantics not in PRICES:
-            raise Refused(f"{deflator!r} is {price.semantics}, not a price index")
-        return self._derive(name, series.deflate(self.frame, [], deflator, base_period, column, name), replace(line, column=name, source="derived", transform=f"deflate({column}, {deflator})", derived_from=(column, deflator)))
+        return self._derive("deflate", [column, deflator], name, lambda n: series.deflate(self.frame, [], deflator, base_period, column, n))
 
     def change(self, column: str, periods: int = 1, name: str | None = None) -> Artifact:
         """Percent change over ``periods`` rows."""
-        line, name = self.line(column), name or f"{column}_{'yoy' if periods == 12 else f'chg{periods}'}_pct"
-        if line.semantics == "cumulative_ytd":
-            raise Refused(f"{column!r} is year-to-date; de-cumulate it first")
-        return self._derive(name, series.change(self.frame, [], periods, column, name), replace(line, column=name, unit="%", semantics="rate", source="derived", transform=f"change({column}, {periods})", derived_from=(column,)))
+        return self._derive("change", [column], name, lambda n: series.change(self.frame, [], whole_number(periods), column, n), periods, detail=(str(periods),))
 
     def net_change(self, column: str, periods: int = 1, name: str | None = None) -> Artifact:
         """Difference of a stock over ``periods`` rows."""
-        line, name = self.line(column), name or f"{column}_net_change{periods}"
-        if line.semantics != "stock" or not line.unit or line.unit.lower() in RELATIVE:
-            raise Refused(f"net_change needs a stock amount; {column!r} is {line.semantics} ({line.unit})")
-        if isinstance(periods, bool) or not isinstance(periods, int) or periods < 1:
-            raise Refused("periods must be a positive integer")
-        return self._derive(name, series.net_change(self.frame, [], periods, column, name), replace(line, column=name, semantics="net_change", source="derived", transform=f"net_change({column}, {periods})", derived_from=(column,)))
+        return self._derive("net_change", [column], name, lambda n: series.net_change(self.frame, [], whole_number(periods), column, n), periods, detail=(str(periods),))
 
     def sum_columns(self, columns: list[str], name: str | None = None) -> Artifact:
         """The sum of amounts of one kind."""
-        lines, name = [self.line(c) for c in columns], name or "_plus_".join(columns)
-        if len(set(columns)) < 2 or len(set(columns)) != len(columns):
-            raise Refused("at least two different columns are needed")
-        kinds = {(x.unit, x.grain, x.semantics) for x in lines}
-        if len(kinds) != 1 or lines[0].semantics not in ("stock", "flow", "net_change") or not lines[0].unit or lines[0].unit.lower() in RELATIVE:
-            raise Refused(f"these do not add up: {sorted(map(str, kinds))}")
-        return self._derive(name, self.frame.withColumn(name, series.sum_columns(columns)), replace(lines[0], column=name, source="derived", transform=f"sum_columns({', '.join(columns)})", derived_from=tuple(columns)))
+        if len(columns) < 2 or len(set(columns)) < len(columns):
+            raise Refused(f"sum_columns: {columns} are not two or more different columns")
+        return self._derive("sum_columns", columns, name, lambda n: self.frame.withColumn(n, series.sum_columns(columns)))
 
     def ratio(self, a: str, b: str, name: str | None = None, as_percent: bool = True) -> Artifact:
         """One column over another of the same unit and grain."""
-        top, bottom, name = self.line(a), self.line(b), name or f"{a}_over_{b}"
-        if top.unit != bottom.unit:
-            raise Refused(f"{a!r} is in {top.unit}, {b!r} in {bottom.unit}")
-        if top.grain and bottom.grain and top.grain != bottom.grain:
-            raise Refused(f"{a!r} is {top.grain}, {b!r} {bottom.grain}")
         value = series.share(a, b) if as_percent else series.safe_ratio(F.col(a), F.col(b))
-        return self._derive(name, self.frame.withColumn(name, value), Line(name, "%" if as_percent else "oran", "ratio", top.grain, transform=f"ratio({a}, {b})", derived_from=(a, b)))
+        return self._derive("ratio", [a, b], name, lambda n: self.frame.withColumn(n, value), quantity=Quantity("ratio", "%" if as_percent else "oran"))
 
     def in_usd(self, column: str, rate: str, name: str | None = None) -> Artifact:
         """A TL amount at a TL rate."""
-        line, fx, name = self.line(column), self.line(rate), name or f"{column}_usd"
-        if "TL" not in (line.unit or "") or fx.unit != "TL":
-            raise Refused(f"a TL amount and a TL rate are needed, not {line.unit} and {fx.unit}")
-        return self._derive(name, self.frame.withColumn(name, series.safe_ratio(F.col(column), F.col(rate))), replace(line, column=name, unit=line.unit.replace("TL", "USD"), source="derived", transform=f"in_usd({column}, {rate})", derived_from=(column, rate)))
+        (line,), fx = self.admit("in_usd", [column]), self.line(rate)
+        if fx.unit != "TL":
+            raise Refused(f"in_usd: {rate!r} is in {fx.unit}, not in TL a dollar")
+        dollars = Quantity(line.quantity.kind, line.unit.replace("TL", "USD"))
+        return self._derive("in_usd", [column, rate], name, lambda n: self.frame.withColumn(n, series.safe_ratio(F.col(column), F.col(rate))), quantity=dollars)
 
     def window(self, start: str | None = None, end: str | None = None) -> Artifact:
         """Periods from start to end. Applied after differences, whose lags need what lies before."""
@@ -148,9 +203,7 @@ class Artifact:
 
     def decompose(self, nominal: str, deflator: str) -> dict:
         """Growth of an amount split into price and real growth."""
-        line, price = self.line(nominal), self.line(deflator)
-        if line.unit == "%" or price.semantics not in PRICES:
-            raise Refused(f"cannot split {nominal!r} ({line.unit}) by {deflator!r} ({price.semantics})")
+        self.admit("decompose", [nominal, deflator])
         found = series.decompose_growth(self.frame, [], nominal, deflator).first()
         if found is None:
             raise Refused("two aligned observations are needed")
@@ -180,9 +233,10 @@ class Artifact:
         units = list(dict.fromkeys(self.line(c).unit for c in columns))
         picked = self.subset(columns)
         if kind == "pie":
+            self.admit("pie", columns)
             last = analytics.latest(picked.frame).first()
-            if len(units) != 1 or units[0] in ("%", "endeks") or any((last[c] or 0) < 0 for c in columns):
-                raise Refused("a pie needs parts of one additive unit")
+            if any((last[c] or 0) < 0 for c in columns):
+                raise Refused("pie: parts below zero")
             return {"kind": "pie", "unit": units[0], "period": str(last.period), "slices": {c: last[c] for c in columns}}
         rebased = len(units) > 2
         frame = picked.frame
@@ -193,3 +247,10 @@ class Artifact:
         rows = frame.orderBy("period").collect()
         axis = lambda c: 1 if rebased else units.index(self.lines[c].unit) + 1
         return {"kind": kind, "units": units, "rebased": rebased, "x": [str(r.period) for r in rows], "traces": [{"column": c, "label": self.lines[c].label or c, "axis": axis(c), "y": [r[c] for r in rows]} for c in columns], "breaks": list(breaks)}
+
+
+def whole_number(periods) -> int:
+    """A number of periods to look back; refuses what is none."""
+    if type(periods) is not int or periods < 1:
+        raise Refused(f"{periods!r} is no number of periods")
+    return periods

@@ -174,12 +174,12 @@ class Executor:
         if step.operation == "decompose":
             found = a.decompose(step.column, step.against)
         elif step.operation == "anomaly":
-            scores = outliers.score(one, ["key"], "auto", semantics=line.semantics)
+            scores = outliers.score(one, ["key"], "auto", semantics=line.quantity.kind)
             found = [r.asDict() for r in outliers.classify(scores, ["key"]).orderBy("period").collect()]
         elif step.operation == "changepoint":
-            if line.semantics == "cumulative_ytd":
+            if line.quantity.kind == "cumulative_ytd":
                 raise Refused(f"{step.column!r} is year-to-date; de-cumulate it first")
-            level = line.semantics in ("rate", "ratio") or line.unit == "%"
+            level = line.quantity.kind in ("rate", "ratio") or line.unit == "%"
             kind = step.kind or ("level" if level else "trend")
             found = [r.asDict() for r in changepoints.change_points(one, ["key"], kind, in_points=level).orderBy("period").collect()]
         else:
@@ -228,8 +228,8 @@ def verify(out: Outcome, month_grain: bool = True) -> list[str]:
     if a.frame is None:
         return ["no table"]
     cited = {c["column"] for c in out.citations}
-    found += [f"{c} has no citation" for c, x in a.lines.items() if x.source != "derived" and c not in cited]
-    found += [f"{c} is derived from what is not there" for c, x in a.lines.items() if x.source == "derived" and not x.derived_from]
+    found += [f"{c} has no citation" for c, x in a.lines.items() if x.made is None and c not in cited]
+    found += [f"{c} is derived from what is not there" for c, x in a.lines.items() if x.made is not None and not x.made.inputs]
     money = {x.unit for x in a.lines.values() if x.unit and "TL" in x.unit}
     if len(money) > 1:
         found.append(f"mixed monetary units {sorted(money)}")
