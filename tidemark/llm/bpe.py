@@ -88,7 +88,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in raw.get("added_tokens", [])}
         self.text_of = {i: w for w, i in self.ids.items()} | {i: w.encode() for w, i in self.added.items()}
         self.split_added = regex.compile("|".join(regex.escape(w) for w in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.words = BoundedCache(self._word, WORDS)
+        self.words = BoundedCache(self._word, WORDS, 1 << 23)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The tokens of a byte string: the lowest-ranked pair first, leftmost on ties."""

@@ -176,7 +176,10 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, model: Classifier, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that score at least ``threshold``."""
+    """The rows, with all their columns, that score at least ``threshold``.
+
+    Null, empty and blank texts score 0; repeated rows fare alike; a very long text is scored whole; an
+    empty table stays empty. Columns of any names pass through."""
     short_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
