@@ -78,7 +78,8 @@ class Model:
                 r = rows.get(w)
                 if r is None:
                     r = rows[w] = len(rows)
-                    self._sums[r] = self._sum(w)
+                    ids = subwords(w)
+                    self._sums[r, :-1], self._sums[r, -1] = self.table[ids].sum(axis=0), len(ids)
                 at.append(r)
             total += self._sums[at].sum(axis=0)
         return total

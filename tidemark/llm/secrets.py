@@ -197,7 +197,10 @@ def scan(docs: DataFrame, models: Models | None = None, id_col: str = "doc_id",
 
 
 def redacted(docs: DataFrame, models: Models | None = None, text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with every secret masked; ``chars_col`` follows where a text changed."""
+    """The same rows and columns with every secret masked; ``chars_col`` follows where a text changed.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, a very long text is read whole
+    and an empty table stays empty. Columns of any names pass through."""
     at = docs.columns.index(text_col)
     count_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
