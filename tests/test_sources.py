@@ -111,6 +111,31 @@ def test_verify_finds_scale_mismatch(spark):
     assert {r.landed_key: r.verdict for r in verify(landed, corpus).collect()} == {"same": "match", "thousand": "scale_mismatch"}
 
 
+def test_a_source_landed_again_is_seen_as_it_was_until_it_is_whole(spark, tmp_path, monkeypatch):
+    zone = Zone(spark, f"file://{tmp_path}/zone")
+    obs = lambda v: {"observations": spark.createDataFrame([("k", v)], "series_key string, value double")}
+    seen = lambda: [r.value for r in zone.read("observations").collect()]
+    zone.write("s", "u", "h1", obs(1.0))
+    place = Zone._place
+
+    def failing(self, name, *rest):
+        if name == "manifest":
+            assert seen() == [1.0]
+            raise OSError("lost")
+        place(self, name, *rest)
+
+    monkeypatch.setattr(Zone, "_place", failing)
+    with pytest.raises(OSError, match="lost"):
+        zone.write("s", "u", "h2", obs(2.0))
+    assert seen() == [1.0] and zone.is_current("s", "h1") and not zone.is_current("s", "h2")
+    monkeypatch.undo()
+    for v in (3.0, 4.0, 5.0):
+        zone.write("s", "u", f"h{v}", obs(v))
+        assert seen() == [v] and zone.sources().count() == 1
+    assert len(zone._versions("manifest", "s")) == len(zone._versions("observations", "s")) == 2
+    assert zone.remove("s") and seen() == []
+
+
 def test_evidence_log(spark, tmp_path):
     log = EvidenceLog(spark, f"file://{tmp_path}/log")
     run = log.start("q")

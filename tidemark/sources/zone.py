@@ -1,7 +1,9 @@
 """The external zone: landed sources as Parquet directories, visible once their manifest is written.
 
-Every source has one directory under each table; the manifest is written last, and readers join on it,
-so a half-landed source is never seen. Views are built inside each query, because a DataFrame keeps the
+Every landing of a source is a version: a directory under each table, its manifest written last. Readers
+take the newest manifest of a source and join on its version, so a half-landed source is never seen, and
+one that is landed again is seen as it was until the new version is whole. The version before the newest
+stays, for readers that have begun. Views are built inside each query, because a DataFrame keeps the
 file listing it was made with.
 """
 
@@ -19,10 +21,13 @@ SCHEMAS = {
     "observations": "source_id STRING, series_key STRING, period DATE, value DOUBLE",
     "observations_native": "source_id STRING, series_key STRING, date DATE, value DOUBLE, grain STRING",
     "quality": "source_id STRING, check_name STRING, passed BOOLEAN, detail STRING",
-    "manifest": "source_id STRING, url STRING, content_sha256 STRING, fetched_at STRING, n_series BIGINT, n_observations BIGINT",
+    "manifest": "source_id STRING, url STRING, content_sha256 STRING, fetched_at STRING, n_series BIGINT, n_observations BIGINT, version STRING",
 }
 
 
+DATA = ("series", "observations", "observations_native", "quality")
+
+
 class Zone:
     """The zone at one folder of any file system Spark can write."""
 
@@ -33,27 +38,35 @@ class Zone:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _place(self, name: str, source_id: str, frame: DataFrame) -> None:
-        """Writes beside the final place and renames, so a reader sees all files of a directory or none."""
-        target, temporary = f"{self.root}/{name}/{source_id}", f"{self.root}/.landing/{uuid.uuid4().hex}"
+    def _place(self, name: str, source_id: str, version: str, frame: DataFrame) -> None:
+        """Writes beside the final place, which no other landing has, and renames: a reader sees all files or none."""
+        temporary = f"{self.root}/.landing/{uuid.uuid4().hex}"
         frame.write.parquet(temporary)
-        fs, final = self._fs(target)
-        fs.delete(final, True)
+        fs, final = self._fs(f"{self.root}/{name}/{source_id}/{version}")
         fs.mkdirs(final.getParent())
         if not fs.rename(self._fs(temporary)[1], final):
-            raise OSError(f"could not move {temporary} to {target}")
+            raise OSError(f"could not move {temporary} to {final}")
+
+    def _versions(self, name: str, source_id: str) -> list[str]:
+        fs, p = self._fs(f"{self.root}/{name}/{source_id}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
     def write(self, source_id: str, url: str, content_sha256: str, frames: dict[str, DataFrame], fetched_at: str | None = None) -> None:
-        """Lands a source: its tables, cast to their schemas, then the manifest. Missing columns are null, others dropped."""
-        fs, old = self._fs(f"{self.root}/manifest/{source_id}")
-        fs.delete(old, True)
-        counts = {}
-        for name in ("series", "observations", "observations_native", "quality"):
+        """Lands a source: its tables, cast to their schemas, then the manifest. Missing columns are null, others
+        dropped. If it fails, the version landed before stays; versions older than that go."""
+        version, counts = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", {}
+        for name in DATA:
             shaped = self.shaped(name, frames[name].withColumn("source_id", F.lit(source_id))) if name in frames else self.spark.createDataFrame([], SCHEMAS[name])
-            self._place(name, source_id, shaped)
-            counts[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{source_id}").count()
-        row = (source_id, url, content_sha256, fetched_at or time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()), counts["series"], counts["observations"])
-        self._place("manifest", source_id, self.spark.createDataFrame([row], SCHEMAS["manifest"]).coalesce(1))
+            self._place(name, source_id, version, shaped.withColumn("version", F.lit(version)))
+            counts[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{source_id}/{version}").count()
+        row = (source_id, url, content_sha256, fetched_at or time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()), counts["series"], counts["observations"], version)
+        self._place("manifest", source_id, version, self.spark.createDataFrame([row], SCHEMAS["manifest"]).coalesce(1))
+        kept = self._versions("manifest", source_id)[-2:]
+        for name in ("manifest", *DATA):
+            for old in self._versions(name, source_id):
+                if old < kept[-1] and old not in kept:
+                    fs, p = self._fs(f"{self.root}/{name}/{source_id}/{old}")
+                    fs.delete(p, True)
 
     def shaped(self, name: str, frame: DataFrame) -> DataFrame:
         """The frame with a table's columns and types; what cannot be cast is null."""
@@ -61,12 +74,16 @@ class Zone:
         return frame.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
 
     def read(self, name: str) -> DataFrame:
-        """A table of all landed sources as of now."""
+        """A table of the newest version of every landed source, as of now."""
         fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        found = self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}")
-        return found if name == "manifest" else found.join(self.read("manifest").select("source_id"), "source_id", "left_semi")
+        schema = SCHEMAS[name] if name == "manifest" else f"{SCHEMAS[name]}, version STRING"
+        found = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}")
+        if name != "manifest":
+            return found.join(self.read("manifest").select("source_id", "version"), ["source_id", "version"], "left_semi").drop("version")
+        newest = found.groupBy("source_id").agg(F.max_by(F.struct(*found.columns), "version").alias("m"))
+        return newest.select("m.*")
 
     def sources(self) -> DataFrame:
         """Manifests, the newest first."""
