@@ -535,7 +535,9 @@ PARTS = "p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+'
 
 def _scored_parts(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    score = search.term_score(labels.slug(F.col("p_name")), labels.fold(F.col("p_name")), labels.fold(F.concat_ws(" ", "p_type", "p_brand")), TERMS)
+    # Each text is folded once a row, however many terms look at it.
+    folded = F.struct(labels.slug(F.col("p_name")).alias("k"), labels.fold(F.col("p_name")).alias("n"), labels.fold(F.concat_ws(" ", "p_type", "p_brand")).alias("c"))
+    score = labels.let(folded, lambda x: search.term_score(x["k"], x["n"], x["c"], TERMS))
     return parts.select("p_partkey", "p_brand", F.round(score, 4).alias("score")).where("score > 0")
 
 
