@@ -25,7 +25,7 @@ def test_the_named_thing_comes_first(index):
     assert first("Konut kredileri aylık bakiye") == "konut_kredileri"
     assert first("haftalık konut kredileri") == "konut_kredileri_h"
     assert first("konut kredisi faiz oranı") == "konut_faiz"
-    assert first("gold", aliases={"gold": "altin"}) == "altin"
+    assert first("gold", domain=discovery.Domain(aliases={"gold": ("altin",)})) == "altin"
     assert discovery.discover(index, "ve ile", 3).count() == 0
     assert {r.key for r in discovery.discover(index, "konut", 5, per_source=1).collect()} == {"konut_kredileri", "konut_kredileri_h", "konut_faiz"}
 

@@ -525,7 +525,7 @@ TERMS = {"lemon": 4.0, "brass": 3.0, "blue": 1.0, "st": 0.8}
 def _score_sql(terms: dict[str, float]) -> str:
     at = []
     for t, w in terms.items():
-        at.append(f"CASE WHEN contains(k, '{t}') THEN CASE WHEN starts_with(k, '{t}') THEN {3 * w} ELSE {2 * w} END ELSE 0 END + CASE WHEN contains(n, '{t}') THEN {1.5 * w} WHEN NOT contains(k, '{t}') AND contains(c, '{t}') THEN {0.6 * w} ELSE 0 END")
+        at.append(f"CASE WHEN contains(k, '{t}') THEN CASE WHEN starts_with(k, '{t}') THEN {3 * w} ELSE {2 * w} END ELSE 0 END + CASE WHEN contains(n, '{t}') THEN {1.5 * w} WHEN contains(c, '{t}') THEN {0.6 * w} ELSE 0 END")
     hits = " + ".join(f"CAST(contains(k, '{t}') OR contains(n, '{t}') OR contains(c, '{t}') AS INTEGER)" for t in terms)
     return " + ".join(at) + f" + 2.0 * greatest({hits} - 1, 0)"
 

@@ -202,6 +202,56 @@ def scan_units(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(u)) for p, u in UNIT_PATTERNS))))
 
 
+def resolve_unit(name: Column, group_unit: Column, semantics: Column, overridden: Column) -> Column:
+    """The one unit of a series, or null where nothing states it.
+
+    Evidence is asked in turn: the unit of its group, unless the series is declared apart from it; its own
+    name; both narrowed by what the semantics allow (a rate is a percentage, an index a number, anything else
+    neither); and last the semantics alone.
+    """
+    group = F.when(F.coalesce(overridden, F.lit(False)) | group_unit.isNull(), F.array().cast("array<string>")).otherwise(scan_units(group_unit))
+    own = scan_units(name)
+    says = F.when((F.size(group) == 1) | (F.size(own) == 0), group).otherwise(own)
+    implied = F.when(semantics == "rate", "%").when(semantics == "index", "endeks")
+
+    def narrowed(units):
+        amounts = F.array_except(units, F.array(F.lit("%"), F.lit("endeks")))
+        one = F.when(F.size(units) == 1, units[0]).when(F.coalesce(F.array_contains(units, implied), F.lit(False)), implied).when(F.size(amounts) == 1, amounts[0])
+        return F.coalesce(one, implied)
+
+    return let(says, narrowed)
+
+
+#: Words for powers of a thousand, and currencies whose amounts are rescaled by them.
+SCALES = {"": 0, "bin": 3, "milyon": 6, "milyar": 9, "trilyon": 12}
+MONEY = ("TL", "USD", "EUR", "ABD doları")
+
+
+def signed_number(value: Column, digits: int, signed: bool) -> Column:
+    """`format_number`, with a plus before what is not negative if asked."""
+    return F.concat(F.when(F.lit(signed) & (value >= 0), "+").otherwise(""), format_number(value, digits))
+
+
+def format_quantity(value: Column, unit: Column, signed: bool = False) -> Column:
+    """A figure with its unit: amounts at the largest scale that leaves at least 1, percent
+    signs in front, counts whole; a dash for null."""
+    unit = F.trim(F.coalesce(unit, F.lit("")))
+    word, last = F.element_at(F.split(unit, " "), 1), F.regexp_replace(unit, "^(?:bin|milyon|milyar|trilyon) ", "")
+    power = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in SCALES.items() for x in pair)), word), F.lit(0))
+    base = value * F.pow(F.lit(10.0), power)
+    money = F.concat(signed_number(base, 2, signed), F.lit(" "), last)
+    for scale in ("bin", "milyon", "milyar", "trilyon"):
+        size = 10.0 ** SCALES[scale]
+        money = F.when(F.abs(base) >= size, F.concat(signed_number(base / size, 2, signed), F.lit(f" {scale} "), last)).otherwise(money)
+    plain = F.rtrim(F.concat(signed_number(value, 2, signed), F.lit(" "), unit))
+    return F.when(value.isNull(), "-").when(unit == "%", F.concat(F.lit("%"), signed_number(value, 2, signed))).when(last.isin(*MONEY), money).when(unit == "adet", F.concat(signed_number(value, 0, signed), F.lit(" adet"))).otherwise(plain)
+
+
+def format_change(points: Column, percent: Column) -> Column:
+    """The change of a rate in points, else of an amount in percent, else null."""
+    return F.coalesce(F.concat(signed_number(points, 2, True), F.lit(" puan")), F.concat(F.lit("%"), signed_number(percent, 1, True)))
+
+
 def caption_unit(caption: Column) -> Column:
     """The monetary unit a caption states in brackets, or null."""
     found = F.regexp_extract(caption, r"(?i)\(\s*((?:bin|milyon|milyar)\s+TL)\s*\)", 1)

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import components
 
 
-def term_score(key: Column, name: Column, context: Column, terms: dict[str, float]) -> Column:
-    """Weighted matches: twice the weight in the key (three times if it is or begins the key), 1.5 times in
-    the name, else 0.6 times in the context, plus 2 for every matched term after the first."""
-    total, matched = F.lit(0.0), F.lit(0)
+def term_score(key: Column, name: Column, context: Column, terms: dict[str, float], concepts: dict[str, str] | None = None) -> Column:
+    """Weighted matches: twice the weight in the key (three times if it is or begins the key), and 1.5 times in
+    the name, else 0.6 times in the context. What is covered adds 2 for every concept after the first, if
+    anything matched at all; ``concepts`` are words with their stems, either of which covers them, and all
+    terms if not given."""
+    total = F.lit(0.0)
     for term, weight in terms.items():
         t = F.lit(term)
-        in_key, in_name, in_context = F.contains(key, t), F.contains(name, t), F.contains(context, t)
-        at_key = F.when(in_key, F.when(F.startswith(key, t), 3.0 * weight).otherwise(2.0 * weight)).otherwise(0.0)
-        at_name = F.when(in_name, 1.5 * weight).when(~in_key & in_context, 0.6 * weight).otherwise(0.0)
+        at_key = F.when(F.contains(key, t), F.when(F.startswith(key, t), 3.0 * weight).otherwise(2.0 * weight)).otherwise(0.0)
+        at_name = F.when(F.contains(name, t), 1.5 * weight).when(F.contains(context, t), 0.6 * weight).otherwise(0.0)
         total = total + at_key + at_name
-        matched = matched + (in_key | in_name | in_context).cast("int")
-    return total + 2.0 * F.greatest(matched - 1, F.lit(0))
+    covered = F.lit(0)
+    for word, stem in (concepts if concepts is not None else dict.fromkeys(terms, "")).items():
+        covered = covered + any_term([key, name, context], [w for w in (word, stem) if w]).cast("int")
+    return total + F.when(total > 0, 2.0 * F.greatest(covered - 1, F.lit(0))).otherwise(0.0)
 
 
 def any_term(columns: list[Column], terms: list[str]) -> Column:

@@ -24,14 +24,54 @@ AMOUNT = frozenset("tutar tutari bakiye bakiyesi stok amount balance volume haci
 GRAINS = {"gunluk": "daily", "haftalik": "weekly", "aylik": "monthly", "ceyreklik": "quarterly", "yillik": "annual", "daily": "daily", "weekly": "weekly", "monthly": "monthly", "quarterly": "quarterly", "annual": "annual"}
 CURRENCIES = {"tl": "TL", "yp": "FX", "doviz": "FX", "fx": "FX"}
 BASES = {"akis": "flow", "flow": "flow", "stok": "stock", "stock": "stock"}
-#: Weights of a phrase of two words, a whole word, and its first five letters.
-PHRASE, WORD, STEM, MOST = 4.0, 1.0, 0.8, 18
+#: Weights of the whole phrase, of a phrase of one word, an alias, a word, and its first five letters; most terms.
+PHRASE, ONE_WORD, ALIAS, WORD, STEM, MOST = 4.0, 1.5, 3.0, 1.0, 0.8, 18
 FOLD = str.maketrans("çğıöşüÇĞİÖŞÜâîû", "cgiosucgiosuaiu")
 
 
+#: Qualifiers that a row may carry, and the words by which a question asks for them.
+QUALIFIERS = {
+    "takipteki": ("takipteki", "npl", "non-performing", "batik", "sorunlu", "tga", "donmus"),
+    "ipotekli": ("ipotekli", "mortgaged", "ipotek"),
+    "dovize_endeksli": ("dovize", "endeksli", "fx-indexed"),
+    "diger": ("diger", "other"),
+    "reeskont": ("reeskont", "accrual"),
+    "bilgi": ("bilgi",),
+    "verilen_faizler": ("verilen", "odenen", "gider"),
+    "alinan_faizler": ("alinan", "gelir"),
+}
+
+
+@dataclass(frozen=True)
+class Domain:
+    """What a corpus is about, as far as ranking depends on it.
+
+    ``sources`` are names of publishers and the sources they stand for, ``regions`` folded names of regions and
+    how tables spell them; ``regional`` sources answer by region, ``tiered`` ones rank their series; ``sectors``
+    are datasets by sector that a question must ask for with ``sector_word``; ``averaged``, ``coded``,
+    ``derived`` and ``commercial`` are patterns of keys: moving averages, series of one region, derived series,
+    property that is no housing.
+    """
+
+    aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    sources: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    regions: dict[str, str] = field(default_factory=dict)
+    qualifiers: dict[str, tuple[str, ...]] = field(default_factory=lambda: QUALIFIERS)
+    regional: tuple[str, ...] = ("finturk",)
+    tiered: tuple[str, ...] = ("macro",)
+    sectors: tuple[str, ...] = ()
+    sector_word: str = "sekt"
+    averaged: str = r"\.K?MA$"
+    coded: str = r"\.K?TR[0-9A-C]"
+    national: str = "TOPLAM"
+    derived: str = r"^DERIVED\."
+    commercial: str = r"$^"
+    commercial_words: tuple[str, ...] = ("is yeri", "isyeri", "ticari", "commercial")
+
+
 @dataclass(frozen=True)
 class Question:
-    """The terms of a question and what it names besides."""
+    """The terms of a question and what it names besides: ``asked`` is its folded text."""
 
     terms: dict[str, float]
     grain: str | None = None
@@ -39,7 +79,10 @@ class Question:
     basis: str | None = None
     ratio: bool = False
     amount: bool = False
-    qualifiers: tuple[str, ...] = field(default=())
+    concepts: dict[str, str] = field(default_factory=dict)
+    sources: tuple[str, ...] = ()
+    region: str | None = None
+    asked: str = ""
 
 
 def clauses(text: str) -> list[str]:
@@ -55,66 +98,179 @@ def clauses(text: str) -> list[str]:
     return [c for c in [*out, " ".join(part)] if c]
 
 
-def question(text: str, aliases: dict[str, str] | None = None) -> Question:
-    """Words to terms: phrases weigh most, then words, then their first five letters; 18 terms at most."""
-    words = re.findall(r"[a-z0-9%]+", text.translate(FOLD).lower())
+def peel(text: str, names: dict) -> tuple[str | None, str]:
+    """The one of ``names`` that a folded text holds as words (with an ending of case), and the text without it;
+    longer names are tried first, and none counts if several are named."""
+    spans: dict[str, tuple[int, int]] = {}
+    for name in sorted(names, key=len, reverse=True):
+        hit = re.search(rf"(?<![a-z0-9]){re.escape(name)}(?:'?[a-z]{{0,4}})?(?![a-z0-9])", text)
+        if hit and not any(hit.start() < e and s < hit.end() for s, e in spans.values()):
+            spans[name] = hit.span()
+    if len(spans) != 1:
+        return None, text
+    ((name, (start, end)),) = spans.items()
+    return name, " ".join((text[:start] + " " + text[end:]).split())
+
+
+def meant(phrase: str, aliases: dict[str, tuple[str, ...]]) -> list[str]:
+    """What the aliases in a phrase stand for. Longer aliases claim their words first; from four letters on an
+    alias may have an ending of case. What the alias itself says already is left out."""
+    free, out = f" {phrase} ", []
+    for alias in sorted(aliases, key=len, reverse=True):
+        hit = re.search(rf"(?<= ){re.escape(alias)}{'[a-z0-9]{0,4}' if len(alias) > 3 else ''}(?= )", free)
+        if hit:
+            free = free[: hit.start()] + "\0" * len(hit.group()) + free[hit.end() :]
+            out += [m.lower() for m in aliases[alias] if m.lower() not in {alias, *alias.split()}]
+    return out
+
+
+def question(text: str, domain: Domain | None = None) -> Question:
+    """A question as terms: the phrase weighs most, then what aliases stand for, words, and their first five
+    letters; 18 terms at most. Publishers, a region, a grain and a currency are peeled off."""
+    domain = domain or Domain()
+    folded = text.translate(FOLD).lower()
+    source, rest = peel(folded, domain.sources)
+    region, rest = peel(rest, domain.regions)
+    words = re.findall(r"[a-z0-9%]+", rest)
     grain = next((GRAINS[w] for w in words if w in GRAINS), None)
     currency = next((CURRENCIES[w] for w in words if w in CURRENCIES), None)
-    basis = next((BASES[w] for w in words if w in BASES), None)
+    basis = {BASES[w] for w in words if w in BASES}
     kept = [w for w in words if w not in STOP and w not in GRAINS and w not in CURRENCIES and len(w) > 1]
-    terms = {f"{a} {b}": PHRASE for a, b in zip(kept, kept[1:], strict=False)}
-    for alias, meaning in (aliases or {}).items():
-        if alias in " ".join(words):
-            terms[meaning] = max(terms.get(meaning, 0), 3.0)
-    for w in kept:
+    phrase = " ".join(w for w in words if w not in GRAINS and w not in CURRENCIES)
+    terms = {phrase: PHRASE if " " in phrase else ONE_WORD} if kept else {}
+    for meaning in meant(phrase, domain.aliases):
+        terms[meaning] = max(terms.get(meaning, 0), ALIAS)
+    concepts = {w: w[:5] if len(w) > 6 else "" for w in kept}
+    for w, stem in concepts.items():
         terms.setdefault(w, WORD)
-        if len(w) > 6:
-            terms.setdefault(w[:5], STEM)
+        if stem:
+            terms.setdefault(stem, STEM)
     best = dict(sorted(terms.items(), key=lambda t: (-t[1], t[0]))[:MOST])
-    return Question(best, grain, currency, basis, bool(RATIO & set(words)), bool(AMOUNT & set(words)))
+    return Question(best, grain, currency, next(iter(basis)) if len(basis) == 1 else None, bool(RATIO & set(words)), bool(AMOUNT & set(words)), concepts, domain.sources.get(source, ()), domain.regions.get(region), folded)
+
 
+def _has(index: DataFrame, column: str) -> Column:
+    return F.col(column) if column in index.columns else F.lit(None).cast("string")
 
-def score(q: Question, unasked: tuple[str, ...] = ()) -> Column:
-    """The score of an index row: term matches, then what agrees or disagrees with the question."""
-    total = search.term_score(F.col("key"), F.col("name"), F.col("context"), q.terms)
-    asked = " ".join(q.terms)
-    for word in unasked:
-        if word not in asked:
-            total = total - F.when(F.contains(F.col("key"), F.lit(word)), 6.0).otherwise(0.0)
+
+def rules(q: Question, domain: Domain, index: DataFrame) -> list[tuple[Column, float]]:
+    """Conditions on an index row and what each adds to its score."""
+    key, unit, source = F.col("key"), F.coalesce("unit", F.lit("")), F.col("source")
+    raw = F.coalesce(_has(index, "code"), key)
+    said = lambda words: any(w in q.asked for w in words)
+    out = [(F.contains(key, F.lit(name)) | F.contains(F.col("name"), F.lit(name.replace("_", " "))), -6.0) for name, words in domain.qualifiers.items() if not said(words)]
+    if domain.sector_word not in q.asked:
+        out.append((_has(index, "dataset").isin(*domain.sectors) if domain.sectors else F.lit(False), -3.0))
     if q.ratio:
-        total = total + F.when(F.col("unit") == "%", 3.0).when(F.contains(F.col("unit"), F.lit("TL")), -3.0).otherwise(0.0)
-    if q.amount:
-        total = total - F.when(F.col("unit") == "adet", 4.0).otherwise(0.0)
+        out += [(unit == "%", 3.0), (F.endswith(unit, F.lit("TL")), -3.0), (raw.rlike(domain.derived), 2.0)]
     if q.basis:
-        total = total + F.when(F.col("semantics") == q.basis, 4.0).when(F.col("semantics").isin("flow", "stock"), -8.0).otherwise(0.0)
+        out += [(F.col("semantics") == q.basis, 4.0), ((F.col("semantics") != q.basis) & F.col("semantics").isin("flow", "stock"), -8.0)]
+    if q.amount:
+        out.append((unit == "adet", -4.0))
+    tiered = source.isin(*domain.tiered)
+    national = F.contains(F.upper(raw), F.lit(domain.national))
+    out += [(F.col("tier") == 0, 3.0), (F.col("tier") == 1, 1.0), (tiered & raw.rlike(domain.averaged), -2.0), (tiered & ~raw.rlike(domain.averaged) & ~national & raw.rlike(domain.coded), -6.0)]
+    if not said(domain.commercial_words):
+        out.append((raw.rlike(domain.commercial), -5.0))
     if q.grain:
-        total = total - F.when(F.col("grain") != q.grain, 10.0).otherwise(0.0)
-    total = total + F.when(F.col("tier") == 0, 3.0).when(F.col("tier") == 1, 1.0).otherwise(0.0)
-    return total - 1.5 * F.coalesce("depth", F.lit(0)) - F.least(F.length("key"), F.lit(90)) / 45.0
+        exempt = tiered if q.grain == "monthly" else F.lit(False)
+        out.append(((F.col("grain") != q.grain) & ~exempt, -10.0))
+    if q.currency and "currencies" in index.columns:
+        out.append((F.array_contains("currencies", q.currency), 15.0))
+    return out
 
 
-def discover(index: DataFrame, text: str, limit: int = 20, aliases: dict[str, str] | None = None, unasked: tuple[str, ...] = (), per_source: int | None = None) -> DataFrame:
-    """The best rows of the index with their score; ties by key. A named currency keeps rows that have it."""
-    q = question(text, aliases)
+def score(q: Question, index: DataFrame, domain: Domain | None = None) -> Column:
+    """The score of an index row: its matches, then what agrees or disagrees with the question. Sources by region
+    are for questions that name one: else they count two fifths."""
+    domain = domain or Domain()
+    total = search.term_score(F.col("key"), F.col("name"), F.col("context"), q.terms, q.concepts)
+    for condition, points in rules(q, domain, index):
+        total = total + F.when(condition, points).otherwise(0.0)
+    total = total - 1.5 * F.coalesce("depth", F.lit(0)) - F.least(F.length("key"), F.lit(90)) / 45.0
+    regional = F.col("source").isin(*domain.regional)
+    return F.when(regional, total + 4.0 if q.region else total * 0.4).otherwise(total)
+
+
+def pool_of(index: DataFrame, q: Question, domain: Domain) -> DataFrame:
+    """Every row of the index that a term touches, scored, within what the question names.
+
+    A named publisher keeps its sources; a named currency, if any row publishes it, drops rows that publish
+    others only; a named basis drops rates of the other one. A named region is carried on regional rows.
+    """
+    pool = index.where(search.any_term([F.col("key"), F.col("name"), F.col("context")], list(q.terms))).withColumn("score", score(q, index, domain))
+    if q.sources:
+        pool = pool.where(F.col("source").isin(*q.sources))
+    if q.currency and "currencies" in index.columns:
+        has = F.coalesce(F.array_contains("currencies", q.currency), F.lit(False))
+        if not pool.where(has).isEmpty():
+            pool = pool.where(has | (F.coalesce(F.size("currencies"), F.lit(0)) <= 0))
+    if q.basis:
+        pool = pool.where((F.coalesce("unit", F.lit("")) != "%") | (F.coalesce("semantics", F.lit("")) == q.basis) | ~F.coalesce(F.col("semantics"), F.lit("")).isin("flow", "stock"))
+    if domain.regions:
+        pool = pool.withColumn("region", F.when(F.col("source").isin(*domain.regional), F.lit(q.region)))
+    return pool
+
+
+ORDER = (F.desc, ("score",)), (F.asc, ("key", "source"))
+
+
+def _ordered() -> list[Column]:
+    return [way(c) for way, columns in ORDER for c in columns]
+
+
+def discover(index: DataFrame, text: str, limit: int = 20, domain: Domain | None = None, per_source: int | None = None, dense: DataFrame | None = None) -> DataFrame:
+    """The best rows of the index with their score; ties by key and source.
+
+    ``per_source`` bounds the rows of each source. A question for a ratio and an amount keeps its last seat for
+    the best amount. ``dense`` is a short ranked list (source, key, rank) from vectors: its rows join the
+    pool, and rows are then ordered by fused ranks before scores.
+    """
+    domain = domain or Domain()
+    q = question(text, domain)
     if not q.terms:
         return index.limit(0).withColumn("score", F.lit(0.0))
-    columns = [F.col("key"), F.col("name"), F.col("context")]
-    pool = index.where(search.any_term(columns, list(q.terms))).withColumn("score", score(q, unasked))
-    if q.currency and "currencies" in index.columns:
-        pool = pool.where(F.array_contains("currencies", q.currency))
+    pool = pool_of(index, q, domain)
     if per_source:
-        w = Window.partitionBy("source").orderBy(F.desc("score"), "key")
+        w = Window.partitionBy("source").orderBy(*_ordered())
         pool = pool.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_source).drop("__n")
-    return pool.orderBy(F.desc("score"), "key").limit(limit)
+    order = _ordered()
+    if dense is not None:
+        lexical = search.ranked(pool.orderBy(*order).limit(100).select("source", "key"), [F.monotonically_increasing_id()])
+        both = search.fuse([lexical.select(F.struct("source", "key").alias("id"), "rank"), dense.select(F.struct("source", "key").alias("id"), "rank")], "id")
+        fused = both.select("id.source", "id.key", *[c for c in both.columns if c != "id"])
+        (points,) = [c for c in both.columns if c != "id"]
+        scored = index.join(fused, ["source", "key"]).withColumn("score", score(q, index, domain)).withColumnRenamed(points, "fused")
+        return scored.orderBy(F.desc("fused"), *order).limit(limit).drop("fused")
+    best = pool.orderBy(*order).limit(limit)
+    if q.ratio and q.amount:
+        amount = (F.coalesce("unit", F.lit("")) != "%") & (F.endswith(F.coalesce("unit", F.lit("")), F.lit("TL")) | (F.coalesce("semantics", F.lit("")) == "stock"))
+        seat = pool.where(amount).orderBy(*order).limit(1)
+        first = Window.partitionBy("source", "key").orderBy(F.desc("__seat"))
+        both = best.withColumn("__seat", F.lit(0)).unionByName(seat.withColumn("__seat", F.lit(1))).withColumn("__n", F.row_number().over(first))
+        best = both.where("__n = 1").orderBy(F.desc("__seat"), *order).limit(limit).drop("__seat", "__n").orderBy(*order)
+    return best
 
 
 def discover_concepts(index: DataFrame, text: str, limit: int = 8, **how) -> list[dict]:
-    """Seats for a question of several parts: each part's first row, then the rest in rank order."""
+    """Seats for a question of several parts: each part's first row, then two of every source, then the rest in
+    rank order. The lists are of at most ``limit`` rows a part."""
     parts = clauses(text)
     found = [[r.asDict() for r in discover(index, p, limit, **how).collect()] for p in parts] or [[]]
-    seats, seen = [], set()
-    for row in [rows[0] for rows in found if rows] + [r for rank in range(1, limit) for rows in found for r in rows[rank : rank + 1]]:
-        if (row["source"], row["key"]) not in seen and len(seats) < limit:
-            seen.add((row["source"], row["key"]))
-            seats.append(row)
-    return seats
+    firsts = [rows[0] for rows in found if rows]
+    rest = [r for rank in range(1, limit) for rows in found for r in rows[rank : rank + 1]]
+    quota = [r for i, r in enumerate(rest) if sum(x["source"] == r["source"] for x in [*firsts, *rest[:i]]) < 2]
+    seats: dict[tuple, dict] = {}
+    for row in [*firsts, *quota, *rest]:
+        if len(seats) < limit:
+            seats.setdefault((row["source"], row["key"]), row)
+    return list(seats.values())
+
+
+def recall(index: DataFrame, wanted: dict[str, tuple[str, str]], ks: tuple[int, ...] = (1, 3, 8), **how) -> dict[int, float]:
+    """The share of questions whose wanted (source, key) is among the first k found."""
+    most, places = max(ks), []
+    for text, row in wanted.items():
+        got = [(r.source, r.key) for r in discover(index, text, most, **how).collect()]
+        places.append(got.index(row) + 1 if row in got else None)
+    return {k: sum(p is not None and p <= k for p in places) / max(1, len(places)) for k in ks}

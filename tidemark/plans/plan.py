@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import causality, changepoints, outliers, series
+from tidemark.plans import findings
 from tidemark.plans.artifact import Artifact, Line, Refused
 
 OPS = ("discover", "fetch_series", "transform", "analyze", "find_periods", "chart", "footnotes", "ingest_source", "ingest_external", "read_url", "search", "clear_table")
@@ -208,7 +209,7 @@ class Executor:
     def _ingest_external(self, step, out, window):
         frame, line = self._tool("ingest_external")(step)
         name = step.name or line.column
-        out.artifact = out.artifact.add(name, frame.withColumnRenamed("value", name), replace(line, column=name, source="external"))
+        out.artifact = out.artifact.add(name, frame.withColumnRenamed("value", name), replace(line, column=name, origin="external"))
         out.citations.append({"column": name, "url": step.url})
 
     def _read_url(self, step, out, window):
@@ -221,20 +222,7 @@ class Executor:
         out.artifact = Artifact()
 
 
-def verify(out: Outcome, month_grain: bool = True) -> list[str]:
-    """What is wrong with a result before it is told: uncited columns, mixed monetary units, unsorted or
-    repeated periods, columns with fewer than a tenth of the periods."""
-    found, a = [], out.artifact
-    if a.frame is None:
-        return ["no table"]
-    cited = {c["column"] for c in out.citations}
-    found += [f"{c} has no citation" for c, x in a.lines.items() if x.made is None and c not in cited]
-    found += [f"{c} is derived from what is not there" for c, x in a.lines.items() if x.made is not None and not x.made.inputs]
-    money = {x.unit for x in a.lines.values() if x.unit and "TL" in x.unit}
-    if len(money) > 1:
-        found.append(f"mixed monetary units {sorted(money)}")
-    facts = a.frame.agg(F.count("*").alias("n"), F.countDistinct("period").alias("p"), *(F.count(c).alias(c) for c in a.lines)).first()
-    if facts.n != facts.p:
-        found.append("a period occurs twice")
-    found += [f"{c} covers fewer than a tenth of the periods" for c in a.lines if facts.n and facts[c] < 0.1 * facts.n]
-    return found
+def verify(out: Outcome, asked: findings.Asked | None = None) -> list[str]:
+    """What stops a result from being told; `findings.examine` has the rest."""
+    found = findings.examine(out.artifact, out.facts, out.citations, out.failed, asked)
+    return [p for f in found if f.stops for p in f.problems]

@@ -22,6 +22,9 @@ PROVINCE_META = ("EftKodu", "Yil", "Ay", "Sehir", "Grup")
 SUFFIXES = (("Toplam", "total"), ("Tp", "TL"), ("Yp", "FX"))
 ENVELOPE = "datagroup STRING, series ARRAY<STRING>, startDate STRING, endDate STRING, fetched_at STRING, response STRING"
 CATALOGUE = "tables ARRAY<STRUCT<table_id: INT, items: ARRAY<STRUCT<item_id: INT, display: STRING, label: STRING>>>>"
+SERIES = "SERIE_CODE STRING, DATAGROUP_CODE STRING, SERIE_NAME STRING, SERIE_NAME_ENG STRING, FREQUENCY_STR STRING, START_DATE STRING, END_DATE STRING, SEVIYE INT, UST_SERIE_CODE STRING"
+GROUPS = "TOPIC_TITLE_TR STRING, DATAGROUPS ARRAY<STRUCT<DATAGROUP_CODE: STRING, DATAGROUP_TYPE: STRING, BIRIMI: STRING, DATASOURCE: STRING>>"
+FREQUENCIES = {"GÜNLÜK": "daily", "İŞ GÜNÜ": "business_daily", "HAFTALIK(CUMA)": "weekly", "HAFTALIK(ÇARŞAMBA)": "weekly", "AYDA İKİ KEZ": "semimonthly", "AYLIK": "monthly", "ÜÇ AYLIK": "quarterly", "ALTI AYLIK": "semiannual", "YILLIK": "annual"}
 WEEKLY = "request STRUCT<items: ARRAY<INT>>, table_html STRING"
 RETIRED = r"\(?\s*(\d{1,2})[./](\d{1,2})[./](\d{4})\s*(?:tarihinden itibaren|itibariyle|sonras)"
 
@@ -135,6 +138,31 @@ def reconcile_overlaps(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one.drop("__most"), one.where(F.col("value") != F.col("__most")).select("datagroup", "series_code", "date")
 
 
+def read_series_list(spark: SparkSession, path: str, groups_path: str, declared: DataFrame) -> DataFrame:
+    """The catalogue of series: the archived lists beside what is known of their groups.
+
+    ``declared`` says by datagroup its tier, semantics and monthly_rule, and may name a series_code where one
+    series differs from its group; it is a registry of some hundred rows and is left to the planner to
+    broadcast. A group without metadata leaves its columns null; a series of no declared group is left out.
+    """
+    rows = spark.read.schema(SERIES).option("multiLine", True).json(path)
+    groups = spark.read.schema(GROUPS).option("multiLine", True).json(groups_path).select(F.trim("TOPIC_TITLE_TR").alias("category"), F.explode("DATAGROUPS").alias("g"))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    groups = groups.select(F.col("g.DATAGROUP_CODE").alias("datagroup"), F.trim("g.DATAGROUP_TYPE").alias("datagroup_name"), "category", text("g.BIRIMI").alias("unit_source"), text("g.DATASOURCE").alias("datasource"))
+    of_group = declared.where("series_code IS NULL").drop("series_code")
+    of_series = declared.where("series_code IS NOT NULL").select("datagroup", "series_code", *(F.col(c).alias(f"own_{c}") for c in ("tier", "semantics", "monthly_rule")))
+    known = F.create_map(*(F.lit(x) for pair in FREQUENCIES.items() for x in pair))
+    day = lambda c: F.try_to_date(F.col(c), "dd-MM-yyyy")
+    joined = rows.withColumnsRenamed({"DATAGROUP_CODE": "datagroup", "SERIE_CODE": "series_code"}).join(of_group, "datagroup").join(of_series, ["datagroup", "series_code"], "left").join(groups, "datagroup", "left")
+    semantics = F.coalesce("own_semantics", "semantics")
+    return joined.select(
+        "series_code", "datagroup", F.coalesce("own_tier", "tier").alias("tier"), F.trim("SERIE_NAME").alias("name"), text("SERIE_NAME_ENG").alias("name_en"), "datagroup_name", "category",
+        labels.resolve_unit(F.col("SERIE_NAME"), F.col("unit_source"), semantics, F.col("own_semantics").isNotNull()).alias("unit"), "unit_source", "datasource",
+        F.coalesce(F.try_element_at(known, F.col("FREQUENCY_STR")), F.col("FREQUENCY_STR")).alias("native_frequency"), semantics.alias("temporal_semantics"), F.coalesce("own_monthly_rule", "monthly_rule").alias("monthly_rule"),
+        F.col("SEVIYE").alias("level"), F.nullif("UST_SERIE_CODE", F.lit("-1")).alias("parent_series"), day("START_DATE").alias("published_start"), day("END_DATE").alias("published_end"),
+    )
+
+
 def select_series(catalogue: DataFrame, wanted: list[str] | None = None, max_level: int | None = None) -> DataFrame:
     """A catalogue narrowed to listed codes, or to a level; a missing level counts as 1."""
     if wanted is not None:
