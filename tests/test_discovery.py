@@ -71,3 +71,67 @@ def test_vectors_and_fusion(spark):
     assert [(r.i, r.score) for r in search.cosine_topk(df, [2.0, 0.0], 3, "i", "v").collect()] == [(1, 1.0), (2, 0.0), (3, -1.0)]
     lists = [spark.createDataFrame([(1, 1), (2, 2)], "i int, rank int"), spark.createDataFrame([(2, 1)], "i int, rank int")]
     assert {r.i: r.rrf for r in search.fuse(lists, "i", [1.0, 0.0]).collect()} == pytest.approx({1: 1 / 61, 2: 1 / 62})
+
+
+@pytest.fixture
+def corpus(spark):
+    rows = [
+        ("bulletin", "tuketici_kredileri_konut", "tuketici kredileri - konut", "kredi tuketici konut", "milyon TL", "stock", "monthly", None, 0, ["TL", "FX"], "tuketici"),
+        ("bulletin", "takipteki_konut", "takipteki konut kredileri", "kredi takipteki", "milyon TL", "stock", "monthly", None, 0, ["TL"], "tuketici"),
+        ("bulletin", "takipteki_orani", "takipteki alacaklar orani", "rasyo", "%", "ratio", "monthly", None, 0, None, "rasyo"),
+        ("bulletin", "sektor_konut", "konut kredileri", "sektorel dagilim", "bin TL", "stock", "monthly", None, 0, None, "sektorel"),
+        ("finturk", "konut_kredisi", "konut kredisi", "il bazinda", "bin TL", "stock", "quarterly", None, 0, None, "il"),
+        ("macro", "tp.ktf12", "konut kredisi faiz orani (akim)", "faiz ktf", "%", "flow", "weekly", 0, 0, None, "faiz"),
+        ("macro", "tp.bkr12", "konut kredisi faiz orani (stok)", "faiz", "%", "stock", "weekly", 0, 0, None, "faiz"),
+        ("macro", "tp.akonutsat1.ktoplam", "konut satislari", "satis", "adet", "flow", "monthly", 0, 0, None, "satis"),
+        ("macro", "tp.akonutsat1.ktr10", "konut satislari istanbul", "satis", "adet", "flow", "monthly", 0, 0, None, "satis"),
+        ("macro", "derived.ipotekli_pay", "ipotekli konut satislarinin toplam konut satislarina orani", "satis", "%", "ratio", "monthly", 0, 0, None, "satis"),
+        ("weekly", "mevduat", "mevduat", "haftalik", "milyon TL", "stock", "weekly", None, 0, ["TL", "FX"], "mevduat"),
+    ]
+    return spark.createDataFrame(rows, "source string, key string, name string, context string, unit string, semantics string, grain string, tier int, depth int, currencies array<string>, dataset string")
+
+
+DOMAIN = discovery.Domain(
+    aliases={"housing loan": ("konut",), "npl": ("takipteki",), "faiz": ("ktf", "faiz"), "deposit": ("mevduat",)},
+    sources={"haftalik bulten": ("weekly",), "merkez bankasi": ("macro",)},
+    regions={"istanbul": "İSTANBUL", "ankara": "ANKARA"},
+    sectors=("sektorel",),
+    coded=r"(?i)\.K?TR[0-9A-C]",
+    derived=r"(?i)^DERIVED\.",
+)
+WANTED = {
+    "tüketici kredileri konut": ("bulletin", "tuketici_kredileri_konut"),
+    "NPL oranı": ("bulletin", "takipteki_orani"),
+    "konut kredisi faiz oranı stok": ("macro", "tp.bkr12"),
+    "konut kredisi faiz oranı akım": ("macro", "tp.ktf12"),
+    "konut satışları": ("macro", "tp.akonutsat1.ktoplam"),
+    "ipotekli konut satışları oranı": ("macro", "derived.ipotekli_pay"),
+    "Ankara konut kredisi": ("finturk", "konut_kredisi"),
+    "deposit": ("weekly", "mevduat"),
+    "TL mevduat haftalık bülten": ("weekly", "mevduat"),
+    "takipteki konut kredileri": ("bulletin", "takipteki_konut"),
+    "sektörel konut kredileri": ("bulletin", "sektor_konut"),
+}
+
+
+def test_recall_stays_above_its_floors(corpus):
+    got = discovery.recall(corpus, WANTED, domain=DOMAIN)
+    assert got[1] >= 0.85 and got[3] >= 0.9 and got[8] >= 0.95, got
+
+
+def test_what_a_question_names_narrows_its_rows(corpus):
+    found = lambda t, n=8, **k: [(r.source, r.key) for r in discovery.discover(corpus, t, n, domain=DOMAIN, **k).collect()]
+    assert {s for s, _ in found("merkez bankası konut")} == {"macro"}
+    assert ("bulletin", "takipteki_konut") not in found("döviz konut kredileri") and ("bulletin", "tuketici_kredileri_konut") in found("döviz konut kredileri")
+    assert ("macro", "tp.ktf12") not in found("konut kredisi faiz oranı stok")
+    seats = found("konut faiz oranı ve kredi tutarı", 3)
+    assert any(k.startswith("tp.") for _, k in seats) and any(s in ("bulletin", "finturk") for s, _ in seats)
+    named = discovery.discover(corpus, "İstanbul'da konut kredisi", 1, domain=DOMAIN).first()
+    assert (named.source, named.region) == ("finturk", "İSTANBUL")
+    assert discovery.peel("ankara ve istanbul konut", DOMAIN.regions) == (None, "ankara ve istanbul konut")
+
+
+def test_dense_lists_add_rows_that_no_word_reaches(corpus):
+    dense = corpus.sparkSession.createDataFrame([("weekly", "mevduat", 1), ("bulletin", "tuketici_kredileri_konut", 2)], "source string, key string, rank int")
+    got = discovery.discover(corpus, "konut", 3, domain=DOMAIN, dense=dense).collect()
+    assert got[0].key == "tuketici_kredileri_konut" and "mevduat" in {r.key for r in discovery.discover(corpus, "konut", 11, domain=DOMAIN, dense=dense).collect()}
