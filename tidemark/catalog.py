@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 @lru_cache(maxsize=1)
 def _load_rest() -> None:
-    from tidemark import catalog_access, catalog_custom  # noqa: F401  these register their queries
+    from tidemark import catalog_access, catalog_build, catalog_custom  # noqa: F401  these register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

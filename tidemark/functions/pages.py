@@ -77,10 +77,11 @@ def rank_links(found: DataFrame, words: list[str], text: str = "link") -> DataFr
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, without fragment and closing slash."""
-    bare = F.regexp_replace(F.trim(url), r"#.*$", "")
-    head = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
-    return F.concat(F.lower(head), F.regexp_replace(F.substring(bare, F.length(head) + 1, F.length(bare)), r"/+$", ""))
+    """An address as identity: without white space around it and without fragment, its scheme in lower case.
+    Hosts, paths and queries are kept as they are; ids that were given once must not change."""
+    bare = F.regexp_replace(F.trim(url), r"[?]?(#.*)?$", "")
+    scheme = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    return F.concat(F.lower(scheme), F.substring(bare, F.length(scheme) + 1, F.length(bare)))
 
 
 def source_id(url: Column) -> Column:

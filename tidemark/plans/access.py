@@ -6,15 +6,21 @@ whether periods repeat, and if so by which columns, so an ambiguous request is r
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import fold, slug
+from tidemark.functions.labels import LETTERS, PLAIN, fold, let, slug
+from tidemark.operators import analytics
 from tidemark.plans.artifact import Refused
 
 
+QUESTION_FOLD = str.maketrans(LETTERS, PLAIN)
+
+
 @dataclass(frozen=True)
 class Curated:
     """A table of facts: the columns that name a series, its period and, by semantics, its value columns."""
@@ -121,6 +127,46 @@ def request_slices(spans: DataFrame, keys: list[str], start: str, end: str) -> D
     return years.select(*keys, F.greatest(F.col(start), F.make_date("y", F.lit(1), F.lit(1))).alias("slice_start"), F.least(F.col(end), F.make_date("y", F.lit(12), F.lit(31))).alias("slice_end"))
 
 
+def request_batches(series: DataFrame, keys: list[str], code: str, size: int = 150) -> DataFrame:
+    """The codes of each key in batches of at most ``size``, in order of code: keys, batch (from 1) and codes."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(code))
+    rows = series.select(*keys, code).distinct().withColumn("batch", F.ceil(place / size).cast("int"))
+    return rows.groupBy(*keys, "batch").agg(F.array_join(F.array_sort(F.collect_list(F.col(code).cast("string"))), ",").alias("codes"), F.count("*").alias("n_codes"))
+
+
+#: Column words that published files have in one of two languages.
+TRANSLATED = {"toplam": "total", "total": "toplam", "hacim": "volume", "volume": "hacim", "miktar": "amount", "amount": "miktar", "sayisi": "number", "adet": "number"}
+
+
+def rank_landed(rows: DataFrame, question: str, texts: list[str], order: list[str], limit: int | None = None) -> DataFrame:
+    """Landed series by how many words of a question, or their translations, their texts hold: adds score; rows
+    that tie keep ``order``. Words of one or two letters say nothing."""
+    words = {w for w in re.split(r"[^a-z0-9]+", question.translate(QUESTION_FOLD).lower()) if len(w) > 2}
+    words |= {TRANSLATED[w] for w in words if w in TRANSLATED}
+    text = fold(F.concat_ws(" ", *texts))
+    score = let(text, lambda t: sum((F.contains(t, F.lit(w)).cast("int") for w in sorted(words)), F.lit(0)))
+    found = rows.withColumn("score", score).orderBy(F.desc("score"), *order)
+    return found.limit(limit) if limit else found
+
+
+def ratio_table(families: dict[str, tuple[DataFrame, dict[str, tuple[str, str]]]], keys: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
+    """Ratios of several sources in one long table: source, keys, ratio and value. Each source is pivoted once by
+    the metrics its ratios name; ratios that cannot be taken are left out."""
+    parts = []
+    for source, (rows, pairs) in families.items():
+        wide = analytics.pivot_metrics(rows, keys, sorted({m for p in pairs.values() for m in p}), metric, value)
+        both = F.explode(F.array(*(F.struct(F.lit(n).alias("ratio"), (100 * F.try_divide(F.col(a), F.col(b))).alias("value")) for n, (a, b) in pairs.items())))
+        parts.append(wide.select(F.lit(source).alias("source"), *keys, both.alias("r")).select("source", *keys, "r.ratio", "r.value").where("value IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def facts_with_index(facts: DataFrame, index: DataFrame, on: tuple[str, ...] = ("dataset", "entity_key"), live: bool = True) -> DataFrame:
+    """Facts beside the index rows of their entities, by both keys; retired entities are left out if ``live``.
+    The index is a dimension: the planner broadcasts it where its size allows."""
+    rows = index.where(F.col("retired_on").isNull()).drop("retired_on") if live and "retired_on" in index.columns else index
+    return facts.join(rows, list(on))
+
+
 def numbers_in_prose(text: Column) -> Column:
     """The numbers a sentence states, as doubles: thousands by point and decimals by comma, or plain."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![\w.,])-?[0-9]+(?:\.[0-9]{3})*(?:,[0-9]+)?(?![\w])"), F.lit(0))

@@ -23,7 +23,7 @@ RATIO = frozenset("oran orani oranlari yuzde rate ratio share pay payi".split())
 AMOUNT = frozenset("tutar tutari bakiye bakiyesi stok amount balance volume hacim".split())
 GRAINS = {"gunluk": "daily", "haftalik": "weekly", "aylik": "monthly", "ceyreklik": "quarterly", "yillik": "annual", "daily": "daily", "weekly": "weekly", "monthly": "monthly", "quarterly": "quarterly", "annual": "annual"}
 CURRENCIES = {"tl": "TL", "yp": "FX", "doviz": "FX", "fx": "FX"}
-BASES = {"akis": "flow", "flow": "flow", "stok": "stock", "stock": "stock"}
+BASES = {"akis": "flow", "akim": "flow", "flow": "flow", "stok": "stock", "stock": "stock"}
 #: Weights of the whole phrase, of a phrase of one word, an alias, a word, and its first five letters; most terms.
 PHRASE, ONE_WORD, ALIAS, WORD, STEM, MOST = 4.0, 1.5, 3.0, 1.0, 0.8, 18
 FOLD = str.maketrans("çğıöşüÇĞİÖŞÜâîû", "cgiosucgiosuaiu")

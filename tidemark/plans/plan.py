@@ -48,6 +48,9 @@ class Step:
     url: str | None = None
     kind: str | None = None
     rule: str | None = None
+    region: str | None = None
+    year_to_date: bool = False
+    include_retired: bool = False
 
 
 @dataclass(frozen=True)
