@@ -74,6 +74,15 @@ def test_quality_on_the_held_out_fold_and_odd_rows(spark):
     assert {r.score for r in quality.score(docs.limit(3), none).collect()} == {0.5}
 
 
+def test_quality_learns_one_row_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, seed: seen.append(list(zip(texts, labels, strict=True))))
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "c"), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    quality.learn(docs, labels, lambda i: F.lit(True))
+    assert seen == [[("a", 0), ("c", 1)]]
+
+
 def test_language_on_the_held_out_fold_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.learn(docs, lambda i: ~held_out(i, 3, 1), per_lang=100)

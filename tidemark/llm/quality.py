@@ -153,12 +153,15 @@ def train(texts: list[str], labels: list[int], hidden: int = 24, epochs: int = 6
 
 def learn(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, most_chars: int = 20_000, seed: int = 11) -> Classifier:
     """Trains on at most ``sample_rows`` labelled rows for which ``usable(id)`` holds, texts of up to
-    ``most_chars``. Null labels are left out; of contradictory labels the lower counts."""
+    ``most_chars``. Null labels are left out; of contradictory labels the lower counts, of rows that repeat an
+    id the least text."""
     key, mark = "__label_id", "__label"
     known = labels.select(F.col(id_col).alias(key), F.col(label_col).cast("int").alias(mark)).where(F.col(mark).isin(0, 1) & F.col(key).isNotNull() & usable(F.col(key))).groupBy(key).agg(F.min(mark).alias(mark))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample_rows)
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, most_chars))
-    got = sorted((r.i, r.text, r[mark]) for r in narrow.join(F.broadcast(chosen), F.col("i") == F.col(key)).select("i", "text", mark).collect())
+    # One row an id, the least text: an id may be repeated by a large part of all rows.
+    picked = narrow.join(F.broadcast(chosen), F.col("i") == F.col(key)).groupBy("i").agg(F.min("text").alias("text"), F.min(mark).alias(mark))
+    got = sorted((r.i, r.text, r[mark]) for r in picked.collect())
     return train([g[1] for g in got], [g[2] for g in got], seed=seed)
 
 
