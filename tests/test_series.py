@@ -90,6 +90,13 @@ def test_granger_finds_the_direction(spark):
     assert r.verdict == "predictor->target" and r.lag >= 2 and not r.differenced and r.effect_forward > 0
 
 
+def test_pairs_that_cannot_be_tested_say_why(spark):
+    rows = [("short", i, float(i), float(i)) for i in range(5)] + [("still", i, 1.0, float(i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, period int, y double, x double")
+    assert {r.k: (r.n_obs, r.verdict, r.lag, r.differenced) for r in causality.granger_pairs(df, ["k"], "y", "x").collect()} == {"short": (5, None, None, None), "still": (40, None, None, None)}
+    assert {r.k: r.reason[:10] for r in causality.granger_pairs(df, ["k"], "y", "x").collect()} == {"short": "5 aligned ", "still": "the target"}
+
+
 def test_tails_against_known_values():
     assert abs(causality.f_tail(4.0, 2, 20) - 0.03457) < 1e-4
     assert abs(causality.f_tail(1.0, 5, 5) - 0.5) < 1e-9

@@ -151,3 +151,21 @@ def test_grids_and_links(spark):
     df = spark.createDataFrame([(1, "http://h.org/p", "<a href='/a.pdf'>x</a><a href='b'>y</a><a href='/a.pdf'>")], "i int, u string, h string")
     assert [(r.link, r.type_hint) for r in pages.assets(df, "i", "u", "h", 5).collect()] == [("http://h.org/a.pdf", "pdf"), ("b", "html")]
     assert pages.readable("<nav>m</nav><p>a &amp; b</p><script>x</script>c") == "a & b\nc"
+
+
+def test_runs_end_and_the_schema_card_tells_values_and_notes(spark, tmp_path):
+    from tidemark.sources.zone import schema_card
+
+    log = EvidenceLog(spark, str(tmp_path / "log"))
+    assert log.get("none") is None
+    run = log.start("q?")
+    assert log.get(run)["answer"] is None and log.get(run)["n"] == 0
+    log.record(run, [("search", {"a": 1})])
+    log.finish(run, "first", "failed")
+    log.finish(run, "second")
+    got = log.get(run)
+    assert (got["answer"], got["verdict"], got["n"], got["results"]) == ("second", "passed", 1, [{"tool": "search", "payload": {"a": 1}}])
+    facts = spark.createDataFrame([(dt.date(2021, 1, 1), "TL", f"k{i}") for i in range(30)] + [(None, None, None)], "period date, currency string, key string")
+    notes = spark.createDataFrame([("d", "old", dt.date(2020, 1, 1), dt.date(2020, 2, 1)), ("d", "new", dt.date(2020, 3, 1), dt.date(2020, 4, 1))], "dataset string, footnote string, first_period date, last_period date")
+    card = schema_card(spark, {"facts": facts}, notes)
+    assert "31 rows, 2021-01-01 to 2021-01-01" in card and "currency: TL" in card and "key:" not in card and "2020-04-01: new" in card and "old" not in card

@@ -199,3 +199,12 @@ def hard_bounds(spark, sf_dir):
     right = orders.where("o_orderkey % 13 <> 0").groupBy(F.lit("all").alias("g"), "period").agg(F.sum("o_totalprice").alias("right_value"))
     found = analytics.reconcile(left, right, ["g"], (-9.0, -5.0))
     return found.select("period", F.round("divergence_pct", 6).alias("divergence_pct"), "out_of_band")
+
+
+@query("SELECT * FROM (VALUES ('listed_nation', 'n_name', 'string'), ('listed_nation', 'n_nationkey', 'int'), ('listed_nation', 'n_regionkey', 'int'), ('listed_region', 'r_name', 'string'), ('listed_region', 'r_regionkey', 'int')) t(table_name, column_name, type)")
+def listed_tables(spark, sf_dir):
+    """The tables of a session and their columns, as its own statements list them."""
+    for name in ("nation", "region"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"listed_{name}")
+    found = [(r.tableName, c.col_name, c.data_type.replace("bigint", "int")) for r in spark.sql("SHOW TABLES LIKE 'listed_*'").collect() for c in spark.sql(f"DESCRIBE TABLE {r.tableName}").collect()]
+    return spark.createDataFrame(found, "table_name string, column_name string, type string")

@@ -20,7 +20,7 @@ SURFACES = {
     1: (2.74, -18.83, -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
     2: (0.92, -18.86, -2.62, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
 }
-SCHEMA = "n_obs int, adf_target double, adf_predictor double, differenced boolean, cointegration_p double, lag int, p_forward double, p_backward double, effect_forward double, effect_backward double, correlation double, verdict string"
+SCHEMA = "n_obs int, adf_target double, adf_predictor double, differenced boolean, cointegration_p double, lag int, p_forward double, p_backward double, effect_forward double, effect_backward double, correlation double, verdict string, reason string"
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -109,10 +109,18 @@ def granger(values: np.ndarray, lags: int) -> tuple[float, float]:
     return f_tail((short - full) / lags / (full / free), lags, free) if full > 0 and free > 0 else 0.0, float(b[2::2].sum())
 
 
-def test_pair(target: np.ndarray, predictor: np.ndarray, max_lag: int = 6) -> dict | None:
-    """All results for one aligned pair; None below LEAST points or for a constant series."""
-    if len(target) < LEAST or target.std() == 0 or predictor.std() == 0:
-        return None
+def untestable(target: np.ndarray, predictor: np.ndarray) -> str | None:
+    """Why an aligned pair cannot be tested, or None."""
+    if len(target) < LEAST:
+        return f"{len(target)} aligned values; {LEAST} are needed"
+    still = [name for name, x in (("target", target), ("predictor", predictor)) if x.std() == 0]
+    return f"the {' and the '.join(still)} never varies" if still else None
+
+
+def test_pair(target: np.ndarray, predictor: np.ndarray, max_lag: int = 6) -> dict:
+    """All results for one aligned pair, or n_obs and the reason why there are none."""
+    if why := untestable(target, predictor):
+        return dict(n_obs=len(target), reason=why)
     both = np.column_stack([target, predictor]).astype(float)
     roots = [unit_root_p(dickey_fuller(both[:, i])) for i in (0, 1)]
     differenced = max(roots) > 0.05
@@ -129,7 +137,8 @@ def test_pair(target: np.ndarray, predictor: np.ndarray, max_lag: int = 6) -> di
 
 
 def granger_pairs(df: DataFrame, keys: list[str], target: str, predictor: str, max_lag: int = 6, period: str = "period") -> DataFrame:
-    """One row per pair of series in a long table of aligned columns; pairs that cannot be tested are left out.
+    """One row per pair of series in a long table of aligned columns. Pairs that cannot be tested have nulls and
+    a reason: too few aligned values, or a series that never varies.
 
     Raises where a pair has a period twice.
     """
@@ -141,6 +150,7 @@ def granger_pairs(df: DataFrame, keys: list[str], target: str, predictor: str, m
             raise ValueError("a period occurs twice")
         known = pdf.replace([np.inf, -np.inf], np.nan).dropna(subset=[target, predictor]).sort_values(period)
         got = test_pair(known[target].to_numpy(float), known[predictor].to_numpy(float), max_lag)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **got}] if got else [], columns=[*keys, *names])
+        row = dict.fromkeys(names) | {k: pdf[k].iloc[0] for k in keys} | got
+        return pd.DataFrame({c: pd.Series([row[c]], dtype=object) for c in [*keys, *names]})
 
     return df.select(*keys, period, target, predictor).groupBy(*keys).applyInPandas(one, f"{fields}, {SCHEMA}")

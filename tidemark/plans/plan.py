@@ -190,8 +190,8 @@ class Executor:
             a.line(step.against)
             pair = a.frame.select("period", F.lit("pair").alias("key"), F.col(step.column).alias("target"), F.col(step.against).alias("predictor"))
             row = causality.granger_pairs(pair, ["key"], "target", "predictor").first()
-            if row is None:
-                raise Refused(f"{causality.LEAST} aligned values that vary are needed")
+            if row is None or row.reason:
+                raise Refused(row.reason if row else "the table has no rows")
             found = row.asDict()
         out.facts.append({"op": step.operation, "column": step.column, "result": found})
 
@@ -201,7 +201,10 @@ class Executor:
         out.facts.append({"op": "find_periods", "column": step.column, "periods": [str(r.period) for r in hits]})
 
     def _chart(self, step, out, window):
-        out.facts.append({"op": "chart", "chart": out.artifact.chart(list(step.columns) or None, step.kind or "line")})
+        columns = list(step.columns) or list(out.artifact.lines)
+        # Breaks that an earlier step found in a charted column are marked.
+        breaks = sorted({str(r["period"]) for f in out.facts if f["op"] == "changepoint" and f["column"] in columns for r in f["result"]})
+        out.facts.append({"op": "chart", "chart": out.artifact.chart(columns, step.kind or "line", tuple(breaks))})
 
     def _footnotes(self, step, out, window):
         out.facts.append({"op": "footnotes", "notes": self._tool("footnotes")(step.dataset)})

@@ -121,6 +121,7 @@ class EvidenceLog:
 
     RECORDS = "run_id STRING, position INT, tool STRING, payload STRING, recorded_at STRING"
     RUNS = "run_id STRING, question STRING, started_at STRING"
+    ENDS = "run_id STRING, answer STRING, verdict STRING, finished_at STRING"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -137,23 +138,52 @@ class EvidenceLog:
         rows = [(run_id, i, tool, json.dumps(payload, default=str, ensure_ascii=False), now) for i, (tool, payload) in enumerate(results)]
         self.spark.createDataFrame(rows, self.RECORDS).coalesce(1).write.mode("append").parquet(f"{self.root}/records")
 
+    def finish(self, run_id: str, answer: str, verdict: str = "passed") -> None:
+        """Appends what a run ended with; the last end of a run counts."""
+        row = [(run_id, answer, verdict, time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + f".{time.time_ns() % 10**9:09d}")]
+        self.spark.createDataFrame(row, self.ENDS).coalesce(1).write.mode("append").parquet(f"{self.root}/ends")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(str(path)) if there else self.spark.createDataFrame([], schema)
+
     def runs(self) -> DataFrame:
-        """Runs with the number of their results."""
-        counts = self.spark.read.schema(self.RECORDS).parquet(f"{self.root}/records").groupBy("run_id").agg(F.count("*").alias("n"))
-        return self.spark.read.schema(self.RUNS).parquet(f"{self.root}/runs").join(counts, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        """Runs with the number of their results, and what they ended with; null for runs that have not ended."""
+        counts = self._read("records", self.RECORDS).groupBy("run_id").agg(F.count("*").alias("n"))
+        ends = self._read("ends", self.ENDS).groupBy("run_id").agg(F.max_by(F.struct("answer", "verdict", "finished_at"), "finished_at").alias("e")).select("run_id", "e.*")
+        return self._read("runs", self.RUNS).join(counts, "run_id", "left").join(ends, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    def get(self, run_id: str) -> dict | None:
+        """A run with its results, or None if there is no such run."""
+        row = self.runs().where(F.col("run_id") == run_id).first()
+        return None if row is None else row.asDict() | {"results": self.results(run_id)}
 
     def results(self, run_id: str) -> list[dict]:
         """The results of one run in order."""
-        rows = self.spark.read.schema(self.RECORDS).parquet(f"{self.root}/records").where(F.col("run_id") == run_id).orderBy("recorded_at", "position").collect()
+        rows = self._read("records", self.RECORDS).where(F.col("run_id") == run_id).orderBy("recorded_at", "position").collect()
         return [{"tool": r.tool, "payload": json.loads(r.payload)} for r in rows]
 
 
-def schema_card(spark: SparkSession, tables: dict[str, DataFrame]) -> str:
-    """A text that tells what can be queried: columns, and the span of tables with a period."""
+def schema_card(spark: SparkSession, tables: dict[str, DataFrame], footnotes: DataFrame | None = None, few: int = 12) -> str:
+    """A text that tells what can be queried: columns, the span of tables with a period, the values of text
+    columns that have a ``few`` of them at most, and the newest notes of each dataset.
+
+    Each table is aggregated once for its span and its number of values, and once for the values of the
+    columns found to have few.
+    """
     lines = []
     for name, df in sorted(tables.items()):
         lines.append(f"## {name}\n" + ", ".join(f"{c} {t}" for c, t in df.dtypes))
-        if "period" in df.columns:
-            r = df.agg(F.min("period").alias("a"), F.max("period").alias("b"), F.count("*").alias("n")).first()
-            lines.append(f"{r.n} rows, {r.a} to {r.b}")
+        texts = [c for c, t in df.dtypes if t == "string"]
+        span = [F.min("period").alias("__a"), F.max("period").alias("__b")] if "period" in df.columns else []
+        r = df.agg(F.count("*").alias("__n"), *span, *(F.approx_count_distinct(c).alias(c) for c in texts)).first()
+        lines.append(f"{r['__n']} rows" + (f", {r['__a']} to {r['__b']}" if span else ""))
+        small = [c for c in texts if 0 < r[c] <= few]
+        if small:
+            values = df.agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in small)).first()
+            lines += [f"{c}: {', '.join(values[c])}" for c in small]
+    if footnotes is not None:
+        newest = footnotes.groupBy("dataset").agg(F.max_by(F.struct("footnote", "first_period", "last_period"), "last_period").alias("f")).orderBy("dataset").collect()
+        lines += ["## notes", *(f"{r.dataset}, {r.f.first_period} to {r.f.last_period}: {r.f.footnote}" for r in newest)]
     return "\n".join(lines) + "\n"
