@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html, jaccard, language, media, mixing, oracles, pii, quality, secrets
+from tidemark.llm import ann, audit, bpe, html, jaccard, language, lexical, media, mixing, oracles, pii, quality, rules, secrets
 from tidemark.llm.common import held_out, materialize, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 QUALITY_THRESHOLD = 0.3
+#: The least probability of a good text that the quality rules keep.
+RULES_THRESHOLD = 0.3
 MIX_WEIGHTS = {"domain": {"domain0": 0.3, "domain1": 0.3, "domain2": 0.25, "domain3": 0.15}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
 
 
@@ -86,11 +88,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.learn(docs))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How five filters interact in every order of them, by source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of the highest scores for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; like the classifier's, its held-out fold is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = rules.learn(docs, table(spark, sf_dir, "labels"), lambda i: ~held_out(i, 5, 0))
+    return rules.judge(docs, model, RULES_THRESHOLD)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_bpe, op4_html, op5_mixing, op6_jaccard, op7_language, op8_media, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_bpe, op4_html, op5_mixing, op6_jaccard, op7_language, op8_media, op9_pii, op10_secrets, op11_audit, op12_lexical, op13_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op5_mixing": oracles.mixing(MIX_WEIGHTS["domain"], MIX_WEIGHTS["lang"], 0.6, 4, 17), "op6_jaccard": oracles.JACCARD}
+    return {"op5_mixing": oracles.mixing(MIX_WEIGHTS["domain"], MIX_WEIGHTS["lang"], 0.6, 4, 17), "op6_jaccard": oracles.JACCARD, "op11_audit": oracles.AUDIT, "op12_lexical": oracles.LEXICAL}
