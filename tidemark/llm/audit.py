@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import broadcast_if_few, materialize
 
 #: Names of the filters, in the order of the mask's bits.
 FILTERS = "ABCDE"
@@ -71,6 +71,7 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     mask = sum((F.when(fails, 1 << i).otherwise(0) for i, fails in enumerate(failures(F.col(text_col)))), F.lit(0))
     facts = materialize(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("__part"), F.unhex(F.sha2(text, 256)).alias("__digest"), mask.alias("__alone")))
     first = facts.groupBy(F.col("__digest").alias("__same")).agg(F.count("*").alias("__rows"), F.min("__id").alias("__first")).where("__rows > 1").drop("__rows")
+    first = broadcast_if_few(first)  # a written table, so that beyond it both sides meet as bare exchanges, which can be split
     later = F.coalesce(F.col("__id") > F.col("__first"), F.lit(False))
     return facts.join(first, F.col("__digest") == F.col("__same"), "left").select("__id", "__part", (F.col("__alone") + F.when(later, 16).otherwise(0)).alias("__mask"))
 
