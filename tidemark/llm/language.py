@@ -153,15 +153,20 @@ def train(texts: list[str], langs: list[str], seed: int = 5, epochs: int = 4, pe
     return Model(names, contributions, bias, float(temperature), float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0)
 
 
-def learn(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most_langs: int = 4000, most_chars: int = 20_000, seed: int = 5) -> Model:
+def learn(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most_langs: int = 4000, most_chars: int = 20_000, most_texts: int = 40_000, total_chars: int = 64_000_000, seed: int = 5) -> Model:
     """Trains on at most ``per_lang`` texts of each language: those rows with a language, a text and
     ``usable(id)`` whose ids hash lowest. Of a longer text a window of ``most_chars`` characters at a
-    seeded place is learned from. No language is left out: more than ``most_langs`` raise an error."""
+    seeded place is learned from. No language is left out: more than ``most_langs`` raise an error.
+
+    What the driver gets is bounded over all languages together: with many of them each has fewer texts, so that
+    there are ``most_texts`` at most, and their windows are shorter, so that there are ``total_chars`` at most."""
     known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("k"), F.length(text_col).alias("c")).where(F.col("k").isNotNull() & F.col("i").isNotNull() & (F.col("c") > 0) & usable(F.col("i"))).select("i", "k")
     order = F.xxhash64(F.lit(seed), "i")
     counts = {r.k: r.n for r in known.groupBy("k").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
     if len(counts) > most_langs:
         raise ValueError(f"{lang_col} has more than {most_langs} values")
+    per_lang = min(per_lang, max(1, most_texts // max(1, len(counts))))
+    most_chars = min(most_chars, max(1, total_chars // max(1, per_lang * len(counts))))
     # A hash threshold per language keeps some 1.5 times what is wanted; the sort then sees only those.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_lang / n + 50 / n))]) if counts else F.lit(None).cast("map<string,double>")
     few = known.where(F.pmod(order, F.lit(1 << 30)) < share[F.col("k")] * (1 << 30))

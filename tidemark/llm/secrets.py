@@ -133,11 +133,15 @@ def find(text: str, models: Models | None) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if models is not None:
-        base = sorted((s, e) for s, _, e in spans)
+        # Both lists go forward: base spans by start, with the furthest end so far, and tokens, which do not overlap.
+        base, i, reached, added = sorted((s, e) for s, _, e in spans), 0, -1, []
         for m in TOKEN.finditer(text):
-            token = m.group()
-            if not any(s < m.end() and m.start() < e for s, e in base) and models.random(token):
-                spans.append((m.start(), 3, m.end()))
+            while i < len(base) and base[i][0] < m.end():
+                reached = max(reached, base[i][1])
+                i += 1
+            if reached <= m.start() and models.random(m.group()):
+                added.append((m.start(), 3, m.end()))
+        spans += added
     return sorted(spans)
 
 
