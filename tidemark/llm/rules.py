@@ -106,6 +106,7 @@ def word_grams(words: Runs) -> tuple[np.ndarray, np.ndarray]:
     pair = np.flatnonzero(words.text[1:] == words.text[:-1])
     with np.errstate(over="ignore"):
         pairs = hashes[pair] * FACTORS[1] + hashes[pair + 1] * FACTORS[2]
+    pairs[hashes[pair] == hashes[pair + 1]] = 1  # a word twice in a row is one pair, whatever the word
     return np.concatenate([words.text, words.text[pair]]), np.concatenate([mixed(hashes), mixed(pairs)])
 
 
@@ -156,23 +157,28 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -30, 30))), 9)
 
 
+#: Bytes of a slab of training texts, whose grams take some hundred times as much.
+TRAINING_SLAB = 1 << 17
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of training texts: (text, place, share of the text's grams), places of strings behind those of words."""
-    rows, places, shares = [], [], []
-    for slab in slabs(pa.array(texts, pa.string())):
+    """Of training texts: where each one's grams begin, the grams' places, those of strings behind those of
+    words, and the share of the text's grams that each is."""
+    lengths, places, shares = [np.zeros(1, np.int64)], [], []
+    for slab in slabs(pa.array(texts, pa.string()), TRAINING_SLAB):
         text, place = word_grams(runs(slab, WORD))
-        grams = [(text, place, np.zeros(len(text), np.int64))]
+        grams = [(text << (BITS + 1)) | place]
         of = np.repeat(np.arange(len(slab)), np.diff(slab.offsets))
         for _, place, whole in byte_grams(slab):
-            grams.append((of[: len(place)][whole], place[whole], np.ones(int(whole.sum()), np.int64)))
-        text, place, kind = (np.concatenate(x) for x in zip(*grams, strict=True))
-        totals = np.bincount(text * 2 + kind, minlength=2 * len(slab))
-        key, count = np.unique((text << (BITS + 1)) | (kind << BITS) | place, return_counts=True)
+            grams.append((of[: len(place)][whole] << (BITS + 1)) | (1 << BITS) | place[whole])
+        key, count = np.unique(np.concatenate(grams), return_counts=True)
         of, where = key >> (BITS + 1), key & ((1 << (BITS + 1)) - 1)
-        rows.append(of + slab.first)
-        places.append(where)
-        shares.append(count / totals[of * 2 + (where >> BITS)])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, places, shares))
+        group = of * 2 + (where >> BITS)
+        lengths.append(np.bincount(of, minlength=len(slab)))
+        places.append(where.astype(np.int32))
+        shares.append((count / np.bincount(group, count, 2 * len(slab))[group]).astype(np.float32))
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return np.cumsum(np.concatenate(lengths)), join(places, np.int32), join(shares, np.float32)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 2.0, batch: int = 64, decay: float = 1e-6, seed: int = 13) -> Model:
@@ -182,10 +188,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 2
     weights, bias = np.zeros(2 << BITS), float(np.log(prior / (1 - prior)))
     if len(set(labels)) < 2:
         return Model(weights[: 1 << BITS], weights[1 << BITS :], bias)
-    rows, places, shares = features(texts)
-    order = np.argsort(rows, kind="stable")
-    rows, places, shares = rows[order], places[order], shares[order]
-    bounds = np.searchsorted(rows, np.arange(len(y) + 1))
+    bounds, places, shares = features(texts)
     rng = np.random.default_rng(seed)
     aside = np.zeros(len(y), bool)
     aside[rng.permutation(len(y))[: max(2, len(y) // 5)]] = True
@@ -226,8 +229,9 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2400, most_chars: int = 20_000, seed: int = 13) -> Model:
-    """Trains on at most ``sample_rows`` labelled rows for which ``usable(id)`` holds, texts of up to ``most_chars``.
+def learn(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1600, most_chars: int = 10_000, total_chars: int = 4_000_000, seed: int = 13) -> Model:
+    """Trains on at most ``sample_rows`` labelled rows for which ``usable(id)`` holds, texts of up to ``most_chars``,
+    and ``total_chars`` in all.
 
     Both labels get half of the rows where both have so many. Null labels and ids are left out; of contradictory
     labels the lower counts; of rows that repeat an id the least text. Without labels, the model is a constant.
@@ -238,8 +242,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
     chosen = known.where(F.col(mark) == 0).orderBy(*order).limit(sample_rows // 2).unionByName(known.where(F.col(mark) == 1).orderBy(*order).limit(sample_rows // 2))
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, most_chars))
     picked = narrow.join(F.broadcast(chosen), F.col("i") == F.col(key)).groupBy("i").agg(F.min("text").alias("text"), F.min(mark).alias(mark))
-    got = sorted((r.i, r.text, r[mark]) for r in picked.collect())
-    return train([g[1] for g in got], [g[2] for g in got], seed=seed)
+    got = sorted(picked.withColumn("o", F.xxhash64(F.lit(seed + 1), "i")).collect(), key=lambda r: (r.o, r.i))
+    upto = int(np.searchsorted(np.cumsum([len(r.text) for r in got]), total_chars, side="right"))
+    return train([r.text for r in got[:upto]], [r[mark] for r in got[:upto]], seed=seed)
 
 
 def judge(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
