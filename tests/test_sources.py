@@ -1,11 +1,16 @@
+import contextlib
 import datetime as dt
+import itertools
 import json
+import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels, pages
 from tidemark.sources import published
+from tidemark.sources.commits import CommitLog, Fenced, Landing, Late, fence
 from tidemark.sources.zone import EvidenceLog, Zone, verify
 from tidemark.streaming import landing
 
@@ -99,9 +104,14 @@ def test_zone_lands_and_is_seen_only_with_its_manifest(spark, tmp_path):
     query = landing.maintain(spark, f"file://{tmp_path}/zone", f"file://{tmp_path}/table", f"file://{tmp_path}/check")
     query.awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/table").count() == 2
-    zone._fs(f"file://{tmp_path}/zone/manifest/s1")[0].delete(zone._fs(f"file://{tmp_path}/zone/manifest/s1")[1], True)
-    assert zone.read("observations").isEmpty()
     assert zone.remove("s1") and not zone.remove("s1")
+    assert zone.read("observations").isEmpty() and zone.sources().isEmpty() and not zone.is_current("s1", "h1")
+    landing.maintain(spark, f"file://{tmp_path}/zone", f"file://{tmp_path}/table", f"file://{tmp_path}/check").awaitTermination(60)
+    assert not (tmp_path / "table" / "source_id=s1").exists()
+    zone.write("s1", "http://a", "h3", {"observations": obs})
+    assert zone.read("observations").count() == 2 and zone.is_current("s1", "h3")
+    landing.maintain(spark, f"file://{tmp_path}/zone", f"file://{tmp_path}/table", f"file://{tmp_path}/check").awaitTermination(60)
+    assert spark.read.parquet(f"file://{tmp_path}/table").count() == 2
 
 
 def test_verify_finds_scale_mismatch(spark):
@@ -116,26 +126,122 @@ def test_a_source_landed_again_is_seen_as_it_was_until_it_is_whole(spark, tmp_pa
     obs = lambda v: {"observations": spark.createDataFrame([("k", v)], "series_key string, value double")}
     seen = lambda: [r.value for r in zone.read("observations").collect()]
     zone.write("s", "u", "h1", obs(1.0))
-    place = Zone._place
+    stage = Zone._stage
 
     def failing(self, name, *rest):
-        if name == "manifest":
+        if name == "quality":
             assert seen() == [1.0]
             raise OSError("lost")
-        place(self, name, *rest)
+        stage(self, name, *rest)
 
-    monkeypatch.setattr(Zone, "_place", failing)
+    monkeypatch.setattr(Zone, "_stage", failing)
     with pytest.raises(OSError, match="lost"):
         zone.write("s", "u", "h2", obs(2.0))
     assert seen() == [1.0] and zone.is_current("s", "h1") and not zone.is_current("s", "h2")
     monkeypatch.undo()
     for v in (3.0, 4.0, 5.0):
+        begun = zone.read("observations")
         zone.write("s", "u", f"h{v}", obs(v))
         assert seen() == [v] and zone.sources().count() == 1
-    assert len(zone._versions("manifest", "s")) == len(zone._versions("observations", "s")) == 2
+        assert len(begun.collect()) == 1  # who has begun reads the version before
+    assert len(zone.versions("observations", "s")) == 5  # one landing failed halfway
+    assert zone.sweep() == [] and len(zone.versions("observations", "s")) == 5
+    assert len(Zone(spark, zone.root, retain=0).sweep()) == 3 and len(zone.versions("observations", "s")) == 2
+    assert len(Zone(spark, zone.root, lease=0).sweep()) == 1 and len(zone.versions("observations", "s")) == 1 and seen() == [5.0]
     assert zone.remove("s") and seen() == []
 
 
+def test_writers_of_one_source_at_once_leave_one_of_them(spark, tmp_path):
+    zone = Zone(spark, f"file://{tmp_path}/zone", retain=0)
+    frames = {v: {"observations": spark.createDataFrame([(f"k{i}", float(v)) for i in range(5)], "series_key string, value double")} for v in range(4)}
+    with ThreadPoolExecutor(4) as pool:
+        done = [pool.submit(zone.write, "s", "u", f"h{v}", frames[v], f"2024-01-01T00:00:0{v}") for v in frames]
+    late = [v for v, d in enumerate(done) if isinstance(d.exception(), Late)]
+    assert all(d.exception() is None or isinstance(d.exception(), Late) for d in done) and 3 not in late
+    assert [r.value for r in zone.read("observations").collect()] == [3.0] * 5
+    assert len(zone.versions("observations", "s")) == 1  # what was late or replaced is gone
+    with pytest.raises(Late):
+        zone.write("s", "u", "old", frames[0], "2023-01-01T00:00:00")
+    assert zone.is_current("s", "h3")
+
+
+class Writer:
+    """A writer that does one thing at a time: it puts its file in two halves, reads the log, writes the log, deletes."""
+
+    def __init__(self, log, folder, token, fetched):
+        self.log, self.folder, self.landing, self.fetched, self.outcome = log, folder, Landing(log, "s", token), fetched, None
+        self.steps = self._steps()
+
+    def _steps(self):
+        home = self.folder / self.landing.token
+        home.mkdir()
+        (home / "a").write_text(self.landing.token)
+        yield
+        (home / "b").write_text(self.landing.token)
+        yield
+        try:
+            for entry in self.landing.attempts({"version": self.landing.token, "fetched_at": self.fetched}, retain=0, newer=lambda theirs, ours: theirs["fetched_at"] > ours["fetched_at"]):
+                yield
+        except (Late, Fenced) as e:
+            self.outcome = type(e)
+            shutil.rmtree(home, ignore_errors=True)
+            return
+        self.outcome = "landed"
+        for token in entry["expired"]:
+            shutil.rmtree(self.folder / token, ignore_errors=True)
+        yield
+
+    def step(self):
+        return next(self.steps, "end") == "end"
+
+
+def whole(log, folder):
+    """The version that a reader gets, its files being there and of one writer."""
+    current = log.latest("s")["current"]
+    if current:
+        assert {f.read_text() for f in (folder / current["version"]).iterdir()} == {current["version"]} and len(list((folder / current["version"]).iterdir())) == 2
+    return current and current["version"]
+
+
+def test_two_writers_and_a_reader_interleaved_at_every_step(spark, tmp_path):
+    for n, order in enumerate(itertools.product((0, 1), repeat=6)):
+        folder = tmp_path / f"run{n}"
+        folder.mkdir()
+        log = CommitLog(spark, f"file://{folder}/log")
+        writers = [Writer(log, folder, "1-old", "t1"), Writer(log, folder, "2-new", "t2")]
+        for who in (*order, *(0,) * 9, *(1,) * 9):
+            writers[who].step()
+            whole(log, folder)
+        assert writers[1].outcome == "landed" and writers[0].outcome in ("landed", Late)
+        assert whole(log, folder) == "2-new" and not (folder / "1-old").exists()
+        assert [log.files.read(log._path("s", i)) is not None for i in log.numbers("s")] and log.numbers("s") == list(range(1, len(log.numbers("s")) + 1))
+
+
+def test_a_fenced_writer_commits_before_or_never(spark, tmp_path):
+    for at in range(7):
+        folder = tmp_path / f"run{at}"
+        folder.mkdir()
+        log = CommitLog(spark, f"file://{folder}/log")
+        writer = Writer(log, folder, "1-slow", "t1")
+        for _ in range(at):
+            writer.step()
+        gone = fence(log, "s", ["1-slow"])
+        for token in gone:
+            shutil.rmtree(folder / token, ignore_errors=True)
+        with contextlib.suppress(FileNotFoundError):
+            while not writer.step():
+                whole(log, folder)
+        assert (whole(log, folder) == "1-slow") == (gone == []) == (writer.outcome == "landed")
+
+
+def test_an_entry_under_an_old_number_is_found_out(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log", kept=4)
+    for i in range(1, 9):
+        assert log.append("s", {"number": i, "source_id": "s", "current": {"version": str(i)}, "retired": [], "fenced": []})
+    assert log.numbers("s") == [5, 6, 7, 8] and not log.append("s", {"number": 8}) and not log.append("s", {"number": 3})
+    assert log.numbers("s") == [5, 6, 7, 8] and log.latest("s")["current"] == {"version": "8"}
+
+
 def test_evidence_log(spark, tmp_path):
     log = EvidenceLog(spark, f"file://{tmp_path}/log")
     run = log.start("q")

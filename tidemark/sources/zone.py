@@ -1,10 +1,10 @@
-"""The external zone: landed sources as Parquet directories, visible once their manifest is written.
+"""The external zone: landed sources as Parquet folders, visible once an entry of the commit log names them.
 
-Every landing of a source is a version: a directory under each table, its manifest written last. Readers
-take the newest manifest of a source and join on its version, so a half-landed source is never seen, and
-one that is landed again is seen as it was until the new version is whole. The version before the newest
-stays, for readers that have begun. Views are built inside each query, because a DataFrame keeps the
-file listing it was made with.
+A landing writes each table of its source below a token of its own and then commits: the log's next entry
+for that source, created only if absent, says which token is current (see `commits`). Readers take the newest
+entry of a source and join on its token, so a half-landed source is never seen, one that is landed again is
+seen as it was until the new version is whole, and two writers cannot mix. Views are built inside each query,
+because a DataFrame keeps the file listing it was made with.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.commits import CommitLog, Fenced, Files, Landing, Late, fence
+
+__all__ = ["DATA", "EvidenceLog", "Fenced", "Late", "SCHEMAS", "Zone", "schema_card", "verify"]
+
 SCHEMAS = {
     "series": "source_id STRING, series_key STRING, name STRING, unit STRING, temporal_semantics STRING, monthly_rule STRING, grain STRING",
     "observations": "source_id STRING, series_key STRING, period DATE, value DOUBLE",
@@ -23,50 +27,79 @@ SCHEMAS = {
     "quality": "source_id STRING, check_name STRING, passed BOOLEAN, detail STRING",
     "manifest": "source_id STRING, url STRING, content_sha256 STRING, fetched_at STRING, n_series BIGINT, n_observations BIGINT, version STRING",
 }
-
+#: An entry of the commit log; its current version is a manifest.
+ENTRY = f"number BIGINT, source_id STRING, kind STRING, current STRUCT<{SCHEMAS['manifest'].replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT')}>"
 
 DATA = ("series", "observations", "observations_native", "quality")
 
 
 class Zone:
-    """The zone at one folder of any file system Spark can write."""
+    """The zone at one folder of any file system Spark can write.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    ``retain`` is for how many seconds a replaced version stays for readers that have begun, ``lease`` after how
+    many a landing without a commit may be swept.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, retain: float = 3600.0, lease: float = 86400.0):
+        self.spark, self.root, self.retain, self.lease = spark, root.rstrip("/"), retain, lease
+        self.files, self.log = Files(spark), CommitLog(spark, f"{self.root}/log")
+
+    def _stage(self, name: str, source_id: str, token: str, frame: DataFrame) -> None:
+        """Writes a table of a landing; nothing reads it before the commit."""
+        frame.withColumn("version", F.lit(token)).write.parquet(f"{self.root}/{name}/{source_id}/{token}")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _place(self, name: str, source_id: str, version: str, frame: DataFrame) -> None:
-        """Writes beside the final place, which no other landing has, and renames: a reader sees all files or none."""
-        temporary = f"{self.root}/.landing/{uuid.uuid4().hex}"
-        frame.write.parquet(temporary)
-        fs, final = self._fs(f"{self.root}/{name}/{source_id}/{version}")
-        fs.mkdirs(final.getParent())
-        if not fs.rename(self._fs(temporary)[1], final):
-            raise OSError(f"could not move {temporary} to {final}")
-
-    def _versions(self, name: str, source_id: str) -> list[str]:
-        fs, p = self._fs(f"{self.root}/{name}/{source_id}")
-        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
-
-    def write(self, source_id: str, url: str, content_sha256: str, frames: dict[str, DataFrame], fetched_at: str | None = None) -> None:
-        """Lands a source: its tables, cast to their schemas, then the manifest. Missing columns are null, others
-        dropped. If it fails, the version landed before stays; versions older than that go."""
-        version, counts = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", {}
+    def write(self, source_id: str, url: str, content_sha256: str, frames: dict[str, DataFrame], fetched_at: str | None = None) -> str:
+        """Lands a source: its tables, cast to their schemas, then the commit. Missing columns are null, others
+        dropped. Returns the version. If it fails, the version landed before stays.
+
+        Where another writer has landed the source meanwhile, the content that was fetched later stays: this raises
+        `Late` if that is the other's. A landing that took longer than the lease and was swept raises `Fenced`.
+        """
+        landing, counts = Landing(self.log, source_id), {}
+        fetched_at = fetched_at or time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + f".{time.time_ns() % 10**9:09d}"
         for name in DATA:
             shaped = self.shaped(name, frames[name].withColumn("source_id", F.lit(source_id))) if name in frames else self.spark.createDataFrame([], SCHEMAS[name])
-            self._place(name, source_id, version, shaped.withColumn("version", F.lit(version)))
-            counts[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{source_id}/{version}").count()
-        row = (source_id, url, content_sha256, fetched_at or time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()), counts["series"], counts["observations"], version)
-        self._place("manifest", source_id, version, self.spark.createDataFrame([row], SCHEMAS["manifest"]).coalesce(1))
-        kept = self._versions("manifest", source_id)[-2:]
-        for name in ("manifest", *DATA):
-            for old in self._versions(name, source_id):
-                if old < kept[-1] and old not in kept:
-                    fs, p = self._fs(f"{self.root}/{name}/{source_id}/{old}")
-                    fs.delete(p, True)
+            self._stage(name, source_id, landing.token, shaped)
+            counts[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{source_id}/{landing.token}").count()
+        current = {"source_id": source_id, "url": url, "content_sha256": content_sha256, "fetched_at": fetched_at, "n_series": counts["series"], "n_observations": counts["observations"], "version": landing.token}
+        try:
+            entry = landing.commit(current, retain=self.retain, newer=lambda theirs, ours: theirs["fetched_at"] > ours["fetched_at"])
+        except (Late, Fenced):
+            self._forget(source_id, [landing.token])
+            raise
+        self._forget(source_id, entry["expired"])
+        return landing.token
+
+    def _forget(self, source_id: str, tokens: list[str]) -> None:
+        for name in DATA:
+            for token in tokens:
+                self.files.delete(f"{self.root}/{name}/{source_id}/{token}")
+
+    def versions(self, name: str, source_id: str) -> list[str]:
+        """The versions of a source whose files of a table are there, whatever their state."""
+        return self.files.names(f"{self.root}/{name}/{source_id}")
+
+    def sweep(self) -> list[str]:
+        """Deletes what no reader and no writer can need: retired versions past ``retain``, and landings that began longer
+        than ``lease`` ago and have not committed, which are fenced first. Landings under way stay. Returns what went."""
+        gone = []
+        for source_id in self.files.names(f"{self.root}/log") or []:
+            entry = self.log.latest(source_id)
+            if any(r["at"] <= time.time() - self.retain for r in entry["retired"]):
+                kept = [r for r in entry["retired"] if r["at"] > time.time() - self.retain]
+                if self.log.append(source_id, entry | {"number": entry["number"] + 1, "kind": "sweep", "retired": kept}):
+                    expired = [r["token"] for r in entry["retired"] if r not in kept]
+                    self._forget(source_id, expired)
+                    gone += expired
+        for source_id in sorted({s for name in DATA for s in self.files.names(f"{self.root}/{name}")}):
+            entry = self.log.latest(source_id)
+            used = {r["token"] for r in entry["retired"]} | ({entry["current"]["version"]} if entry["current"] else set())
+            old = {t for name in DATA for t in self.versions(name, source_id) if t not in used and int(t.split("-")[0]) <= time.time_ns() - self.lease * 1e9}
+            if old:
+                dead = fence(self.log, source_id, sorted(old))
+                self._forget(source_id, dead)
+                gone += dead
+        return gone
 
     def shaped(self, name: str, frame: DataFrame) -> DataFrame:
         """The frame with a table's columns and types; what cannot be cast is null."""
@@ -74,16 +107,18 @@ class Zone:
         return frame.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
 
     def read(self, name: str) -> DataFrame:
-        """A table of the newest version of every landed source, as of now."""
-        fs, p = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
+        """A table of the newest version of every landed source, as of now; a removed source has no rows."""
+        if name == "manifest":
+            if not self.files.names(f"{self.root}/log"):
+                return self.spark.createDataFrame([], SCHEMAS[name])
+            entries = self.spark.read.schema(ENTRY).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("ignoreMissingFiles", True).json(f"{self.root}/log")
+            return entries.groupBy("source_id").agg(F.max_by("current", "number").alias("m")).where("m IS NOT NULL").select("m.*")
+        if not self.files.names(f"{self.root}/{name}"):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        schema = SCHEMAS[name] if name == "manifest" else f"{SCHEMAS[name]}, version STRING"
-        found = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}")
-        if name != "manifest":
-            return found.join(self.read("manifest").select("source_id", "version"), ["source_id", "version"], "left_semi").drop("version")
-        newest = found.groupBy("source_id").agg(F.max_by(F.struct(*found.columns), "version").alias("m"))
-        return newest.select("m.*")
+        # The versions come first: a version committed after the files were listed would be named but not read.
+        newest = self.read("manifest").select("source_id", "version")
+        found = self.spark.read.schema(f"{SCHEMAS[name]}, version STRING").option("recursiveFileLookup", True).parquet(f"{self.root}/{name}")
+        return found.join(newest, ["source_id", "version"], "left_semi").drop("version")
 
     def sources(self) -> DataFrame:
         """Manifests, the newest first."""
@@ -91,15 +126,16 @@ class Zone:
 
     def is_current(self, source_id: str, content_sha256: str) -> bool:
         """Whether this content of a source has landed."""
-        return not self.read("manifest").where((F.col("source_id") == source_id) & (F.col("content_sha256") == content_sha256)).isEmpty()
+        current = self.log.latest(source_id)["current"]
+        return bool(current) and current["content_sha256"] == content_sha256
 
     def remove(self, source_id: str) -> bool:
-        """Removes a source, its manifest first; False if it was not there."""
-        there = False
-        for name in ("manifest", "series", "observations", "observations_native", "quality"):
-            fs, p = self._fs(f"{self.root}/{name}/{source_id}")
-            there = bool(fs.delete(p, True)) or there
-        return there
+        """Removes a source by an entry without a version; False if there was none. Its files go when their time is up."""
+        if not self.log.latest(source_id)["current"]:
+            return False
+        entry = Landing(self.log, source_id).commit(None, retain=self.retain)
+        self._forget(source_id, entry["expired"])
+        return True
 
 
 def verify(landed: DataFrame, corpus: DataFrame, tolerance: float = 0.005) -> DataFrame:
