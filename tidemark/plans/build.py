@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels
 from tidemark.operators import analytics, quality, series
+from tidemark.shared import materialize
 from tidemark.sources import published
 
 KEYS = ["dataset", "entity_key", "metric", "currency"]
@@ -97,17 +98,22 @@ def entities(observations: DataFrame) -> DataFrame:
 
 
 def monthly(spark: SparkSession, datasets: list[Dataset], lifecycles: DataFrame | None = None) -> tuple[dict[str, DataFrame], list[Check]]:
-    """The monthly tables of all datasets and their checks."""
-    read = [published.read_tables(spark, d.path, d.name, d.unit, d.semantics, d.hierarchy, d.entity_type) for d in datasets]
-    observations = with_flows(reduce(DataFrame.unionByName, read))
-    checks = [Check(f"layout of {d.name}", published.check_tables(spark, d.path, d.unit)) for d in datasets]
+    """The monthly tables of all datasets and their checks.
+
+    The archive is parsed once: its rows as published, and the observations made of them, are written to the shared
+    folder, and every table and check reads those.
+    """
+    parsed = [materialize(published.table_rows(spark, d.path)) for d in datasets]
+    read = [published.read_tables(spark, d.path, d.name, d.unit, d.semantics, d.hierarchy, d.entity_type, rows) for d, rows in zip(datasets, parsed, strict=True)]
+    observations = materialize(with_flows(reduce(DataFrame.unionByName, read)))
+    checks = [Check(f"layout of {d.name}", published.check_tables(spark, d.path, d.unit, rows)) for d, rows in zip(datasets, parsed, strict=True)]
     checks += [
         Check("monthly keys occur once", published.check_keys(observations, ["period", *KEYS])),
         Check("monthly entities are published throughout", absent_periods(observations, lifecycles)),
         Check("monthly labels state true sums", label_identities(observations)),
         Check("year-to-date values have flows", quality.missing_flows(observations.where("temporal_semantics = 'cumulative_ytd'"), KEYS, "value", "value_flow")),
     ]
-    notes = reduce(DataFrame.unionByName, [published.read_notes(spark, d.path, d.name) for d in datasets])
+    notes = reduce(DataFrame.unionByName, [published.read_notes(spark, d.path, d.name, rows) for d, rows in zip(datasets, parsed, strict=True)])
     return {"observations": observations, "entities": entities(observations), "metrics": metric_catalogue(observations, ["dataset", "metric", "currency", "unit"]), "footnotes": notes}, checks
 
 
@@ -167,12 +173,17 @@ def agreement(pairs: DataFrame, keys: list[str], fine: str = "fine_value", coars
     return pairs.groupBy(*keys).agg(F.count(gap).alias("n_common"), F.max(gap).alias("largest"), F.coalesce(F.max(gap) <= tolerance, F.lit(False)).alias("agrees"))
 
 
-def write(spark: SparkSession, out: str, tables: dict[str, DataFrame], checks: list[Check]) -> str:
-    """Writes all tables as one build and returns its name, or raises ValidationError with the checks that stop it."""
-    report = evidence(checks).collect() if checks else []
+def enforce(report: list) -> None:
+    """Raises ValidationError with the checks of a report that stop a build."""
     failed = [r for r in report if r.stops and not r.passed]
     if failed:
         raise quality.ValidationError("; ".join(f"{r.check}: {r.n_failures} rows, such as {r.example}" for r in failed))
+
+
+def write(spark: SparkSession, out: str, tables: dict[str, DataFrame], checks: list[Check]) -> str:
+    """Writes all tables as one build and returns its name, or raises ValidationError with the checks that stop it."""
+    report = evidence(checks).collect() if checks else []
+    enforce(report)
     name = uuid.uuid4().hex
     for table, df in tables.items():
         df.write.parquet(f"{out}/builds/{name}/{table}")

@@ -29,7 +29,7 @@ WEEKLY = "request STRUCT<items: ARRAY<INT>>, table_html STRING"
 RETIRED = r"\(?\s*(\d{1,2})[./](\d{1,2})[./](\d{4})\s*(?:tarihinden itibaren|itibariyle|sonras)"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _json(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
 
 
@@ -53,19 +53,22 @@ def split_measure(field: Column, simple: Column, by_currency: Column) -> Column:
     return out
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
+def table_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The rows of monthly table files as published, one at least for each file: what `read_tables`, `check_tables` and
+    `read_notes` all derive from, so that a caller can write them once and give them to each."""
     raw = _json(spark, path, TABLE).withColumn("names", F.transform("Json.colModels", lambda m: m["name"]))
     parts = [F.regexp_extract("file", r"(\d{4})_(\d{2})", i).try_cast("int") for i in (1, 2)]
     return raw.select("file", "names", "success", labels.date_of(parts[0], parts[1], F.lit(1)).alias("period"), labels.caption_unit(F.col("Json.caption")).alias("stated_unit"), F.col("Json.uyari").alias("note"), F.posexplode_outer("Json.data.rows").alias("pos", "row"))
 
 
-def read_tables(spark: SparkSession, path: str, dataset: str, unit: str | None = None, semantics: str = "stock", hierarchy: str = "leading", entity_type: str = "item") -> DataFrame:
+def read_tables(spark: SparkSession, path: str, dataset: str, unit: str | None = None, semantics: str = "stock", hierarchy: str = "leading", entity_type: str = "item", rows: DataFrame | None = None, keep_file: bool = False) -> DataFrame:
     """Monthly tables of one dataset in long form: one row per period, entity, metric and currency.
 
     A ``leading`` parent comes before its italic children, a ``trailing`` one, in bold, after them. Cells
-    without a number are left out.
+    without a number are left out. ``rows`` are those of `table_rows` if they have been read; ``keep_file`` adds the
+    name of each row's file.
     """
-    rows = _rows(spark, path).where("row IS NOT NULL")
+    rows = (table_rows(spark, path) if rows is None else rows).where("row IS NOT NULL")
     at = lambda name: F.element_at("row.cell", F.array_position("names", name).cast("int"))
     rows = rows.select("file", "names", "period", "stated_unit", (F.col("pos") + 1).alias("row_position"), "row.cell", F.trim(at("Ad")).alias("label"), F.lower(F.trim(at("BasitFont"))).alias("font"))
     rows = rows.withColumn("d", labels.strip_decorations(F.col("label"))).withColumn("own_key", labels.slug(F.col("d.name")))
@@ -86,13 +89,14 @@ def read_tables(spark: SparkSession, path: str, dataset: str, unit: str | None =
     out = long.select(
         "period", F.lit(dataset).alias("dataset"), F.lit(entity_type).alias("entity_type"), labels.qualified(F.col("parent_key"), F.col("own_key")).alias("entity_key"), F.col("d.name").alias("entity_name"), "parent_key", "row_position", F.col("s.metric").alias("metric"), F.col("s.currency").alias("currency"),
         number(F.col("m.cell")).alias("value"), F.coalesce(F.col("d.unit"), F.col("stated_unit"), F.lit(unit).cast("string")).alias("unit"), F.lit(semantics).alias("temporal_semantics"), F.nullif(F.col("d.formula"), F.lit("")).alias("formula"), F.nullif(F.col("d.footnote"), F.lit("")).alias("footnote"),
+        *(["file"] if keep_file else []),
     )
     return out.where("value IS NOT NULL")
 
 
-def check_tables(spark: SparkSession, path: str, unit: str | None = None) -> DataFrame:
+def check_tables(spark: SparkSession, path: str, unit: str | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Files that report no success, have no rows or layout, no period in their name, or another unit than declared."""
-    rows = _rows(spark, path).groupBy("file", "success", "period", "stated_unit", "names").agg(F.count("row").alias("n"))
+    rows = (table_rows(spark, path) if rows is None else rows).groupBy("file", "success", "period", "stated_unit", "names").agg(F.count("row").alias("n"))
     layout = F.size(F.array_intersect("names", F.array(*map(F.lit, META[1:])))) == len(META) - 1
     why = F.when(~F.coalesce("success", F.lit(False)), "no success").when(F.col("n") == 0, "no rows").when(~F.coalesce(layout, F.lit(False)), "layout").when(F.col("period").isNull(), "no period")
     if unit:
@@ -105,18 +109,25 @@ def check_keys(observations: DataFrame, keys: list[str]) -> DataFrame:
     return observations.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def read_notes(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+def file_notes(rows: DataFrame, dataset: str) -> DataFrame:
+    """dataset, footnote, period and file of every file with a note, from the rows of `table_rows`."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("note", "<[^>]+>", " "), r"\s+", " "))
+    return rows.groupBy("file", "period").agg(F.first("note", True).alias("note")).select(F.lit(dataset).alias("dataset"), text.alias("footnote"), "period", "file").where("footnote <> ''")
+
+
+def note_spans(notes: DataFrame) -> DataFrame:
     """Each distinct note of a dataset with the span and number of periods it was published for."""
-    raw = _json(spark, path, TABLE)
-    text = F.trim(F.regexp_replace(F.regexp_replace("Json.uyari", "<[^>]+>", " "), r"\s+", " "))
-    period = labels.date_of(F.regexp_extract("file", r"(\d{4})_(\d{2})", 1).try_cast("int"), F.regexp_extract("file", r"(\d{4})_(\d{2})", 2).try_cast("int"), F.lit(1))
-    notes = raw.select(F.lit(dataset).alias("dataset"), text.alias("footnote"), period.alias("period")).where("footnote <> ''")
     return notes.groupBy("dataset", "footnote").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count("*").alias("n_periods"))
 
 
+def read_notes(spark: SparkSession, path: str, dataset: str, rows: DataFrame | None = None) -> DataFrame:
+    """The notes of a dataset's files with their spans."""
+    return note_spans(file_notes(table_rows(spark, path) if rows is None else rows, dataset))
+
+
 def read_provinces(spark: SparkSession, path: str, dataset: str, unit: str) -> DataFrame:
     """Quarterly tables by province and group in long form."""
-    rows = _rows(spark, path).where("row IS NOT NULL")
+    rows = table_rows(spark, path).where("row IS NOT NULL")
     at = lambda name: F.element_at("row.cell", F.array_position("names", name).cast("int"))
     rows = rows.select(at("EftKodu").try_cast("int").alias("group_code"), labels.date_of(at("Yil").try_cast("int"), at("Ay").try_cast("int"), F.lit(1)).alias("period"), F.trim(at("Sehir")).alias("province"), F.trim(at("Grup")).alias("group_name"), F.filter(F.arrays_zip("names", "row.cell"), lambda m: ~m["names"].isin(*PROVINCE_META)).alias("m"))
     long = rows.withColumn("m", F.explode("m"))
