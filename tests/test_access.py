@@ -39,6 +39,38 @@ def test_empty_and_null_texts(spark):
     assert access.quarter_starts(F.lit("2024-05-05").cast("date"), F.lit("2023-01-01").cast("date")) is not None
 
 
+def test_numbers_in_prose_are_read_as_written(spark):
+    told = {
+        "3.5": [3.5], "12.5%": [12.5], "%12,5": [12.5], "1,234.5": [1234.5], "1.234,5": [1234.5], "678.970": [678970.0], "1.234.567": [1234567.0], "1,234,567": [1234567.0], "2024-05": [], "2024-05-17'de": [], "05.03.2021 günü 7": [7.0],
+        "2021-2025 arası": [2021.0, 2025.0], "-%52,2": [52.2], "-3,25 puan": [-3.25], "(-4)": [-4.0], "0.5.": [0.5], "12,": [12.0], "1.2.3": [], "x1 v2.0": [], "1.5 milyon, 2 kez": [1.5, 2.0], "12345.678": [12345.678], "": [],
+    }
+    df = spark.createDataFrame(list(told.items()), "t string, want array<double>")
+    for r in df.select("t", "want", access.numbers_in_prose(F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r.t
+
+
+def test_only_claims_need_support(spark):
+    claims = spark.createDataFrame([(1, "60 ayda, 2021 yılında (202512) %80,2 daraldı"), (2, "245.3 oldu"), (3, "150 adet, 1.234"), (4, "100,04"), (5, None)], "k int, t string")
+    facts = spark.createDataFrame([(1, -80.21), (2, 245.34), (3, 900.0), (3, None), (4, 100.0)], "k int, v double")
+    assert sorted((r.k, r.number) for r in access.unsupported_numbers(claims, facts, "k", "t", "v").collect()) == [(3, 150.0), (3, 1234.0)]
+
+
+def test_search_text_keeps_first_spellings_in_order_and_is_fast(spark):
+    df = spark.createDataFrame([("Kredi KREDİ konut", "Konut kredi Çek cek")], "a string, b string")
+    assert df.select(access.search_text([F.col("a"), F.col("b")]).alias("s")).first().s == "Kredi konut Çek"
+    long = spark.range(1).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("w"), i % 15_000))).alias("t"))
+    assert len(long.select(access.search_text([F.col("t")]).alias("s")).first().s.split()) == 15_000
+
+
+def test_hierarchies_read_their_rows_once(spark):
+    rows = [("a", "top", 10.0), ("a", "x", 4.0), ("a", "y", 5.0), ("a", "x1", 1.0), ("a", "x2", None), ("b", "top", 3.0), ("b", "x", 3.0), ("c", "x", 1.0), ("c", "x1", 9.0), ("d", "top", 50.0), ("d", "top", 3.0), ("d", "y", 3.0)]
+    df = spark.createDataFrame(rows, "k string, code string, v double")
+    parent_of = spark.createDataFrame([("x", "top"), ("y", "top"), ("x1", "x"), ("x2", "x"), ("y", "other")], "code string, parent string")
+    found = quality.hierarchy_differences(df, ["k"], parent_of, "code", "v", absolute=0.5)
+    assert sorted((r.k, r.parent, r.parent_value, r.children_sum) for r in found.collect()) == [("a", "top", 10.0, 9.0), ("a", "x", 4.0, 1.0), ("c", "x", 1.0, 9.0), ("d", "top", 50.0, 3.0)]
+    assert found.columns == ["k", "parent", "parent_value", "children_sum", "difference"]
+
+
 def test_checks_on_empty_and_null_rows(spark):
     none = spark.createDataFrame([], "k string, label string, v double, t double, f double, c int")
     assert quality.risk_weight_differences(none, ["k"], "label", "v", "t").count() == quality.missing_flows(none, ["k"], "v", "f").count() == quality.broken_sequences(none, ["k"], "c").count() == 0

@@ -36,7 +36,8 @@ def test_a_sound_result_passes_everything(spark):
         ([(1, 1.0)], {"loans": Line("loans", Quantity("stock", None))}, {"columns_have_units"}),
         ([(1, 1.0)], {"loans": Line("loans", Quantity(unit="adet"))}, {"columns_have_semantics"}),
         ([(1, 1.0)], {"loans": Line("loans", Quantity("stock", "adet"), citation={"unit_verified": False})}, {"external_units_are_verified"}),
-        ([(1, 1.0)], {"gone": Line("gone", Quantity("rate", "%"), made=Made("change", ("nothing", "1")))}, {"derived_columns_keep_inputs"}),
+        ([(1, 1.0)], {"gone": Line("gone", Quantity("rate", "%"), made=Made("change", ("nothing",), ("1",)))}, {"derived_columns_keep_inputs"}),
+        ([(1, 1.0, 2.0)], {"loans": LOANS, "share": Line("share", Quantity("ratio", "%"), "monthly", made=Made("ratio", ("loans", "gone")))}, {"derived_columns_keep_inputs"}),
         ([(1, 1.0, 1.0)], {"loans": LOANS, "x": Line("x", Quantity("stock", "bin TL"), "monthly")}, {"fetched_columns_are_cited", "amounts_share_a_unit"}),
         ([(1, 1.0, 1.0)], {"loans": LOANS, "fx": Line("fx", Quantity("rate", "TL"), "daily")}, {"fetched_columns_are_cited", "columns_have_one_grain"}),
         ([(m, float(m), 1.0 if m % 3 == 0 else None) for m in range(1, 13)], {"loans": LOANS, "q": Line("q", Quantity("stock", "adet"), "quarterly", made=Made("sum_columns", ("loans", "q")))}, {"columns_have_one_grain", "derived_columns_have_one_grain"}),

@@ -49,7 +49,9 @@ def test_headline_slices_flows_and_citations(spark, source):
     assert values(profit) == [10.0, 10.0, 10.0] and profit[1].quantity.kind == "flow"
     assert values(load(source, Step("fetch_series", key="profit", year_to_date=True))) == [10.0, 20.0, 30.0]
     assert values(load(source, Step("fetch_series", key="old", include_retired=True))) == [1.0]
-    for found in (loans, profit):
+    old = load(source, Step("fetch_series", key="old", include_retired=True))
+    limit = load(source, Step("fetch_series", key="loans", metric="limit", dataset="d"))
+    for found in (loans, profit, old, limit):
         assert [r.value for r in spark.sql(findings.reproducing_sql(found[1].citation)).collect()] == values(found)
 
 
@@ -68,6 +70,35 @@ def test_regions_are_summed_named_or_refused(spark, regional):
             load(regional, step)
 
 
+def test_every_citation_of_regions_reads_the_rows_that_were_summed(spark):
+    day = dt.date(2024, 3, 1)
+    names = ["İSTANBUL", "Istanbul", "ANKARA", None, "YURT DIŞI", "Yurt Dışı", "KIBRIS", "it's"]
+    rows = [(d, k, f"name {d}", r, 10.0**i * f, None if d < day or k == "live" else dt.date(2024, 1, 1), "TL", "stock") for i, r in enumerate(names) for d, f in ((day, 1), (dt.date(2024, 6, 1), 2)) for k in ("live", "mixed")]
+    facts = spark.createDataFrame(rows, "period date, entity_key string, entity_name string, province string, value double, retired_on date, unit string, temporal_semantics string")
+    facts.createOrReplaceTempView("loading_abroad")
+    source = Source(facts, "loading_abroad", metric=None, currency=None, dataset=None, region="province", abroad=("yurt disi", "Kıbrıs"), retired="retired_on")
+    for step, want in (
+        (Step("fetch_series", key="live"), [10001111.0, 20002222.0]), (Step("fetch_series", key="live", region="istanbul"), [1.0, 10.0, 2.0, 20.0]), (Step("fetch_series", key="live", region="It's"), [1e7, 2e7]),
+        (Step("fetch_series", key="mixed", include_retired=True), [10001111.0, 20002222.0]),
+    ):
+        found, line = load(source, step)
+        told = [(r.period, r.value) for r in spark.sql(findings.reproducing_sql(line.citation)).collect()]
+        assert sorted(told) == sorted((r.period, r.value) for r in found.collect()) and sorted(v for _, v in told) == sorted(want)
+        assert line.label == "name 2024-06-01"
+    with pytest.raises(Refused, match="retired"):
+        load(source, Step("fetch_series", key="mixed"))
+
+
+def test_loading_takes_one_job_for_what_it_chooses(spark, source, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    ran = []
+    for name in ("collect", "first", "head", "isEmpty", "count", "take", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, real=getattr(DataFrame, name), name=name, **k: ran.append(name) or real(self, *a, **k))
+    load(source, Step("fetch_series", key="loans"))
+    assert ran == ["collect"]
+
+
 def test_a_plan_over_sources_repairs_keys_and_never_substitutes(spark, source, regional):
     index = spark.createDataFrame([("m", "loans", "krediler", "", "milyon TL", "stock", "monthly", None, 0)], "source string, key string, name string, context string, unit string, semantics string, grain string, tier int, depth int")
     plan, dropped = parse({"steps": [{"op": "discover", "query": "krediler"}, {"op": "fetch_series", "source": "m", "key": "loans_total"}, {"op": "fetch_series", "source": "external", "key": "loans"}, {"op": "fetch_series", "source": "r", "key": "loans", "region": "Ankara", "name": "ankara"}]})

@@ -61,6 +61,33 @@ def test_sql_guard(spark):
             run_sql(spark, bad, t)
 
 
+def test_sql_guard_knows_functions_by_the_plan(spark):
+    from tidemark.functions import registry
+    from tidemark.plans.sqlguard import Expectation, run_all
+
+    t = {"facts": frame(spark, range(5))}
+    outside = ("java_method", "reflect", "try_reflect", "input_file_name", "current_user", "uuid", "raise_error")
+    arguments = "'java.lang.System', 'getProperty', 'user.home'"
+    for bad in (
+        *(f"SELECT {f}({arguments}) FROM facts" for f in outside), f"select `java_method`({arguments})", f"select reflect/**/({arguments})", f"SELECT max(upper(JAVA_METHOD({arguments}))) OVER (PARTITION BY 1) FROM facts", f"SELECT builtin.reflect({arguments})", f"SELECT system.builtin.reflect({arguments})",
+        f"SELECT IDENTIFIER('reflect')({arguments})", "SELECT * FROM IDENTIFIER('secret')", f"SELECT transform(array(1), x -> reflect({arguments}))", f"SELECT * FROM facts WHERE EXISTS (SELECT reflect({arguments}))", f"SELECT * FROM facts LATERAL VIEW reflect({arguments}) v", "SELECT no_such_function(value) FROM facts", f"WITH c AS (SELECT reflect({arguments}) AS x) SELECT * FROM c",
+        f"SELECT * FROM VALUES (reflect({arguments})) AS v(x)", f"SELECT count(*) FROM facts GROUP BY reflect({arguments}) HAVING max(value) > 0", f"SELECT * FROM facts ORDER BY reflect({arguments})", f"SELECT * FROM facts a JOIN facts b ON a.value = reflect({arguments})", "SELECT * FROM sql_keywords()",
+    ):
+        with pytest.raises(Refused):
+            run_sql(spark, bad, t)
+    good = (
+        "SELECT count(*) AS n, sum(value) AS s, percentile(value, 0.5) AS p, max_by(value, period) AS m FROM facts", "SELECT lag(value) OVER (ORDER BY period) AS l, row_number() OVER (ORDER BY period) AS r FROM facts", "SELECT upper('a') || 'b' AS u, coalesce(NULL, 1) AS c, date_trunc('month', period) AS d, cast(value AS int) AS i FROM facts",
+        "SELECT transform(array(1, 2), x -> x + 1) AS t, to_json(named_struct('a', 1)) AS j, CASE WHEN value > 1 THEN 1 END AS k, value BETWEEN 1 AND 2 AS b, value IN (1, 2) AS i, try_divide(1, 0) AS z FROM facts", "SELECT x FROM facts LATERAL VIEW explode(array(1, 2)) v AS x", "SELECT * FROM range(3)", "SELECT current_date() AS d", "SELECT period FROM facts GROUP BY ALL",
+    )
+    assert all(run_sql(spark, sql, t).count() for sql in good)
+    registry.register(spark)
+    with pytest.raises(Refused, match="slug_text"):
+        run_sql(spark, "SELECT slug_text('A b') AS s", t)
+    assert run_sql(spark, "SELECT slug_text('A b') AS s", t, functions=("slug_text",)).first().s == "a_b"
+    said = {r.name: (r.met, r.why) for r in run_all(spark, {"rows": ("SELECT * FROM facts", Expectation((5, 5), ("value",))), "few": ("SELECT * FROM facts", Expectation((9, None))), "value": ("SELECT sum(value) AS s FROM facts", Expectation(values={"s": 1e9})), "near": ("SELECT 100.4 AS s, 'a' AS t", Expectation(values={"s": 100.0, "t": "a"}, tolerance=0.01)), "bad": ("DROP TABLE facts", Expectation())}, t).collect()}
+    assert said["rows"] == said["near"] == (True, None) and said["few"] == (False, "5 rows") and said["value"][1] == "s is never 1000000000.0" and not said["bad"][0]
+
+
 def test_failing_steps_do_not_stop_a_plan(loaded):
     out = Executor(loaded, discover=lambda q: [q]).run(Plan((Step("fetch_series", key="none"), Step("discover", query="q"), Step("fetch_series", key="loans"), Step("analyze", operation="anomaly", column="loans"), Step("analyze", operation="causality", column="loans", against="loans"))))
     assert len(out.failed) == 1 and [f["op"] for f in out.facts][:2] == ["discover", "anomaly"]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalog import orders_monthly, query
 from tidemark.functions import labels
 from tidemark.operators import analytics, quality, search, series
-from tidemark.plans import access
+from tidemark.plans import access, findings, loading
+from tidemark.plans.plan import Step
 from tidemark.session import table
 from tidemark.sources import published
 
@@ -153,15 +157,33 @@ def distinct_roots(spark, sf_dir):
     return search.distinct_roots(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query("SELECT o_orderkey, round(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 5000 ELSE 0 END, 2) AS number FROM orders WHERE o_orderkey % 3 = 0 AND 5000 > 0.005 * greatest(abs(o_totalprice), 1e-9)")
+@query("""SELECT o_orderkey, number FROM (SELECT o_orderkey, round(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 5000 ELSE 0 END, 2) AS number, o_totalprice FROM orders)
+WHERE abs(number - o_totalprice) > greatest(0.02 * o_totalprice, 0.05) AND NOT (number = floor(number) AND (abs(number) < 100 OR number BETWEEN 1900 AND 2100 OR number BETWEEN 190001 AND 210012 AND number % 100 BETWEEN 1 AND 12))""")
 def unsupported_numbers(spark, sf_dir):
-    """Numbers that sentences state and the facts do not bear out."""
+    """Numbers that sentences state, in several ways of writing them, and the facts do not bear out."""
     orders = table(spark, sf_dir, "orders")
     said = F.round(F.col("o_totalprice") + F.when(F.col("o_orderkey") % 3 == 0, 5000).otherwise(0), 2)
-    claims = orders.select("o_orderkey", F.concat(F.lit("toplam "), labels.format_number(said), F.lit(" TL oldu")).alias("claim"))
+    written = F.when(F.col("o_orderkey") % 4 == 0, labels.format_number(said)).when(F.col("o_orderkey") % 4 == 1, F.format_number(said, 2)).otherwise(F.format_string("%.2f", said))
+    claims = orders.select("o_orderkey", F.concat(F.lit("12 ayda, 2024-05 ve 2021 sonunda toplam "), written, F.lit(" TL, -%3 oldu")).alias("claim"))
     return access.unsupported_numbers(claims, orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "claim", "o_totalprice").withColumn("number", F.round("number", 2))
 
 
+@query("""WITH f AS (SELECT c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE n_name END AS region, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_mktsegment AS entity, round(sum(c_acctbal), 2) AS value FROM f WHERE region IS NULL OR region NOT IN ('NATION_3', 'NATION_7', 'NATION_11') GROUP BY 1""")
+def cited_national_sums(spark, sf_dir):
+    """What the statements give that national figures of a source cite: rows without a region count, those abroad do not."""
+    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    region = F.when(F.col("c_custkey") % 7 != 0, F.col("n_name"))
+    facts = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.to_date(F.lit("2024-01-01")).alias("period"), F.col("c_mktsegment").alias("entity_key"), F.col("c_mktsegment").alias("entity_name"), region.alias("region"), F.col("c_acctbal").alias("value"), F.lit("TL").alias("unit"), F.lit("stock").alias("temporal_semantics"))
+    facts.createOrReplaceTempView("cited_national_facts")
+    source = loading.Source(facts, "cited_national_facts", metric=None, currency=None, dataset=None, region="region", abroad=("Nation 3", "nation-7", "NATİON_11"))
+    parts = []
+    for segment in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"):
+        _, line = loading.load(source, Step("fetch_series", key=segment))
+        parts.append(spark.sql(findings.reproducing_sql(line.citation)).select(F.lit(segment).alias("entity"), F.round("value", 2).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'private' ELSE 'public' END AS canonical, c_nationkey, round(sum(c_acctbal), 2) AS c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY 1, 2")
 def crosswalk_side_sum(spark, sf_dir):
     """A side's values over the codes of each canonical sector."""

@@ -31,11 +31,23 @@ def outside_lifecycle(df: DataFrame, lifecycles: DataFrame, key: str, period: st
 
 
 def hierarchy_differences(df: DataFrame, keys: list[str], parent_of: DataFrame, code: str, value: str, absolute: float = 2.0, relative: float = 0.0005) -> DataFrame:
-    """Parents whose value differs from their children's sum by more than max(absolute, relative * |value|)."""
-    children = df.join(parent_of, code).groupBy(*keys, F.col("parent").alias("__parent")).agg(F.sum(value).alias("children_sum"))
-    parents = df.select(*keys, F.col(code).alias("__parent"), F.col(value).alias("parent_value"))
-    both = parents.join(children, [*keys, "__parent"]).withColumn("difference", F.col("parent_value") - F.col("children_sum"))
-    return both.where(F.abs("difference") > F.greatest(F.lit(absolute), relative * F.abs("parent_value"))).withColumnRenamed("__parent", "parent")
+    """Parents whose value differs from their children's sum by more than max(absolute, relative * |value|).
+
+    ``df`` is evaluated once: a row counts as a child of its parents and, if it is one, as a parent itself, and both
+    meet in one aggregate. Parents without a row, or without rows of children, are left out.
+    """
+    ups = parent_of.groupBy(F.col(code).alias("__node")).agg(F.collect_list("parent").alias("__ups"))
+    nodes = ups.join(parent_of.select(F.col("parent").alias("__node"), F.lit(True).alias("__is_parent")).distinct(), "__node", "full")
+    part = lambda node, child, own: F.struct(node.alias("node"), child.alias("child"), own.alias("own"))
+    # In a struct, so that a null value is still told apart from no row.
+    told, none = F.struct(F.col(value).alias("v")), F.lit(None).cast(f"struct<v:{df.schema[value].dataType.simpleString()}>")
+    own = F.filter(F.array(part(F.col(code), none, told)), lambda _: F.coalesce("__is_parent", F.lit(False)))
+    above = F.transform(F.coalesce("__ups", F.array().cast(f"array<{df.schema[code].dataType.simpleString()}>")), lambda p: part(p, told, none))
+    sides = df.join(nodes, F.col(code) == F.col("__node")).select(*keys, F.explode(F.concat(own, above)).alias("s")).select(*keys, F.col("s.node").alias("parent"), "s.child", "s.own")
+    sums = sides.groupBy(*keys, "parent").agg(F.collect_list("own").alias("__own"), F.sum("child.v").alias("children_sum"), F.count("child").alias("__n"))
+    both = sums.where("__n > 0").select(*keys, "parent", F.explode("__own").alias("__own"), "children_sum").select(*keys, "parent", F.col("__own.v").alias("parent_value"), "children_sum")
+    found = both.withColumn("difference", F.col("parent_value") - F.col("children_sum"))
+    return found.where(F.abs("difference") > F.greatest(F.lit(absolute), relative * F.abs("parent_value")))
 
 
 def formula_differences(df: DataFrame, keys: list[str], terms: DataFrame, position: str, value: str, absolute: float = 2.0, relative: float = 0.0005) -> DataFrame:

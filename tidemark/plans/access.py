@@ -98,7 +98,8 @@ def derived_share(rows: DataFrame, keys: list[str], part: str, whole: str, name:
 def expand_templates(catalogue: DataFrame, templates: DataFrame, region: str) -> DataFrame:
     """Derived series of a catalogue: every template (template_key, pattern with %s) for every region."""
     names = catalogue.select(region).where(F.col(region).isNotNull()).distinct()
-    pairs = names.withColumn("t", F.explode(F.array(*(F.struct(F.lit(r.template_key).alias("template_key"), F.lit(r.pattern).alias("pattern")) for r in templates.collect()))))
+    given = templates.agg(F.collect_list(F.struct("template_key", "pattern")).alias("__templates"))  # one row
+    pairs = names.crossJoin(given).withColumn("t", F.explode("__templates"))
     return pairs.select(F.concat_ws("_", "t.template_key", slug(F.col(region))).alias("series_key"), F.replace(F.col("t.pattern"), F.lit("%s"), F.col(region)).alias("series_name"))
 
 
@@ -108,11 +109,14 @@ def top_anomalies(scores: DataFrame, n: int = 6, z: str = "z_score", order: list
 
 
 def search_text(parts: list[Column]) -> Column:
-    """The words of several texts, each once in its first spelling, compared without case and accents."""
+    """The words of several texts, each once in its first spelling, compared without case and accents.
+
+    Words are folded once and sorted by what they fold to, so neighbours tell the first of each.
+    """
     words = F.filter(F.split(F.concat_ws(" ", *parts), r"\s+"), lambda w: w != "")
-    keyed = F.transform(words, lambda w, i: F.struct(fold(w).alias("k"), i.alias("i"), w.alias("w")))
-    firsts = F.filter(keyed, lambda x: F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == x["i"] + 1)
-    return F.array_join(F.transform(firsts, lambda x: x["w"]), " ")
+    keyed = F.array_sort(F.transform(words, lambda w, i: F.struct(fold(w).alias("k"), i.alias("i"), w.alias("w"))))
+    firsts = let(keyed, lambda k: F.filter(k, lambda x, i: (i == 0) | (x["k"] != F.get(k, i - 1)["k"])))
+    return F.array_join(F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))), lambda x: x["w"]), " ")
 
 
 def quarter_starts(first: Column, last: Column) -> Column:
@@ -167,16 +171,46 @@ def facts_with_index(facts: DataFrame, index: DataFrame, on: tuple[str, ...] = (
     return facts.join(rows, list(on))
 
 
+#: Days and months as digits, which state when and not how much: year first or day first.
+STAMPS = r"(?<![\w.,-])(?:[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![\w-]|[.,][0-9])"
+
+
 def numbers_in_prose(text: Column) -> Column:
-    """The numbers a sentence states, as doubles: thousands by point and decimals by comma, or plain."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.,])-?[0-9]+(?:\.[0-9]{3})*(?:,[0-9]+)?(?![\w])"), F.lit(0))
-    return F.transform(found, lambda t: F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).cast("double"))
+    """The numbers a sentence states, as doubles, however they are written.
+
+    Of two separators the last marks the decimals, if it comes once. A single comma does so too; a single point does
+    unless three digits follow each point and one to three lead, as in thousands. Other digits with several
+    separators state no number, nor do dates. A minus counts where it follows no word or digit.
+    """
+    found = F.regexp_extract_all(F.regexp_replace(text, STAMPS, " "), F.lit(r"(?<![\w.,])(?:(?<![\w)])-)?[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
+    def read(token: Column) -> Column:
+        points, commas = F.size(F.split(token, r"\.")) - 1, F.size(F.split(token, ",")) - 1
+        point_last = F.locate(".", F.reverse(token)) < F.locate(",", F.reverse(token))
+        without = lambda mark: F.replace(token, F.lit(mark), F.lit(""))
+        comma_decimal = F.replace(without("."), F.lit(","), F.lit("."))
+        grouped = lambda mark: token.rlike(f"^-?[0-9]{{1,3}}([{mark}][0-9]{{3}})+$")
+        both = F.when(point_last & (points == 1), without(",")).when(~point_last & (commas == 1), comma_decimal)
+        one = F.when(commas == 1, comma_decimal).when(commas > 1, F.when(grouped(","), without(","))).when(grouped("."), without(".")).when(points <= 1, token)
+        return F.when((points > 0) & (commas > 0), both).otherwise(one).try_cast("double")
 
-def unsupported_numbers(claims: DataFrame, facts: DataFrame, key: str, text: str, value: str, tolerance: float = 0.005) -> DataFrame:
-    """Numbers of a claim's text that none of its facts bears out, to a relative tolerance: an equi-join by
-    key and one aggregate, so a claim meets its own facts only."""
-    stated = claims.select(key, F.explode(F.array_distinct(numbers_in_prose(F.col(text)))).alias("number"))
-    near = F.abs(F.col("number") - F.col(value)) <= tolerance * F.greatest(F.abs(F.col(value)), F.lit(1e-9))
+    return F.filter(F.transform(found, read), lambda x: x.isNotNull())
+
+
+def is_claim(number: Column) -> Column:
+    """False for whole numbers that give structure and claim nothing: counts below 100, years, and months as YYYYMM."""
+    whole = number == F.floor(number)
+    month = number.between(190001, 210012) & (number % 100).between(1, 12)
+    return ~(whole & ((F.abs(number) < 100) | number.between(1900, 2100) | month))
+
+
+def unsupported_numbers(claims: DataFrame, facts: DataFrame, key: str, text: str, value: str, tolerance: float = 0.02, least: float = 0.05) -> DataFrame:
+    """Numbers claimed in a text that none of its facts bears out: an equi-join by key and one aggregate, so a claim
+    meets its own facts only.
+
+    Sizes are compared, since the words around a number carry its sign, to a part of the fact or to ``least``.
+    """
+    stated = claims.select(key, F.explode(F.array_distinct(numbers_in_prose(F.col(text)))).alias("number")).where(is_claim(F.col("number")))
+    near = F.abs(F.abs("number") - F.abs(F.col(value))) <= F.greatest(tolerance * F.abs(F.col(value)), F.lit(least))
     rated = stated.join(facts.select(key, value), key, "left").groupBy(key, "number").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("borne_out"))
     return rated.where(~F.col("borne_out")).select(key, "number")

@@ -71,13 +71,14 @@ RULES = {
 
 @dataclass(frozen=True)
 class Made:
-    """The operation that made a column, and its inputs."""
+    """The operation that made a column, the columns that it read, and its details, such as periods."""
 
     operation: str
     inputs: tuple[str, ...]
+    details: tuple[str, ...] = ()
 
     def __str__(self) -> str:
-        return f"{self.operation}({', '.join(self.inputs)})"
+        return f"{self.operation}({', '.join((*self.inputs, *map(str, self.details)))})"
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,7 @@ class Artifact:
         """The table with the column that ``compute(name)`` adds, under the name and quantity of the rule."""
         first, rule = self.admit(operation, columns)[0], RULES[operation]
         name = name or rule.name.format(*columns, n=periods, all="_".join(columns))
-        line = Line(name, quantity or rule.result(first.quantity), first.grain, first.label, None, Made(operation, (*columns, *detail)))
+        line = Line(name, quantity or rule.result(first.quantity), first.grain, first.label, None, Made(operation, tuple(columns), tuple(detail)))
         frame = compute(name)
         return Artifact(frame.withColumn(name, F.col(name).alias(name, metadata=line.metadata())), self.lines | {name: line})
 

@@ -155,11 +155,12 @@ def fetched_columns_are_cited(case):
 
 @check()
 def derived_columns_keep_inputs(case):
-    """Derived columns of which an input is gone. Details of an operation, such as periods, are no inputs."""
+    """Derived columns of which an input, whichever, is gone."""
     known = set(case.lines) | {c["column"] for c in case.citations}
     for c, x in case.lines.items():
-        if x.made is not None and not (x.made.inputs and x.made.inputs[0] in known):
-            yield f"{c} is derived from what is not there"
+        gone = [i for i in x.made.inputs if i not in known] if x.made is not None else []
+        if gone or (x.made is not None and not x.made.inputs):
+            yield f"{c} is derived from what is not there: {gone}"
 
 
 @check()
@@ -227,16 +228,34 @@ def quoted(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
 
 
+def condition(column: str, test: str, values: list) -> str:
+    """A condition of SQL on a quoted column: is, in, not in (which nulls are) or null."""
+    name = "`" + column.replace("`", "``") + "`"
+    listed = ", ".join(quoted(v) for v in values)
+    if test == "null":
+        return f"{name} IS NULL"
+    if test == "is":
+        return f"{name} <=> {listed}"
+    if test == "in":
+        return f"{name} IN ({listed})"
+    if test == "not in":
+        return f"({name} IS NULL OR {name} NOT IN ({listed}))"
+    raise ValueError(f"unknown test {test!r}")
+
+
 def reproducing_sql(citation: dict) -> str | None:
     """The statement that gives a cited column back, or None if the citation names no table.
 
-    A citation says its table, its equalities (filters, and without for what is left out), its span, the
-    value column, and whether regions are summed; columns and tables are quoted, values escaped.
+    A citation says its table, its conditions (column, test, values), its span, the value column, and whether
+    regions are summed; columns and tables are quoted, values escaped. Equalities may also be given as filters, and
+    what is left out as without: column to value, or to a list of values.
     """
     if not citation.get("table"):
         return None
     name = lambda c: "`" + c.replace("`", "``") + "`"
-    conditions = [f"{name(c)} = {quoted(v)}" for c, v in citation.get("filters", {}).items()] + [f"{name(c)} <> {quoted(v)}" for c, v in citation.get("without", {}).items()]
+    conditions = [condition(c, "is", [v]) for c, v in citation.get("filters", {}).items()]
+    conditions += [condition(c, "not in", v if isinstance(v, list) else [v]) for c, v in citation.get("without", {}).items()]
+    conditions += [condition(c, test, values) for c, test, values in citation.get("conditions", ())]
     conditions += [f"period {sign} DATE {quoted(citation[end])}" for end, sign in (("start", ">="), ("end", "<=")) if citation.get(end)]
     value = name(citation.get("value_column", "value"))
     summed = citation.get("summed")

@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.labels import slug
 from tidemark.plans import access, discovery
 from tidemark.plans.artifact import Line, Quantity, Refused
 from tidemark.plans.plan import Executor, Step
@@ -61,47 +62,89 @@ def chosen(present: list[str | None], asked: str | None, preferred: tuple[str, .
     return best
 
 
+@dataclass(frozen=True)
+class Slice:
+    """Rows that agree in all that names a series: their columns' values, how many there are and how many live."""
+
+    dataset: str | None
+    metric: str | None
+    currency: str | None
+    kind: str | None
+    unit: str | None
+    n: int
+    live: int
+    label: tuple
+    regions: frozenset[str]
+
+
+def slices(source: Source, step: Step) -> list[Slice]:
+    """What there is under a step's key, by one aggregate: a row for each dataset, metric, currency, kind and unit.
+
+    Of regions only the spellings that the step's, or those abroad, have in the table.
+    """
+    named = [slug(F.lit(r)) for r in ([step.region] if step.region else source.abroad)]
+    spelled = F.collect_set(F.when(slug(F.col(source.region)).isin(*named), F.col(source.region))) if source.region and named else F.array().cast("array<string>")
+    live = F.col(source.retired).isNull() if source.retired and not step.include_retired else F.lit(True)
+    columns = {"dataset": source.dataset, "metric": source.metric, "currency": source.currency, "kind": source.semantics, "unit": source.unit}
+    by = [(F.col(c) if c else F.lit(None).cast("string")).alias(n) for n, c in columns.items()]
+    rows = source.facts.where(F.col(source.key) == step.key)
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(live).alias("live"), F.max(F.struct("period", F.col(source.label).alias("label"))).alias("label"), spelled.alias("regions"))
+    return [Slice(r.dataset, r.metric, r.currency, r.kind, r.unit, r.n, r.live, tuple(r.label), frozenset(r.regions)) for r in found.collect()]
+
+
 def load(source: Source, step: Step) -> tuple[DataFrame, Line]:
-    """(period, value) of the series a step means, with its line and a citation that reproduces it."""
+    """(period, value) of the series a step means, with its line and a citation that reproduces it.
+
+    One aggregate tells all that a step's key has; what the step leaves open is chosen from that. Each choice
+    narrows the rows and is a condition of the citation, so its statement reads the same rows.
+    """
     if step.region and not source.region:
         raise Refused(f"{source.table} has no regions, so {step.region!r} cannot be answered from it")
-    rows, filters = source.facts.where(F.col(source.key) == step.key), {source.key: step.key}
-    if step.dataset and source.dataset:
-        rows, filters[source.dataset] = rows.where(F.col(source.dataset) == step.dataset), step.dataset
-    listed = {c: F.collect_set(c) for c in (source.metric, source.currency, source.dataset, source.semantics, source.unit) if c}
-    live = F.col(source.retired).isNull() if source.retired and not step.include_retired else F.lit(True)
-    found = rows.agg(F.count("*").alias("n"), F.count_if(live).alias("live")).first()
-    if not found.n:
+    found = slices(source, step)
+    rows, conditions = source.facts.where(F.col(source.key) == step.key), [(source.key, "is", [step.key])]
+    if not found:
         raise Refused(f"{source.table} has no {step.key!r}")
-    if not found.live:
+    if step.dataset and source.dataset:
+        found = [x for x in found if x.dataset == step.dataset]
+        if not found:
+            raise Refused(f"{source.table} has no {step.key!r} in {step.dataset!r}")
+    found = [x for x in found if x.live]
+    if not found:
         raise Refused(f"{step.key!r} is retired; ask for it with include_retired")
-    rows = rows.where(live)
-    for column, asked, preferred, what in ((source.dataset, step.dataset, (), "dataset"), (source.metric, step.metric, HEADLINE, "metric"), (source.currency, step.currency, (TOTAL,), "currency")):
+    if source.retired and not step.include_retired:
+        rows = rows.where(F.col(source.retired).isNull())
+        conditions.append((source.retired, "null", []))
+    for column, name, asked, preferred in ((source.dataset, "dataset", step.dataset, ()), (source.metric, "metric", step.metric, HEADLINE), (source.currency, "currency", step.currency, (TOTAL,))):
         if column:
-            present = rows.agg(listed[column].alias("v"), F.max(F.col(column).isNull()).alias("nulls")).first()
-            value = chosen(present.v, asked, preferred, what)
+            value = chosen(list({getattr(x, name) for x in found}), asked, preferred, name)
             if value is not None:
-                rows, filters[column] = rows.where(F.col(column) == value), value
-    kinds = rows.agg(listed[source.semantics].alias("kinds"), listed[source.unit].alias("units"), F.first(source.label).alias("label")).first()
-    if len(kinds.kinds) > 1 or len(kinds.units) > 1:
-        raise Refused(f"{step.key!r} mixes {sorted(kinds.kinds)} in {sorted(kinds.units)}")
-    kind, unit = next(iter(kinds.kinds), "unknown"), next(iter(kinds.units), None)
+                rows, found = rows.where(F.col(column) == value), [x for x in found if getattr(x, name) == value]
+                conditions.append((column, "is", [value]))
+    kinds, units = {x.kind for x in found} - {None}, {x.unit for x in found} - {None}
+    if len(kinds) > 1 or len(units) > 1:
+        raise Refused(f"{step.key!r} mixes {sorted(kinds)} in {sorted(units)}")
+    kind, unit = next(iter(kinds), "unknown"), next(iter(units), None)
     value, told = source.value, kind
     if kind == "cumulative_ytd" and source.flow and not step.year_to_date:
         value, told = source.flow, "flow"
-    citation = {"table": source.table, "filters": filters, "value_column": value}
+    citation = {"table": source.table, "value_column": value}
+    spelled = sorted(set().union(*(x.regions for x in found)))
     if source.region and step.region:
-        rows = access.region_slice(rows, step.region, source.region)
-        if rows.isEmpty():
+        if not spelled:
             raise Refused(f"{source.table} has no region {step.region!r}")
-        citation["filters"] = filters | {source.region: rows.first()[source.region]}
+        rows = rows.where(F.col(source.region).isin(spelled))
+        conditions.append((source.region, "in", spelled))
     elif source.region:
         if kind in ("ratio", "rate") or unit == "%":
             raise Refused(f"{step.key!r} is a ratio, which is never summed over regions; name one")
         rows = access.national_sum(rows, ["period"], source.region, list(source.abroad), value)
-        citation |= {"summed": True, "without": {source.region: a for a in source.abroad}}
+        if spelled:
+            conditions.append((source.region, "not in", spelled))
+        citation["summed"] = True
+    citation["conditions"] = [list(c) for c in conditions]
     series = rows.select("period", F.col(value).cast("double").alias("value"))
-    line = Line(step.name or step.key.rsplit("/", 1)[-1], Quantity(told, unit), source.grain, kinds.label or step.key, source.table, citation=citation)
+    label = max((x.label for x in found), key=lambda p: (p[0] is not None, p[0], p[1] or ""))[1]
+    line = Line(step.name or step.key.rsplit("/", 1)[-1], Quantity(told, unit), source.grain, label or step.key, source.table, citation=citation)
     return series, line
 
 
