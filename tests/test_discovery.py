@@ -95,6 +95,7 @@ DOMAIN = discovery.Domain(
     aliases={"housing loan": ("konut",), "npl": ("takipteki",), "faiz": ("ktf", "faiz"), "deposit": ("mevduat",)},
     sources={"haftalik bulten": ("weekly",), "merkez bankasi": ("macro",)},
     regions={"istanbul": "İSTANBUL", "ankara": "ANKARA"},
+    qualifiers={"takipteki": ("takipteki", "npl"), "ipotekli": ("ipotekli", "mortgaged")},
     sectors=("sektorel",),
     coded=r"(?i)\.K?TR[0-9A-C]",
     derived=r"(?i)^DERIVED\.",

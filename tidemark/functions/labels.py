@@ -16,35 +16,31 @@ PLAIN = "cgiosucgiosuaiuaiuaaaaaeeeeiiinoooouuyyaaaaaeeeeiiinoooouuy"
 # Month names by number, spelled with and without their accents.
 MONTHS = (("ocak",), ("şubat", "subat"), ("mart",), ("nisan",), ("mayıs", "mayis"), ("haziran",), ("temmuz",), ("ağustos", "agustos"), ("eylül", "eylul"), ("ekim",), ("kasım", "kasim"), ("aralık", "aralik"))
 ENGLISH = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-# What a label ends in besides its name.
-GROUP = r"(?:\[[^\[\]]*\]|\((?:[^()]|\([^()]*\))*\))"
-FORMULA = rf"\s*({GROUP}(?:\s*[+\-]\s*(?:{GROUP}|\d+))*)\s*$"
-RANGE = r"\s*(\(\s*\d+\s*(?:den|dan)\s*\d+\s*['’]?\s*(?:ya|ye|a|e)\s*\))\s*$"
-FOOTNOTE = r"\s*([*†‡]+)\s*$"
-UNIT = r"\s*\(([^()]*)\)\s*$"
+# Units that a label states in brackets behind its name.
 UNITS = {"%": "%", "yüzde": "%", "adet": "adet", "bin tl": "bin TL", "gün": "gün", "kişi": "kişi"}
-# Units by the words that name them in folded text, most specific first; | parts names, a
-# leading or closing . stands for the edge of a word, ^ and $ for the ends of the text.
-UNIT_WORDS = {
-    "milyar ABD doları": "milyar abd dolar", "milyon ABD doları": "milyon abd dolar", "milyar TL": "milyar tl", "milyon TL": "milyon tl", "bin TL": "bin tl", "TL": "turk lirasi | deger ( tl", "TL/kg": "tl / kg", "TL/gr": "tl / gr",
-    "USD/ons": "usd / ons", "Euro/ons": "euro / ons", "m2": "metrekare | m2", "bin kişi": "bin kisi", "%": "% | yuzde", "endeks": "endeks | = 100", "adet": ".adet. | .sayisi. | ^islem$",
-}
-
-
-def _unit_pattern(names: str) -> str:
-    """A pattern for any of the names: spaces between words are needed, those beside signs are not."""
-    ends, signs = {".": r"\b", "^": "^", "$": "$"}, "/(=%"
-
-    def one(name: str) -> str:
-        first, last = ends.get(name[0], ""), ends.get(name[-1], "")
-        words = name.strip(".^$").split()
-        out = "".join((r"\s*" if i and (w in signs or words[i - 1] in signs) else r"\s+" if i else "") + ("\\" + w if w in signs else w) for i, w in enumerate(words))
-        return first + out + last
-
-    return "|".join(map(one, names.split(" | ")))
-
-
-UNIT_PATTERNS = tuple((_unit_pattern(names), unit) for unit, names in UNIT_WORDS.items())
+# Units and the folded words that name them, most specific first.
+UNIT_NAMES = {
+    "milyar ABD doları": ("milyar abd dolar",),
+    "milyon ABD doları": ("milyon abd dolar",),
+    "milyar TL": ("milyar tl",),
+    "milyon TL": ("milyon tl",),
+    "bin TL": ("bin tl",),
+    "TL": ("turk lirasi", "deger (tl"),
+    "TL/kg": ("tl/kg",),
+    "TL/gr": ("tl/gr",),
+    "USD/ons": ("usd/ons",),
+    "Euro/ons": ("euro/ons",),
+    "m2": ("metrekare", "m2"),
+    "bin kişi": ("bin kisi",),
+    "%": ("%", "yuzde"),
+    "endeks": ("endeks", "=100"),
+    "adet": ("adet", "sayisi", "islem"),
+}
+#: Names that count as whole words only, and such that must be all there is.
+WHOLE_WORDS, WHOLE_TEXTS = ("adet", "sayisi"), ("islem",)
+#: Signs that stand apart from words, and endings between the numbers of a spelled range.
+SIGNS, FROM, UPTO = "/(=%", ("den", "dan"), ("ya", "ye", "a", "e")
+MARKS = "*†‡"
 
 
 def fold(text: Column) -> Column:
@@ -81,32 +77,64 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def strip_decorations(label: Column, passes: int = 4) -> Column:
+def trailing_groups(text: Column) -> Column:
+    """How many characters at the end of a text are groups in brackets joined by plus and minus, with numbers
+    among them; 0 where the text ends otherwise.
+
+    One scan from the end counts brackets. Before a whole group only a sign may go on; a letter, or a
+    bracket that has no partner, stops.
+    """
+    start = F.struct(*(F.lit(0).alias(n) for n in ("depth", "seen", "taken")), F.lit(False).alias("joined"), F.lit(False).alias("stopped"))
+
+    def step(s, c):
+        closing, opening, sign = c.isin(")", "]"), c.isin("(", "["), c.isin("+", "-")
+        blank, digit = F.trim(c) == "", c.between("0", "9")
+        outside = s["depth"] == 0
+        stops = s["stopped"] | (outside & (opening | ~(closing | sign | blank | digit) | (s["joined"] & (closing | digit))))
+        begins = ~stops & opening & (s["depth"] == 1)
+        return F.struct(
+            F.when(stops, s["depth"]).otherwise(s["depth"] + closing.cast("int") - opening.cast("int")).alias("depth"), (s["seen"] + 1).alias("seen"), F.when(begins, s["seen"] + 1).otherwise(s["taken"]).alias("taken"),
+            F.when(begins, True).when(outside & sign, False).otherwise(s["joined"]).alias("joined"), stops.alias("stopped"),
+        )
+
+    letters = F.reverse(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.aggregate(letters, start, step, lambda s: s["taken"])
+
+
+def spelled_range(group: Column) -> Column:
+    """Whether a group in brackets is a range in words: a number, from, a number, up to."""
+    apart = F.regexp_replace(F.lower(group), "([0-9])([a-z])", "$1 $2")
+    words = F.filter(F.split(F.translate(apart, "()'’", "    "), r"\s+"), lambda w: w != "")
+    number = lambda w: F.coalesce(w.rlike("^[0-9]+$"), F.lit(False))
+    return F.startswith(group, F.lit("(")) & (F.size(words) == 4) & number(F.get(words, F.lit(0))) & number(F.get(words, F.lit(2))) & F.coalesce(F.get(words, F.lit(1)).isin(*FROM) & F.get(words, F.lit(3)).isin(*UPTO), F.lit(False))
+
+
+def strip_decorations(label: Column, passes: int = 6) -> Column:
     """A struct of name, formula, footnote and unit: what follows a name is peeled off its end, in any
     order, a few times over."""
     known = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    state = lambda n, f, o, u: F.struct(n.alias("name"), f.alias("formula"), o.alias("footnote"), u.alias("unit"))
+    state = lambda n, f, o, u: F.struct(F.trim(n).alias("name"), f.alias("formula"), o.alias("footnote"), u.alias("unit"))
+    lacks = lambda text, signs: F.length(F.translate(text, signs, "")) == F.length(text)
 
     def footnote(s):
-        return state(F.regexp_replace(s["name"], FOOTNOTE, ""), s["formula"], F.concat(F.regexp_extract(s["name"], FOOTNOTE, 1), s["footnote"]), s["unit"])
-
-    def unit(s):
-        stated = F.try_element_at(known, F.lower(F.trim(F.regexp_extract(s["name"], UNIT, 1))))
-        return let(stated, lambda u: state(F.when(u.isNotNull(), F.regexp_replace(s["name"], UNIT, "")).otherwise(s["name"]), s["formula"], s["footnote"], F.coalesce(u, s["unit"])))
+        bare = F.rtrim(s["name"], F.lit(MARKS))
+        return state(bare, s["formula"], F.concat(F.substring(s["name"], F.length(bare) + 1, F.length(s["name"])), s["footnote"]), s["unit"])
 
-    def formula(s):
+    def bracketed(s):
         def peeled(found):
-            span, body = found[0], found[1]
-            lacks = lambda signs: F.length(F.translate(body, signs, "")) == F.length(body)
+            body = F.substring(s["name"], F.length(s["name"]) - found + 1, F.length(s["name"]))
+            rest = F.substring(s["name"], F.lit(1), F.length(s["name"]) - found)
             only = F.trim(F.translate(body, DIGITS + OPERATORS + BRACKETS + ".", "")) == ""
-            arithmetic = only & ~lacks(DIGITS) & (~lacks(OPERATORS) | F.contains(body, F.lit("..")))
-            rest = F.when(span != "", F.regexp_replace(s["name"], RANGE, "")).when(arithmetic, F.regexp_replace(s["name"], FORMULA, "")).otherwise(s["name"])
-            return state(rest, F.when(span != "", span).when(arithmetic, F.trim(body)).otherwise(s["formula"]), s["footnote"], s["unit"])
+            arithmetic = (found > 0) & only & ~lacks(body, DIGITS) & (~lacks(body, OPERATORS) | F.contains(body, F.lit("..")))
+            formula = arithmetic | ((found > 0) & spelled_range(body))
+            inner = F.trim(F.lower(F.substring(body, F.lit(2), F.length(body) - 2)))
+            unit = F.when((found > 0) & F.startswith(body, F.lit("(")) & ~formula, F.try_element_at(known, inner))
+            return F.when(formula, state(rest, body, s["footnote"], s["unit"])).when(unit.isNotNull(), state(rest, s["formula"], s["footnote"], unit)).otherwise(state(s["name"], s["formula"], s["footnote"], s["unit"]))
 
-        return let(F.array(F.regexp_extract(s["name"], RANGE, 1), F.regexp_extract(s["name"], FORMULA, 1)), peeled)
+        return let(trailing_groups(s["name"]), peeled)
 
     start = state(F.trim(label), F.lit(""), F.lit(""), F.lit(None).cast("string"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, lambda s, _: let(let(footnote(s), unit), formula), lambda s: state(F.trim(s["name"]), s["formula"], s["footnote"], s["unit"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, lambda s, _: let(footnote(s), bracketed))
 
 
 def canonical_key(label: Column) -> Column:
@@ -196,10 +224,38 @@ def parse_period_label(text: Column) -> Column:
     return F.coalesce(day, month, quarter)
 
 
+def spaced(text: Column) -> Column:
+    """A folded text as words with one space before each; signs are words of their own."""
+    out = fold(F.trim(text))
+    for sign in SIGNS:
+        out = F.replace(out, F.lit(sign), F.lit(f" {sign} "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"\s+", " ")))
+
+
 def scan_units(text: Column) -> Column:
-    """All units a text names, in the order of the vocabulary."""
-    folded = fold(F.trim(text))
-    return F.array_distinct(F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(u)) for p, u in UNIT_PATTERNS))))
+    """All units a text names, in the order of the vocabulary: a name counts where its words begin words of the text."""
+
+    def named(words: Column, name: str) -> Column:
+        plain = name
+        for sign in SIGNS:
+            plain = plain.replace(sign, f" {sign} ")
+        sought = " " + " ".join(plain.split())
+        if name in WHOLE_TEXTS:
+            return words == sought
+        if name in WHOLE_WORDS:
+            return F.array_contains(F.split(words, "[^a-z0-9]+"), sought.strip())
+        return F.contains(words, F.lit(sought))
+
+    def found(words: Column) -> Column:
+        hits = []
+        for unit, names in UNIT_NAMES.items():
+            hit = named(words, names[0])
+            for other in names[1:]:
+                hit = hit | named(words, other)
+            hits.append(F.when(hit, F.lit(unit)))
+        return F.array_compact(F.array(*hits))
+
+    return let(spaced(text), found)
 
 
 def resolve_unit(name: Column, group_unit: Column, semantics: Column, overridden: Column) -> Column:
