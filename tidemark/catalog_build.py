@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import orders_monthly, query
 from tidemark.functions import labels, pages, registry
 from tidemark.operators import analytics, outliers
-from tidemark.plans import access, build, discovery, findings
+from tidemark.plans import access, batch, build, discovery, findings
 from tidemark.session import table
 
 _M = "CAST(date_trunc('month', o_orderdate) AS DATE)"
@@ -146,15 +146,36 @@ s AS (SELECT *, base + 2.0 * greatest(n - 1, 0) + CASE WHEN unit = '%' THEN 3 WH
 SELECT p_partkey, CAST(round(CASE WHEN source = 'finturk' THEN 0.4 * raw ELSE raw END, 6) AS DOUBLE) AS score FROM s ORDER BY CASE WHEN source = 'finturk' THEN 0.4 * raw ELSE raw END DESC, key, source LIMIT 40"""
 
 
-@query(_SCORE)
-def discovery_rules(spark, sf_dir):
-    """An index ranked by the terms of a question for a ratio, units, tiers, depths and sources."""
+def _part_index(spark, sf_dir):
     size = F.col("p_size")
-    index = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         "p_partkey", F.when(size % 3 == 0, "macro").when(size % 3 == 1, "finturk").otherwise("bulletin").alias("source"), F.concat_ws("_", labels.slug(F.col("p_name")), "p_partkey").alias("key"), F.lower("p_name").alias("name"), F.lower("p_type").alias("context"),
         F.when(size < 15, "%").when(size < 30, "milyon TL").otherwise("adet").alias("unit"), F.lit("stock").alias("semantics"), F.lit("monthly").alias("grain"), (size % 2).alias("tier"), (size % 4).alias("depth"),
     )
-    return discovery.discover(index, "small widget oranı", 40).select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query(_SCORE)
+def discovery_rules(spark, sf_dir):
+    """An index ranked by the terms of a question for a ratio, units, tiers, depths and sources."""
+    return discovery.discover(_part_index(spark, sf_dir), "small widget oranı", 40).select("p_partkey", F.round("score", 6).alias("score"))
+
+
+_MANY = _SCORE[: _SCORE.index("t(term, weight)")] + """
+q AS (SELECT min(p_partkey) AS question_id, lower(p_name) || ' economy orani' AS text FROM part GROUP BY p_name),
+w AS (SELECT question_id, word, CASE WHEN length(word) > 6 THEN word[1:5] END AS stem FROM (SELECT question_id, unnest(string_split(text, ' ')) AS word FROM q)),
+t AS (SELECT question_id, text AS term, 4.0 AS weight FROM q UNION ALL SELECT question_id, word, 1.0 FROM w UNION ALL SELECT question_id, stem, 0.8 FROM w WHERE stem IS NOT NULL),
+b AS (SELECT question_id, p.*, sum(CASE WHEN contains(key, term) THEN CASE WHEN starts_with(key, term) THEN 3 ELSE 2 END * weight ELSE 0 END + CASE WHEN contains(name, term) THEN 1.5 * weight WHEN contains(context, term) THEN 0.6 * weight ELSE 0 END) AS base FROM t JOIN p ON contains(key, term) OR contains(name, term) OR contains(context, term) GROUP BY ALL),
+n AS (SELECT question_id, p_partkey, count(DISTINCT word) AS n FROM w JOIN p ON contains(key, coalesce(stem, word)) OR contains(name, coalesce(stem, word)) OR contains(context, coalesce(stem, word)) GROUP BY ALL),
+s AS (SELECT *, base + 2.0 * greatest(n - 1, 0) + CASE WHEN unit = '%' THEN 3 WHEN unit = 'milyon TL' THEN -3 ELSE 0 END + CASE tier WHEN 0 THEN 3 ELSE 1 END - 1.5 * depth - least(length(key), 90) / 45.0 AS raw FROM b JOIN n USING (question_id, p_partkey)),
+r AS (SELECT *, round(CASE WHEN source = 'finturk' THEN 0.4 * raw ELSE raw END, 9) AS score FROM s)
+SELECT question_id, CAST(rank AS INT) AS rank, p_partkey, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key, source) AS rank FROM r) WHERE rank <= 10"""
+
+
+@query(_MANY)
+def discover_many(spark, sf_dir):
+    """The index searched for a table of questions at once: postings, one equi-join, and a top list for each."""
+    questions = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("question_id")).select("question_id", F.concat(F.lower("p_name"), F.lit(" economy oranı")).alias("text"))
+    return batch.discover_all(_part_index(spark, sf_dir), questions, 10).select("question_id", "rank", "p_partkey", F.round("score", 6).alias("score"))
 
 
 @query("SELECT page_id, substr(sha256(regexp_replace(url, '#.*$', '')), 1, 12) AS source_id FROM pages")

@@ -26,11 +26,11 @@ def term_score(key: Column, name: Column, context: Column, terms: dict[str, floa
 
 
 def any_term(columns: list[Column], terms: list[str]) -> Column:
-    """Whether any term occurs in any of the columns."""
+    """Whether any term occurs in any of the columns; null columns hold none."""
     out = F.lit(False)
     for c in columns:
         for t in terms:
-            out = out | F.contains(c, F.lit(t))
+            out = out | F.coalesce(F.contains(c, F.lit(t)), F.lit(False))
     return out
 
 
