@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -118,3 +119,40 @@ def test_formula_differences(spark):
     terms = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (4, 1, 2), (4, -1, 3)], "position int, sign int, term_position int")
     (bad,) = quality.formula_differences(df, ["m"], terms, "position", "value").collect()
     assert (bad.position, bad.expected) == (4, -10.0)
+
+
+def plain_partition(z, penalty, least):
+    """Segment ends by trying every start for every end."""
+    n, s, q = len(z), np.concatenate([[0], np.cumsum(z)]), np.concatenate([[0], np.cumsum(z * z)])
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = -penalty
+    for end in range(least, n + 1):
+        starts = np.arange(end - least + 1)
+        cost = best[starts] + q[end] - q[starts] - (s[end] - s[starts]) ** 2 / (end - starts) + penalty
+        back[end], best[end] = int(cost.argmin()), cost.min()
+    ends = []
+    while n > 0:
+        ends.append(n)
+        n = back[n]
+    return ends[::-1]
+
+
+def test_pruned_partitions_are_those_of_all_starts():
+    rng = np.random.default_rng(3)
+    for i in range(250):
+        n, least = int(rng.integers(8, 250)), int(rng.integers(1, 12))
+        z = rng.normal(size=n) * rng.choice([0.1, 1]) + np.repeat(rng.normal(size=n) * 3, rng.integers(1, 60, n))[:n]
+        z = np.round(z) if i % 5 == 0 else np.cumsum(z) if i % 7 == 0 else np.zeros(n) if i == 1 else z
+        penalties = [m * np.log(n) * float(rng.choice([0.2, 1, 2])) for m in (3, 2, 1)]
+        if n >= 2 * least:
+            assert changepoints.partitions(z, penalties, least) == [plain_partition(z, p, least) for p in penalties]
+
+
+@pytest.mark.parametrize("kind", ["noise", "steps", "walk"])
+def test_partitions_of_a_hundred_thousand_points_take_seconds(kind):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=100_000)
+    z = z + np.repeat(rng.normal(size=200) * 3, 500) if kind == "steps" else np.cumsum(z) / 100 if kind == "walk" else z
+    began = time.perf_counter()
+    ends = changepoints.partitions(z, [m * np.log(len(z)) for m in (3, 2, 1)], 13)
+    assert time.perf_counter() - began < 60 and [e[-1] for e in ends] == [100_000] * 3

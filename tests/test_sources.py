@@ -2,6 +2,8 @@ import contextlib
 import datetime as dt
 import itertools
 import json
+import math
+import random
 import shutil
 from concurrent.futures import ThreadPoolExecutor
 
@@ -117,8 +119,56 @@ def test_zone_lands_and_is_seen_only_with_its_manifest(spark, tmp_path):
 def test_verify_finds_scale_mismatch(spark):
     d = [dt.date(2021, m, 1) for m in range(1, 6)]
     corpus = spark.createDataFrame([("c", p, 100.0 + i) for i, p in enumerate(d)], "series_key string, period date, value double")
-    landed = corpus.select(F.lit("same").alias("series_key"), "period", "value").union(corpus.select(F.lit("thousand"), "period", F.col("value") * 1000))
-    assert {r.landed_key: r.verdict for r in verify(landed, corpus).collect()} == {"same": "match", "thousand": "scale_mismatch"}
+    landed = corpus.select(F.lit("same").alias("series_key"), "period", "value").union(corpus.select(F.lit("thousand"), "period", F.col("value") * 1000)).union(corpus.select(F.lit("other"), "period", F.col("value") * 7))
+    assert {r.landed_key: (r.corpus_key, r.verdict) for r in verify(landed, corpus).collect()} == {"same": ("c", "match"), "thousand": ("c", "scale_mismatch"), "other": (None, "none")}
+    assert verify(landed.limit(0), corpus).count() == 0 and {r.verdict for r in verify(landed, corpus.limit(0)).collect()} == {"none"}
+
+
+def plain_verdicts(landed, corpus, tolerance=0.005, least=0.9):
+    """Every landed series against every series of the corpus, period by period."""
+    out = set()
+    for a, xs in landed.items():
+        for b, ys in corpus.items():
+            ratios = sorted(xs[p] / ys[p] for p in xs.keys() & ys.keys() if xs[p] and ys[p])
+            if ratios:
+                middle = (ratios[(len(ratios) - 1) // 2] + ratios[len(ratios) // 2]) / 2
+                power = round(math.log10(abs(middle))) if middle else 0
+                part = lambda scale, ratios=ratios: sum(abs(r / scale - 1) <= tolerance for r in ratios) / len(ratios)
+                if part(1.0) >= least:
+                    out.add((a, b, "match", len(ratios)))
+                elif power and part(10.0**power) >= least:
+                    out.add((a, b, "scale_mismatch", len(ratios)))
+    return out
+
+
+def test_verify_equals_comparing_all_pairs(spark):
+    rng = random.Random(11)
+    month = lambda i: dt.date(2015 + i // 12, i % 12 + 1, 1)
+    grids = [[month(i) for i in range(a, a + 40, step)] for a in (0, 7, 30) for step in (1, 3, 12)] + [[dt.date(2018, 1, 5) + dt.timedelta(7 * i) for i in range(60)]]
+    corpus, landed = {}, {}
+    for i in range(40):
+        level, grid = rng.choice((1.0, 9.99, 250.0, 1e6)), rng.choice(grids)
+        corpus[f"c{i}"] = {p: level * (1 + 0.3 * rng.random()) * (-1 if i == 7 else 1) for p in grid}
+    corpus |= {"flat": dict.fromkeys(grids[0], 100.0), "zeros": dict.fromkeys(grids[0], 0.0), "edge": {p: 9.995 + 0.01 * (i % 2) for i, p in enumerate(grids[0])}}
+    for i in range(60):
+        of = corpus[rng.choice(list(corpus))]
+        scale, noise = rng.choice((1.0, 1.0, 1000.0, 0.01, 3.0, -1.0)), rng.choice((0.0, 0.004, 0.0049, 0.02))
+        kept = [p for p in of if rng.random() > rng.choice((0.0, 0.05))]
+        landed[f"l{i}"] = {p: of[p] * scale * (1 + noise * rng.uniform(-1, 1)) if rng.random() > 0.04 else rng.random() for p in kept}
+    frame = lambda series: spark.createDataFrame([(k, p, v) for k, x in series.items() for p, v in x.items()], "series_key string, period date, value double")
+    found = verify(frame(landed), frame(corpus)).collect()
+    assert {(r.landed_key, r.corpus_key, r.verdict, r.n_common) for r in found if r.corpus_key} == {x for x in plain_verdicts(landed, corpus) if x[3] >= 2}
+    assert {r.landed_key for r in found} == {k for k in landed if landed[k]}
+
+
+def test_candidates_of_a_check_are_few(spark):
+    from tidemark.sources.zone import fingerprints
+
+    months = F.explode(F.expr("sequence(DATE'2010-01-01', DATE'2014-12-01', INTERVAL 1 MONTH)")).alias("period")
+    series = lambda n, seed: spark.range(n).select(F.concat(F.lit(f"{seed}-"), "id").alias("series_key"), months).withColumn("value", 100 * F.exp(F.randn(seed)))
+    ours, theirs = series(300, 1), series(300, 2)
+    pairs = fingerprints(ours, 0.005, True).withColumnRenamed("series_key", "a").join(fingerprints(theirs, 0.005, False), "print").select("a", "series_key").distinct().count()
+    assert pairs < 0.1 * 300 * 300
 
 
 def test_a_source_landed_again_is_seen_as_it_was_until_it_is_whole(spark, tmp_path, monkeypatch):

@@ -1,7 +1,7 @@
 """Change points of level, trend or volatility: one group of Arrow rows per series, any number of series.
 
-A series is a few hundred points, so its exact optimal partition fits one group easily; the series are
-what is distributed. The cost is the squared deviation from segment means of the standardised signal,
+The series are what is distributed; a group is one series, whose exact optimal partition takes time nearly in
+proportion to its points. The cost is the squared deviation from segment means of the standardised signal,
 the penalty a multiple of log n.
 """
 
@@ -18,36 +18,87 @@ PER_YEAR = ((1.5, 365), (8, 52), (35, 12), (100, 4), (float("inf"), 1))
 SCHEMA = "period date, before double, after double, shift double, shift_in_sd double, direction string, support int, confidence string, recent boolean, shape string, seasonal double, n_obs int"
 
 
-def partition(z: np.ndarray, penalty: float, least: int) -> list[int]:
-    """Segment ends that minimise squared deviations plus ``penalty`` a segment, each of ``least`` points or more."""
-    n = len(z)
+def partitions(z: np.ndarray, penalties: list[float], least: int) -> list[list[int]]:
+    """For each penalty the segment ends that minimise squared deviations plus the penalty a segment, each of
+    ``least`` points or more; exact, for all penalties in one pass.
+
+    A start is kept only while some level of the segment that begins there makes it the cheapest. The costs of
+    starts by level are parabolas that rise alike with each point, so one that lies above others everywhere does
+    so for good. The lowest ones over all levels are a few pieces, and a start that becomes possible can only take
+    levels outside an interval of each piece.
+    """
+    n, kinds = len(z), len(penalties)
     s, q = np.concatenate([[0], np.cumsum(z)]), np.concatenate([[0], np.cumsum(z * z)])
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = -penalty
+    best, back = np.full((kinds, n + 1), np.inf), np.zeros((kinds, n + 1), np.int64)
+    penalty = np.asarray(penalties, float)
+    best[:, 0] = -penalty
+    # Pieces in order of penalty and level: the levels from low to high, for which start gives the least cost.
+    low, high, start, kind = (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    bottom, top = (float(z.min()), float(z.max())) if n else (0.0, 0.0)
     for end in range(least, n + 1):
-        starts = np.arange(0, end - least + 1)
-        cost = best[starts] + q[end] - q[starts] - (s[end] - s[starts]) ** 2 / (end - starts) + penalty
-        back[end] = int(cost.argmin())
-        best[end] = cost[back[end]]
-    ends = []
-    while n > 0:
-        ends.append(n)
-        n = back[n]
-    return ends[::-1]
+        new = end - least
+        if np.isfinite(best[:, new]).all():
+            if not len(start):
+                low, high, start, kind = np.full(kinds, bottom), np.full(kinds, top), np.full(kinds, new), np.arange(kinds)
+            else:
+                # Where the new start's parabola is not lower: between the roots of a difference that bends down.
+                a = (start - new).astype(float)
+                b = 2.0 * (s[new] - s[start])
+                c = best[kind, new] - best[kind, start] + (q[start] - q[new]) + 1e-10
+                gap = b * b - 4 * a * c
+                root = np.sqrt(np.maximum(gap, 0.0))
+                one, two = (-b + root) / (2 * a), (-b - root) / (2 * a)
+                one, two = np.where(gap > 0, np.clip(one, low, high), high), np.where(gap > 0, np.clip(two, low, high), high)
+                edges = np.stack([low, one, two, high])
+                keep = (edges[1:] > edges[:-1]).T.ravel()
+                keep |= np.stack([np.zeros_like(a, bool), (low == high) & (gap > 0) & (c - b * b / (4 * a) > 0), np.zeros_like(a, bool)]).T.ravel()
+                lows, highs = edges[:-1].T.ravel()[keep], edges[1:].T.ravel()[keep]
+                starts = np.stack([np.full_like(start, new), start, np.full_like(start, new)]).T.ravel()[keep]
+                kinds_of = np.repeat(kind, 3)[keep]
+                head = np.concatenate([[True], (starts[1:] != starts[:-1]) | (kinds_of[1:] != kinds_of[:-1])])
+                at = np.flatnonzero(head)
+                low, high, start, kind = lows[at], highs[np.append(at[1:], len(highs)) - 1], starts[at], kinds_of[at]
+        if len(start):
+            cost = best[kind, start] + q[end] - q[start] - (s[end] - s[start]) ** 2 / (end - start) + penalty[kind]
+            for k in range(kinds):
+                mine = np.flatnonzero(kind == k)
+                least_cost = cost[mine].min()
+                best[k, end] = least_cost
+                back[k, end] = start[mine[cost[mine] == least_cost]].min()
+    out = []
+    for k in range(kinds):
+        ends, at = [], n
+        while at > 0:
+            ends.append(at)
+            at = int(back[k, at])
+        out.append(ends[::-1])
+    return out
+
+
+def partition(z: np.ndarray, penalty: float, least: int) -> list[int]:
+    """`partitions` for one penalty."""
+    return partitions(z, [penalty], least)[0]
+
+
+#: Windows whose quartiles are taken at a time.
+WINDOWS = 4096
 
 
 def trailing(x: np.ndarray, window: int, ahead: int) -> list[tuple[int, bool, float]]:
     """Outliers against the ``window`` points before: position, whether it starts a regime, and its fence."""
     found = []
-    for i in range(window, len(x)):
-        past = x[i - window : i]
-        mean, std = past.mean(), past.std()
-        q1, q3 = np.percentile(past, [25, 75])
+    past = np.lib.stride_tricks.sliding_window_view(x, window)[: max(0, len(x) - window)]
+    for at in range(0, len(past), WINDOWS):
+        some, here = past[at : at + WINDOWS], x[window + at : window + at + WINDOWS]
+        mean, std = some.mean(axis=1), some.std(axis=1)
+        q1, q3 = np.percentile(some, [25, 75], axis=1)
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        if std > 0 and abs(x[i] - mean) >= 3 * std and not low <= x[i] <= high:
+        for j in np.flatnonzero((std > 0) & (np.abs(here - mean) >= 3 * std) & ~((low <= here) & (here <= high))):
+            i = window + at + int(j)
             after = x[i + 1 : i + 1 + ahead]
-            stays = (after > high if x[i] > mean else after < low).mean() >= 0.5 if len(after) else False
-            found.append((i, bool(stays), high if x[i] > mean else low))
+            up = here[j] > mean[j]
+            stays = (after > high[j] if up else after < low[j]).mean() >= 0.5 if len(after) else False
+            found.append((i, bool(stays), float(high[j] if up else low[j])))
     return found
 
 
@@ -103,7 +154,7 @@ def breaks_of(periods: pd.Series, values: pd.Series, kind: str, sensitivity: str
         x = capped(x, max(12, per_year), least)
     spread = x.std()
     z = (x - x.mean()) / spread if spread > 0 else np.zeros(len(x))
-    ends = {word: partition(z, m * np.log(len(x)), least) for word, m in MULTIPLES.items()}
+    ends = dict(zip(MULTIPLES, partitions(z, [m * np.log(len(x)) for m in MULTIPLES.values()], least), strict=True))
     mine = ends[sensitivity]
     shape, rest = shape_of(z, mine, MULTIPLES[sensitivity] * np.log(len(x)))
     seasonal = float(np.corrcoef(rest[per_year:], rest[:-per_year])[0, 1]) if per_year > 1 and len(rest) >= 2 * per_year + 2 and rest.std() > 0 else None

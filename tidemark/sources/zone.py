@@ -10,6 +10,7 @@ because a DataFrame keeps the file listing it was made with.
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 
@@ -138,18 +139,50 @@ class Zone:
         return True
 
 
-def verify(landed: DataFrame, corpus: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """How landed series agree with the corpus on common periods: match, scale_mismatch (a power of ten apart) or none.
+#: Distances at which two periods of a series may make a fingerprint: what regular grains have, and their multiples.
+STEPS = ("1 day", "7 days", "1 month", "3 months", "12 months")
 
-    Both are (series_key, period, value); every landed series meets those of the corpus on equal periods
-    only, so the join is by period and not all with all.
+
+def fingerprints(rows: DataFrame, tolerance: float, spread: bool) -> DataFrame:
+    """(series_key, print): for every two periods of a series at one of STEPS, the periods and where their values lie
+    within a power of ten, in bins as wide as the tolerance. Series that are a power of ten apart share them. With
+    ``spread`` the neighbouring bins count too, so that values within the tolerance share a print for certain."""
+    bins = max(1, int(1 / -math.log10(1 - tolerance)))
+    bare = rows.where("value <> 0").select("series_key", "period", F.pmod(F.floor((F.log10(F.abs("value")) - F.floor(F.log10(F.abs("value")))) * bins), F.lit(bins)).alias("bin"))
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("step"), F.expr(f"CAST(period + INTERVAL {s} AS DATE)").alias("then")) for i, s in enumerate(STEPS))))
+    first = bare.select("series_key", "period", "bin", steps.alias("s")).select("series_key", F.col("period").alias("at"), F.col("bin").alias("one"), "s.step", "s.then")
+    both = first.join(bare.select("series_key", F.col("period").alias("then"), F.col("bin").alias("two")), ["series_key", "then"])
+    if spread:
+        for name in ("one", "two"):
+            both = both.withColumn(name, F.explode(F.array_distinct(F.array(*(F.pmod(F.col(name) + d, F.lit(bins)) for d in (-1, 0, 1))))))
+    return both.select("series_key", F.struct("step", "at", "one", "two").alias("print"))
+
+
+def verify(landed: DataFrame, corpus: DataFrame, tolerance: float = 0.005, least: float = 0.9) -> DataFrame:
+    """How landed series agree with the corpus on common periods: landed_key, corpus_key, agreement, ratio (the median),
+    n_common and the verdict: match, or scale_mismatch where they agree a power of ten apart.
+
+    Both are (series_key, period, value), one row a period. A pair agrees if ``least`` of its common periods do, to
+    the tolerance. Candidates share a fingerprint, so they come from an equi-join and are few but for series that
+    do agree; each is then compared on all its periods. Any pair that agrees shares one if its common periods, two
+    or more, follow each other at one of STEPS, as those of regular series do. A landed series that agrees with none
+    has one row of verdict none, without a corpus_key.
     """
-    both = landed.select(F.col("series_key").alias("landed_key"), "period", F.col("value").alias("a")).join(corpus.select(F.col("series_key").alias("corpus_key"), "period", F.col("value").alias("b")), "period").where("b <> 0 AND a <> 0")
-    near = (F.abs(F.col("a") - F.col("b")) / F.abs("b") <= tolerance).cast("int")
-    rated = both.groupBy("landed_key", "corpus_key").agg(F.avg(near).alias("agreement"), F.percentile(F.col("a") / F.col("b"), 0.5).alias("ratio"), F.count("*").alias("n_common"))
+    prints = fingerprints(landed, tolerance, True).withColumnRenamed("series_key", "landed_key")
+    candidates = prints.join(fingerprints(corpus, tolerance, False).withColumnRenamed("series_key", "corpus_key"), "print").select("landed_key", "corpus_key").distinct()
+    ours = landed.where("value <> 0").select(F.col("series_key").alias("landed_key"), "period", F.col("value").alias("a"))
+    theirs = corpus.where("value <> 0").select(F.col("series_key").alias("corpus_key"), "period", F.col("value").alias("b"))
+    both = candidates.join(ours, "landed_key").join(theirs, ["corpus_key", "period"])
+    ratio = F.percentile(F.try_divide("a", "b"), 0.5)
     power = F.rint(F.log10(F.abs("ratio")))
-    scaled = (power != 0) & (F.abs(F.col("ratio") / F.pow(F.lit(10.0), power) - 1) <= tolerance)
-    return rated.withColumn("verdict", F.when(F.col("agreement") >= 0.9, "match").when(scaled, "scale_mismatch").otherwise("none"))
+    # The ratios are gathered by pair, one a common period, and compared with 1 and with the power of ten next to their median.
+    rated = both.groupBy("landed_key", "corpus_key").agg(ratio.alias("ratio"), F.collect_list(F.col("a") / F.col("b")).alias("r"), F.count("*").alias("n_common")).withColumn("power", power)
+    part = lambda near: F.size(F.filter("r", near)) / F.col("n_common")
+    told = rated.select("landed_key", "corpus_key", part(lambda x: F.abs(x - 1) <= tolerance).alias("agreement"), "ratio", "n_common", "power", part(lambda x: F.abs(x / F.pow(F.lit(10.0), F.col("power")) - 1) <= tolerance).alias("scaled"))
+    verdict = F.when(F.col("agreement") >= least, "match").when((F.col("power") != 0) & (F.col("scaled") >= least), "scale_mismatch")
+    found = told.withColumn("verdict", verdict).where("verdict IS NOT NULL").drop("power", "scaled")
+    alone = landed.select(F.col("series_key").alias("landed_key")).distinct().join(found.select("landed_key").distinct(), "landed_key", "left_anti")
+    return found.unionByName(alone.withColumn("verdict", F.lit("none")), allowMissingColumns=True)
 
 
 class EvidenceLog:
