@@ -47,6 +47,44 @@ def test_nearest_matches_brute_force_with_ties_and_unusable_vectors(spark):
     assert ann.nearest(df.where("vec_id < 5"), df.where("vec_id = 0"), 20).count() == 4
 
 
+def test_nearest_is_found_on_the_embeddings_table(spark, monkeypatch):
+    """Recall against brute force over every query of the table, in one block of queries and in several."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect() if r.embedding is not None}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    want = {}
+    for q in ids[ids % 20 == 0]:
+        s = np.where(ids == q, -np.inf, x @ rows[q])
+        want[q] = set(ids[np.lexsort((ids, -s))[:20]])
+    for block, chunk in ((16_384, 4096), (7, 50)):
+        monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+        monkeypatch.setattr(ann, "CHUNK", chunk)
+        got = defaultdict(set)
+        for r in ann.nearest(table, table.where("vec_id % 20 = 0"), 20).collect():
+            got[r.query_id].add(r.vec_id)
+        assert sum(len(got[q] & want[q]) for q in want) >= 0.98 * 20 * len(want)
+
+
+def test_chunks_out_of_reach_are_skipped(monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = np.eye(8)[[0, 3]] * 10
+    turn = ann.rotation(8, 128, 1)
+    looked = []
+    monkeypatch.setattr(ann, "sign_products", lambda codes, q, real=ann.sign_products: looked.append(len(q)) or real(codes, q))
+    best, everything = ann.Bests(np.full(3, -np.inf), 5), []
+    queries = np.repeat(centres[:1], 3, axis=0) + rng.normal(size=(3, 8)) * 0.1
+    for i, c in enumerate(centres):
+        x = c + rng.normal(size=(400, 8)) * 0.1
+        everything.append(x)
+        codes, scale, norms = ann.encode(x, turn)
+        best.add(list(ann.best_of_block(np.array([-1, -2, -3]), queries, np.arange(400) + 400 * i, x, codes, scale, norms, turn, 5, 3.0, best.bars)))
+    assert sum(looked) == 3  # the second cell is never looked at
+    x = np.concatenate(everything)
+    for q in range(3):
+        assert list(best.held[1][best.held[0] == q]) == list(np.argsort(-(x @ queries[q]))[:5])
+
+
 def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(1)
     x, turn = rng.normal(size=(500, 32)), ann.rotation(32, 128, 3)
