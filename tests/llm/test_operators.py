@@ -415,6 +415,35 @@ def test_sequence_keeps_order_and_captions():
     got = [(i["position"], i["kind"], i["text"] or i["digest"], i["caption"]) for i in media.sequence(page)]
     assert got == [(0, "text", "one", None), (1, "media", "aa", "cap & t"), (2, "media", "bb", "cap & t"), (3, "text", "two", None), (4, "media", "cc", "alt")]
     assert media.sequence(None) == []
+    assert [(i["digest"], i["entry"]) for i in media.sequence("<img src='media:sha256/aa#7'>x<img src='media:sha256/bb#'>") if i["kind"] == "media"] == [("aa", "7"), ("bb", None)]
+
+
+def test_entries_are_placed_among_the_paragraphs_of_pages(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<h1>t{i}</h1>" + "".join(f"<p>{i} {j}</p>" for j in range(i % 4)) + "end") for i in range(40)] + [(40, "u", None), (None, "u", "<p>x</p>"), (3, "again", "<p>other</p>")], "page_id long, url string, html string")
+    entries = spark.createDataFrame([(str(i), f"{i % 50:064x}", f"a < b & {i}") for i in range(300)], "entry string, digest string, caption string")
+    placed = media.place(pages, entries)
+    refs = media.references(media.interleave(placed)).collect()
+    assert placed.count() == 43 and {r.entry for r in refs} == {str(i) for i in range(300)}
+    assert all(r.digest == f"{int(r.entry) % 50:064x}" and r.caption == f"a < b & {r.entry}" for r in refs)
+    once = [r for r in refs if r.page_id != 3]
+    assert len(once) == len({r.entry for r in once}) and max(r.position for r in refs) > 3
+    texts = {r.page_id: [i["text"] for i in media.sequence(r.html) if i["kind"] == "text"] for r in placed.where("page_id <> 3").collect()}
+    want = {r.page_id: [i["text"] for i in media.sequence(r.html)] for r in pages.where("page_id <> 3").collect()}
+    assert texts == want  # the text around the figures is as it was
+    mixed = [[i["kind"] for i in media.sequence(r.html)] for r in placed.where("page_id = 7").collect()]
+    assert ["text", "media", "text"] in [m[at : at + 3] for m in mixed for at in range(len(m))]
+    hiding = '<script>var t="</p>";</script><p>a</p><!-- </p> --><svg></p></svg><p>b<p>c</p><script>'
+    assert [i["text"] or i["digest"] for i in media.sequence(media.illustrated(hiding, [f"<img src='media:sha256/{x}'>" for x in "xyzw"]))] == ["w", "a", "x", "y", "b", "c", "z"]
+    assert media.illustrated(None, ["<img src='media:sha256/x'>"]) == "<img src='media:sha256/x'>"
+    assert media.place(pages.limit(0), entries).count() == 0 and media.references(media.interleave(media.place(pages, entries.limit(0)))).count() == 0
+
+
+def test_payloads_are_joined_by_digest(spark):
+    stored = media.store(spark.createDataFrame([(1, "same"), (2, "same"), (3, "other")], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in stored.collect()}
+    refs = spark.createDataFrame([("p", rows[1].digest), ("q", rows[1].digest), ("r", rows[3].digest), ("s", "none")], "page string, digest string")
+    got = {r.page: r.media for r in media.payloads(refs, stored).collect()}
+    assert {k: v and media.from_image(bytes(v)) for k, v in got.items()} == {"p": media.padded(b"same"), "q": media.padded(b"same"), "r": media.padded(b"other"), "s": None}
 
 
 def test_media_round_trip(spark):
@@ -431,7 +460,8 @@ def test_media_round_trip(spark):
         raw = (texts[r.doc_id] or "").encode()
         full = media.padded(raw)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
-        assert r.caption == f"Bytes of document {r.doc_id}" and r.position == 1
+        assert r.caption == f"Bytes of document {r.doc_id}" and r.position >= 0
+    assert len({r.page_id for r in out}) > 3 and len({r.position for r in out}) > 3  # dealt out over pages, several a page
     rows = media.describe(media.store(odd(spark))).collect()
     assert len(rows) == 6 and {r.payload_bytes for r in rows} >= {64, 150_016}
 

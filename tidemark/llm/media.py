@@ -3,15 +3,20 @@
 A page is parsed into an ordered array of structs, text and media references in page order; a
 reference has the digest of its payload and the caption of its figure. Payloads are kept once
 written in a store of lossless 8-bit greyscale images, described by reading the stored bytes back,
-and joined to the references on the digest. Only digests and descriptions are shuffled, never
-payloads; the store is a Parquet table in the shared folder.
+and joined to the references on the digest: `resolve` joins descriptions, `payloads` the stored bytes
+themselves. The store is a Parquet table in the shared folder.
+
+Where pages do not refer to the store yet, `place` deals its entries out over them: several figures a page,
+one behind each paragraph, so that the sequences of the pages hold both.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,9 @@ from tidemark.llm.html import FLOWS, RAW, events
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEME = "media:sha256/"
-ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,entry:string,caption:string>>"
+#: Pages of a bucket on average, over which the entries of that bucket are dealt out.
+BUCKET = 8
 
 
 def padded(payload: bytes) -> bytes:
@@ -76,22 +83,24 @@ def feature(payload: bytes) -> str:
 
 def sequence(html: str | None) -> list[dict]:
     """Text and media references of a page in order. A figure's caption goes to its references and is not
-    a text item of its own; an image outside a figure has its alt text as caption."""
+    a text item of its own; an image outside a figure has its alt text as caption. What a reference has behind a #
+    names the entry of the store that it means, of those with one digest."""
     items, text, figure, caption = [], [], None, None
 
     def flush():
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            items.append({"kind": "text", "text": line, "digest": None, "caption": None})
+            items.append({"kind": "text", "text": line, "digest": None, "entry": None, "caption": None})
 
     for kind, _, name, attributes in events(html or ""):
         if kind == "text":
-            (text if caption is None else caption).append(_decoded(name))
+            (text if caption is None else caption).append(unescape(name))
         elif name == "img" and kind == "open":
             if (source := _attribute(attributes, "src")).startswith(SCHEME):
                 flush()
-                items.append({"kind": "media", "text": None, "digest": source[len(SCHEME) :], "caption": _attribute(attributes, "alt") or None})
+                digest, _, entry = source[len(SCHEME) :].partition("#")
+                items.append({"kind": "media", "text": None, "digest": digest, "entry": entry or None, "caption": _attribute(attributes, "alt") or None})
         elif name == "figcaption":
             flush()
             if kind == "open" and figure is not None and caption is None:
@@ -112,17 +121,9 @@ def sequence(html: str | None) -> list[dict]:
     return [{"position": i, **item} for i, item in enumerate(items)]
 
 
-def _decoded(text: str) -> str:
-    from html import unescape
-
-    return unescape(text)
-
-
 def _attribute(attributes: str, name: str) -> str:
-    import re
-
     m = re.search(rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", attributes, re.IGNORECASE)
-    return _decoded(next((g for g in m.groups() if g is not None), "")) if m else ""
+    return unescape(next((g for g in m.groups() if g is not None), "")) if m else ""
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +175,7 @@ def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
     other = [f for i, f in enumerate(pages.schema) if i != at]
 
     def run(batches):
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("entry", pa.string()), ("caption", pa.string())]))
         for batch in batches:
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([sequence(h.as_py()) for h in batch.column(at)], kind)], [*(f.name for f in other), "items"])
@@ -185,7 +186,52 @@ def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def references(pages: DataFrame) -> DataFrame:
     """One row per media reference of interleaved pages, with its position and caption."""
     other = [c for c in pages.columns if c != "items"]
-    return pages.select(*other, F.explode("items").alias("i")).where("i.kind = 'media'").select(*other, *(F.col(f"i.{c}").alias(c) for c in ("position", "digest", "caption")))
+    return pages.select(*other, F.explode("items").alias("i")).where("i.kind = 'media'").select(*other, *(F.col(f"i.{c}").alias(c) for c in ("position", "digest", "entry", "caption")))
+
+
+def place(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """page id and html of every page, with a figure for each entry of the store (entry, digest, caption) put at the end of
+    one of its paragraphs (see `illustrated`).
+
+    Entries and pages fall into buckets by hashes, some BUCKET pages each, and an entry goes to one page of its bucket; only
+    ids meet there. The pages then join their figures by id. Pages without an id, and buckets without pages, get none;
+    rows that repeat a page's id get the same.
+    """
+    ids = pages.select(F.col(id_col).alias("__page")).where(F.col("__page").isNotNull()).distinct()
+    buckets = max(1, -(-ids.count() // BUCKET))
+    of = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(buckets))
+    homes = ids.groupBy(of(F.col("__page"), 1).alias("__bucket")).agg(F.sort_array(F.collect_list("__page")).alias("__pages"))
+    figure = F.concat(F.lit(f"<figure><img src='{SCHEME}"), "digest", F.lit("#"), F.col("entry").cast("string"), F.lit("'><figcaption>"), F.replace(F.replace(F.coalesce("caption", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</figcaption></figure>"))
+    dealt = entries.withColumn("__bucket", of(F.col("entry"), 2)).join(homes, "__bucket").select("entry", figure.alias("f"), F.get("__pages", F.pmod(F.xxhash64(F.lit(3), "entry"), F.size("__pages")).cast("int")).alias("__page"))
+    figures = dealt.groupBy("__page").agg(F.transform(F.sort_array(F.collect_list(F.struct("entry", "f"))), lambda x: x["f"]).alias("__figures"))
+    joined = pages.select(F.col(id_col), F.col(html_col).cast("string").alias(html_col)).join(figures, F.col(id_col) == F.col("__page"), "left").select(id_col, html_col, "__figures")
+
+    def run(batches):
+        for batch in batches:
+            filled = [illustrated(h, f) if f else h for h, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(filled, pa.string())], [id_col, html_col])
+
+    return joined.mapInArrow(run, f"{id_col} {joined.schema[0].dataType.simpleString()}, {html_col} string")
+
+
+def illustrated(html: str | None, figures: list[str]) -> str:
+    """The page with a figure at the end of each of its paragraphs, in order. Those left over stand in front, where no
+    open element can hide them."""
+    html = html or ""
+    ends = [at for kind, at, name, _ in events(html) if kind == "close" and name == "p"][: len(figures)]
+    parts = [html[a:b] for a, b in zip([0, *ends], [*ends, len(html)], strict=True)]
+    rest = figures[len(ends) :]
+    return "".join(rest) + parts[0] + "".join(f + p for f, p in zip(figures, parts[1:], strict=False))
+
+
+def payloads(refs: DataFrame, stored: DataFrame) -> DataFrame:
+    """The references with ``media``, the stored bytes of their digest, null where the store has none.
+
+    Of entries with one digest, which hold the same bytes, the partial aggregates leave one a task and the last one,
+    so that bytes are moved once for each of them and once for each reference.
+    """
+    once = stored.groupBy("digest").agg(F.max("media").alias("media"))
+    return refs.join(once, "digest", "left")
 
 
 def resolve(refs: DataFrame, described: DataFrame) -> DataFrame:

@@ -70,11 +70,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a stored image, resolved through the figure of a page that refers to it by digest."""
+    """Every text as a stored image, found through the figure of one of the table's pages: the pages with their figures are
+    read as sequences of texts and references, whose digests are resolved in the store.
+
+    Documents that no page could take have no position, and all else as the others."""
     stored = media.store(table(spark, sf_dir, "documents"))
-    figure = F.concat(F.lit("<p>Document</p><figure><img src='" + media.SCHEME), "digest", F.lit("'><figcaption>Bytes of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
-    refs = media.references(media.interleave(stored.select("doc_id", "n_bytes", figure.alias("html"))))
-    return media.resolve(refs, media.describe(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    listed = materialize(stored.select(F.monotonically_increasing_id().cast("string").alias("entry"), "doc_id", "n_bytes", "digest"))
+    entries = listed.select("entry", "digest", F.concat(F.lit("Bytes of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias("caption"))
+    refs = media.references(media.interleave(media.place(table(spark, sf_dir, "pages"), entries)))
+    once = refs.groupBy("entry").agg(F.min(F.struct("page_id", "position", "caption")).alias("r")).select("entry", "r.*")
+    found = listed.join(once, "entry", "left")
+    return media.resolve(found, media.describe(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "page_id", "position", "caption")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
