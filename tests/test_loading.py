@@ -115,3 +115,33 @@ def test_functions_by_name_in_statements(spark):
     assert [(r.name, str(r.period), r.value) for r in spark.sql("SELECT s.* FROM registry_pages, LATERAL page_series(html) s ORDER BY period").collect()] == [("Değer", "2021-01-01", 1.5), ("Değer", "2021-02-01", 2.5)]
     assert spark.sql("SELECT g.cells FROM registry_pages, LATERAL page_grids(html) g WHERE g.row = 1").first().cells == ["Ocak 2021", "1,5"]
     assert spark.sql("SELECT slug_text(' Çalışan  Sayısı ') AS s, page_text('<p>a</p>') AS t, share_pct(1, 0) AS p").first().asDict() == {"s": "calisan_sayisi", "t": "a", "p": None}
+
+
+def test_notes_columns_and_sources_come_in_by_the_plan(spark, source, tmp_path):
+    from tests.test_workbooks import write_book
+    from tidemark.sources.zone import Zone
+
+    (tmp_path / "x.csv").write_text("Tarih,Deger\n2024-01-05,\"1.234,5\"\n2024-01-20,\"2.000,0\"\n2024-02-01,\"3,5\"\n")
+    (tmp_path / "p.html").write_text("<table><tr><th>Tarih</th><th>Bir</th></tr><tr><td>Ocak 2024</td><td>1,5</td></tr><tr><td>Şubat 2024</td><td>2,5</td></tr></table>")
+    (tmp_path / "none.html").write_text("<p>nothing</p>")
+    write_book(tmp_path / "b.xlsx", {"Sayfa": [["Tarih", "İki"], ["2024-01-01", 3.0], ["2024-02-01", 4.0]]})
+    notes = spark.createDataFrame([("d", "old", dt.date(2020, 1, 1), dt.date(2020, 2, 1), 2), ("d", "new", dt.date(2024, 1, 1), dt.date(2024, 2, 1), 1), ("e", "x", None, None, 1)], "dataset string, footnote string, first_period date, last_period date, n_periods long")
+    zone = Zone(spark, f"file://{tmp_path}/zone")
+    run = executor({"m": source}, notes=notes, zone=zone, archived=lambda url: f"file://{tmp_path}/{url.rsplit('/', 1)[1].split('#')[0]}").run
+    steps = [
+        {"op": "footnotes", "dataset": "d"}, {"op": "footnotes", "dataset": "none"}, {"op": "ingest_external", "url": "http://h/x.csv", "value_column": "deger", "unit": "TL", "rule": "sum", "name": "x"},
+        {"op": "ingest_source", "url": "http://h/p.html"}, {"op": "ingest_source", "url": "http://h/p.html#part"}, {"op": "ingest_source", "url": "http://h/b.xlsx"}, {"op": "ingest_source", "url": "http://h/none.html"},
+    ]
+    plan, dropped = parse({"steps": steps})
+    out = run(plan)
+    assert not dropped and [f.split(":")[0] for f in out.failed] == ["step 1 footnotes", "step 6 ingest_source"]
+    assert [n["footnote"] for n in out.facts[0]["notes"]] == ["new", "old"]
+    assert [(str(r.period), r.x) for r in out.artifact.frame.orderBy("period").collect()] == [("2024-01-01", 3234.5), ("2024-02-01", 3.5)]
+    assert out.citations[0]["unit_verified"] is False and out.artifact.lines["x"].unit == "TL"
+    assert [f["source"]["unchanged"] for f in out.facts if f["op"] == "ingest_source"] == [False, True, False]
+    assert sorted((r.series_key.split("/", 1)[1], str(r.period), r.value) for r in zone.read("observations").collect()) == [("page/bir", "2024-01-01", 1.5), ("page/bir", "2024-02-01", 2.5), ("sayfa/iki", "2024-01-01", 3.0), ("sayfa/iki", "2024-02-01", 4.0)]
+
+
+def test_steps_have_the_fields_of_their_operation():
+    _, dropped = parse({"steps": [{"op": "discover", "query": "a", "sensitivity": "high"}, {"op": "analyze", "operation": "changepoint", "column": "a", "sensitivity": "odd"}, {"op": "analyze", "operation": "anomaly", "column": "a", "window": 2}, {"op": "ingest_external", "url": "u"}, {"op": "analyze", "operation": "changepoint", "column": "a", "sensitivity": "high", "window": None}]})
+    assert [d.split(": ", 1)[1] for d in dropped] == ["discover does not read ['sensitivity']", "unknown sensitivity 'odd'", "a window has 3 periods or more", "ingest_external needs value_column"]

@@ -11,13 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import labels, pages, registry
 from tidemark.functions.labels import slug
 from tidemark.plans import access, discovery
 from tidemark.plans.artifact import Line, Quantity, Refused
 from tidemark.plans.plan import Executor, Step
+from tidemark.shared import materialize
+from tidemark.sources import grids, published, workbooks
+from tidemark.sources.zone import Zone
 
 #: Metrics by how much they stand for a whole row, and the currency of totals.
 HEADLINE = ("balance", "toplam", "toplam_nakdi", "nakdi", "rasyo")
@@ -148,8 +152,12 @@ def load(source: Source, step: Step) -> tuple[DataFrame, Line]:
     return series, line
 
 
-def executor(sources: dict[str, Source], index: DataFrame | None = None, domain: discovery.Domain | None = None, **tools: Callable) -> Executor:
-    """An executor over named sources; ``index`` makes discovery an operation and repairs keys that nothing has."""
+def executor(sources: dict[str, Source], index: DataFrame | None = None, domain: discovery.Domain | None = None, notes: DataFrame | None = None, zone: Zone | None = None, archived: Callable[[str], str] | None = None, **tools: Callable) -> Executor:
+    """An executor over named sources; ``index`` makes discovery an operation and repairs keys that nothing has.
+
+    ``notes`` are those of `published.read_notes`. ``archived`` gives the path at which a file has been put for its
+    address; with it files are read as columns, and with ``zone`` whole sources are landed.
+    """
 
     def fetch(step: Step) -> tuple[DataFrame, Line]:
         if step.source not in sources:
@@ -167,4 +175,56 @@ def executor(sources: dict[str, Source], index: DataFrame | None = None, domain:
 
     if index is not None:
         tools.setdefault("discover", lambda text: discovery.discover_concepts(index, text, domain=domain))
+    if notes is not None:
+        tools.setdefault("footnotes", lambda dataset: notes_of(notes, dataset))
+    if archived is not None:
+        spark = next(iter(sources.values())).facts.sparkSession if sources else zone.spark
+        tools.setdefault("ingest_external", lambda step: external_column(spark, archived(step.url), step))
+        if zone is not None:
+            tools.setdefault("ingest_source", lambda url: land(zone, archived(url), url))
     return Executor(fetch, **tools)
+
+
+def notes_of(notes: DataFrame, dataset: str, most: int = 20) -> list[dict]:
+    """The notes of a dataset, those published last first, ``most`` of them; refuses a dataset without any."""
+    found = notes.where(F.col("dataset") == dataset).orderBy(F.desc("last_period"), F.desc("n_periods"), "footnote").limit(most).collect()
+    if not found:
+        raise Refused(f"no notes of {dataset!r}")
+    return [r.asDict() for r in found]
+
+
+def external_column(spark: SparkSession, path: str, step: Step) -> tuple[DataFrame, Line]:
+    """(period, value) of a column of a delimited file by month, with its line; its unit is as told, and not verified."""
+    rule = step.rule or "last"
+    if rule not in ("last", "avg", "sum"):
+        raise Refused(f"unknown rule {rule!r}")
+    frame = published.read_delimited(spark, path, step.value_column, step.period_column, rule)
+    citation = {"url": step.url, "value_column": step.value_column, "rule": rule, "unit_verified": False}
+    return frame, Line(step.name or step.value_column, Quantity("flow" if rule == "sum" else "unknown", step.unit), "monthly", step.value_column, "external", citation=citation)
+
+
+def land(zone: Zone, path: str, url: str) -> dict:
+    """Lands the series that an archived page or workbook holds: what has landed, and whether its content was there already.
+
+    Its tables are read in tasks, one sheet or page each; a file without a series is refused.
+    """
+    spark = zone.spark
+    content = spark.read.format("binaryFile").load(path)
+    source_id, digest = content.select(pages.source_id(F.lit(url)), F.sha2("content", 256)).first()
+    if zone.is_current(source_id, digest):
+        return {"source_id": source_id, "unchanged": True}
+    if path.lower().endswith(".xlsx"):
+        found = grids.grid_series(workbooks.read_cells(spark, path).withColumn("text", F.coalesce("text", F.col("number").cast("string"))), ["sheet"])
+    else:
+        registry.register(spark)
+        html = content.select(F.decode("content", "UTF-8").alias("html"))
+        html.createOrReplaceTempView("__landed_page")
+        found = spark.sql("SELECT 'page' AS sheet, s.name AS series_name, s.period, s.value FROM __landed_page, LATERAL page_series(html) s")
+    rows = materialize(found.select(F.concat_ws("/", F.lit(source_id), labels.slug(F.col("sheet")), labels.slug(F.col("series_name"))).alias("series_key"), F.col("series_name").alias("name"), "period", "value"))
+    if rows.isEmpty():
+        raise Refused(f"{url} holds no series")
+    series = rows.groupBy("series_key").agg(F.min("name").alias("name"))
+    months = rows.groupBy("series_key", F.trunc("period", "month").alias("period")).agg(F.max_by("value", "period").alias("value"))
+    native = rows.select("series_key", F.col("period").alias("date"), "value")
+    version = zone.write(source_id, url, digest, {"series": series, "observations": months, "observations_native": native})
+    return {"source_id": source_id, "unchanged": False, "version": version, "n_series": series.count()}
