@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_sources import write_table
 from tidemark.operators.quality import ValidationError
@@ -100,6 +101,25 @@ def test_macro_tables_units_and_coverage(spark, tmp_path):
     assert failed == {"headline macro series are complete", "other macro series are complete"}
 
 
+def scanned(df):
+    """Rows that the scan of a plan without exchanges gave."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_a_slice_reads_one_file_of_many(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("'d' || id % 4 AS dataset", "'k' || lpad(cast(id % 40 AS string), 2, '0') AS entity_key", "'m' AS metric", "'TL' AS currency", "add_months(DATE'2000-01-01', cast(id / 40 AS int)) AS period", "rand(1) AS value")
+    out = str(tmp_path / "out")
+    build.write(spark, out, {"observations": rows}, [], files=20)
+    table = build.current(spark, out)["observations"]
+    assert len(table.inputFiles()) >= 15 and table.count() == 20_000
+    one = table.where("dataset = 'd3' AND entity_key = 'k07'")
+    assert one.count() == 500 and scanned(one) <= 2000
+    part = table.where("dataset = 'd3' AND entity_key = 'k07' AND period >= DATE'2041-01-01'")
+    assert part.count() == 8 and scanned(part) <= 2000
+    assert one.select("value", F.input_file_name().alias("f")).select("f").distinct().count() <= 2
+
+
 def test_agreement_of_pairs(spark):
     pairs = spark.createDataFrame([("a", 100.4, 100.0), ("a", 5.0, 0.0), ("b", 101.0, 100.0), ("c", None, 1.0)], "k string, fine_value double, coarse_value double")
     assert {r.k: (r.n_common, r.agrees) for r in build.agreement(pairs, ["k"]).collect()} == {"a": (1, True), "b": (1, False), "c": (0, False)}

@@ -299,6 +299,42 @@ def test_evidence_log(spark, tmp_path):
     assert [r["payload"] for r in log.results(run)] == [{"n": 1}, {"ş": [1]}] and log.runs().first().n == 2
 
 
+def test_the_evidence_log_stays_small_and_readable(spark, tmp_path):
+    log = EvidenceLog(spark, f"file://{tmp_path}/log", most=5, retain=0)
+    run = log.start("q")
+    small = lambda: [f for f in (tmp_path / "log" / "records").iterdir() if f.name.endswith(".parquet") and not f.name.startswith(".")]
+    for i in range(40):
+        log.record(run, [("step", {"i": i})])
+        if i % 7 == 0:
+            assert [r["payload"]["i"] for r in log.results(run)] == list(range(i + 1))
+    assert len(small()) <= 2 * 6 and [r["payload"]["i"] for r in log.results(run)] == list(range(40)) and log.get(run)["n"] == 40
+    assert len(list((tmp_path / "log" / "merged" / "records").iterdir())) <= 2
+    lazy = EvidenceLog(spark, log.root, most=5)
+    begun = lazy._read("records", EvidenceLog.RECORDS)
+    assert lazy.compact("records") and not lazy.compact("records")
+    assert begun.count() == 40 == lazy._read("records", EvidenceLog.RECORDS).count()  # who has begun reads on
+
+
+def test_the_evidence_log_is_read_while_it_is_written_and_merged(spark, tmp_path):
+    log = EvidenceLog(spark, f"file://{tmp_path}/log", most=3)
+    run, seen, failed = log.start("q"), [], []
+
+    def read():
+        while len(seen) < 200 and not (seen and seen[-1] == 24):
+            try:
+                seen.append(len(log.results(run)))
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+                return
+
+    with ThreadPoolExecutor(1) as pool:
+        done = pool.submit(read)
+        for i in range(24):
+            log.record(run, [("step", {"i": i})])
+        done.result(120)
+    assert not failed and seen == sorted(seen) and seen[-1] == 24
+
+
 def test_grids_and_links(spark):
     html = "<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
     assert pages.html_grids(html) == [[["a", "b", "b"], ["a", "c", "d"]]]

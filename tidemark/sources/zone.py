@@ -186,36 +186,78 @@ def verify(landed: DataFrame, corpus: DataFrame, tolerance: float = 0.005, least
 
 
 class EvidenceLog:
-    """Runs and their tool results, appended as Parquet; payloads are JSON text."""
+    """Runs and their tool results, appended as Parquet; payloads are JSON text.
+
+    Every call appends a small file. Once a table has more than ``most`` of them they are merged: the merged files
+    are written beside, and an entry of the commit log says which small ones they stand for. A reader takes
+    the entry first and then the small files that it does not cover, so it sees every row once at any time. Covered
+    files are deleted ``retain`` seconds later, by a later merge, for readers that have begun.
+    """
 
     RECORDS = "run_id STRING, position INT, tool STRING, payload STRING, recorded_at STRING"
     RUNS = "run_id STRING, question STRING, started_at STRING"
     ENDS = "run_id STRING, answer STRING, verdict STRING, finished_at STRING"
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most: int = 64, retain: float = 3600.0):
+        self.spark, self.root, self.most, self.retain = spark, root.rstrip("/"), most, retain
+        self.files, self.log = Files(spark), CommitLog(spark, f"{self.root}/log")
+
+    def _append(self, name: str, rows: list[tuple], schema: str) -> None:
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        if len(self._small(name, self._state(name))) > self.most:
+            self.compact(name)
+
+    def _state(self, name: str) -> dict:
+        return self.log.latest(name)["current"] or {"version": None, "covered": []}
+
+    def _small(self, name: str, state: dict) -> list[str]:
+        """Names of the files that no merge covers."""
+        covered = {c["file"] for c in state["covered"]}
+        return [f for f in self.files.names(f"{self.root}/{name}") if f.endswith(".parquet") and f not in covered]
+
+    def compact(self, name: str) -> bool:
+        """Merges what small files a table has into its merged ones; False if another merge has come first."""
+        entry, schema, now = self.log.latest(name), {"records": self.RECORDS, "runs": self.RUNS, "ends": self.ENDS}[name], time.time()
+        state = entry["current"] or {"version": None, "covered": []}
+        small = self._small(name, state)
+        if not small:
+            return False
+        token = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        paths = [f"{self.root}/{name}/{f}" for f in small] + ([f"{self.root}/merged/{name}/{state['version']}"] if state["version"] else [])
+        self.spark.read.schema(schema).parquet(*paths).repartitionByRange("run_id").sortWithinPartitions("run_id").write.parquet(f"{self.root}/merged/{name}/{token}")
+        due = [c for c in state["covered"] if c["at"] <= now - self.retain]
+        covered = [c for c in state["covered"] if c not in due] + [{"file": f, "at": now} for f in small]
+        retired = [r for r in entry["retired"] if r["at"] > now - self.retain] + ([{"token": state["version"], "at": now}] if state["version"] else [])
+        # A file stays covered until it is gone, so that no reader takes it for a new one.
+        for c in due:
+            self.files.delete(f"{self.root}/{name}/{c['file']}")
+        if not self.log.append(name, {"number": entry["number"] + 1, "source_id": name, "current": {"version": token, "covered": covered}, "retired": retired, "fenced": []}):
+            self.files.delete(f"{self.root}/merged/{name}/{token}")
+            return False
+        for r in entry["retired"]:
+            if r not in retired:
+                self.files.delete(f"{self.root}/merged/{name}/{r['token']}")
+        return True
 
     def start(self, question: str) -> str:
         """A new run's id."""
         run = uuid.uuid4().hex[:12]
-        self.spark.createDataFrame([(run, question, time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()))], self.RUNS).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        self._append("runs", [(run, question, time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()))], self.RUNS)
         return run
 
     def record(self, run_id: str, results: list[tuple[str, dict]]) -> None:
         """Appends the results of a run together, in order."""
-        now = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
-        rows = [(run_id, i, tool, json.dumps(payload, default=str, ensure_ascii=False), now) for i, (tool, payload) in enumerate(results)]
-        self.spark.createDataFrame(rows, self.RECORDS).coalesce(1).write.mode("append").parquet(f"{self.root}/records")
+        now = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + f".{time.time_ns() % 10**9:09d}"
+        self._append("records", [(run_id, i, tool, json.dumps(payload, default=str, ensure_ascii=False), now) for i, (tool, payload) in enumerate(results)], self.RECORDS)
 
     def finish(self, run_id: str, answer: str, verdict: str = "passed") -> None:
         """Appends what a run ended with; the last end of a run counts."""
-        row = [(run_id, answer, verdict, time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + f".{time.time_ns() % 10**9:09d}")]
-        self.spark.createDataFrame(row, self.ENDS).coalesce(1).write.mode("append").parquet(f"{self.root}/ends")
+        self._append("ends", [(run_id, answer, verdict, time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + f".{time.time_ns() % 10**9:09d}")], self.ENDS)
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(str(path)) if there else self.spark.createDataFrame([], schema)
+        state = self._state(name)
+        paths = [f"{self.root}/{name}/{f}" for f in self._small(name, state)] + ([f"{self.root}/merged/{name}/{state['version']}"] if state["version"] else [])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:
         """Runs with the number of their results, and what they ended with; null for runs that have not ended."""
