@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalog import orders_monthly, query
@@ -208,36 +208,52 @@ def outside_lifecycle(spark, sf_dir):
     return quality.outside_lifecycle(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", F.to_date("o_orderdate").alias("period")), lives, "o_orderstatus").select("o_orderstatus", "period", "o_orderkey")
 
 
-_WORDS = ("İstanbul Şubesi", "IĞDIR ili", "Çalışan Sayısı (kişi)", "kâr – zarar", "ÖZ KAYNAKLAR", "")
+_WORDS = ("İstanbul Şubesi", "IĞDIR ili", "Çalışan Sayısı (kişi)", "kâr – zarar", "ÖZ KAYNAKLAR")
+_LISTED = "[" + ", ".join(f"'{w}'" for w in _WORDS) + "]"
 
 
-@query("SELECT x AS text, regexp_replace(lower(strip_accents(translate(x, 'ıİI', 'iii'))), '[^a-z0-9 ()–]', '', 'g') AS folded, trim(regexp_replace(lower(strip_accents(translate(x, 'ıİI', 'iii'))), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM (VALUES ('İstanbul Şubesi'), ('IĞDIR ili'), ('Çalışan Sayısı (kişi)'), ('kâr – zarar'), ('ÖZ KAYNAKLAR'), ('')) t(x)")
+def _picked(words: tuple, number) -> Column:
+    """The word at the place that a column's remainder names."""
+    return F.get(F.array(*(F.lit(w) for w in words)), F.pmod(number, F.lit(len(words))).cast("int"))
+
+
+@query(f"SELECT c_custkey, regexp_replace(lower(strip_accents(translate(x, 'ıİI', 'iii'))), '[^a-z0-9 ()–]', '', 'g') AS folded, trim(regexp_replace(lower(strip_accents(translate(x, 'ıİI', 'iii'))), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM (SELECT c_custkey, {_LISTED}[c_custkey % 5 + 1] || ' ' || c_custkey AS x FROM customer)")
 def turkish_keys(spark, sf_dir):
-    """Accented and dotted letters, folded and as keys."""
-    x = F.col("text")
-    return spark.createDataFrame([(w,) for w in _WORDS], "text string").select(x, labels.fold(x).alias("folded"), labels.slug(x).alias("slug"))
+    """Accented and dotted letters of names, folded and as keys."""
+    x = F.concat_ws(" ", _picked(_WORDS, F.col("c_custkey")), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", labels.fold(x).alias("folded"), labels.slug(x).alias("slug"))
 
 
-@query("SELECT col, text, CAST(number AS DOUBLE) AS number FROM (VALUES ('a', '1.234,5', 1234.5), ('a', '7', 7.0), ('a', '-0,25', -0.25), ('a', 'x', NULL), ('b', '1,234.5', 1234.5), ('b', '12%', 12.0), ('c', '3,5', 3.5), ('c', '1.000', 1000.0)) t(col, text, number)")
+@query("SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 50 <> 0 THEN round(o_totalprice, 2) END AS number FROM orders")
 def parsed_numbers(spark, sf_dir):
-    """Numbers under the convention that each column's cells show."""
-    cells = spark.createDataFrame([("a", "1.234,5"), ("a", "7"), ("a", "-0,25"), ("a", "x"), ("b", "1,234.5"), ("b", "12%"), ("c", "3,5"), ("c", "1.000")], "col string, text string")
-    rule = cells.groupBy("col").agg(labels.comma_decimals(F.col("text")).alias("comma"))
-    return cells.join(rule, "col").select("col", "text", labels.parse_number(F.col("text"), F.col("comma")).alias("number"))
+    """Numbers under the convention that each priority's cells show; some cells are no numbers."""
+    said = F.round("o_totalprice", 2)
+    written = F.when(F.col("o_orderpriority") < "3", labels.format_number(said)).otherwise(F.format_number(said, 2))
+    cells = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 50 != 0, written).otherwise("yok").alias("text"))
+    rule = cells.groupBy("o_orderpriority").agg(labels.comma_decimals(F.col("text")).alias("comma"))
+    return cells.join(rule, "o_orderpriority").select("o_orderkey", "o_orderpriority", labels.parse_number(F.col("text"), F.col("comma")).alias("number"))
 
 
-@query("SELECT * FROM (VALUES ('2024-03-05', DATE '2024-03-05'), ('5.3.2024', DATE '2024-03-05'), ('Mart 2024', DATE '2024-03-01'), ('15 Ağustos 2021', DATE '2021-08-15'), ('Şubat / February 2020', DATE '2020-02-01'), ('2023/7', DATE '2023-07-01'), ('31.02.2020', NULL), ('kasım', NULL), ('1.1.1850', NULL)) t(text, date)")
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN CAST(date_trunc('month', o_orderdate) AS DATE) WHEN 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date FROM orders")
 def parsed_dates(spark, sf_dir):
-    """Dates in two languages and several orders."""
-    texts = ("2024-03-05", "5.3.2024", "Mart 2024", "15 Ağustos 2021", "Şubat / February 2020", "2023/7", "31.02.2020", "kasım", "1.1.1850")
-    return spark.createDataFrame([(t,) for t in texts], "text string").select("text", labels.parse_date(F.col("text")).alias("date"))
-
-
-@query("SELECT * FROM (VALUES ('(1+2-3)', 1, 1), ('(1+2-3)', 1, 2), ('(1+2-3)', -1, 3), ('(4+..+6)', 1, 4), ('(4+..+6)', 1, 5), ('(4+..+6)', 1, 6), ('7-(8+9)', 1, 7), ('7-(8+9)', -1, 8), ('7-(8+9)', -1, 9)) t(formula, sign, position)")
+    """Dates written in two languages and several orders; some are no dates."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    month, year = F.get(F.array(*(F.lit(names[0].capitalize()) for names in labels.MONTHS)), F.month(d) - 1), F.year(d).cast("string")
+    written = (
+        F.when(k % 5 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 5 == 1, F.date_format(d, "d.M.yyyy")).when(k % 5 == 2, F.concat_ws(" ", F.dayofmonth(d).cast("string"), month, year))
+        .when(k % 5 == 3, F.when(k % 2 == 0, F.concat_ws("/", year, F.month(d).cast("string"))).otherwise(F.concat(month, F.lit(" / "), F.date_format(d, "MMMM"), F.lit(" "), year))).otherwise(F.concat(F.lit("31.02."), year))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", labels.parse_date(written).alias("date"))
+
+
+@query("""SELECT p_partkey, CAST(t.sign AS INT) AS sign, CAST(t.position AS INT) AS position FROM (SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN [{'sign': 1, 'position': p_size}, {'sign': 1, 'position': p_size + 1}, {'sign': -1, 'position': p_size + 2}]
+WHEN 1 THEN [{'sign': 1, 'position': p_size}, {'sign': 1, 'position': p_size + 1}, {'sign': 1, 'position': p_size + 2}, {'sign': 1, 'position': p_size + 3}] WHEN 2 THEN [{'sign': 1, 'position': p_size}, {'sign': -1, 'position': p_size + 1}, {'sign': -1, 'position': p_size + 2}] END) AS t FROM part)""")
 def formula_positions(spark, sf_dir):
     """Signed positions that formulas of labels name; formulas that divide have none."""
-    rows = spark.createDataFrame([(f,) for f in ("(1+2-3)", "(4+..+6)", "7-(8+9)", "(1/2)")], "formula string")
-    return rows.select("formula", F.explode(labels.formula_terms(F.col("formula"))).alias("t")).select("formula", F.col("t.sign").alias("sign"), F.col("t.position").alias("position"))
+    a, b, c, d = ((F.col("p_size") + i).cast("string") for i in range(4))
+    k = F.col("p_partkey") % 4
+    formula = F.when(k == 0, F.concat(F.lit("("), a, F.lit("+"), b, F.lit("-"), c, F.lit(")"))).when(k == 1, F.concat(F.lit("("), a, F.lit("+..+"), d, F.lit(")"))).when(k == 2, F.concat(a, F.lit("-("), b, F.lit("+"), c, F.lit(")"))).otherwise(F.concat(F.lit("("), a, F.lit("/"), b, F.lit(")")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(labels.formula_terms(formula)).alias("t")).select("p_partkey", F.col("t.sign").alias("sign"), F.col("t.position").alias("position"))
 
 
 @query(f"""

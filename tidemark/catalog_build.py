@@ -13,23 +13,32 @@ from tidemark.session import table
 _M = "CAST(date_trunc('month', o_orderdate) AS DATE)"
 
 
-@query("""
-SELECT * FROM (VALUES ('Tutar', 'Milyon TL', 'stock', false, 'milyon TL'), ('Altın - TL/kg', 'TL/kg, USD/ons', 'rate', false, 'TL/kg'), ('Faiz', '%, milyon TL', 'rate', false, '%'), ('Bakiye', 'Milyon TL, %', 'stock', false, 'milyon TL'),
- ('Fonlama maliyeti', 'Milyon TL', 'rate', true, '%'), ('Endeks', NULL, 'index', false, 'endeks'), ('Adı yok', NULL, 'stock', false, NULL), ('Kişi sayısı', 'Bin Kişi', 'stock', false, 'bin kişi')) t(name, group_unit, semantics, overridden, unit)""")
+#: Kinds of series: name, unit of the group, semantics, declared apart from the group, and the unit that follows.
+_KINDS = (
+    ("Tutar", "Milyon TL", "stock", False, "milyon TL"), ("Altın - TL/kg", "TL/kg, USD/ons", "rate", False, "TL/kg"), ("Faiz", "%, milyon TL", "rate", False, "%"), ("Bakiye", "Milyon TL, %", "stock", False, "milyon TL"),
+    ("Fonlama maliyeti", "Milyon TL", "rate", True, "%"), ("Endeks", None, "index", False, "endeks"), ("Adı yok", None, "stock", False, None), ("Kişi sayısı", "Bin Kişi", "stock", False, "bin kişi"),
+)
+
+
+@query("SELECT c_custkey, [" + ", ".join("NULL" if k[4] is None else f"'{k[4]}'" for k in _KINDS) + "][c_custkey % 8 + 1] AS unit FROM customer")
 def unit_resolution(spark, sf_dir):
     """The unit of series by their groups, their names and what they are."""
-    rows = [("Tutar", "Milyon TL", "stock", False), ("Altın - TL/kg", "TL/kg, USD/ons", "rate", False), ("Faiz", "%, milyon TL", "rate", False), ("Bakiye", "Milyon TL, %", "stock", False), ("Fonlama maliyeti", "Milyon TL", "rate", True), ("Endeks", None, "index", False), ("Adı yok", None, "stock", False), ("Kişi sayısı", "Bin Kişi", "stock", False)]
-    df = spark.createDataFrame(rows, "name string, group_unit string, semantics string, overridden boolean")
-    return df.withColumn("unit", labels.resolve_unit(F.col("name"), F.col("group_unit"), F.col("semantics"), F.col("overridden")))
+    at = lambda i: F.get(F.array(*(F.lit(k[i]) for k in _KINDS)), (F.col("c_custkey") % 8).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", labels.resolve_unit(F.concat_ws(" ", at(0), F.col("c_custkey").cast("string")), at(1), at(2), at(3)).alias("unit"))
 
 
-@query("""
-SELECT * FROM (VALUES (1, '3,42 trilyon TL', '+3,42 trilyon TL'), (2, '34,90 TL', '+34,90 TL'), (3, '%-1,50', '%-1,50'), (4, '1.235 adet', '+1.235 adet'), (5, '-', '-'), (6, '2,00 endeks', '+2,00 endeks'), (7, '-5,00 bin USD', '-5,00 bin USD'), (8, '7,00', '+7,00')) t(i, told, signed)""")
+_TOLD = "translate(format('{:,.2f}', %s), ',.', '.,')"
+
+
+@query(f"""
+SELECT o_orderkey, told, CASE WHEN k = 1 THEN told ELSE '+' || told END AS signed FROM (SELECT o_orderkey, o_orderkey % 4 AS k, CASE o_orderkey % 4
+WHEN 0 THEN CASE WHEN v * 1000000.0 >= 1e9 THEN {_TOLD % "v * 1000000.0 / 1e9"} || ' milyar TL' ELSE {_TOLD % "v * 1000000.0 / 1e6"} || ' milyon TL' END
+WHEN 1 THEN '%-' || {_TOLD % "v"} WHEN 2 THEN translate(format('{{:,.0f}}', v), ',', '.') || ' adet' ELSE {_TOLD % "v"} || ' endeks' END AS told FROM (SELECT o_orderkey, o_totalprice AS v FROM orders))""")
 def told_quantities(spark, sf_dir):
     """Figures as they are told, at the scale that leaves at least 1."""
-    rows = [(1, 3423006.0, "milyon TL"), (2, 34.9, "TL"), (3, -1.5, "%"), (4, 1234.6, "adet"), (5, None, "TL"), (6, 2.0, "endeks"), (7, -5.0, "bin USD"), (8, 7.0, None)]
-    df = spark.createDataFrame(rows, "i int, value double, unit string")
-    return df.select("i", labels.format_quantity(F.col("value"), F.col("unit")).alias("told"), labels.format_quantity(F.col("value"), F.col("unit"), True).alias("signed"))
+    k = F.col("o_orderkey") % 4
+    value, unit = F.when(k == 1, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")), F.get(F.array(*map(F.lit, ("milyon TL", "%", "adet", "endeks"))), k.cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", labels.format_quantity(value, unit).alias("told"), labels.format_quantity(value, unit, True).alias("signed"))
 
 
 @query(f"""
