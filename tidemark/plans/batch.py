@@ -128,9 +128,10 @@ def discover_all(index: DataFrame, questions: DataFrame, limit: int = 20, domain
     kept = [*index.columns, "score", "name_match", *(["region"] if domain.regions else [])]
     narrow = pool.select("question_id", *kept, "fused", "seated", "two_kinds", "__row")
     top = Window.partitionBy("question_id").orderBy(*order)
-    best = narrow.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= limit)
+    # Both top lists are short; written, so that the pool is made once for each.
+    best = materialize(narrow.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= limit))
     # Of a question for a ratio and an amount the best amount has the last seat where it is not seated anyway.
-    amounts = narrow.where("seated").withColumn("rank", F.row_number().over(top)).where("rank = 1").withColumn("rank", F.lit(limit))
+    amounts = materialize(narrow.where("seated").withColumn("rank", F.row_number().over(top)).where("rank = 1").withColumn("rank", F.lit(limit)))
     have = best.where("seated").select("question_id").distinct()
     late = amounts.join(have, by, "left_anti")
     displaced = late.select("question_id", F.lit(limit).alias("rank"))

@@ -209,7 +209,8 @@ def ruled(matches: Column, q: Asked, index: DataFrame, domain: Domain) -> Column
     for condition, points in rules(q, domain, index):
         total = total + F.when(condition, points).otherwise(0.0)
     total = total - 1.5 * F.coalesce("depth", F.lit(0)) - F.least(F.length("key"), F.lit(90)) / 45.0
-    return F.when(F.col("source").isin(*domain.regional), F.when(q.region.isNotNull(), total + 4.0).otherwise(total * 0.4)).otherwise(total)
+    # Nine digits, so that sums that are equal but for the order of their parts tie.
+    return F.round(F.when(F.col("source").isin(*domain.regional), F.when(q.region.isNotNull(), total + 4.0).otherwise(total * 0.4)).otherwise(total), 9)
 
 
 def score(q: Question, index: DataFrame, domain: Domain | None = None) -> Column:
