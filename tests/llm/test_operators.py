@@ -438,6 +438,13 @@ def test_entries_are_placed_among_the_paragraphs_of_pages(spark):
     assert media.place(pages.limit(0), entries).count() == 0 and media.references(media.interleave(media.place(pages, entries.limit(0)))).count() == 0
 
 
+def test_an_empty_store_describes_and_resolves_nothing(spark):
+    none = media.store(spark.createDataFrame([], "doc_id long, text string"))
+    refs = spark.createDataFrame([("p", "aa")], "page string, digest string")
+    assert media.describe(none).count() == 0 and media.payloads(refs, none).first().media is None
+    assert media.resolve(refs, media.describe(none)).first().payload_bytes is None and media.resolve(refs.limit(0), media.describe(none)).count() == 0
+
+
 def test_payloads_are_joined_by_digest(spark):
     stored = media.store(spark.createDataFrame([(1, "same"), (2, "same"), (3, "other")], "doc_id long, text string"))
     rows = {r.doc_id: r for r in stored.collect()}

@@ -294,6 +294,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Returns the id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, the ids as
     ``token_ids`` (array of int). A null text counts as empty: no tokens, the digests of nothing.
+    A very long text is encoded whole as it streams through; repeated rows have the same tokens; an empty table gives no rows.
     ``path`` names the vocabulary file, which must exist on every executor.
     """
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if keep_ids else "")

@@ -504,7 +504,8 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 
 def main_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page's id, url, text and n_chars from its whole html; no shuffle. Null or empty html, and pages
-    without content, give an empty text; a very long page is read whole, in time proportional to it."""
+    without content, give an empty text; a very long page is read whole, in time proportional to it; repeated rows
+    have the same text; an empty table gives no rows."""
 
     def run(batches):
         for batch in batches:

@@ -180,7 +180,8 @@ def learn(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, lang_pred, score and rejected, from the whole text alone; no shuffle. A text that is
-    null or has no letter gets und with score 0 and is rejected."""
+    null or has no letter gets und with score 0 and is rejected; a very long one is read whole; repeated rows fare alike;
+    an empty table gives no rows."""
     short_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 

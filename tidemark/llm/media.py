@@ -128,7 +128,8 @@ def _attribute(attributes: str, name: str) -> str:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes every text's padded UTF-8 bytes as an image: id, n_bytes, digest and media, read back from
-    the shared folder. A null text counts as empty and has 64 zero bytes."""
+    the shared folder. A null text counts as empty and has 64 zero bytes; a very long one is one tall image; rows that
+    repeat have a row each; an empty table gives an empty store."""
 
     def run(batches):
         for batch in batches:
@@ -146,7 +147,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def describe(stored: DataFrame) -> DataFrame:
     """One row per digest, from the stored bytes: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    Raises where a stored image does not give back the payload of its digest.
+    Raises where a stored image does not give back the payload of its digest. An empty store gives no rows.
     """
 
     def run(batches):

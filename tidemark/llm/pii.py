@@ -331,7 +331,8 @@ def find(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col:
 
     Returns the id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added. Accepted proposals
     that touch a base span, or a better one, are left out. A null or empty text has no spans; a very long
-    one is read whole, in time proportional to its length and the spans in it.
+    one is read whole, in time proportional to its length and the spans in it; repeated rows have the same spans; an
+    empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(F.col(id_col), text.alias("text")).select(id_col, base_spans(F.col("text")).alias("base"), (proposals(F.col("text")) if trees else F.array()).alias("proposed"))

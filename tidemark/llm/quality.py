@@ -166,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Every row's id and calibrated score, from the text alone; no shuffle. Null, empty and blank texts score 0."""
+    """Every row's id and calibrated score, from the text alone; no shuffle. Null, empty and blank texts score 0;
+    a very long text is scored whole, in steps; repeated rows score alike; an empty table gives no rows."""
     short_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 

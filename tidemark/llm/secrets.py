@@ -180,7 +180,8 @@ def scan(docs: DataFrame, models: Models | None = None, id_col: str = "doc_id",
     """Secrets of every whole text; one row per input row, no shuffle.
 
     Returns the id, n_assign, n_access, n_hex, n_random, base_sha256 and spans. A null or empty
-    text has none: counts of 0, an empty span list and the digest of nothing.
+    text has none: counts of 0, an empty span list and the digest of nothing. A very long text is read whole, in time
+    proportional to its length; repeated rows have the same spans; an empty table gives no rows.
     """
 
     def run(batches):
