@@ -1,5 +1,7 @@
 """Components of chains, and documents that merge through any key."""
 
+import os
+
 import pytest
 
 from tidemark import shared
@@ -26,3 +28,14 @@ def test_discarded_tables_are_gone(spark):
     shared.discard(df, None, spark.range(2))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
         df.collect()
+
+
+def test_a_session_deletes_what_it_has_written(spark):
+    shared.clear(spark)
+    kept, gone = shared.materialize(spark.range(3)), shared.materialize(spark.range(4))
+    shared.discard(gone)
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    there = lambda: [f for f in os.listdir(folder) if f.startswith("tidemark-")]
+    assert kept.count() == 3 and len(there()) >= 1
+    before = len(there())
+    assert shared.clear(spark) == 1 and shared.clear(spark) == 0 and len(there()) == before - 1

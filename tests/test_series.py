@@ -148,11 +148,9 @@ def test_pruned_partitions_are_those_of_all_starts():
             assert changepoints.partitions(z, penalties, least) == [plain_partition(z, p, least) for p in penalties]
 
 
-@pytest.mark.parametrize("kind", ["noise", "steps", "walk"])
-def test_partitions_of_a_hundred_thousand_points_take_seconds(kind):
+def test_partitions_of_a_hundred_thousand_points_take_seconds():
     rng = np.random.default_rng(4)
-    z = rng.normal(size=100_000)
-    z = z + np.repeat(rng.normal(size=200) * 3, 500) if kind == "steps" else np.cumsum(z) / 100 if kind == "walk" else z
+    z = rng.normal(size=100_000)  # without a break no start is ruled out by costs alone
     began = time.perf_counter()
     ends = changepoints.partitions(z, [m * np.log(len(z)) for m in (3, 2, 1)], 13)
     assert time.perf_counter() - began < 60 and [e[-1] for e in ends] == [100_000] * 3

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths that each application has written and not yet deleted.
+_MADE: dict[str, set[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,12 +33,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts the lineage.
 
     Unlike a cached or locally checkpointed frame this survives lost executors, and later
-    readers still prune columns. `discard` removes it once nothing reads it any more.
+    readers still prune columns. `discard` removes it once nothing reads it any more, and `clear` all that
+    a session has written: call it when the results of its queries are out.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(schema).parquet(path)
     out._materialized_at = path
     return out
@@ -47,6 +51,18 @@ def discard(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_materialized_at", None)
         if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _MADE.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes every intermediate table that this session has written; how many. Frames that read them fail afterwards."""
+    paths = list(_MADE.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
