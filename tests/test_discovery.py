@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -48,6 +49,24 @@ def test_grids_down_across_and_with_year_and_month():
     assert grids.table_errors({"columns": ["p", "v"], "rows": [["2021-01-01", "1"], ["2021-01-01", "x"], ["?", "2"], ["2021-02-01"]]}) == ["row 1: the period occurs twice", "row 1: 'x' is no number", "row 2: no period", "row 3 has 1 cells"]
 
 
+def test_tables_keep_their_contract_or_tell_what_breaks_it(spark):
+    tables = {
+        "good": [["Ad", "Tutar"], ["a", "1.234.567,1234567890123456789"], ["b", "-5"], ["c", "+7,50"]], "header": [["Ad", "Miktar"], ["a", "1"]], "hole": [["Ad", "Tutar"], ["a", ""], [None, "2"]], "short": [["Ad", "Tutar"], ["a"]], "long": [["Ad", "Tutar"], ["a", "1", "2"]],
+        "english": [["Ad", "Tutar"], ["a", "1,234.5"], ["b", "12.34"]], "empty": [["Ad", "Tutar"]],
+    }
+    cells = [(k, i, j, t) for k, rows in tables.items() for i, row in enumerate(rows, 1) for j, t in enumerate(row, 1)]
+    df = spark.createDataFrame(cells, "t string, row int, col int, text string")
+    contract = grids.Contract(("Ad", "Tutar"), ("Tutar",), "milyon TL", "2024-03", "http://h/x", "2024-04-01", "s. 3", True, ",", ".")
+    values, errors = grids.certified(df, ["t"], contract)
+    assert [(r.row, r.number, str(r.value)) for r in values.where("column = 'Tutar'").orderBy("row").collect()] == [(2, "1234567.1234567890123456789", "1234567.123456789012345679"), (3, "-5", "-5.000000000000000000"), (4, "7.50", "7.500000000000000000")]
+    assert {(r.unit, r.period, r.url, r.t) for r in values.collect()} == {("milyon TL", "2024-03", "http://h/x", "good")}
+    assert {(r.t, r.row, r.why) for r in errors.collect()} == {("header", 1, "another header"), ("hole", 2, "an empty cell"), ("hole", 3, "an empty cell"), ("short", 2, "cells are missing"), ("long", 2, "more cells than columns"), ("english", 2, "no number"), ("english", 3, "no number"), ("empty", None, "no header or no rows")}
+    for change, says in (({"verified": False}, "not verified"), ({"unit": " "}, "unit is missing"), ({"thousands": ","}, "separators"), ({"numeric": ("x",)}, "numeric"), ({"columns": ("Ad", "Ad")}, "each once")):
+        with pytest.raises(ValueError, match=says):
+            grids.certified(df, ["t"], dataclasses.replace(contract, **change))
+    assert grids.certified(df.limit(0), ["t"], contract)[0].count() == 0
+
+
 def test_sheets_become_series(spark):
     cells = [("s", i, j, t) for i, row in enumerate([["Tarih", "X"], ["01.02.2021", "5"], ["01.03.2021", "6"]]) for j, t in enumerate(row)] + [("bad", 0, 0, "x"), ("bad", 0, 1, "y")]
     out = grids.grid_series(spark.createDataFrame(cells, "sheet string, row int, col int, text string"), ["sheet"]).orderBy("period").collect()

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.labels import ENGLISH, MONTHS
 
@@ -111,6 +113,66 @@ def grid_series(cells: DataFrame, sheet: list[str]) -> DataFrame:
     return cells.groupBy(*sheet).applyInPandas(one, f"{keys}, {SCHEMA}")
 
 
+@dataclass(frozen=True)
+class Contract:
+    """What a caller who has seen the source says of an extracted table: its columns in order and which are numbers, the
+    unit and the period, where it comes from, and how its numbers are written. Nothing is guessed from the table."""
+
+    columns: tuple[str, ...]
+    numeric: tuple[str, ...]
+    unit: str
+    period: str
+    url: str
+    fetched_at: str
+    location: str
+    verified: bool = False
+    decimal: str = "."
+    thousands: str = ""
+
+    def faults(self) -> list[str]:
+        """Why the contract itself cannot stand."""
+        found = []
+        if not self.columns or len(set(self.columns)) != len(self.columns) or not all(self.columns):
+            found.append("columns must be named, each once")
+        if not self.numeric or not set(self.numeric) <= set(self.columns):
+            found.append("some of the columns must be numeric")
+        if self.decimal not in (".", ",") or self.thousands not in ("", ",", ".", " ") or self.decimal == self.thousands:
+            found.append("the separators must be told apart")
+        found += [f"{name} is missing" for name in ("unit", "period", "url", "fetched_at", "location") if not (getattr(self, name) or "").strip()]
+        return found if self.verified else [*found, "the source is not verified"]
+
+
+def certified(cells: DataFrame, keys: list[str], contract: Contract) -> tuple[DataFrame, DataFrame]:
+    """The values of all tables that keep a contract, and what is wrong with the others.
+
+    ``cells`` has the tables' keys, row and col from 1 and text; the first row is the header. Values are (keys, row,
+    column, text, number, value, unit, period, url, location): number is the decimal as written, in plain form, value the
+    same as a decimal where it has at most 20 digits before the point and 18 behind it. Errors are (keys, row, column,
+    why); a table with any has no values. Tables are checked together, by one aggregate a row and one a table.
+    """
+    if faults := contract.faults():
+        raise ValueError("; ".join(faults))
+    n, names = len(contract.columns), F.array(*map(F.lit, contract.columns))
+    column = F.get(names, F.col("col") - 1)
+    text, numeric = F.trim("text"), column.isin(*contract.numeric)
+    mark = lambda c: {".": r"\.", " ": " "}.get(c, c)
+    whole = f"([0-9]+|[0-9]{{1,3}}({mark(contract.thousands)}[0-9]{{3}})+)" if contract.thousands else "[0-9]+"
+    written = text.rlike(f"^[+-]?{whole}({mark(contract.decimal)}[0-9]+)?$")
+    header = F.col("row") == 1
+    why = F.when(F.col("col") > n, "more cells than columns").when(header & ~text.eqNullSafe(column), "another header").when(~header & (F.coalesce(text, F.lit("")) == ""), "an empty cell").when(~header & numeric & ~written, "no number")
+    told = cells.select(*keys, "row", "col", column.alias("column"), text.alias("text"), numeric.alias("numeric"), why.alias("why"))
+    none = F.lit(None).cast("string").alias("column")
+    rows = told.groupBy(*keys, "row").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("col") <= n, F.col("col"))).alias("filled"))
+    uneven = rows.withColumn("why", F.when(F.col("filled") < n, "cells are missing").when(F.col("n") > n, "more cells than columns")).where("why IS NOT NULL").select(*keys, "row", none, "why")
+    bare = rows.groupBy(*keys).agg(F.min("row").alias("first"), F.count("*").alias("n")).where("first <> 1 OR n < 2").select(*keys, F.lit(None).cast("int").alias("row"), none, F.lit("no header or no rows").alias("why"))
+    errors = told.where("why IS NOT NULL").select(*keys, "row", "column", "why").unionByName(uneven).unionByName(bare).distinct()
+    plain = F.replace(F.replace(F.col("text"), F.lit(contract.thousands), F.lit("")) if contract.thousands else F.col("text"), F.lit(contract.decimal), F.lit("."))
+    number = F.when(F.col("numeric"), F.ltrim(plain, F.lit("+")))
+    good = told.where("row > 1").join(errors.select(*keys).distinct(), keys, "left_anti")
+    origin = {"unit": contract.unit, "period": contract.period, "url": contract.url, "location": contract.location}
+    return good.select(*keys, "row", "column", "text", number.alias("number"), number.try_cast("decimal(38,18)").alias("value"), *(F.lit(v).alias(k) for k, v in origin.items())), errors
+
+
 def table_errors(table: dict, most_rows: int = 5000) -> list[str]:
     """What breaks the contract of an extracted table: columns named once, full rows, periods that are
     dates and occur once, values that are decimal numbers."""
