@@ -121,6 +121,29 @@ def test_quality_learns_one_row_of_an_id(spark, monkeypatch):
     assert seen == [[("a", 0), ("c", 1)]]
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, seed: seen.append((texts, labels)))
+    docs = spark.range(3500).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.repeat(F.lit("long "), 5000)).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    quality.learn(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")), lambda i: F.lit(True))
+    ((texts, labels),) = seen
+    assert len(texts) == 3500 and sum(labels) == 1750 and max(map(len, texts)) == 25_000
+
+
+def test_quality_of_shards_learns_from_every_row(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.learn(docs, labels, lambda i: ~held_out(i, 5, 0), shard_rows=100)
+    used = docs.join(labels.where(~held_out(F.col("doc_id"), 5, 0)), "doc_id").where("length(text) > 0")
+    rows, vectors = quality.random_indexing([r.text for r in used.collect()])
+    assert model.rows == rows and np.array_equal(model.vectors, vectors)
+    got = quality.score(docs, model).join(labels, "doc_id").where(held_out(F.col("doc_id"), 5, 0)).select("score", "quality").toPandas()
+    assert ((got.score >= 0.3) == (got.quality == 1)).mean() > 0.93
+    again = quality.learn(docs.repartition(3), labels, lambda i: ~held_out(i, 5, 0), shard_rows=100)
+    assert all(np.array_equal(a, b) for a, b in zip(model.layers, again.layers, strict=True)) and model.temperature == again.temperature
+    one = quality.learn(docs, labels.withColumn("quality", F.lit(1)), lambda i: F.lit(True), shard_rows=100)
+    assert {r.score for r in quality.score(docs.where("length(trim(text)) > 0").limit(3), one).collect()} == {1.0}
+
+
 def test_language_on_the_held_out_fold_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.learn(docs, lambda i: ~held_out(i, 3, 1), per_lang=100)
@@ -654,6 +677,33 @@ def test_secrets_random_strings_without_digits(spark):
     assert sum(bool(secrets.find(f"see {w} end", models)) for w in words) <= 0.01 * len(words)
 
 
+def test_secrets_learn_from_the_words_of_all_texts(spark, monkeypatch):
+    own = lambda i: "w" + "".join(chr(97 + int(d)) for d in f"{i:05}")
+    texts = [(i, f"{own(i)} sharedsharedsharedword" + (" filler" * 4000 if i == 5 else "") + (" onlyheldbyonetextonce" if i == 9 else "")) for i in range(1500)] + [(9, "onlyheldbyonetextonce"), (None, "nameless"), (2000, None)]
+    docs, seen = spark.createDataFrame(texts, "doc_id long, text string"), []
+    fit = secrets.fit
+    monkeypatch.setattr(secrets, "fit", lambda words, seed: seen.append(words) or fit(words, seed))
+    secrets.learn(docs)
+    assert seen == [sorted([*map(own, range(1500)), "filler", "nameless", "sharedsharedsharedword"])]
+
+
+def test_components_do_not_depend_on_the_sample_of_key_frequencies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [sorted(map(tuple, jaccard.similar_components(docs, sample_rows=n, seed=n).collect())) for n in (1, 30, 4000)]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_secrets_models_of_shards(spark):
+    models, rng = secrets.learn(documents(spark), shard_words=15_000), random.Random(31)
+    for alphabet in secrets.ALPHABETS[1:]:
+        keys = ["".join(rng.choices(alphabet, k=16)) for _ in range(300)]
+        assert sum(bool(secrets.find(f"see {k} end", models)) for k in keys) >= 297, alphabet
+    plain = ["internationalization", "application/x-www-form-urlencoded", "getElementsByTagName", "Q" * 16, "/usr/local/share/doc/", "SECTION_HEADER_ONE", "chapter3/section-title"]
+    assert [p for p in plain if secrets.find(f"see {p} end", models)] == []
+    again = secrets.learn(documents(spark).repartition(3), shard_words=15_000)
+    assert np.array_equal(models.ratio, again.ratio) and models.thresholds == again.thresholds
+
+
 # All operators: nulls, empty and repeated rows, clashing names, empty tables
 
 

@@ -1,8 +1,8 @@
 """Secret scans: fixed formats, and character Markov models compared by log-likelihood ratio.
 
 Two first-order Markov chains over characters are trained from labelled samples: one of random
-strings (hexadecimal, base 32, base 62, base 64), one of ordinary words and identifiers, part of
-them from a bounded sample of the corpus. A long token whose log-likelihood ratio per character
+strings (hexadecimal, base 32, base 62, base 64), one of ordinary words and identifiers, among
+them the distinct words of all texts. A long token whose log-likelihood ratio per character
 exceeds the threshold is reported beside the fixed formats. Thresholds are calibrated apart for
 tokens without digits, with one, and with more.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, short_batches
+from tidemark.llm.common import discard, materialize, short_batches
 
 # The base formats, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -31,6 +31,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: No token of fewer characters is called random.
 SHORTEST, DIGIT = 16, re.compile(r"[0-9]")
+WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]{3,30}(?![A-Za-z])")
+#: Training tokens of a label, the share of ordinary tokens that may be reported, and the steps in which scores are counted.
+EACH, FALSE_ALARMS, STEPS = 6000, 0.0005, 1024
 
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 IDENTIFIERS = ("get", "set", "user", "name", "value", "count", "index", "table", "column", "order", "item", "list", "total", "price", "date", "time", "file", "path", "config", "default", "handler", "request", "response", "session", "message", "update", "create", "delete", "number", "version", "release", "model", "data", "test", "http", "www", "example", "chapter", "section", "figure", "page")
@@ -45,12 +48,11 @@ class Models:
     thresholds: tuple[float, float, float]
 
     def score(self, token: str) -> float:
-        """Mean log-likelihood ratio per character; -1 for a token of fewer than two characters.
-
-        A pair that speaks for random counts once however often it comes, so no run of one letter is random.
+        """Mean log-likelihood ratio per character; -1 for a token of fewer than two different characters, so no
+        run of one letter is random. A pair that speaks for random counts once however often it comes.
         """
         codes = np.minimum(np.frombuffer(token.encode("latin-1", "replace"), np.uint8), 127)
-        if len(codes) < 2:
+        if len(codes) < 2 or (codes == codes[0]).all():
             return -1.0
         pairs = codes[:-1].astype(np.int64) * 128 + codes[1:]
         ratios, once = self.ratio.ravel()[pairs], self.ratio.ravel()[np.unique(pairs)]
@@ -95,34 +97,96 @@ def ordinary_tokens(words: list[str], n: int, rng: random.Random) -> list[str]:
     return [joined[i % len(joined)]([pick() for _ in range(rng.randint(2, 5))]) for i in range(n)]
 
 
-def fit(words: list[str], seed: int = 7, each: int = 6000, false_alarms: float = 0.0005) -> Models:
-    """Trains both chains on ``each`` samples of a label, and calibrates the threshold of a digit class on
-    others, made of words kept out of the training: the smallest at which at most ``false_alarms`` of the
-    ordinary ones are reported, or midway from there to where as few of the shortest random ones are missed."""
-    rng = random.Random(seed)
+def transitions(tokens: list[str]) -> np.ndarray:
+    """How often each pair of characters comes within the tokens."""
+    codes = np.minimum(np.frombuffer("\0".join(tokens).encode("latin-1", "replace"), np.uint8), 127).astype(np.int64)
+    counts = np.bincount(codes[:-1] * 128 + codes[1:], minlength=128 * 128).reshape(128, 128).astype(float)
+    counts[0], counts[:, 0] = 0, 0
+    return counts
+
+
+def chain(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of a Markov chain's probabilities."""
+    return np.log((counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True))
+
+
+def split(words: list[str]) -> tuple[list[str], list[str]]:
+    """Words for training in order, and those kept out of it."""
     words = sorted({w for w in words if w.isascii() and w.isalpha() and len(w) > 2})
-    kept_out, words = words[::5], [w for i, w in enumerate(words) if i % 5]
+    return [w for i, w in enumerate(words) if i % 5], words[::5]
 
-    def chain(tokens):
-        counts = np.full((128, 128), 0.05)
-        for t in tokens:
-            codes = np.minimum(np.frombuffer(t.encode("latin-1", "replace"), np.uint8), 127)
-            np.add.at(counts, (codes[:-1], codes[1:]), 1.0)
-        return np.log(counts / counts.sum(axis=1, keepdims=True))
 
-    draft = Models(chain(random_tokens(each, rng)) - chain(ordinary_tokens(words, each, rng) + words), (0.0, 0.0, 0.0))
+def ordinary_scores(draft: Models, kept_out: list[str], n: int, rng: random.Random) -> tuple[list[float], list[float], list[float]]:
+    """Scores, by digit class, of ordinary tokens that could be called random."""
     scores = ([], [], [])
-    for t in ordinary_tokens(kept_out, 10 * each, rng):
+    for t in ordinary_tokens(kept_out, n, rng):
         if len(t) >= SHORTEST:
             scores[digit_class(t)].append(draft.score(t))
-    at = lambda x, part: sorted(x)[min(len(x) - 1, int(len(x) * part))] if x else 0.0
+    return scores
+
+
+def calibrated(draft: Models, most: list[float], each: int, false_alarms: float, rng: random.Random) -> Models:
+    """The draft with thresholds: of a digit class the smallest above ``most``, which as few ordinary tokens exceed as
+    allowed, or midway from there to where as few of the shortest random ones are missed."""
     thresholds = []
-    for digits, ordinary in enumerate(scores):
-        least = max(0.0, at(ordinary, 1 - false_alarms)) + 0.05
-        thresholds.append(max(least, (least + at([draft.score(t) for t in shortest_random(each, digits, rng)], false_alarms)) / 2))
+    for digits, ordinary in enumerate(most):
+        least = max(0.0, ordinary) + 0.05
+        missed = sorted(draft.score(t) for t in shortest_random(each, digits, rng))
+        thresholds.append(max(least, (least + missed[int(len(missed) * false_alarms)]) / 2))
     return Models(draft.ratio, tuple(thresholds))
 
 
+def fit(words: list[str], seed: int = 7, each: int = EACH, false_alarms: float = FALSE_ALARMS) -> Models:
+    """Trains both chains on ``each`` samples of a label, and calibrates the threshold of a digit class on
+    others, made of words kept out of the training: the smallest at which at most ``false_alarms`` of the
+    ordinary ones are reported, or midway from there to where as few of the shortest random ones are missed."""
+    rng = random.Random(seed)
+    words, kept_out = split(words)
+    draft = Models(chain(transitions(random_tokens(each, rng))) - chain(transitions(ordinary_tokens(words, each, rng) + words)), (0.0, 0.0, 0.0))
+    scores = ordinary_scores(draft, kept_out, 10 * each, rng)
+    most = [sorted(x)[min(len(x) - 1, int(len(x) * (1 - false_alarms)))] if x else 0.0 for x in scores]
+    return calibrated(draft, most, each, false_alarms, rng)
+
+
+def fit_all(words: DataFrame, shards: int, seed: int = 7, each: int = EACH, false_alarms: float = FALSE_ALARMS) -> Models:
+    """`fit` on a table of distinct words of any size, dealt by their hash into shards.
+
+    Every shard makes its ordinary tokens and counts their characters and those of its words as `fit` does; the chain is
+    that of the shards' mean. The thresholds come from the scores of all shards' ordinary tokens, counted in steps of
+    1 / STEPS and rounded up. The driver sees counts only.
+    """
+    dealt = materialize(words.select(F.pmod(F.xxhash64(F.lit(seed), "word"), F.lit(shards)).cast("int").alias("shard"), "word"))
+
+    def count(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        known, _ = split(table["word"].to_pylist())
+        # Whole numbers, so that the sums do not depend on their order.
+        counts = transitions(ordinary_tokens(known, each, random.Random(f"{seed}:{shard}")) + known).ravel().astype(np.int64)
+        held = np.flatnonzero(counts)
+        return pa.table({"pair": pa.array(held, pa.int32()), "n": counts[held]})
+
+    counts = np.zeros(128 * 128)
+    for r in dealt.groupBy("shard").applyInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r.pair] = r.n / shards
+    rng = random.Random(seed)
+    draft = Models(chain(transitions(random_tokens(each, rng))) - chain(counts.reshape(128, 128)), (0.0, 0.0, 0.0))
+
+    def rate(table: pa.Table) -> pa.Table:
+        _, kept_out = split(table["word"].to_pylist())
+        scores = ordinary_scores(draft, kept_out, 10 * each, random.Random(f"{seed}:{table['shard'][0].as_py()}:rate"))
+        bins = Counter((k, int(np.ceil(x * STEPS))) for k, part in enumerate(scores) for x in part)
+        return pa.table({"digits": pa.array([k for k, _ in bins], pa.int32()), "step": pa.array([x for _, x in bins], pa.int32()), "n": pa.array(list(bins.values()), pa.int64())})
+
+    rated = dealt.groupBy("shard").applyInArrow(rate, "digits int, step int, n long").groupBy("digits", "step").agg(F.sum("n").alias("n")).orderBy("digits", "step").collect()
+    discard(dealt)
+    most = []
+    for digits in range(3):
+        part = [r for r in rated if r.digits == digits]
+        before = np.cumsum([r.n for r in part]) if part else np.zeros(0)
+        most.append(part[int(np.searchsorted(before, min(before[-1] - 1, int(before[-1] * (1 - false_alarms))), "right"))].step / STEPS if part else 0.0)
+    return calibrated(draft, most, each, false_alarms, rng)
+
+
 def find(text: str, models: Models | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, in code points, by start and then kind as listed."""
     spans = []
@@ -165,15 +229,32 @@ def redact(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return text if until < 0 else "".join([*out, mask, text[until:]])
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1000, seed: int = 7) -> Models:
-    """Models whose ordinary samples hold the words of at most ``sample_rows`` texts of up to 20,000 characters.
+def ordinary_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The distinct words of all whole texts. A word of SHORTEST letters or more may itself be a secret, so it counts
+    only if texts of two ids hold it."""
 
-    A word of SHORTEST letters or more may itself be a secret, so it counts only if two texts hold it.
-    """
+    def run(batches):
+        for batch in batches:
+            short, long = set(), set()
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in set(WORD.findall(text or "")):
+                    short.add(w) if len(w) < SHORTEST else long.add((w, i))
+            yield pa.RecordBatch.from_arrays([pa.array([*short, *(w for w, _ in long)], pa.string()), pa.array([*([None] * len(short)), *(i for _, i in long)], batch.schema.field(0).type)], ["word", "i"])
+
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
-    texts = bounded_sample(narrow, "i", sample_rows, seed, 20_000).select("text").collect()
-    held = Counter(w for r in texts for w in set(re.findall(r"(?<![A-Za-z])[A-Za-z]{3,30}(?![A-Za-z])", r.text or "")))
-    return fit(sorted(w for w, n in held.items() if n > 1 or len(w) < SHORTEST), seed)
+    held = narrow.mapInArrow(run, f"word string, i {narrow.schema[0].dataType.simpleString()}").groupBy("word").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    return held.where((F.length("word") < SHORTEST) | (F.col("a") < F.col("b"))).select("word")
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 250_000, seed: int = 7) -> Models:
+    """Models whose ordinary samples hold the words of all texts: up to ``shard_words`` distinct ones are one shard,
+    which the driver fits itself."""
+    words = materialize(ordinary_words(docs, id_col, text_col))
+    n = words.count()
+    models = fit(sorted(r.word for r in words.collect()), seed) if n <= shard_words else fit_all(words, -(-n // shard_words), seed)
+    discard(words)
+    return models
 
 
 def scan(docs: DataFrame, models: Models | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
