@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a task that groups nearly distinct rows, and tasks that share the rows of one key and value.
+GROUP_ROWS, SALTS = 250_000, 16
+
+
 class ValidationError(ValueError):
     """A check that must hold does not; the message has its name and the first failures."""
 
@@ -64,8 +68,16 @@ def formula_differences(df: DataFrame, keys: list[str], terms: DataFrame, positi
 
 
 def conflicts(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Keys that occur with more than one value."""
-    return df.groupBy(*keys).agg(F.countDistinct(value).alias("n_values"), F.count("*").alias("n_rows")).where("n_values > 1")
+    """Keys that occur with more than one value.
+
+    Tasks grow in number with the rows, GROUP_ROWS each, so what one holds does not grow. Rows that agree in key and value
+    are first counted in up to SALTS tasks, so those of a very frequent key do not meet as rows.
+    """
+    tasks = max(1, -(-df.count() // GROUP_ROWS))
+    salted = df.select(*keys, value, (F.spark_partition_id() % SALTS).alias("__salt"))
+    counted = salted.repartition(tasks, *keys, value, "__salt").groupBy(*keys, value, "__salt").agg(F.count("*").alias("__n"))
+    met = counted.repartition(tasks, *keys).groupBy(*keys)
+    return met.agg(F.countDistinct(value).alias("n_values"), F.sum("__n").alias("n_rows")).where("n_values > 1")
 
 
 def coverage(df: DataFrame, spans: DataFrame, key: str, period: str = "period", step: str = "1 month") -> DataFrame:
