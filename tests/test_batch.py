@@ -115,3 +115,14 @@ def test_vectors_find_what_is_misspelled(spark, things):
 
 def test_wanted_rows_are_found_together(corpus):  # noqa: F811
     assert discovery.recall(corpus, WANTED, domain=DOMAIN)[1] >= 0.85
+
+
+def test_rows_of_a_kind_behind_the_limit_take_no_part(spark):
+    same = [("m", f"konut_{i:03}", "konut kredi", "", "%", "stock", "monthly", 0, 0) for i in range(300)] + [("m", "konut_longer_key", "konut kredi", "", "%", "stock", "monthly", 0, 0)]
+    index = spark.createDataFrame(same, "source string, key string, name string, context string, unit string, semantics string, grain string, tier int, depth int")
+    rows = index.withColumn("__row", F.monotonically_increasing_id())
+    terms = spark.createDataFrame([("konut",), ("kredi",)], "term string")
+    left = batch.first_of_kind(rows, batch.touched(rows, terms), discovery.Domain(), 4).join(rows, "__row")
+    assert sorted(r.key for r in left.collect()) == ["konut_000", "konut_001", "konut_002", "konut_003", "konut_longer_key"]
+    asked = spark.createDataFrame([(1, "konut kredi")], "question_id int, text string")
+    assert [r.key for r in batch.discover_all(index, asked, 4).orderBy("rank").collect()] == [r.key for r in discovery.discover(index, "konut kredi", 4).collect()]

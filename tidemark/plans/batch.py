@@ -86,6 +86,23 @@ def matched(words: DataFrame, hits: DataFrame) -> DataFrame:
     return scored.select("question_id", "__row", (F.col("total") + bonus).alias("matches"))
 
 
+def first_of_kind(rows: DataFrame, hits: DataFrame, domain: Domain, limit: int) -> DataFrame:
+    """(__row): of rows that score alike for every question the first ``limit`` by key, source and row.
+
+    Rows are of a kind if the same terms occur in them at the same places, and all else that filters, rules and names
+    read is equal: every column but the key, whose length and matches with the domain's patterns count instead. Of a
+    kind, those behind the first ``limit`` come behind them in every list, so no list of ``limit`` rows holds them.
+    """
+    key, raw = F.col("key"), F.coalesce(F.col("code"), F.col("key")) if "code" in rows.columns else F.col("key")
+    read = [c for c in ("source", "name", "unit", "semantics", "grain", "tier", "depth", "currencies", "dataset") if c in rows.columns]
+    patterns = [raw.rlike(p) for p in (domain.derived, domain.averaged, domain.coded, domain.commercial)] + [F.contains(F.upper(raw), F.lit(domain.national))]
+    said = [F.contains(key, F.lit(n)) for n in domain.qualifiers]
+    at = hits.groupBy("__row").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\0", "term", *(F.col(c).cast("string") for c in ("in_key", "leads", "in_name", "in_context"))))), "\1"), 256).alias("__hits"))
+    kinds = rows.select("__row", "key", "source", F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(read)), F.length("key").alias("n"), *(c.alias(f"p{i}") for i, c in enumerate([*patterns, *said]))).alias("__facts"))
+    within_kind = Window.partitionBy("__hits", "__facts").orderBy(F.asc("key"), F.asc("source"), F.asc("__row"))
+    return at.join(kinds, "__row").withColumn("__n", F.row_number().over(within_kind)).where(F.col("__n") <= limit).select("__row")
+
+
 def discover_all(index: DataFrame, questions: DataFrame, limit: int = 20, domain: Domain | None = None, per_source: int | None = None, dense: DataFrame | None = None) -> DataFrame:
     """For every question (question_id, text) the rows that `discover` gives, with rank from 1.
 
@@ -98,7 +115,11 @@ def discover_all(index: DataFrame, questions: DataFrame, limit: int = 20, domain
     rows = materialize(index.withColumn("__row", F.monotonically_increasing_id()))
     asked = materialize(interpreted(questions, domain))
     words = asked.select("question_id", F.explode("words").alias("w")).select("question_id", "w.*")
-    found = matched(words, touched(rows, words.select("term").distinct())).withColumn("by_words", F.lit(True))
+    hits = materialize(touched(rows, words.select("term").distinct()))
+    if dense is None:
+        leading = materialize(first_of_kind(rows, hits, domain, limit))
+        hits, rows = hits.join(leading, "__row", "left_semi"), rows.join(leading, "__row", "left_semi")
+    found = matched(words, hits).withColumn("by_words", F.lit(True))
     if dense is not None:
         ids = rows.select("source", "key", "__row").groupBy("source", "key").agg(F.min("__row").alias("__row"))
         near = dense.join(ids, ["source", "key"]).groupBy("question_id", "__row").agg(F.min("rank").alias("near"))
